@@ -45,3 +45,105 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang == "en", "jpeg").when(lang == "fr", "mp4").when(lang == "de", "mpeg")
         .otherwise("plain").alias("mimesubtype"),
     )
+
+
+def _pad2(c):
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def orders_as_named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as files whose paths carry the order date in five shapes.
+
+    The shape follows ``o_orderpriority``; time-of-day, day overflow (31 Feb),
+    hour 24, second 60, trailing digits, pre-1990 years and a basename date
+    earlier than its folder's are all produced from the row's own values.
+    mtime is the order date shifted by -3..+3 days.
+    """
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                       "o_orderpriority"])
+    k, c, st, dt = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderdate")
+    yyyy, mm, dd = F.date_format(dt, "yyyy"), F.date_format(dt, "MM"), F.date_format(dt, "dd")
+    ks, cs = k.cast("string"), c.cast("string")
+    day_var = _pad2(F.lit(1) + k % 31)
+    hh, mi, ss = _pad2((k * 7) % 25), _pad2((k * 13) % 60), _pad2((c * 17) % 61)
+    prio = F.col("o_orderpriority")
+    name = (
+        F.when(prio == "1-URGENT", F.concat(F.lit("/media/"), cs, F.lit("/"), yyyy, F.lit("-"), mm,
+                                            F.lit("-"), day_var, F.lit("_"), hh, F.lit("-"), mi,
+                                            F.lit("-"), ss, F.lit(".mp4")))
+        .when(prio == "2-HIGH", F.concat(F.lit("/backup/"), yyyy, F.lit("_"), mm, F.lit("_"), dd,
+                                         F.when(st == "O", ks).otherwise(F.lit("")),
+                                         F.lit("/scan"), ks, F.lit(".png")))
+        .when(prio == "3-MEDIUM", F.when(
+            st == "F", F.concat(F.lit("/albums/"), yyyy, F.lit("/"), F.month(dt).cast("string"), F.lit("/"),
+                                F.dayofmonth(dt).cast("string"), F.lit("/p"), ks, F.lit(".jpg")))
+            .otherwise(F.concat(F.lit("/albums/"), yyyy, F.lit("/"), F.month(dt).cast("string"),
+                                F.lit("/x"), ks, F.lit(".jpg"))))
+        .when(prio == "4-NOT SPECIFIED", F.concat(
+            F.lit("/dcim/"), cs, F.lit("/VID"),
+            F.when(st == "P", (F.year(dt) - 8).cast("string")).otherwise(yyyy), mm, dd, F.lit(".mov")))
+        .otherwise(F.concat(F.lit("/inbox/"), yyyy, F.lit("-"), mm, F.lit("-"), dd, F.lit("/IMG-"),
+                            F.date_format(F.date_sub(F.to_date(dt), (k % 400).cast("int")), "yyyyMMdd"),
+                            F.lit(".jpg")))
+    )
+    mtime = F.unix_timestamp(dt) + ((c % 7) - 3) * 86400
+    return o.select(k.alias("file_key"), name.alias("name"), mtime.cast("bigint").alias("timemodified"))
+
+
+def orders_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a fresh file listing: one file per order."""
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
+                                       "o_orderdate"])
+    return o.select(
+        F.concat(F.lit("/data/"), F.col("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"),
+                 F.lit(".dat")).alias("name"),
+        F.concat(F.lit("host"), F.substring("o_orderpriority", 1, 1)).alias("hostname"),
+        F.floor(F.col("o_totalprice") * 100).cast("bigint").alias("size"),
+        F.unix_timestamp("o_orderdate").cast("bigint").alias("timemodified"),
+    )
+
+
+def orders_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalog the listing is compared with.
+
+    Open orders ('O') are not catalogued yet (new files); pending ones ('P')
+    were catalogued with another size (resized); finished high-priority ones
+    with an older mtime (touched); customers are catalogued files that no
+    longer exist (vanished).
+    """
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
+                                       "o_orderdate"]).where(F.col("o_orderstatus") != "O")
+    st, prio = F.col("o_orderstatus"), F.col("o_orderpriority")
+    name = F.concat(F.lit("/data/"), st, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".dat"))
+    size = F.floor(F.col("o_totalprice") * 100).cast("bigint") + F.when(st == "P", 1).otherwise(0)
+    mtime = (F.unix_timestamp("o_orderdate")
+             - F.when((st == "F") & (prio == "2-HIGH"), 3600).otherwise(0)).cast("bigint")
+    orders_part = o.select(
+        name.alias("name"),
+        F.concat(F.lit("host"), F.substring(prio, 1, 1)).alias("hostname"),
+        digest_id(F.concat(name, F.lit(":"), size.cast("string"))).alias("id"),
+        size.alias("size"), mtime.alias("timemodified"), mtime.alias("timeborn"),
+        F.lit("stat").alias("timebornsrc"), F.lit("application").alias("mimetype"),
+        F.lit("octet-stream").alias("mimesubtype"))
+    c = load(spark, sf_dir, "customer", ["c_custkey"])
+    cname = F.concat(F.lit("/data/gone/"), F.col("c_custkey").cast("string"), F.lit(".dat"))
+    csize = (F.col("c_custkey") * 10).cast("bigint")
+    cm = (F.lit(1_600_000_000) + F.col("c_custkey")).cast("bigint")
+    gone = c.select(cname.alias("name"), F.lit("host1").alias("hostname"),
+                    digest_id(F.concat(cname, F.lit(":"), csize.cast("string"))).alias("id"),
+                    csize.alias("size"), cm.alias("timemodified"), cm.alias("timeborn"),
+                    F.lit("stat").alias("timebornsrc"), F.lit("application").alias("mimetype"),
+                    F.lit("octet-stream").alias("mimesubtype"))
+    return orders_part.unionByName(gone)
+
+
+def index_rows(work: DataFrame, now_year: int) -> DataFrame:
+    """Catalog rows for the files that need (re)indexing: content id + birth time."""
+    from mediafold.functions.names import with_birth_from_name
+    rows = work.select(
+        "name", "hostname",
+        digest_id(F.concat(F.col("name"), F.lit(":"), F.col("size").cast("string"))).alias("id"),
+        "size", "timemodified")
+    return with_birth_from_name(rows, now_year=now_year).select(
+        "name", "hostname", "id", "size", "timemodified", "timeborn", "timebornsrc",
+        F.lit("application").alias("mimetype"), F.lit("octet-stream").alias("mimesubtype"))

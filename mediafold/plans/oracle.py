@@ -71,3 +71,163 @@ FROM g
 ORACLE = {
     "duplicate_groups": DUPLICATE_GROUPS,
 }
+
+
+# -- time from a path (H1-H3) -----------------------------------------------
+
+_DT = r"\D\d{4}[\-_]\d{2}[\-_]\d{2}[^\n]{1,4}\d{2}\D\d{2}\D\d{2,}"
+_D = r"\D\d{4}[\-_]\d{2}[\-_]\d{2,}"
+_DP = r"\D\d{4}/\d{1,2}/?\d*"
+_C = r"(202[0-9]|201[0-9]|200[0-9]|[0-1][0-9]{3})(1[0-2]|0[1-9])(3[01]|[0-2][1-9]|[12]0)"
+
+
+def _unix_sql(y: str, m: str, d: str, extra: str = "") -> str:
+    return (f"((date_diff('day', DATE '1970-01-01', make_date(least(greatest({y}, 1), 9999), "
+            f"least(greatest({m}, 1), 12), 1)) + ({d}) - 1) * 86400{extra})")
+
+
+def time_from_path_sql(expr: str, now_year: int) -> str:
+    ymax = now_year + 3
+    p = f"(CASE WHEN starts_with({expr}, '/') THEN {expr} ELSE '/' || {expr} END)"
+    mdt = f"regexp_extract({p}, '{_DT}', 0)"
+    md = f"regexp_extract({p}, '{_D}', 0)"
+    mdp = f"regexp_extract({p}, '{_DP}', 0)"
+    mc = f"regexp_extract({p}, '{_C}', 0)"
+
+    def parts(m):
+        lst = f"regexp_extract_all({m}, '\\d{{1,4}}')"
+        return lst, [f"CAST({lst}[{i}] AS INTEGER)" for i in range(1, 7)]
+
+    def ok(y, mo, d):
+        return f"({y} >= 1990 AND {y} <= {ymax} AND {mo} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31)"
+
+    l, (y, mo, d, h, mi, s) = parts(mdt)
+    t_dt = (f"CASE WHEN len({l}) = 6 AND {ok(y, mo, d)} AND {h} BETWEEN 0 AND 24 AND {mi} BETWEEN 0 AND 59 "
+            f"AND {s} BETWEEN 0 AND 59 THEN {_unix_sql(y, mo, d, f' + {h} * 3600 + {mi} * 60 + {s}')} END")
+    l, (y, mo, d, *_) = parts(md)
+    t_d = f"CASE WHEN len({l}) = 3 AND {ok(y, mo, d)} THEN {_unix_sql(y, mo, d)} END"
+    l, (y, mo, d, *_) = parts(mdp)
+    d = f"(CASE WHEN len({l}) = 2 THEN 1 ELSE {d} END)"
+    t_dp = f"CASE WHEN len({l}) BETWEEN 2 AND 3 AND {ok(y, mo, d)} THEN {_unix_sql(y, mo, d)} END"
+    y, mo, d = (f"CAST(substr({mc}, 1, 4) AS INTEGER)", f"CAST(substr({mc}, 5, 2) AS INTEGER)",
+                f"CAST(substr({mc}, 7, 2) AS INTEGER)")
+    t_c = f"CASE WHEN {ok(y, mo, d)} THEN {_unix_sql(y, mo, d)} END"
+    return (f"CAST(CASE WHEN strlen({expr}) < 6 THEN NULL WHEN {mdt} <> '' THEN {t_dt} "
+            f"WHEN {md} <> '' THEN {t_d} WHEN {mdp} <> '' THEN {t_dp} WHEN {mc} <> '' THEN {t_c} END AS BIGINT)")
+
+
+NOW_YEAR = 2026
+
+
+def _pad2_sql(e: str) -> str:
+    return f"lpad(CAST({e} AS VARCHAR), 2, '0')"
+
+
+ORDER_FILES = f"""
+  SELECT o_orderkey AS file_key,
+    CASE
+      WHEN o_orderpriority = '1-URGENT' THEN '/media/' || CAST(o_custkey AS VARCHAR) || '/' || strftime(o_orderdate, '%Y')
+           || '-' || strftime(o_orderdate, '%m') || '-' || {_pad2_sql('1 + o_orderkey % 31')} || '_'
+           || {_pad2_sql('(o_orderkey * 7) % 25')} || '-' || {_pad2_sql('(o_orderkey * 13) % 60')} || '-'
+           || {_pad2_sql('(o_custkey * 17) % 61')} || '.mp4'
+      WHEN o_orderpriority = '2-HIGH' THEN '/backup/' || strftime(o_orderdate, '%Y') || '_' || strftime(o_orderdate, '%m')
+           || '_' || strftime(o_orderdate, '%d') || CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderkey AS VARCHAR) ELSE '' END
+           || '/scan' || CAST(o_orderkey AS VARCHAR) || '.png'
+      WHEN o_orderpriority = '3-MEDIUM' THEN CASE WHEN o_orderstatus = 'F'
+           THEN '/albums/' || strftime(o_orderdate, '%Y') || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/'
+                || CAST(day(o_orderdate) AS VARCHAR) || '/p' || CAST(o_orderkey AS VARCHAR) || '.jpg'
+           ELSE '/albums/' || strftime(o_orderdate, '%Y') || '/' || CAST(month(o_orderdate) AS VARCHAR)
+                || '/x' || CAST(o_orderkey AS VARCHAR) || '.jpg' END
+      WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '/dcim/' || CAST(o_custkey AS VARCHAR) || '/VID'
+           || CASE WHEN o_orderstatus = 'P' THEN CAST(year(o_orderdate) - 8 AS VARCHAR) ELSE strftime(o_orderdate, '%Y') END
+           || strftime(o_orderdate, '%m') || strftime(o_orderdate, '%d') || '.mov'
+      ELSE '/inbox/' || strftime(o_orderdate, '%Y') || '-' || strftime(o_orderdate, '%m') || '-' || strftime(o_orderdate, '%d')
+           || '/IMG-' || strftime(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 400 AS INTEGER), '%Y%m%d') || '.jpg'
+    END AS name,
+    CAST(epoch(o_orderdate) AS BIGINT) + ((o_custkey % 7) - 3) * 86400 AS timemodified
+  FROM orders
+"""
+
+
+def _birth_sql(name: str, mtime: str) -> tuple[str, str, str, str]:
+    t_full = time_from_path_sql(name, NOW_YEAR)
+    t_base = time_from_path_sql(f"string_split({name}, '/')[-1]", NOW_YEAR)
+    birth = (f"CASE WHEN coalesce(year(to_timestamp({t_base})) > 1980 AND {t_base} < {t_full}, false) "
+             f"THEN {t_base} ELSE {t_full} END")
+    return t_full, t_base, birth, f"({birth} IS NOT NULL AND {mtime} >= {birth})"
+
+
+_tf, _tb, _birth, _use = _birth_sql("name", "timemodified")
+BIRTH_FROM_NAME = f"""
+WITH f AS ({ORDER_FILES})
+SELECT file_key, name, timemodified, {_tf} AS name_time, {_tb} AS base_time, {_birth} AS path_time,
+       CASE WHEN {_use} THEN {_birth} ELSE timemodified END AS timeborn,
+       CASE WHEN {_use} THEN 'name' ELSE 'stat' END AS timebornsrc
+FROM f
+"""
+ORACLE["birth_from_name"] = BIRTH_FROM_NAME
+
+
+# -- catalog diff / upsert / change log (J12) --------------------------------
+
+ORDERS_LISTING = """
+  SELECT '/data/' || o_orderstatus || '/' || CAST(o_orderkey AS VARCHAR) || '.dat' AS name,
+         'host' || substr(o_orderpriority, 1, 1) AS hostname,
+         CAST(floor(o_totalprice * 100) AS BIGINT) AS size,
+         CAST(epoch(o_orderdate) AS BIGINT) AS timemodified
+  FROM orders
+"""
+
+
+def _catalog_row(name: str, size: str, mtime: str, host: str) -> str:
+    return (f"{name} AS name, {host} AS hostname, {md5_id(f'{name} || {chr(39)}:{chr(39)} || CAST({size} AS VARCHAR)')} AS id, "
+            f"{size} AS size, {mtime} AS timemodified, {mtime} AS timeborn, 'stat' AS timebornsrc, "
+            f"'application' AS mimetype, 'octet-stream' AS mimesubtype")
+
+
+_ON = "'/data/' || o_orderstatus || '/' || CAST(o_orderkey AS VARCHAR) || '.dat'"
+_OS = ("(CAST(floor(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)")
+_OM = ("(CAST(epoch(o_orderdate) AS BIGINT) - CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' "
+       "THEN 3600 ELSE 0 END)")
+_CN = "'/data/gone/' || CAST(c_custkey AS VARCHAR) || '.dat'"
+ORDERS_CATALOG = f"""
+  SELECT {_catalog_row(_ON, _OS, _OM, "'host' || substr(o_orderpriority, 1, 1)")} FROM orders WHERE o_orderstatus <> 'O'
+  UNION ALL
+  SELECT {_catalog_row(_CN, 'CAST(c_custkey * 10 AS BIGINT)', 'CAST(1600000000 + c_custkey AS BIGINT)', "'host1'")}
+  FROM customer
+"""
+
+CATALOG_DIFF = f"""
+WITH l AS ({ORDERS_LISTING}), c AS ({ORDERS_CATALOG})
+SELECT coalesce(l.name, c.name) AS name, coalesce(l.hostname, c.hostname) AS hostname,
+       CASE WHEN l.name IS NULL THEN 'vanished' WHEN c.name IS NULL THEN 'new'
+            WHEN l.size = c.size AND l.timemodified = c.timemodified THEN 'unchanged' ELSE 'changed' END AS status,
+       l.size AS size, l.timemodified AS timemodified, c.size AS old_size, c.timemodified AS old_timemodified,
+       c.id AS old_id
+FROM l FULL OUTER JOIN c ON l.name = c.name AND l.hostname = c.hostname
+"""
+
+_NEW_ROWS = f"""
+  SELECT name, hostname, {md5_id("name || ':' || CAST(size AS VARCHAR)")} AS id, size, timemodified,
+         timemodified AS timeborn, 'stat' AS timebornsrc, 'application' AS mimetype, 'octet-stream' AS mimesubtype
+  FROM l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.name = l.name AND c.hostname = l.hostname
+                           AND c.size = l.size AND c.timemodified = l.timemodified)
+"""
+
+CATALOG_UPSERT = f"""
+WITH l AS ({ORDERS_LISTING}), c AS ({ORDERS_CATALOG}), n AS ({_NEW_ROWS})
+SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.name = c.name AND n.hostname = c.hostname)
+UNION ALL SELECT * FROM n
+"""
+
+CATALOG_HISTORY = f"""
+WITH l AS ({ORDERS_LISTING}), c AS ({ORDERS_CATALOG}), n AS ({_NEW_ROWS})
+SELECT c.name, c.hostname, c.id AS old_id, c.size AS old_size, c.timemodified AS old_timemodified,
+       n.id AS new_id, n.size AS new_size, n.timemodified AS new_timemodified,
+       CAST(1767225600 AS BIGINT) AS changed_at
+FROM c JOIN n ON c.name = n.name AND c.hostname = n.hostname
+"""
+
+ORACLE["catalog_diff"] = CATALOG_DIFF
+ORACLE["catalog_upsert"] = CATALOG_UPSERT
+ORACLE["catalog_history"] = CATALOG_HISTORY

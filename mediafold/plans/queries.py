@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from mediafold.operators import dedupe
 from mediafold.plans import derive
 
+# Fixed "now" of the registered queries, so results are reproducible.
+NOW_YEAR = 2026
+FLAGSHIP = "duplicate_groups"
+
 
 def q_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = derive.documents_as_files(spark, sf_dir)
@@ -23,4 +27,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_groups": q_duplicate_groups,
 }
 
-FLAGSHIP = "duplicate_groups"
+
+
+
+def q_birth_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.functions import names
+    f = derive.orders_as_named_files(spark, sf_dir)
+    return names.with_birth_from_name(f, now_year=NOW_YEAR, keep_parts=True).select(
+        "file_key", "name", "timemodified", "name_time", "base_time", "path_time", "timeborn", "timebornsrc")
+
+
+QUERIES["birth_from_name"] = q_birth_from_name
+
+
+# Fixed change time of the registered history query (2026-01-01 UTC).
+CHANGED_AT = 1_767_225_600
+
+
+def q_catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import catalog
+    return catalog.catalog_diff(derive.orders_listing(spark, sf_dir), derive.orders_catalog(spark, sf_dir))
+
+
+def _new_index_rows(spark: SparkSession, sf_dir: str):
+    from mediafold.operators import catalog
+    cat = derive.orders_catalog(spark, sf_dir)
+    work = catalog.work_list(derive.orders_listing(spark, sf_dir), cat)
+    return cat, derive.index_rows(work, NOW_YEAR)
+
+
+def q_catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import catalog
+    cat, new = _new_index_rows(spark, sf_dir)
+    return catalog.upsert(cat, new)
+
+
+def q_catalog_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import catalog
+    cat, new = _new_index_rows(spark, sf_dir)
+    return catalog.change_log(cat, new, CHANGED_AT)
+
+
+QUERIES["catalog_diff"] = q_catalog_diff
+QUERIES["catalog_upsert"] = q_catalog_upsert
+QUERIES["catalog_history"] = q_catalog_history
