@@ -52,8 +52,30 @@ def group_stats(files: DataFrame, host: str | None = None) -> DataFrame:
     )
 
 
+PUBLIC_COLUMNS = ["id", "id_hex", "n_members", "n_names", "has_backup", "base_name", "name", "size",
+                  "timemodified", "timeborn", "timebornsrc", "mimetype", "mimesubtype", "total_bytes",
+                  "saved_bytes", "conflict"]
+
+
 def duplicate_groups(files: DataFrame, backups: DataFrame | None = None,
                      host: str | None = None) -> DataFrame:
+    return reduced_groups(files, backups, host).select(*PUBLIC_COLUMNS)
+
+
+def group_conflicts(files: DataFrame, backups: DataFrame | None = None,
+                    host: str | None = None) -> DataFrame:
+    """Groups whose members disagree on size, or on a metadata birth time.
+
+    The anchor is the base row's birth (the reference compared with a running
+    minimum, so its verdict depended on row order).  Reported, never fatal.
+    """
+    return (reduced_groups(files, backups, host).where("conflict")
+            .select("id", "id_hex", "n_members", "base_name", "size", "timeborn",
+                    "size_conflict", "birth_conflict"))
+
+
+def reduced_groups(files: DataFrame, backups: DataFrame | None = None,
+                   host: str | None = None) -> DataFrame:
     """Reduce every content id to one representative row.
 
     ``backups`` is the ``filez`` table (one row per id).  Output columns:
@@ -72,11 +94,9 @@ def duplicate_groups(files: DataFrame, backups: DataFrame | None = None,
     base_bn = basename(base["name"])
     anchor = base["timeborn"]
     # Sizes differ, or a birth taken from metadata differs from the anchor.
-    conflict = (
-        (F.col("min_size") != base["size"]) | (F.col("max_size") != base["size"])
-        | F.coalesce(F.col("meta_min_birth") != anchor, F.lit(False))
-        | F.coalesce(F.col("meta_max_birth") != anchor, F.lit(False))
-    )
+    size_conflict = (F.col("min_size") != base["size"]) | (F.col("max_size") != base["size"])
+    birth_conflict = (F.coalesce(F.col("meta_min_birth") != anchor, F.lit(False))
+                      | F.coalesce(F.col("meta_max_birth") != anchor, F.lit(False)))
     # E5 with a backup present: a member replaces the backup's name only if strictly shorter.
     short = F.when(
         F.col("backup").isNull() | (F.octet_length("short_name") < F.octet_length(base_bn)),
@@ -99,7 +119,9 @@ def duplicate_groups(files: DataFrame, backups: DataFrame | None = None,
         "total_bytes",
         # bytes held by members beyond one kept copy
         (F.col("total_bytes") - base["size"]).alias("saved_bytes"),
-        conflict.alias("conflict"),
+        (size_conflict | birth_conflict).alias("conflict"),
+        size_conflict.alias("size_conflict"),
+        birth_conflict.alias("birth_conflict"),
     )
 
 

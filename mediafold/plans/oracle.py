@@ -231,3 +231,57 @@ FROM c JOIN n ON c.name = n.name AND c.hostname = n.hostname
 ORACLE["catalog_diff"] = CATALOG_DIFF
 ORACLE["catalog_upsert"] = CATALOG_UPSERT
 ORACLE["catalog_history"] = CATALOG_HISTORY
+
+
+# -- filters, ids, years --------------------------------------------------------
+
+ORACLE["size_filter"] = """
+SELECT doc_id, size FROM (SELECT doc_id, CAST((n_chars - 4) * 1000000 AS BIGINT) AS size FROM documents)
+WHERE size > 0 AND size <= 8589934592
+"""
+
+ORACLE["content_ids"] = f"""
+SELECT doc_id, {md5_id('text')} AS id, substr(md5(text), 1, 16) AS id_hex FROM documents
+"""
+
+_YEAR = ("coalesce(CAST(list_filter(regexp_extract_all({e}, '\\d{{4,5}}'), "
+         "lambda x: CAST(x AS INTEGER) > 1990 AND CAST(x AS INTEGER) < 2029)[1] AS INTEGER), 0)")
+ORACLE["year_in_text"] = f"""
+SELECT 'documents' AS source, doc_id AS key, {_YEAR.format(e='text')} AS year FROM documents
+UNION ALL
+SELECT 'pages' AS source, page_id AS key, {_YEAR.format(e='url')} AS year FROM pages
+"""
+
+ORACLE["group_conflicts"] = f"""
+WITH f AS ({DOC_FILES}), g AS ({group_stats_sql('f')}),
+r AS (
+  SELECT id, {id_hex('id')} AS id_hex, n_members, first.name AS base_name, first.size AS size,
+         least(first.timeborn, min_birth) AS timeborn,
+         (min_size <> first.size OR max_size <> first.size) AS size_conflict,
+         (coalesce(meta_min_birth <> first.timeborn, false)
+          OR coalesce(meta_max_birth <> first.timeborn, false)) AS birth_conflict
+  FROM g)
+SELECT * FROM r WHERE size_conflict OR birth_conflict
+"""
+
+
+def _ignore_sql() -> str:
+    from mediafold.operators.filters import glob_to_regex
+    from mediafold.plans.queries import IGNORE_GLOBS
+    vals = ", ".join(f"('{d}', '{glob_to_regex(g)}')" for d, g in IGNORE_GLOBS)
+    return f"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+pats(dir, regex) AS (VALUES {vals}),
+idx AS (SELECT page_id, path, unnest(range(0, len(string_split(path, '/')))) AS i FROM p),
+anc AS (SELECT page_id, path,
+               CASE WHEN i = 0 THEN '' ELSE array_to_string(string_split(path, '/')[1:i], '/') || '/' END AS dir
+        FROM idx),
+hit AS (SELECT DISTINCT page_id FROM anc JOIN pats USING (dir)
+        WHERE regexp_matches(substr(path, length(dir) + 1), regex)
+           OR regexp_matches(string_split(path, '/')[-1], regex))
+SELECT p.page_id, p.path, (hit.page_id IS NOT NULL) AS ignored
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id
+"""
+
+
+ORACLE["ignore_paths"] = _ignore_sql()

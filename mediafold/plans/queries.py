@@ -71,3 +71,88 @@ def q_catalog_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["catalog_diff"] = q_catalog_diff
 QUERIES["catalog_upsert"] = q_catalog_upsert
 QUERIES["catalog_history"] = q_catalog_history
+
+
+# -- filters, ids, years ------------------------------------------------------
+
+def q_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 over documents whose byte size is scaled up so both limits bite."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import filters
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    sized = d.select("doc_id", ((F.col("n_chars") - 4) * 1_000_000).cast("bigint").alias("size"))
+    return filters.size_filter(sized)
+
+
+def q_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import digest_id, id_hex
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return (d.select("doc_id", digest_id(F.col("text")).alias("id"))
+             .withColumn("id_hex", id_hex(F.col("id"))))
+
+
+def q_xxh3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import id_hex, xxh3_id
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return (d.select("doc_id", xxh3_id(F.col("text")).alias("id"))
+             .withColumn("id_hex", id_hex(F.col("id"))))
+
+
+def q_year_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.names import year_in_text
+    from mediafold.sources.tables import load
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        F.lit("documents").alias("source"), F.col("doc_id").alias("key"),
+        year_in_text(F.col("text"), NOW_YEAR).alias("year"))
+    pages = load(spark, sf_dir, "pages", ["page_id", "url"]).select(
+        F.lit("pages").alias("source"), F.col("page_id").alias("key"),
+        year_in_text(F.col("url"), NOW_YEAR).alias("year"))
+    return docs.unionByName(pages)
+
+
+def q_group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.group_conflicts(derive.documents_as_files(spark, sf_dir))
+
+
+# Fixed ignore patterns of the registered query: (directory prefix, glob).
+IGNORE_GLOBS = [
+    ("", "*#*"),
+    ("", "m.*/**"),
+    ("", "*.example.org/es/*"),
+    ("", "*?page=2*"),
+    ("thther.example.org/", "en/*"),
+]
+
+
+def ignore_patterns(spark: SparkSession) -> DataFrame:
+    from mediafold.operators.filters import glob_to_regex
+    rows = [(d, g, glob_to_regex(g)) for d, g in IGNORE_GLOBS]
+    return spark.createDataFrame(rows, "dir string, glob string, regex string")
+
+
+def q_ignore_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import filters
+    from mediafold.sources.tables import load
+    pages = load(spark, sf_dir, "pages", ["page_id", "url"]).select(
+        "page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return filters.ignored_paths(pages, ignore_patterns(spark), key="page_id", path_col="path")
+
+
+QUERIES["size_filter"] = q_size_filter
+QUERIES["content_ids"] = q_content_ids
+QUERIES["xxh3_ids"] = q_xxh3_ids
+QUERIES["year_in_text"] = q_year_in_text
+QUERIES["group_conflicts"] = q_group_conflicts
+QUERIES["ignore_paths"] = q_ignore_paths
