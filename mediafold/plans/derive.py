@@ -147,3 +147,59 @@ def index_rows(work: DataFrame, now_year: int) -> DataFrame:
     return with_birth_from_name(rows, now_year=now_year).select(
         "name", "hostname", "id", "size", "timemodified", "timeborn", "timebornsrc",
         F.lit("application").alias("mimetype"), F.lit("octet-stream").alias("mimesubtype"))
+
+
+# Fixed values of the registered backup queries.
+BACKUP_ROOT = "/backup"
+BACKUP_TZ = "Asia/Shanghai"
+
+
+def _own_dest(f: DataFrame) -> DataFrame:
+    from mediafold.functions.paths import basename, destination
+    return f.withColumn("own_dest", destination(BACKUP_ROOT, F.col("mimetype"), F.col("timeborn"),
+                                                basename(F.col("name")), BACKUP_TZ))
+
+
+def documents_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``filez``: contents of hosts src0-src3 were backed up earlier, each at
+    the dated path of its first member (by name)."""
+    f = _own_dest(documents_as_files(spark, sf_dir))
+    row = F.struct(F.col("own_dest").alias("name"), "hostname", "size", "timemodified", "timeborn",
+                   "timebornsrc", "mimetype", "mimesubtype")
+    b = (f.where(F.col("hostname").isin("src0", "src1", "src2", "src3"))
+         .groupBy("id").agg(F.min_by(row, F.col("name")).alias("b")))
+    return b.select("id", "b.*")
+
+
+def documents_backup_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, disk_id)`` under the backup root after hashing.
+
+    Backups of src1 rotted (other id), of src2 vanished; files of src5/src6
+    find their path taken by foreign content (src6 also the first suffixed
+    path); files of src7 are already present.
+    """
+    from mediafold.functions.ids import id_hex
+    from mediafold.functions.paths import SUFFIX_TAG
+    b = documents_backups(spark, sf_dir)
+    f = _own_dest(documents_as_files(spark, sf_dir))
+    h = F.col("hostname")
+    stored = b.where(h != "src2").select(
+        F.col("name").alias("path"),
+        F.when(h == "src1", F.col("id").bitwiseXOR(F.lit(1))).otherwise(F.col("id")).alias("disk_id"))
+    foreign = f.where(h.isin("src5", "src6")).select(
+        F.col("own_dest").alias("path"), F.col("id").bitwiseXOR(F.lit(7)).alias("disk_id"))
+    foreign2 = f.where(h == "src6").select(
+        F.concat("own_dest", F.lit("-"), id_hex(F.col("id")), F.lit(SUFFIX_TAG)).alias("path"),
+        F.col("id").bitwiseXOR(F.lit(9)).alias("disk_id"))
+    present = f.where(h == "src7").select(F.col("own_dest").alias("path"), F.col("id").alias("disk_id"))
+    return stored.unionByName(foreign).unionByName(foreign2).unionByName(present)
+
+
+def documents_fresh_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new scan of the sources: Spanish files changed size since they were
+    catalogued and host src8 no longer has its files."""
+    f = documents_as_files(spark, sf_dir)
+    return f.where(F.col("hostname") != "src8").select(
+        "name", "hostname",
+        (F.col("size") + F.when(F.col("name").contains("/es/"), 1).otherwise(0)).alias("size"),
+        "timemodified")

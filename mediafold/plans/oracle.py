@@ -285,3 +285,97 @@ FROM p LEFT JOIN hit ON p.page_id = hit.page_id
 
 
 ORACLE["ignore_paths"] = _ignore_sql()
+
+
+# -- backup plan (J14) ------------------------------------------------------------
+
+def _dest_sql(mime: str, birth: str, bn: str) -> str:
+    return (f"regexp_replace('/backup/' || {mime} || '/' || strftime(timezone('Asia/Shanghai', to_timestamp({birth})), "
+            f"'%Y/%m/%d') || '/' || {bn}, '/+', '/', 'g')")
+
+
+_BN = "string_split({0}, '/')[-1]"
+BACKUP_INPUTS = f"""
+f AS ({DOC_FILES}),
+fx AS (SELECT *, {_dest_sql('mimetype', 'timeborn', _BN.format('name'))} AS own_dest FROM f),
+b AS (SELECT id, arg_min({{'name': own_dest, 'hostname': hostname, 'size': size, 'timemodified': timemodified,
+                          'timeborn': timeborn, 'timebornsrc': timebornsrc, 'mimetype': mimetype,
+                          'mimesubtype': mimesubtype}}, name) AS backup
+      FROM fx WHERE hostname IN ('src0', 'src1', 'src2', 'src3') GROUP BY id),
+disk AS (
+  SELECT backup.name AS path, CASE WHEN backup.hostname = 'src1' THEN xor(id, 1) ELSE id END AS disk_id
+  FROM b WHERE backup.hostname <> 'src2'
+  UNION ALL SELECT own_dest, xor(id, 7) FROM fx WHERE hostname IN ('src5', 'src6')
+  UNION ALL SELECT own_dest || '-' || {id_hex('id')} || '_XXH3', xor(id, 9) FROM fx WHERE hostname = 'src6'
+  UNION ALL SELECT own_dest, id FROM fx WHERE hostname = 'src7')
+"""
+
+BACKUP_PLAN_CTES = f"""
+{BACKUP_INPUTS},
+g AS ({group_stats_sql('f')}),
+r AS (SELECT g.*, b.backup, coalesce(b.backup, g.first) AS base FROM g LEFT JOIN b USING (id)),
+red AS (
+  SELECT id, {id_hex('id')} AS id_hex, n_members, base.name AS base_name,
+         CASE WHEN backup IS NULL OR strlen(short_name) < strlen({_BN.format('base.name')}) THEN short_name
+              ELSE {_BN.format('base.name')} END AS name,
+         base.size AS size, least(base.timemodified, min_mtime) AS timemodified,
+         least(base.timeborn, min_birth) AS timeborn, base.timebornsrc AS timebornsrc,
+         base.mimetype AS mimetype, base.mimesubtype AS mimesubtype,
+         (min_size <> base.size OR max_size <> base.size OR coalesce(meta_min_birth <> base.timeborn, false)
+          OR coalesce(meta_max_birth <> base.timeborn, false)) AS conflict,
+         backup.name AS backup_name
+  FROM r),
+p1 AS (SELECT red.*, {_dest_sql('mimetype', 'timeborn', 'name')} AS dest0 FROM red),
+p2 AS (SELECT p1.*, CASE WHEN backup_name IS NULL THEN 'none' WHEN bd.disk_id IS NULL THEN 'missing'
+                         WHEN bd.disk_id = p1.id THEN 'ok' ELSE 'rotten' END AS backup_state,
+              (mimetype IN ('video', 'audio', 'image') AND NOT conflict) AS active
+       FROM p1 LEFT JOIN disk bd ON bd.path = p1.backup_name),
+claims AS (SELECT a.dest0, min(a.id) AS min_id, bool_or(a.id = d.disk_id) AS stored_is_claimant,
+                  min(d.disk_id) AS disk_id0
+           FROM p2 a LEFT JOIN disk d ON d.path = a.dest0 WHERE a.active GROUP BY a.dest0),
+p3 AS (SELECT p2.*, c.disk_id0,
+              coalesce(CASE WHEN c.disk_id0 IS NULL THEN c.min_id WHEN c.stored_is_claimant THEN c.disk_id0 END
+                       = p2.id, false) AS owns
+       FROM p2 LEFT JOIN claims c USING (dest0)),
+movers AS (SELECT id, dest0, id_hex AS h,
+                  CAST(greatest(0, floor((256 - strlen(dest0)) / 22)) AS INTEGER) AS n
+           FROM p3 WHERE active AND NOT owns),
+cands AS (SELECT id, k, dest0 || repeat('-' || h || '_XXH3', k) AS path
+          FROM (SELECT id, dest0, h, unnest(range(1, n + 1)) AS k FROM movers WHERE n > 0)),
+chosen AS (SELECT c.id, arg_min({{'path': c.path, 'disk_id': d.disk_id}}, c.k) AS ch
+           FROM cands c LEFT JOIN disk d ON d.path = c.path
+           WHERE d.disk_id IS NULL OR d.disk_id = c.id GROUP BY c.id),
+p4 AS (SELECT p3.*, CASE WHEN owns THEN dest0 ELSE ch.path END AS fdest,
+              CASE WHEN owns THEN disk_id0 ELSE ch.disk_id END AS fdisk
+       FROM p3 LEFT JOIN chosen USING (id)),
+plan AS (
+  SELECT id, id_hex,
+         CASE WHEN mimetype NOT IN ('video', 'audio', 'image') THEN 'ignored'
+              WHEN conflict THEN 'conflict'
+              WHEN fdest IS NULL THEN 'no_destination'
+              WHEN backup_state = 'ok' AND fdest = backup_name THEN 'keep'
+              WHEN backup_state = 'ok' THEN 'move'
+              WHEN fdisk = id THEN 'present'
+              ELSE 'copy' END AS action,
+         CASE WHEN mimetype NOT IN ('video', 'audio', 'image') OR conflict THEN NULL ELSE fdest END AS dest,
+         dest0, backup_name, backup_state, base_name, name, size, timemodified, timeborn, timebornsrc,
+         mimetype, mimesubtype, n_members
+  FROM p4)
+"""
+
+ORACLE["backup_plan"] = f"WITH {BACKUP_PLAN_CTES} SELECT * FROM plan"
+
+ORACLE["plan_outcome"] = f"""
+WITH {BACKUP_PLAN_CTES},
+lst AS (SELECT name, hostname, size + CASE WHEN contains(name, '/es/') THEN 1 ELSE 0 END AS size, timemodified
+        FROM f WHERE hostname <> 'src8'),
+fresh AS (SELECT f.id, f.name, f.hostname FROM f
+          WHERE EXISTS (SELECT 1 FROM lst WHERE lst.name = f.name AND lst.hostname = f.hostname
+                        AND lst.size = f.size AND lst.timemodified = f.timemodified)),
+best AS (SELECT id, arg_min(name, {{'n': name, 'h': hostname}}) AS source_name, count(*) AS n FROM fresh GROUP BY id)
+SELECT p.id, p.id_hex, p.action,
+       CASE WHEN p.action = 'copy' AND coalesce(b.n, 0) = 0 THEN 'stale' ELSE p.action END AS outcome,
+       p.dest, CASE WHEN p.action = 'copy' THEN b.source_name END AS source_name,
+       CASE WHEN p.action = 'copy' THEN coalesce(b.n, 0) ELSE 0 END AS n_candidates
+FROM plan p LEFT JOIN best b ON b.id = p.id
+"""

@@ -156,3 +156,25 @@ QUERIES["xxh3_ids"] = q_xxh3_ids
 QUERIES["year_in_text"] = q_year_in_text
 QUERIES["group_conflicts"] = q_group_conflicts
 QUERIES["ignore_paths"] = q_ignore_paths
+
+
+# -- backup plan ----------------------------------------------------------------
+
+def q_backup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import backup
+    return backup.backup_plan(derive.documents_as_files(spark, sf_dir), derive.documents_backups(spark, sf_dir),
+                              derive.documents_backup_disk(spark, sf_dir), derive.BACKUP_ROOT, derive.BACKUP_TZ)
+
+
+QUERIES["backup_plan"] = q_backup_plan
+FLAGSHIP = "backup_plan"
+
+
+def q_plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import backup
+    files = derive.documents_as_files(spark, sf_dir)
+    plan = q_backup_plan(spark, sf_dir)
+    return backup.plan_outcome(plan, files, derive.documents_fresh_listing(spark, sf_dir))
+
+
+QUERIES["plan_outcome"] = q_plan_outcome
