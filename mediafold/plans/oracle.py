@@ -379,3 +379,163 @@ SELECT p.id, p.id_hex, p.action,
        CASE WHEN p.action = 'copy' THEN coalesce(b.n, 0) ELSE 0 END AS n_candidates
 FROM plan p LEFT JOIN best b ON b.id = p.id
 """
+
+
+# -- scalar parsers ---------------------------------------------------------------
+
+_IP = "CAST(v100 // 100 AS VARCHAR)"
+_CC = "lpad(CAST(v100 % 100 AS VARCHAR), 2, '0')"
+_SECS = "(v100 // 100)"
+EVENTS_DURATION_TEXT = f"""
+  SELECT event_id, CASE event_type
+      WHEN 'view' THEN {_IP} || '.' || {_CC} || ' s'
+      WHEN 'click' THEN CAST({_SECS} // 3600 AS VARCHAR) || ':' || lpad(CAST(({_SECS} // 60) % 60 AS VARCHAR), 2, '0')
+                        || ':' || lpad(CAST({_SECS} % 60 AS VARCHAR), 2, '0')
+      WHEN 'purchase' THEN {_IP}
+      WHEN 'error' THEN 'v' || {_IP} || '.' || {_CC} || '.' || {_CC}
+      ELSE '0:' || {_IP} || '.' || {_CC} || ':10' END AS text
+  FROM (SELECT event_id, event_type, CAST(floor(value * 100) AS BIGINT) AS v100 FROM events)
+"""
+
+_ATOI = "CASE WHEN regexp_matches({0}, '^[+\\-]?[0-9]+$') THEN TRY_CAST({0} AS BIGINT) END"
+_DPART = "coalesce(" + _ATOI.format("string_split(trim(text), ':')[{i}]") + ", 0)"
+ORACLE["duration_parse"] = f"""
+WITH d AS ({EVENTS_DURATION_TEXT}),
+x AS (SELECT *, regexp_extract_all(trim(text), '[0-9\\.]+') AS nums, string_split(trim(text), ':') AS parts FROM d)
+SELECT event_id, text, CAST(CASE
+    WHEN trim(text) = '' THEN 0
+    WHEN len(nums) = 1 THEN coalesce(TRY_CAST(trunc(CASE WHEN regexp_matches(nums[1], '^(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$')
+                                                  THEN TRY_CAST(nums[1] AS DOUBLE) END) AS BIGINT), 0)
+    WHEN len(parts) = 3 THEN {_DPART.format(i=1)} * 3600 + {_DPART.format(i=2)} * 60 + {_DPART.format(i=3)}
+    ELSE 0 END AS BIGINT) AS seconds
+FROM x
+"""
+
+
+def _coord_sql(centi: str, pos: str, neg: str, salt: str) -> tuple[str, str]:
+    a = f"abs({centi})"
+    dec = (f"(CASE WHEN {centi} < 0 THEN '-' ELSE '' END || CAST({a} // 100 AS VARCHAR) || '.' "
+           f"|| lpad(CAST({a} % 100 AS VARCHAR), 2, '0'))")
+    tot = f"(({a} % 100) * 36)"
+    dms = (f"(CAST({a} // 100 AS VARCHAR) || ' deg ' || CAST({tot} // 60 AS VARCHAR) || ''' ' "
+           f"|| CAST({tot} % 60 AS VARCHAR) || '.' || lpad(CAST(({salt}) % 100 AS VARCHAR), 2, '0') || '\" ' "
+           f"|| CASE WHEN {centi} < 0 THEN '{neg}' ELSE '{pos}' END)")
+    return dec, dms
+
+
+_LATD, _LATM = _coord_sql("((event_id * 37) % 18000 - 9000)", "N", "S", "event_id")
+_LNGD, _LNGM = _coord_sql("((event_id * 91) % 36000 - 18000)", "E", "W", "event_id * 3")
+EVENTS_POSITION_TEXT = f"""
+  SELECT event_id,
+         CASE event_type WHEN 'view' THEN {_LATD} || ', ' || {_LNGD}
+                         WHEN 'click' THEN {_LATM} || ', ' || {_LNGM}
+                         WHEN 'purchase' THEN {_LATD}
+                         WHEN 'error' THEN 'abc bdf'
+                         ELSE {_LATD} || ' ' || {_LNGD} || ' 12.5' END AS position,
+         CASE WHEN event_type = 'purchase' THEN {_LATD} ELSE {_LATM} END AS lat_text
+  FROM events
+"""
+
+_F0 = ("coalesce(CASE WHEN regexp_matches({0}, '^[+\\-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$') "
+       "THEN TRY_CAST({0} AS DOUBLE) END, 0.0)")
+
+
+def _dms_sql(co: str, first: int, ref: str) -> str:
+    v = (f"({_F0.format(f'{co}[{first}]')} + {_F0.format(f'{co}[{first + 1}]')} / 60.0 "
+         f"+ {_F0.format(f'{co}[{first + 2}]')} / 3600.0)")
+    return f"(CASE WHEN substr({ref}, 1, 1) IN ('S', 'W') THEN -{v} ELSE {v} END)"
+
+
+_FLOAT_RE = "[+\\-]?(?:(?:0|[1-9]\\d*)(?:\\.\\d*)?|\\.\\d+)"
+ORACLE["gps_parse"] = f"""
+WITH p AS ({EVENTS_POSITION_TEXT}),
+x AS (SELECT *, regexp_extract_all(position, '{_FLOAT_RE}') AS fl,
+             regexp_extract_all(position, '[0-9\\.]+') AS co, regexp_extract_all(position, '[NSEW]+') AS re,
+             regexp_extract_all(lat_text, '[0-9\\.]+') AS co1, regexp_extract_all(lat_text, '[NSEW]+') AS re1
+      FROM p)
+SELECT event_id, position,
+  CAST(CASE WHEN position = '' THEN 0.0
+            WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+              THEN CAST(fl[1] AS DOUBLE)
+            WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 1, 're[1]')} ELSE 0.0 END AS FLOAT) AS lat,
+  CAST(CASE WHEN position = '' THEN 0.0
+            WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+              THEN CAST(fl[2] AS DOUBLE)
+            WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 4, 're[2]')} ELSE 0.0 END AS FLOAT) AS lng,
+  lat_text,
+  CAST(CASE WHEN lat_text = '' THEN 0.0
+            WHEN regexp_matches(lat_text, '^[+\\-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+\\-]?[0-9]+)?$')
+              THEN CAST(lat_text AS DOUBLE)
+            WHEN len(co1) = 3 AND len(re1) = 1 THEN {_dms_sql('co1', 1, 're1[1]')} ELSE 0.0 END AS FLOAT) AS lat_decimal
+FROM x
+"""
+
+PARTS_AS_IMAGES = """
+  SELECT p_partkey, CAST(p_size * 64 AS INTEGER) AS width, CAST((p_partkey % 50) * 48 AS INTEGER) AS height,
+         CASE p_type WHEN 'ECONOMY' THEN '6' WHEN 'SMALL' THEN 'Rotate 90 CW' WHEN 'MEDIUM' THEN 'Horizontal (normal)'
+                     WHEN 'PROMO' THEN 'Rotate 180' WHEN 'LARGE' THEN 'Unknown (0)' ELSE '' END AS orientation_tag,
+         CAST(((p_size % 5) - 2) * 90 AS INTEGER) AS rotation
+  FROM part
+"""
+
+
+def orientation_sql(tag: str, rot: str) -> str:
+    return (f"coalesce(CASE {tag} WHEN '1' THEN 1 WHEN 'Horizontal (normal)' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 "
+            f"WHEN 'Rotate 180 CW' THEN 3 WHEN '4' THEN 4 WHEN '5' THEN 5 WHEN '6' THEN 6 WHEN 'Rotate 90 CW' THEN 6 "
+            f"WHEN '7' THEN 7 WHEN '8' THEN 8 WHEN 'Rotate 270 CW' THEN 8 END, "
+            f"CASE coalesce({rot}, 0) WHEN 0 THEN 1 WHEN -180 THEN 3 WHEN 180 THEN 3 WHEN 90 THEN 6 WHEN -90 THEN 8 "
+            f"WHEN 270 THEN 8 END, 0)")
+
+
+ORACLE["orientation_facts"] = f"""
+WITH p AS ({PARTS_AS_IMAGES}),
+o AS (SELECT *, {orientation_sql('orientation_tag', 'rotation')} AS orientation FROM p),
+a AS (SELECT *, CASE WHEN orientation > 4 THEN height ELSE width END AS actual_width,
+             CASE WHEN orientation > 4 THEN width ELSE height END AS actual_height FROM o)
+SELECT p_partkey, width, height, orientation, actual_width, actual_height,
+       CAST(CASE WHEN actual_width <= 0 OR actual_height <= 0 THEN 0.0
+                 ELSE round(CAST(actual_width AS DOUBLE) / CAST(actual_height AS DOUBLE) * 100) / 100 END AS FLOAT)
+         AS aspect_ratio,
+       actual_width < actual_height AS portrait,
+       CAST(round(CAST(width AS BIGINT) * CAST(height AS BIGINT) / 1e6) AS INTEGER) AS megapixels
+FROM a
+"""
+
+_S = "CAST(CAST(floor({0}) AS BIGINT) AS VARCHAR)"
+LINEITEM_RATIONALS = f"""
+  SELECT l_orderkey, l_linenumber,
+         CAST(l_linenumber AS VARCHAR) || '/' || {_S.format('l_quantity')} AS exposure_text,
+         {_S.format('l_extendedprice')} || '/' || CASE WHEN l_tax = 0 THEN '0' ELSE {_S.format('l_quantity')} END
+           AS fnumber_text,
+         {_S.format('l_discount * 100')} || '/10' AS aperture_text,
+         CASE WHEN l_returnflag = 'A' THEN {_S.format('l_quantity * 3')} END AS focal35_text,
+         {_S.format('l_extendedprice')} || '/' || CAST(l_linenumber * 10 AS VARCHAR) AS focal_text
+  FROM lineitem
+"""
+
+
+def rational_sql(e: str) -> str:
+    parts = f"string_split({e}, '/')"
+    return (f"(CASE WHEN len({parts}) = 2 AND {parts}[2] <> '0' AND {parts}[2] <> '' "
+            f"THEN coalesce(TRY_CAST({parts}[1] AS DOUBLE), 0.0) / coalesce(TRY_CAST({parts}[2] AS DOUBLE), 0.0) END)")
+
+
+def exposure_sql(e: str) -> str:
+    parts = f"string_split({e}, '/')"
+    a, b = f"{parts}[1]", f"{parts}[2]"
+    na = f"(CASE WHEN regexp_matches({a}, '^[0-9]+$') THEN TRY_CAST({a} AS HUGEINT) END)"
+    nb = f"(CASE WHEN regexp_matches({b}, '^[0-9]+$') THEN TRY_CAST({b} AS HUGEINT) END)"
+    return (f"CASE WHEN len({parts}) = 2 AND {a} <> '1' AND strlen({a}) < strlen({b}) AND coalesce({na} > 0, false) "
+            f"AND {nb} > 0 THEN '1/' || CAST({nb} // {na} AS VARCHAR) ELSE {e} END")
+
+
+ORACLE["rational_tags"] = f"""
+WITH r AS ({LINEITEM_RATIONALS})
+SELECT l_orderkey, l_linenumber, {exposure_sql('exposure_text')} AS exposure,
+       CAST(round({rational_sql('fnumber_text')} * 1000) / 1000 AS FLOAT) AS f_number,
+       CAST(round({rational_sql('aperture_text')} * 1000) / 1000 AS FLOAT) AS aperture,
+       CASE WHEN focal35_text IS NOT NULL
+            THEN CASE WHEN regexp_matches(focal35_text, '^[+\\-]?[0-9]+$') THEN TRY_CAST(focal35_text AS INTEGER) END
+            ELSE TRY_CAST(trunc(round({rational_sql('focal_text')} * 1000) / 1000) AS INTEGER) END AS focal_length
+FROM r
+"""

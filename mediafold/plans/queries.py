@@ -178,3 +178,143 @@ def q_plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["plan_outcome"] = q_plan_outcome
+
+
+# -- scalar parsers -------------------------------------------------------------
+
+def events_duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "event_type", "value"])
+    v = F.floor(F.col("value") * 100).cast("bigint")
+    e = e.select("event_id", "event_type", F.expr("0").alias("_"), v.alias("v100")).drop("_")
+    ip, cc = F.expr("v100 div 100").cast("string"), F.lpad((F.col("v100") % 100).cast("string"), 2, "0")
+    secs = F.expr("v100 div 100")
+    hms = F.concat((secs / 3600).cast("bigint").cast("string"), F.lit(":"),
+                   F.lpad(((secs / 60).cast("bigint") % 60).cast("string"), 2, "0"), F.lit(":"),
+                   F.lpad((secs % 60).cast("string"), 2, "0"))
+    t = F.col("event_type")
+    text = (F.when(t == "view", F.concat(ip, F.lit("."), cc, F.lit(" s")))
+            .when(t == "click", hms)
+            .when(t == "purchase", ip)
+            .when(t == "error", F.concat(F.lit("v"), ip, F.lit("."), cc, F.lit("."), cc))
+            .otherwise(F.concat(F.lit("0:"), ip, F.lit("."), cc, F.lit(":10"))))
+    return e.select("event_id", text.alias("text"))
+
+
+def q_duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.numbers import duration_seconds
+    d = events_duration_text(spark, sf_dir)
+    return d.select("event_id", "text", duration_seconds(F.col("text")).alias("seconds"))
+
+
+def _coord_texts(centi, pos: str, neg: str, salt):
+    """Decimal and degree/minute/second renderings of a coordinate in 1/100 degree."""
+    from pyspark.sql import functions as F
+    a = F.abs(centi)
+    dec = F.concat(F.when(centi < 0, F.lit("-")).otherwise(F.lit("")), (a / 100).cast("bigint").cast("string"),
+                   F.lit("."), F.lpad((a % 100).cast("string"), 2, "0"))
+    tot = (a % 100) * 36
+    dms = F.concat((a / 100).cast("bigint").cast("string"), F.lit(" deg "),
+                   (tot / 60).cast("bigint").cast("string"), F.lit("' "), (tot % 60).cast("string"),
+                   F.lit("."), F.lpad((salt % 100).cast("string"), 2, "0"), F.lit('" '),
+                   F.when(centi < 0, F.lit(neg)).otherwise(F.lit(pos)))
+    return dec, dms
+
+
+def events_position_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "event_type"])
+    k = F.col("event_id")
+    lat_dec, lat_dms = _coord_texts((k * 37) % 18000 - 9000, "N", "S", k)
+    lng_dec, lng_dms = _coord_texts((k * 91) % 36000 - 18000, "E", "W", k * 3)
+    t = F.col("event_type")
+    pos = (F.when(t == "view", F.concat(lat_dec, F.lit(", "), lng_dec))
+           .when(t == "click", F.concat(lat_dms, F.lit(", "), lng_dms))
+           .when(t == "purchase", lat_dec)
+           .when(t == "error", F.lit("abc bdf"))
+           .otherwise(F.concat(lat_dec, F.lit(" "), lng_dec, F.lit(" 12.5"))))
+    lat_text = F.when(t == "purchase", lat_dec).otherwise(lat_dms)
+    return e.select("event_id", pos.alias("position"), lat_text.alias("lat_text"))
+
+
+def q_gps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.geo import gps_to_decimal, gps_to_lat_lng
+    p = events_position_text(spark, sf_dir)
+    ll = gps_to_lat_lng(F.col("position"))
+    return p.select("event_id", "position", ll["lat"].alias("lat"), ll["lng"].alias("lng"), "lat_text",
+                    gps_to_decimal(F.col("lat_text")).alias("lat_decimal"))
+
+
+def parts_as_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    p = load(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+    t = F.col("p_type")
+    tag = (F.when(t == "ECONOMY", "6").when(t == "SMALL", "Rotate 90 CW")
+           .when(t == "MEDIUM", "Horizontal (normal)").when(t == "PROMO", "Rotate 180")
+           .when(t == "LARGE", "Unknown (0)").otherwise(""))
+    return p.select("p_partkey", (F.col("p_size") * 64).cast("int").alias("width"),
+                    ((F.col("p_partkey") % 50) * 48).cast("int").alias("height"),
+                    tag.alias("orientation_tag"),
+                    (((F.col("p_size") % 5) - 2) * 90).cast("int").alias("rotation"))
+
+
+def q_orientation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import numbers as N
+    p = parts_as_images(spark, sf_dir).withColumn(
+        "orientation", N.orientation(F.col("orientation_tag"), F.col("rotation")))
+    w, h, o = F.col("width"), F.col("height"), F.col("orientation")
+    p = (p.withColumn("actual_width", N.actual_width(w, h, o))
+          .withColumn("actual_height", N.actual_height(w, h, o)))
+    aw, ah = F.col("actual_width"), F.col("actual_height")
+    return p.select("p_partkey", "width", "height", "orientation", "actual_width", "actual_height",
+                    N.aspect_ratio(aw, ah).alias("aspect_ratio"), N.is_portrait(aw, ah).alias("portrait"),
+                    N.megapixels(w, h).alias("megapixels"))
+
+
+def lineitem_rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                          "l_discount", "l_tax", "l_returnflag"])
+
+    def s(c):
+        return F.floor(c).cast("bigint").cast("string")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), s(F.col("l_quantity"))).alias("exposure_text"),
+        F.concat(s(F.col("l_extendedprice")), F.lit("/"),
+                 F.when(F.col("l_tax") == 0, F.lit("0")).otherwise(s(F.col("l_quantity")))).alias("fnumber_text"),
+        F.concat(s(F.col("l_discount") * 100), F.lit("/10")).alias("aperture_text"),
+        F.when(F.col("l_returnflag") == "A", s(F.col("l_quantity") * 3)).alias("focal35_text"),
+        F.concat(s(F.col("l_extendedprice")), F.lit("/"), (F.col("l_linenumber") * 10).cast("string"))
+        .alias("focal_text"))
+
+
+def q_rational_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import numbers as N
+    r = lineitem_rationals(spark, sf_dir)
+    return r.select("l_orderkey", "l_linenumber", N.exposure(F.col("exposure_text")).alias("exposure"),
+                    N.rational_3(F.col("fnumber_text")).alias("f_number"),
+                    N.rational_3(F.col("aperture_text")).alias("aperture"),
+                    N.focal_length(F.col("focal35_text"), F.col("focal_text")).alias("focal_length"))
+
+
+QUERIES["duration_parse"] = q_duration_parse
+QUERIES["gps_parse"] = q_gps_parse
+QUERIES["orientation_facts"] = q_orientation_facts
+QUERIES["rational_tags"] = q_rational_tags
