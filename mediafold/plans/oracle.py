@@ -539,3 +539,167 @@ SELECT l_orderkey, l_linenumber, {exposure_sql('exposure_text')} AS exposure,
             ELSE TRY_CAST(trunc(round({rational_sql('focal_text')} * 1000) / 1000) AS INTEGER) END AS focal_length
 FROM r
 """
+
+
+# -- text cleaning ------------------------------------------------------------------
+
+from mediafold.functions import text as _X  # noqa: E402
+
+_SP = _X.SPACE_CLASS
+
+
+def g7(e: str) -> str:
+    return (f"(CASE WHEN starts_with(coalesce({e}, ''), 'string with binary data') THEN '' ELSE "
+            f"replace(regexp_replace(coalesce({e}, ''), '^{_SP}+|{_SP}+$', '', 'g'), '\"', '') END)")
+
+
+def g8(e: str) -> str:
+    v = f"string_split({g7(e)}, ':')[-1]"
+    return f"(CASE WHEN strlen({v}) BETWEEN 15 AND 36 THEN lower({v}) ELSE '' END)"
+
+
+_UNWANTED = ", ".join("'" + w.replace("'", "''") + "'" for w in _X.UNWANTED_DESCRIPTIONS)
+
+
+def g10(e: str) -> str:
+    v = g7(e)
+    return (f"(CASE WHEN {v} IN ({_UNWANTED}) OR (starts_with({v}, 'DCIM\\') AND NOT contains({v}, ' ')) "
+            f"THEN '' ELSE {v} END)")
+
+
+def g11(e: str) -> str:
+    v = f"coalesce({e}, '')"
+    return (f"(CASE WHEN {v} = '' THEN '' WHEN starts_with({v}, '[') AND ends_with({v}, ']') THEN "
+            f"coalesce(CASE WHEN regexp_matches({v}, '{_X.JSON_STRING_ARRAY}') "
+            f"THEN array_to_string(from_json({v}, '[\"VARCHAR\"]'), ', ') END, {v}) ELSE {g7(e)} END)")
+
+
+LINES = """
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no
+  FROM documents
+"""
+_TAGS = ("'[\"' || string_split(line, ' ')[1] || '\", \"' || coalesce(string_split(line, ' ')[2], '') || '\"]'")
+ORACLE["clean_text"] = f"""
+WITH l AS ({LINES})
+SELECT doc_id, line_no, {g7('line')} AS clean, {g8('line')} AS uid, {g10('line')} AS description,
+       {g11('line')} AS meta, {g11(_TAGS)} AS meta_list
+FROM l
+"""
+
+PAGES_TITLES = """
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path, t AS title_text,
+         CASE WHEN starts_with(url, 'http://') THEN replace(slug, ' ', '_') || '.jpg'
+              WHEN starts_with(url, 'https://m.') THEN 'IMG_' || CAST(page_id AS VARCHAR) || '.JPG'
+              WHEN contains(url, '.example.org/') THEN replace(slug, ' ', '--') || '.mp4'
+              ELSE t || '.png' END AS title_in
+  FROM (SELECT *, regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g') AS slug
+        FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages))
+"""
+
+_TW = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _X.TITLE_WORDS.items())
+_EXTS = "|".join(_X.KNOWN_EXTENSIONS)
+
+
+def _file_title(r: str) -> str:
+    word = f"coalesce(CASE lower(w) {_TW} END, upper(w[1]) || lower(w[2:]))"
+    seg = (f"array_to_string(list_transform(list_filter(regexp_split_to_array(seg, '[-_ ]+'), "
+           f"lambda w: NOT regexp_matches(w, '^[0-9]+$') AND length(w) > 1), lambda w: {word}), ' ')")
+    return (f"array_to_string(list_filter(list_transform(string_split({r}, '--'), lambda seg: {seg}), "
+            f"lambda x: x <> ''), ' / ')")
+
+
+def _is_time_sql(s: str) -> str:
+    from mediafold.functions.names import IS_DATE_PATTERN, IS_DATE_TIME_PATTERN
+    return (f"({s} <> '' AND (regexp_extract({s}, '{IS_DATE_PATTERN}', 0) = {s} "
+            f"OR regexp_extract({s}, '{IS_DATE_TIME_PATTERN}', 0) = {s}))")
+
+
+def g9(e: str) -> str:
+    v = g7(e)
+    r = f"regexp_replace({v}, '(?i)\\.(?:{_EXTS})$', '')"
+    lower_only = f"(regexp_extract({r}, '{_X.LOWER_WORD_PATTERN}', 0) = {r})"
+    spaced = f"replace(replace({r}, '_', ' '), '  ', ' ')"
+    ft = _file_title(r)
+    initcap = (f"array_to_string(list_transform(string_split(lower(replace({r}, '-', ' ')), ' '), "
+               f"lambda w: upper(w[1]) || w[2:]), ' ')")
+    return (f"(CASE WHEN {v} = '' THEN '' "
+            f"WHEN regexp_matches({r}, '{_X.GENERATED_NAME_PATTERN}') OR {_is_time_sql(r)} THEN '' "
+            f"WHEN {r} = {v} THEN {v} WHEN NOT {lower_only} THEN {spaced} "
+            f"WHEN {ft} <> '' THEN {ft} ELSE {initcap} END)")
+
+
+_SEG = "string_split(path, '/')[-1]"
+ORACLE["titles"] = f"""
+WITH p AS ({PAGES_TITLES})
+SELECT page_id, {_SEG} AS segment, title_in, {g9('title_in')} AS title, {g9(_SEG)} AS segment_title,
+       {g10('title_text')} AS description
+FROM p
+"""
+
+_AUTO = "list_filter(['hdr', 'burst', 'panorama', 'equirectangular'], lambda w: contains(lower({0}), w))"
+ORACLE["keyword_sets"] = f"""
+WITH b AS (SELECT 'documents' AS source, doc_id AS key, text AS body FROM documents
+           UNION ALL SELECT 'pages', page_id, title_text FROM ({PAGES_TITLES})),
+k AS (SELECT source, key, {_AUTO.format(g11('body'))} AS auto,
+             list_sort(list_distinct(list_concat(regexp_extract_all(lower({g11('body')}), '{_X.WORD_PATTERN}'),
+                                                 {_AUTO.format(g11('body'))}))) AS kw
+      FROM b)
+SELECT source, key, array_to_string(kw, ', ') AS keywords, CAST(len(kw) AS INTEGER) AS n_keywords,
+       array_to_string(auto, ', ') AS auto_keywords, CASE WHEN list_contains(auto, 'hdr') THEN 3 ELSE 0 END AS image_type
+FROM k
+"""
+
+PARTS_AS_MEDIA = """
+  SELECT p_partkey,
+         CASE p_type WHEN 'ECONOMY' THEN 'AVC1' WHEN 'SMALL' THEN 'hvc1' WHEN 'MEDIUM' THEN 'JPEG Baseline'
+                     WHEN 'PROMO' THEN 'A_AAC' WHEN 'STANDARD' THEN 'vp09' ELSE 'Theora' END AS codec_tag,
+         CASE p_type WHEN 'ECONOMY' THEN 'video/mp4' WHEN 'SMALL' THEN 'video/quicktime' WHEN 'MEDIUM' THEN 'image/jpeg'
+                     WHEN 'PROMO' THEN 'audio/aac' WHEN 'STANDARD' THEN 'video/webm' ELSE 'application' END AS mime_tag,
+         CASE WHEN p_size > 40 THEN 'Equirectangular' ELSE '' END AS projection,
+         CASE WHEN p_size % 3 = 0 THEN upper(u) WHEN p_size % 3 = 1 THEN u ELSE h END AS document_tag
+  FROM (SELECT *, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS u
+        FROM (SELECT *, md5(p_name) AS h FROM part))
+"""
+_VC = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _X.VIDEO_CODECS.items())
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ORACLE["codec_mime"] = f"""
+WITH p AS ({PARTS_AS_MEDIA}),
+c AS (SELECT *, lower(codec_tag) AS lc, string_split(mime_tag, '/') AS mp FROM p),
+d AS (SELECT p_partkey,
+             CASE WHEN contains(lc, 'jpeg') THEN 'jpeg' WHEN (CASE lc {_VC} END) IS NOT NULL THEN (CASE lc {_VC} END)
+                  WHEN starts_with(lc, 'a_') THEN '' ELSE lc END AS codec,
+             CASE WHEN mp[1] <> '' THEN mp[1] END AS mimetype,
+             CASE WHEN len(mp) >= 2 THEN array_to_string(mp[2:], '/') END AS mimesubtype,
+             CASE WHEN lower(projection) = 'equirectangular' THEN 'panorama' ELSE '' END AS keywords,
+             CASE WHEN regexp_matches(lower(trim(document_tag)), '{_UUID}') THEN lower(trim(document_tag)) ELSE '' END
+               AS document_id,
+             coalesce(regexp_matches(lower(trim(document_tag)), '{_UUID}'), false) AS has_document_id
+      FROM c)
+SELECT *, coalesce(codec = 'avc1', false) AS is_avc,
+       coalesce(mimetype IN ('video', 'audio', 'image'), false) AS backed_up
+FROM d
+"""
+
+ORACLE["media_flags"] = f"""
+WITH p AS ({EVENTS_POSITION_TEXT}),
+e AS (SELECT e.event_id, e.event_type, e.value, e.ts, p.position,
+             CASE e.event_type WHEN 'view' THEN strftime(e.ts, '%Y-%m-%d') WHEN 'click' THEN strftime(e.ts, '%Y%m%d')
+                  WHEN 'purchase' THEN strftime(e.ts, '%Y-%m-%d %H:%M:%S')
+                  WHEN 'error' THEN strftime(e.ts, '%Y_%m_%d_%H%M%S') ELSE strftime(e.ts, '%d.%m.%Y') END AS time_text,
+             regexp_extract_all(p.position, '{_FLOAT_RE}') AS fl,
+             regexp_extract_all(p.position, '[0-9\\.]+') AS co, regexp_extract_all(p.position, '[NSEW]+') AS re
+      FROM events e JOIN p ON e.event_id = p.event_id),
+ll AS (SELECT *,
+  CAST(CASE WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+              THEN CAST(fl[1] AS DOUBLE)
+            WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 1, 're[1]')} ELSE 0.0 END AS FLOAT) AS lat,
+  CAST(CASE WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+              THEN CAST(fl[2] AS DOUBLE)
+            WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 4, 're[2]')} ELSE 0.0 END AS FLOAT) AS lng
+  FROM e)
+SELECT event_id, time_text, {_is_time_sql('time_text')} AS is_time,
+       (event_type <> 'error' AND ts IS NOT NULL AND coalesce(lat <> 0 AND lng <> 0, false)) AS has_time_and_place,
+       coalesce((CASE WHEN value > 400 THEN 3 ELSE CAST(floor(value) AS INTEGER) % 3 END) = 3, false) AS is_hdr
+FROM ll
+"""

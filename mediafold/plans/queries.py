@@ -318,3 +318,144 @@ QUERIES["duration_parse"] = q_duration_parse
 QUERIES["gps_parse"] = q_gps_parse
 QUERIES["orientation_facts"] = q_orientation_facts
 QUERIES["rational_tags"] = q_rational_tags
+
+
+# -- text cleaning ----------------------------------------------------------------
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document (whole texts, no line dropped)."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line")).select(
+        "doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import text as X
+    lines = document_lines(spark, sf_dir)
+    line = F.col("line")
+    tags = F.concat(F.lit('["'), F.split(line, " ").getItem(0), F.lit('", "'),
+                    F.coalesce(F.try_element_at(F.split(line, " "), F.lit(2)), F.lit("")), F.lit('"]'))
+    return lines.select("doc_id", "line_no", X.sanitize_string(line).alias("clean"),
+                        X.sanitize_uid(line).alias("uid"), X.sanitize_description(line).alias("description"),
+                        X.sanitize_meta(line).alias("meta"), X.sanitize_meta(tags).alias("meta_list"))
+
+
+def pages_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    p = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    t = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    slug = F.regexp_replace(F.lower(t), "[^a-z0-9 ]", "")
+    url = F.col("url")
+    path = F.regexp_replace(url, "[?#].*$", "")
+    title_in = (F.when(url.startswith("http://"), F.concat(F.regexp_replace(slug, " ", "_"), F.lit(".jpg")))
+                .when(url.startswith("https://m."), F.concat(F.lit("IMG_"), F.col("page_id").cast("string"),
+                                                              F.lit(".JPG")))
+                .when(url.contains(".example.org/"), F.concat(F.regexp_replace(slug, " ", "--"), F.lit(".mp4")))
+                .otherwise(F.concat(t, F.lit(".png"))))
+    return p.select("page_id", path.alias("path"), t.alias("title_text"), title_in.alias("title_in"))
+
+
+def q_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import text as X
+    from mediafold.functions.paths import basename
+    p = pages_titles(spark, sf_dir)
+    return p.select("page_id", basename(F.col("path")).alias("segment"), "title_in",
+                    X.sanitize_title(F.col("title_in")).alias("title"),
+                    X.sanitize_title(basename(F.col("path"))).alias("segment_title"),
+                    X.sanitize_description(F.col("title_text")).alias("description"))
+
+
+def q_keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import text as X
+    from mediafold.sources.tables import load
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        F.lit("documents").alias("source"), F.col("doc_id").alias("key"), F.col("text").alias("body"))
+    pages = pages_titles(spark, sf_dir).select(
+        F.lit("pages").alias("source"), F.col("page_id").alias("key"), F.col("title_text").alias("body"))
+    both = docs.unionByName(pages)
+    auto = X.auto_keywords(F.col("body"))
+    kw = F.array_sort(F.array_distinct(F.concat(X.keyword_words(F.col("body")), auto)))
+    return both.select("source", "key", X.keywords_string(kw).alias("keywords"),
+                       F.size(kw).alias("n_keywords"), X.keywords_string(auto).alias("auto_keywords"),
+                       F.when(F.array_contains(auto, "hdr"), 3).otherwise(0).alias("image_type"))
+
+
+def parts_as_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    p = load(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
+    t = F.col("p_type")
+    codec = (F.when(t == "ECONOMY", "AVC1").when(t == "SMALL", "hvc1").when(t == "MEDIUM", "JPEG Baseline")
+             .when(t == "PROMO", "A_AAC").when(t == "STANDARD", "vp09").otherwise("Theora"))
+    mime = (F.when(t == "ECONOMY", "video/mp4").when(t == "SMALL", "video/quicktime")
+            .when(t == "MEDIUM", "image/jpeg").when(t == "PROMO", "audio/aac").when(t == "STANDARD", "video/webm")
+            .otherwise("application"))
+    h = F.md5(F.col("p_name"))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+    doc = (F.when(F.col("p_size") % 3 == 0, F.upper(uuid)).when(F.col("p_size") % 3 == 1, uuid)
+           .otherwise(h))
+    return p.select("p_partkey", codec.alias("codec_tag"), mime.alias("mime_tag"),
+                    F.when(F.col("p_size") > 40, "Equirectangular").otherwise("").alias("projection"),
+                    doc.alias("document_tag"))
+
+
+def q_codec_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import ids as I
+    from mediafold.functions import text as X
+    from mediafold.operators.filters import backup_media
+    p = parts_as_media(spark, sf_dir)
+    codec = X.normalize_codec(F.col("codec_tag"))
+    mp = X.mime_parts(F.col("mime_tag"))
+    kw = X.projection_keywords(F.array().cast("array<string>"), F.col("projection"))
+    return (p.select("p_partkey", codec.alias("codec"), mp["type"].alias("mimetype"),
+                     mp["subtype"].alias("mimesubtype"), X.keywords_string(kw).alias("keywords"),
+                     I.sanitize_uuid(F.col("document_tag")).alias("document_id"),
+                     I.is_uuid(F.col("document_tag")).alias("has_document_id"))
+            .withColumn("is_avc", X.is_avc(F.col("codec")))
+            .withColumn("backed_up", F.coalesce(backup_media("mimetype"), F.lit(False))))
+
+
+def q_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import geo as G
+    from mediafold.functions import numbers as N
+    from mediafold.functions import text as X
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
+    pos = events_position_text(spark, sf_dir).select("event_id", "position")
+    t = F.col("event_type")
+    text = (F.when(t == "view", F.date_format("ts", "yyyy-MM-dd"))
+            .when(t == "click", F.date_format("ts", "yyyyMMdd"))
+            .when(t == "purchase", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .when(t == "error", F.date_format("ts", "yyyy_MM_dd_HHmmss"))
+            .otherwise(F.date_format("ts", "dd.MM.yyyy")))
+    taken = F.when(t != "error", F.col("ts"))
+    ll = G.gps_to_lat_lng(F.col("position"))
+    image_type = F.when(F.col("value") > 400, 3).otherwise(F.floor(F.col("value")).cast("int") % 3)
+    return (e.join(pos, "event_id")
+            .select("event_id", text.alias("time_text"), X.is_time_text(text).alias("is_time"),
+                    G.has_time_and_place(taken, ll["lat"], ll["lng"]).alias("has_time_and_place"),
+                    N.is_hdr(image_type).alias("is_hdr")))
+
+
+QUERIES["clean_text"] = q_clean_text
+QUERIES["titles"] = q_titles
+QUERIES["keyword_sets"] = q_keyword_sets
+QUERIES["codec_mime"] = q_codec_mime
+QUERIES["media_flags"] = q_media_flags
