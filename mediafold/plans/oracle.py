@@ -703,3 +703,152 @@ SELECT event_id, time_text, {_is_time_sql('time_text')} AS is_time,
        coalesce((CASE WHEN value > 400 THEN 3 ELSE CAST(floor(value) AS INTEGER) % 3 END) = 3, false) AS is_hdr
 FROM ll
 """
+
+
+# -- tag documents (G14) ----------------------------------------------------------------
+
+from mediafold.functions import dates as _D  # noqa: E402
+from mediafold.operators import tags as _TG  # noqa: E402
+
+
+def _kv(key: str, val: str) -> str:
+    return f"'\"{key}\": \"' || {val} || '\"'"
+
+
+_K = "regexp_extract(props, '(\\d+)', 1)"
+_U = "CAST(user_id AS VARCHAR)"
+_E = "CAST(event_id AS VARCHAR)"
+_DT = "strftime(ts, '%Y:%m:%d %H:%M:%S')"
+EVENTS_TAG_DOCS = f"""
+  SELECT event_id, CASE event_type
+    WHEN 'view' THEN '[{{"k": ' || {_K} || ', "ExifToolVersion": 12.5, ' || {_kv('Headline', "''")} || ', '
+         || {_kv('Title', "'Trip ' || " + _U)} || ', "Make": "Canon", "ISO": ' || {_U}
+         || ', "FocalLength": "5.6 mm", ' || {_kv('DateTimeOriginal', _DT)}
+         || ', "Duration": "2.41 s", "ImageWidth": ' || CAST(user_id * 10 AS VARCHAR)
+         || ', "Keywords": ["Sea","sky"], "SubSecTimeOriginal": "' || substr({_E}, 1, 3) || '"}}]'
+    WHEN 'click' THEN '[{{"Make": "Nikon", "ISO": ' || {_U} || '}}, {{"CameraMake": "  ", "Make": "NIKON", '
+         || '"Title": "0", ' || {_kv('Headline', "'Click ' || " + _E)} || ', "ISO": "0", "FocalLength": 35, '
+         || {_kv('CreateDate', _DT + " || '+01:00'")}
+         || ', "PixelXDimension": "640", "Keywords": "Foo; bar", "Rotation": 90}}]'
+    WHEN 'purchase' THEN '{{"k": ' || {_K} || ', ' || {_kv('Model', "'M ' || " + _U)}
+         || ', "Duration": "0:01:05", "DateTimeOriginal": "0000:00:00 00:00:00", ' || {_kv('DateTime', _DT)}
+         || ', "GPSDateTime": "2024:01:02 03:04:05Z"}}'
+    WHEN 'error' THEN '[{{"k": ' || {_K} || ', "Make": "x"'
+    ELSE '{{"k": ' || {_K} || ', "Grouped": {{"Make": "inner"}}, "FlashFired": "True", '
+         || '"GPSAltitude": "84.4 m Above Sea Level", "HDRImageType": "3", "ApertureValue": 2.8, '
+         || '"Artist": "null", "Creator": "' || {_U} || '"}}'
+  END AS doc FROM events
+"""
+
+_EMPTY = ", ".join(f"'{v}'" for v in _TG.EMPTY_VALUES)
+
+
+def _trim_sql(v: str) -> str:
+    return f"regexp_replace({v}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def _empty_sql(v: str) -> str:
+    return f"(lower(regexp_replace({_trim_sql(v)}, '^[%*]+|[%*]+$', '', 'g')) IN ({_EMPTY}))"
+
+
+def first_tag_sql(m: str, names: list[str]) -> str:
+    vals = [f"map_extract_value({m}, '{n}')" for n in names]
+    return "coalesce(" + ", ".join(f"CASE WHEN NOT {_empty_sql(v)} THEN {v} END" for v in vals) + ")"
+
+
+_LEAD = "regexp_extract(coalesce({0}, ''), '^\\s*([+\\-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+))', 1)"
+
+
+def _lead_num(v: str) -> str:
+    x = _LEAD.format(v)
+    return f"(CASE WHEN {x} <> '' THEN TRY_CAST({x} AS DOUBLE) END)"
+
+
+def tag_datetime_sql(v: str) -> dict[str, str]:
+    p = _D.TAG_DATETIME_PATTERN
+    g = [f"regexp_extract(coalesce({v}, ''), '{p}', {i})" for i in range(9)]
+    y, mo, d, h, mi, s = (f"TRY_CAST({g[i]} AS INTEGER)" for i in range(1, 7))
+    off = g[8]
+    ok = (f"coalesce({y} >= 1 AND {mo} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND 31 AND {h} BETWEEN 0 AND 23 "
+          f"AND {mi} BETWEEN 0 AND 59 AND {s} BETWEEN 0 AND 59, false)")
+    local = (f"((date_diff('day', DATE '1970-01-01', make_date(least(greatest({y}, 1), 9999), "
+             f"least(greatest({mo}, 1), 12), 1)) + {d} - 1) * 86400 + {h} * 3600 + {mi} * 60 + {s})")
+    digits = f"regexp_replace({off}, '[^0-9]', '', 'g')"
+    off_s = (f"(CASE WHEN {off} = 'Z' THEN 0 WHEN {off} <> '' THEN (CAST(substr({digits}, 1, 2) AS INTEGER) * 3600 "
+             f"+ CAST(substr({digits}, 3, 2) AS INTEGER) * 60) * (CASE WHEN starts_with({off}, '-') THEN -1 ELSE 1 END) END)")
+    return {
+        "local": f"CAST(CASE WHEN {ok} THEN {local} END AS BIGINT)",
+        "offset": f"CAST(CASE WHEN {ok} THEN {off_s} END AS INTEGER)",
+        "utc": f"CAST(CASE WHEN {ok} THEN {local} - coalesce({off_s}, 0) END AS BIGINT)",
+    }
+
+
+def _duration_sql(v: str) -> str:
+    t = f"trim(coalesce({v}, ''))"
+    nums = f"regexp_extract_all({t}, '[0-9\\.]+')"
+    parts = f"string_split({t}, ':')"
+    part = ("coalesce(CASE WHEN regexp_matches({p}[{i}], '^[+\\-]?[0-9]+$') THEN TRY_CAST({p}[{i}] AS BIGINT) END, 0)")
+    return (f"CAST(CASE WHEN {t} = '' THEN 0 WHEN len({nums}) = 1 THEN coalesce(TRY_CAST(trunc(CASE WHEN "
+            f"regexp_matches({nums}[1], '^(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN TRY_CAST({nums}[1] AS DOUBLE) END) "
+            f"AS BIGINT), 0) WHEN len({parts}) = 3 THEN {part.format(p=parts, i=1)} * 3600 + "
+            f"{part.format(p=parts, i=2)} * 60 + {part.format(p=parts, i=3)} ELSE 0 END AS BIGINT)")
+
+
+def convert_sql(v: str, kind: str) -> str:
+    if kind == "string":
+        return _trim_sql(v)
+    if kind == "int":
+        i = f"coalesce(TRY_CAST(trunc({_lead_num(v)}) AS INTEGER), 0)"
+        return f"(CASE WHEN {i} <> 0 THEN {i} END)"
+    if kind in ("float", "float32"):
+        f = _lead_num(v)
+        e = f"(CASE WHEN {f} <> 0 THEN {f} END)"
+        return f"CAST({e} AS FLOAT)" if kind == "float32" else e
+    if kind == "duration":
+        return _duration_sql(v)
+    if kind == "bool":
+        return f"(lower({_trim_sql(v)}) IN ('1', 't', 'true'))"
+    if kind == "keywords":
+        return (f"array_to_string(list_sort(list_distinct(regexp_extract_all(lower({g11(v)}), "
+                f"'{_X.WORD_PATTERN}'))), ', ')")
+    raise ValueError(kind)
+
+
+def _tag_query() -> str:
+    from mediafold.plans.queries import TAG_OUTPUT
+    sel = []
+    for f in TAG_OUTPUT:
+        names, kind = _TG.TAG_FIELDS[f]
+        v = first_tag_sql("m", names)
+        if kind == "time":
+            continue
+        expr = convert_sql(v, kind)
+        if kind == "keywords":
+            expr = f"coalesce({expr}, '')"
+        sel.append(f"{expr} AS {f}")
+    tt = tag_datetime_sql(first_tag_sql("m", _TG.TAG_FIELDS["taken_at"][0]))
+    ct = tag_datetime_sql(first_tag_sql("m", _TG.TAG_FIELDS["created_at"][0]))
+    gt = tag_datetime_sql(first_tag_sql("m", _TG.TAG_FIELDS["taken_gps"][0]))
+    sub = [f"map_extract_value(m, '{t}')" for t in _TG.SUBSEC_TAGS]
+
+    def ns(v):
+        return (f"(CASE WHEN regexp_matches({v}, '^[0-9]+$') AND length({v}) <= 9 AND TRY_CAST({v} AS BIGINT) > 0 "
+                f"THEN TRY_CAST(rpad({v}, 9, '0') AS INTEGER) END)")
+    kind = ("CASE WHEN contains(doc, 'ExifToolVersion') THEN 'exiftool' WHEN contains(doc, 'albumData') THEN 'album' "
+            "WHEN contains(doc, 'photoTakenTime') THEN 'photo' ELSE 'unknown' END")
+    wrapped = "CASE WHEN starts_with(trim(doc), '{') THEN '[' || trim(doc) || ']' ELSE trim(doc) END"
+    return f"""
+WITH d AS ({EVENTS_TAG_DOCS}),
+w AS (SELECT event_id, doc, {wrapped} AS wdoc FROM d),
+p AS (SELECT event_id, {kind} AS kind,
+             CASE WHEN json_valid(wdoc) THEN list_reduce(json_transform(wdoc, '["MAP(VARCHAR, VARCHAR)"]'),
+                                                          lambda a, b: map_concat(a, b)) END AS m
+      FROM w)
+SELECT event_id, kind, m IS NULL AS error, map_extract_value(m, 'k') AS k, {', '.join(sel)},
+       {tt['utc']} AS taken_utc, {tt['offset']} AS taken_offset, {ct['utc']} AS created_utc, {gt['utc']} AS gps_utc,
+       coalesce({', '.join(ns(v) for v in sub)}, 0) AS taken_ns
+FROM p
+"""
+
+
+ORACLE["tag_precedence"] = _tag_query()

@@ -459,3 +459,73 @@ QUERIES["titles"] = q_titles
 QUERIES["keyword_sets"] = q_keyword_sets
 QUERIES["codec_mime"] = q_codec_mime
 QUERIES["media_flags"] = q_media_flags
+
+
+# -- tag documents ------------------------------------------------------------------
+
+def events_tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tool-tag JSON document per event, built from the event's columns.
+
+    Views carry an array with one object; clicks two objects (later keys win)
+    with empty first tags; purchases a lone object with an all-zero date;
+    errors truncated JSON; signups nested groups, a flag and units.
+    """
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    u = F.col("user_id").cast("string")
+    eid = F.col("event_id").cast("string")
+    dt = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    t = F.col("event_type")
+    q = F.lit('"')
+
+    def kv(key, val):
+        return F.concat(F.lit(f'"{key}": '), q, val, q)
+
+    view = F.concat(F.lit('[{"k": '), k, F.lit(', "ExifToolVersion": 12.5, '), kv("Headline", F.lit("")), F.lit(", "),
+                    kv("Title", F.concat(F.lit("Trip "), u)), F.lit(', "Make": "Canon", "ISO": '), u,
+                    F.lit(', "FocalLength": "5.6 mm", '), kv("DateTimeOriginal", dt),
+                    F.lit(', "Duration": "2.41 s", "ImageWidth": '), (F.col("user_id") * 10).cast("string"),
+                    F.lit(', "Keywords": ["Sea","sky"], "SubSecTimeOriginal": "'), F.substring(eid, 1, 3),
+                    F.lit('"}]'))
+    click = F.concat(F.lit('[{"Make": "Nikon", "ISO": '), u, F.lit('}, {"CameraMake": "  ", "Make": "NIKON", '),
+                     F.lit('"Title": "0", '), kv("Headline", F.concat(F.lit("Click "), eid)),
+                     F.lit(', "ISO": "0", "FocalLength": 35, '), kv("CreateDate", F.concat(dt, F.lit("+01:00"))),
+                     F.lit(', "PixelXDimension": "640", "Keywords": "Foo; bar", "Rotation": 90}]'))
+    purchase = F.concat(F.lit('{"k": '), k, F.lit(", "), kv("Model", F.concat(F.lit("M "), u)),
+                        F.lit(', "Duration": "0:01:05", "DateTimeOriginal": "0000:00:00 00:00:00", '),
+                        kv("DateTime", dt), F.lit(', "GPSDateTime": "2024:01:02 03:04:05Z"}'))
+    error = F.concat(F.lit('[{"k": '), k, F.lit(', "Make": "x"'))
+    signup = F.concat(F.lit('{"k": '), k, F.lit(', "Grouped": {"Make": "inner"}, "FlashFired": "True", '),
+                      F.lit('"GPSAltitude": "84.4 m Above Sea Level", "HDRImageType": "3", "ApertureValue": 2.8, '),
+                      F.lit('"Artist": "null", "Creator": "'), u, F.lit('"}'))
+    doc = (F.when(t == "view", view).when(t == "click", click).when(t == "purchase", purchase)
+           .when(t == "error", error).otherwise(signup))
+    return e.select("event_id", doc.alias("doc"))
+
+
+TAG_OUTPUT = ["title", "camera_make", "camera_model", "artist", "iso", "focal_length", "width", "duration",
+              "flash", "image_type", "altitude", "aperture", "rotation", "keywords", "taken_at", "created_at",
+              "taken_gps"]
+
+
+def q_tag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import text as X
+    from mediafold.operators import tags as TG
+    d = events_tag_documents(spark, sf_dir).select(
+        "event_id", TG.json_kind(F.col("doc")).alias("kind"), TG.parse_tag_document(F.col("doc")).alias("tags"))
+    a = TG.assign_fields(d, "tags")
+    return a.select(
+        "event_id", "kind", F.col("tags").isNull().alias("error"),
+        F.try_element_at(F.col("tags"), F.lit("k")).alias("k"),
+        "title", "camera_make", "camera_model", "artist", "iso", "focal_length", "width", "duration", "flash",
+        "image_type", "altitude", "aperture", "rotation", X.keywords_string(F.col("keywords")).alias("keywords"),
+        F.col("taken_at.utc").alias("taken_utc"), F.col("taken_at.offset").alias("taken_offset"),
+        F.col("created_at.utc").alias("created_utc"), F.col("taken_gps.utc").alias("gps_utc"), "taken_ns")
+
+
+QUERIES["tag_precedence"] = q_tag_precedence
