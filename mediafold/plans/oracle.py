@@ -852,3 +852,105 @@ FROM p
 
 
 ORACLE["tag_precedence"] = _tag_query()
+
+
+# -- Exif tag rows ---------------------------------------------------------------------
+
+_PT = ["Make", "Model", "ExposureTime", "FNumber", "ISOSpeedRatings", "Orientation", "Software"]
+_PT_LIST = "[" + ", ".join(f"'{t}'" for t in _PT) + "]"
+LINEITEM_TAG_ROWS = f"""
+  SELECT 'img/' || CAST(l_orderkey AS VARCHAR) AS path, CASE WHEN l_returnflag = 'R' THEN 'IFD1' ELSE 'IFD0' END AS ifd,
+         {_PT_LIST}[CAST(l_partkey % 7 + 1 AS INTEGER)] AS tag,
+         CASE WHEN l_discount = 0 THEN '' ELSE l_returnflag || CAST(l_suppkey AS VARCHAR)
+              || CASE WHEN l_linestatus = 'F' THEN chr(0) || 'junk' ELSE '' END END AS value,
+         CAST(l_linenumber AS INTEGER) AS ord
+  FROM lineitem
+"""
+
+
+def picked_sql(rows: str) -> str:
+    return f"""
+  SELECT path, tag, arg_max(v, {{'m': ifd <> 'IFD1', 'o': CASE WHEN ifd <> 'IFD1' THEN ord ELSE -ord END, 'v': v}}) AS value
+  FROM (SELECT path, ifd, tag, string_split(value, chr(0))[1] AS v, ord FROM {rows})
+  WHERE tag <> '' AND v <> ''
+  GROUP BY path, tag
+"""
+
+
+def pivot_sql(picked: str, tags: list[str]) -> str:
+    cols = ", ".join(f"max(value) FILTER (WHERE tag = '{t}') AS \"{t}\"" for t in tags)
+    return f"SELECT path, {cols} FROM {picked} GROUP BY path"
+
+
+ORACLE["exif_pivot"] = f"""
+WITH r AS ({LINEITEM_TAG_ROWS}), p AS ({picked_sql('r')})
+{pivot_sql('p', _PT)}
+"""
+
+
+def _crow(ifd: str, tag: str, value: str, o: int) -> str:
+    return f"{{'ifd': '{ifd}', 'tag': '{tag}', 'value': {value}, 'ord': {o}}}"
+
+
+_CK = "CAST(c_custkey AS VARCHAR)"
+CUSTOMER_TAG_ROWS = f"""
+  SELECT path, r.ifd AS ifd, r.tag AS tag, r.value AS value, r.ord AS ord FROM (
+  SELECT {_CK} AS path, unnest([
+    {_crow('IFD0', 'Artist', 'c_name', 1)},
+    {_crow('IFD0', 'Copyright', "' \"' || c_mktsegment || '\" '", 2)},
+    {_crow('IFD1', 'Model', "'Thumb ' || " + _CK, 3)},
+    {_crow('IFD0', 'Model', "CASE WHEN c_acctbal > 0 THEN 'Model ' || CAST(c_nationkey AS VARCHAR) ELSE '' END", 4)},
+    {_crow('IFD0', 'CameraMake', "'Vendor'", 5)},
+    {_crow('IFD0', 'ImageDescription', "CASE WHEN c_mktsegment = 'BUILDING' THEN 'OLYMPUS DIGITAL CAMERA' WHEN c_mktsegment = 'MACHINERY' THEN 'HDR burst of ' || c_name ELSE '  Shot ' || " + _CK + " || '  ' END", 6)},
+    {_crow('IFD0', 'Flash', 'CAST(c_nationkey AS VARCHAR)', 7)},
+    {_crow('IFD0', 'FocalLength', "CAST(c_custkey % 300 AS VARCHAR) || '/10'", 8)},
+    {_crow('IFD0', 'FocalLengthIn35mmFilm', "CASE WHEN c_nationkey > 20 THEN CAST(c_nationkey * 2 AS VARCHAR) ELSE '' END", 9)},
+    {_crow('IFD0', 'ISOSpeedRatings', 'CAST(c_custkey % 3200 AS VARCHAR)', 10)},
+    {_crow('IFD0', 'PixelXDimension', 'CAST(c_custkey % 4000 + 100 AS VARCHAR)', 11)},
+    {_crow('IFD0', 'ImageLength', 'CAST(c_nationkey * 100 + 50 AS VARCHAR)', 12)},
+    {_crow('IFD0', 'ExposureTime', "'10/' || " + _CK, 13)},
+    {_crow('IFD0', 'Software', "'App' || chr(0) || 'junk'", 14)},
+    {_crow('IFD0', 'ProjectionType', "CASE WHEN c_nationkey = 5 THEN 'equirectangular' ELSE '' END", 15)}
+  ]) AS r FROM customer)
+"""
+
+_EXIF_USED = ["Artist", "Copyright", "Model", "CameraModel", "Make", "CameraMake", "Software", "ImageDescription",
+              "Flash", "FocalLength", "FocalLengthIn35mmFilm", "ISOSpeedRatings", "PixelXDimension", "ImageWidth",
+              "PixelYDimension", "ImageLength", "Orientation", "ExposureTime", "ProjectionType"]
+
+
+def _atoi_sql(v: str) -> str:
+    return f"(CASE WHEN regexp_matches({v}, '^[+\\-]?[0-9]+$') THEN TRY_CAST({v} AS INTEGER) END)"
+
+
+def _txt(t: str) -> str:
+    return f"CASE WHEN \"{t}\" IS NOT NULL THEN {g7(chr(34) + t + chr(34))} END"
+
+
+_AUTO_D = "list_filter(['hdr', 'burst', 'panorama', 'equirectangular'], lambda w: contains(lower({0}), w))"
+ORACLE["exif_text"] = f"""
+WITH r AS ({CUSTOMER_TAG_ROWS}), p AS ({picked_sql('r')}), w AS ({pivot_sql('p', _EXIF_USED)}),
+x AS (SELECT *,
+        CASE WHEN "ImageDescription" IS NOT NULL THEN {_AUTO_D.format(g11('"ImageDescription"'))} ELSE [] END AS auto,
+        coalesce({_atoi_sql('"Flash"')} % 2 = 1, false) AS flash_on
+      FROM w)
+SELECT path,
+  CASE WHEN "Artist" IS NOT NULL THEN {g11(_txt('Artist'))} END AS artist,
+  {_txt('Copyright')} AS copyright,
+  coalesce({_txt('Model')}, {_txt('CameraModel')}) AS camera_model,
+  coalesce({_txt('Make')}, {_txt('CameraMake')}) AS camera_make,
+  {_txt('Software')} AS software,
+  CASE WHEN "ImageDescription" IS NOT NULL THEN {g10('"ImageDescription"')} END AS description,
+  array_to_string(list_sort(list_distinct(list_concat(auto, CASE WHEN flash_on THEN ['flash'] ELSE [] END,
+     CASE WHEN "ProjectionType" IS NOT NULL THEN ['panorama'] ELSE [] END))), ', ') AS keywords,
+  flash_on AS flash,
+  CASE WHEN "FocalLengthIn35mmFilm" IS NOT NULL THEN {_atoi_sql('"FocalLengthIn35mmFilm"')}
+       ELSE TRY_CAST(trunc(round({rational_sql('"FocalLength"')} * 1000) / 1000) AS INTEGER) END AS focal_length,
+  {_atoi_sql('"ISOSpeedRatings"')} AS iso,
+  CASE WHEN "PixelXDimension" IS NOT NULL THEN {_atoi_sql('"PixelXDimension"')} ELSE {_atoi_sql('"ImageWidth"')} END AS width,
+  CASE WHEN "PixelYDimension" IS NOT NULL THEN {_atoi_sql('"PixelYDimension"')} ELSE {_atoi_sql('"ImageLength"')} END AS height,
+  CASE WHEN "Orientation" IS NOT NULL THEN {_atoi_sql('"Orientation"')} ELSE 1 END AS orientation,
+  CASE WHEN "ExposureTime" IS NOT NULL THEN {exposure_sql('"ExposureTime"')} END AS exposure,
+  CASE WHEN list_contains(auto, 'hdr') THEN 3 END AS image_type
+FROM x
+"""

@@ -529,3 +529,74 @@ def q_tag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["tag_precedence"] = q_tag_precedence
+
+
+# -- Exif tag rows ----------------------------------------------------------------
+
+PIVOT_TAGS = ["Make", "Model", "ExposureTime", "FNumber", "ISOSpeedRatings", "Orientation", "Software"]
+
+
+def lineitem_tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as long Exif rows: one image per order, one tag per line."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount",
+                                          "l_returnflag", "l_linestatus"])
+    tag = F.element_at(F.array(*[F.lit(t) for t in PIVOT_TAGS]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    value = F.when(F.col("l_discount") == 0, F.lit("")).otherwise(F.concat(
+        F.col("l_returnflag"), F.col("l_suppkey").cast("string"),
+        F.when(F.col("l_linestatus") == "F", F.lit("\x00junk")).otherwise(F.lit(""))))
+    return li.select(F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("path"),
+                     F.when(F.col("l_returnflag") == "R", "IFD1").otherwise("IFD0").alias("ifd"),
+                     tag.alias("tag"), value.alias("value"), F.col("l_linenumber").cast("int").alias("ord"))
+
+
+def q_exif_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import exif
+    return exif.pivot_tags(exif.pick_values(lineitem_tag_rows(spark, sf_dir)), PIVOT_TAGS)
+
+
+def customer_tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as long Exif rows: one image per customer, 15 tags each."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    c = load(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    k, n, seg = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
+
+    def r(ifd, tag, value, o):
+        return F.struct(F.lit(ifd).alias("ifd"), F.lit(tag).alias("tag"), value.alias("value"), F.lit(o).alias("ord"))
+    rows = F.array(
+        r("IFD0", "Artist", F.col("c_name"), 1),
+        r("IFD0", "Copyright", F.concat(F.lit(' "'), seg, F.lit('" ')), 2),
+        r("IFD1", "Model", F.concat(F.lit("Thumb "), k.cast("string")), 3),
+        r("IFD0", "Model", F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Model "), n.cast("string")))
+          .otherwise(F.lit("")), 4),
+        r("IFD0", "CameraMake", F.lit("Vendor"), 5),
+        r("IFD0", "ImageDescription", F.when(seg == "BUILDING", F.lit("OLYMPUS DIGITAL CAMERA"))
+          .when(seg == "MACHINERY", F.concat(F.lit("HDR burst of "), F.col("c_name")))
+          .otherwise(F.concat(F.lit("  Shot "), k.cast("string"), F.lit("  "))), 6),
+        r("IFD0", "Flash", n.cast("string"), 7),
+        r("IFD0", "FocalLength", F.concat((k % 300).cast("string"), F.lit("/10")), 8),
+        r("IFD0", "FocalLengthIn35mmFilm", F.when(n > 20, (n * 2).cast("string")).otherwise(F.lit("")), 9),
+        r("IFD0", "ISOSpeedRatings", (k % 3200).cast("string"), 10),
+        r("IFD0", "PixelXDimension", (k % 4000 + 100).cast("string"), 11),
+        r("IFD0", "ImageLength", (n * 100 + 50).cast("string"), 12),
+        r("IFD0", "ExposureTime", F.concat(F.lit("10/"), k.cast("string")), 13),
+        r("IFD0", "Software", F.lit("App\x00junk"), 14),
+        r("IFD0", "ProjectionType", F.when(n == 5, F.lit("equirectangular")).otherwise(F.lit("")), 15),
+    )
+    return c.select(k.cast("string").alias("path"), F.explode(rows).alias("r")).select("path", "r.*")
+
+
+def q_exif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import exif
+    d = exif.normalize_exif_rows(customer_tag_rows(spark, sf_dir))
+    return d.select("path", "artist", "copyright", "camera_model", "camera_make", "software", "description",
+                    "keywords", "flash", "focal_length", "iso", "width", "height", "orientation", "exposure",
+                    "image_type")
+
+
+QUERIES["exif_pivot"] = q_exif_pivot
+QUERIES["exif_text"] = q_exif_text
