@@ -36,8 +36,9 @@ def default_now_year() -> int:
 
 
 def to_int(s: Column) -> Column:
-    """H7: text -> int, invalid -> 0."""
-    return F.coalesce(F.trim(s).try_cast("int"), F.lit(0))
+    """H7: text -> int (32-bit, surrounding white space allowed), invalid -> 0."""
+    t = F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.coalesce(F.when(t.rlike(r"^[+\-]?[0-9]+$"), t.try_cast("int")), F.lit(0))
 
 
 def _num(parts: Column, i: int) -> Column:

@@ -954,3 +954,56 @@ SELECT path,
   CASE WHEN list_contains(auto, 'hdr') THEN 3 END AS image_type
 FROM x
 """
+
+
+# -- numbers with units ---------------------------------------------------------------------
+
+_Q = "CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR)"
+_DTL = "strftime(l_shipdate, '%Y:%m:%d %H:%M:%S')"
+LINEITEM_NUMBER_TEXTS = f"""
+  SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_linestatus = 'O' THEN ' ' || {_Q} || ' ' ELSE {_Q} || CASE WHEN l_returnflag = 'R' THEN 'x' ELSE '' END END
+      AS int_text,
+    CASE WHEN l_returnflag = 'N' THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || '.'
+         || lpad(CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') ELSE 'n/a' END AS float_text,
+    CASE WHEN l_returnflag = 'A' THEN '12 m, 13 m' ELSE {_Q} || '.' || CAST(l_linenumber AS VARCHAR) || ' m Above Sea Level' END
+      AS altitude_text,
+    CAST(CAST(floor(l_tax * 100) AS BIGINT) AS VARCHAR) || '.5 mm' AS unit_text,
+    CASE WHEN l_returnflag = 'R' THEN '-3' ELSE CAST(l_linenumber * 7 AS VARCHAR) END AS subsec_text,
+    CASE WHEN l_linenumber = 7 THEN '0000:00:00 00:00:00' WHEN l_linestatus = 'O' THEN {_DTL} || '+05:30'
+         WHEN l_returnflag = 'R' THEN {_DTL} || '.25Z' ELSE {_DTL} END AS dt_text,
+    CAST(l_linenumber AS VARCHAR) AS flash_text
+  FROM lineitem
+"""
+
+
+def _tag_dt_full(v: str) -> dict[str, str]:
+    d = tag_datetime_sql(v)
+    p = _D.TAG_DATETIME_PATTERN
+    frac = f"regexp_extract(coalesce({v}, ''), '{p}', 7)"
+    y = f"regexp_extract(coalesce({v}, ''), '{p}', 1)"
+    d["micros"] = (f"CASE WHEN {d['utc']} IS NOT NULL THEN CASE WHEN {frac} <> '' THEN "
+                   f"CAST(rpad(substr({frac}, 1, 6), 6, '0') AS INTEGER) ELSE 0 END END")
+    return d
+
+
+_NDT = _tag_dt_full("dt_text")
+_TRIM_WS = "regexp_replace(int_text, '^\\s+|\\s+$', '', 'g')"
+_FL1 = "regexp_extract_all(altitude_text, '" + _FLOAT_RE + "')"
+ORACLE["number_tags"] = f"""
+WITH t AS ({LINEITEM_NUMBER_TEXTS})
+SELECT l_orderkey, l_linenumber,
+  coalesce(CASE WHEN regexp_matches({_TRIM_WS}, '^[+\\-]?[0-9]+$') THEN TRY_CAST({_TRIM_WS} AS INTEGER) END, 0) AS int_value,
+  coalesce(CASE WHEN regexp_matches(float_text, '^[+\\-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+\\-]?[0-9]+)?$')
+                THEN TRY_CAST(float_text AS DOUBLE) END, 0.0) AS float_value,
+  CASE WHEN len({_FL1}) = 1 AND TRY_CAST({_FL1}[1] AS DOUBLE) <> 0
+       THEN TRY_CAST(trunc(TRY_CAST({_FL1}[1] AS DOUBLE)) AS INTEGER) ELSE 0 END AS altitude,
+  {_lead_num('unit_text')} AS unit_value,
+  coalesce(TRY_CAST(trunc({_lead_num('unit_text')}) AS INTEGER), 0) AS unit_int,
+  coalesce(CASE WHEN regexp_matches(subsec_text, '^[0-9]+$') AND length(subsec_text) <= 9
+                     AND TRY_CAST(subsec_text AS BIGINT) > 0 THEN TRY_CAST(rpad(subsec_text, 9, '0') AS INTEGER) END, 0)
+    AS subsec_ns,
+  {_NDT['utc']} AS dt_utc, {_NDT['offset']} AS dt_offset, {_NDT['micros']} AS dt_micros,
+  coalesce({_atoi_sql('flash_text')} % 2 = 1, false) AS flash
+FROM t
+"""

@@ -600,3 +600,58 @@ def q_exif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["exif_pivot"] = q_exif_pivot
 QUERIES["exif_text"] = q_exif_text
+
+
+# -- numbers with units ---------------------------------------------------------------
+
+def lineitem_number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    li = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax",
+                                          "l_returnflag", "l_linestatus", "l_shipdate"])
+
+    def s(c):
+        return F.floor(c).cast("bigint").cast("string")
+    rf, ls, ln = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    q = s(F.col("l_quantity"))
+    dt = F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(ls == "O", F.concat(F.lit(" "), q, F.lit(" ")))
+        .otherwise(F.concat(q, F.when(rf == "R", F.lit("x")).otherwise(F.lit("")))).alias("int_text"),
+        F.when(rf == "N", F.concat(s(F.col("l_extendedprice")), F.lit("."),
+                                   F.lpad((F.floor(F.col("l_extendedprice") * 100) % 100).cast("string"), 2, "0")))
+        .otherwise(F.lit("n/a")).alias("float_text"),
+        F.when(rf == "A", F.lit("12 m, 13 m"))
+        .otherwise(F.concat(q, F.lit("."), ln.cast("string"), F.lit(" m Above Sea Level"))).alias("altitude_text"),
+        F.concat(s(F.col("l_tax") * 100), F.lit(".5 mm")).alias("unit_text"),
+        F.when(rf == "R", F.lit("-3")).otherwise((ln * 7).cast("string")).alias("subsec_text"),
+        F.when(ln == 7, F.lit("0000:00:00 00:00:00"))
+        .when(ls == "O", F.concat(dt, F.lit("+05:30")))
+        .when(rf == "R", F.concat(dt, F.lit(".25Z")))
+        .otherwise(dt).alias("dt_text"),
+        ln.cast("string").alias("flash_text"),
+    )
+
+
+def q_number_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import dates as D
+    from mediafold.functions import numbers as N
+    from mediafold.functions.names import to_int
+    t = lineitem_number_texts(spark, sf_dir).withColumn("dt", D.parse_tag_datetime(F.col("dt_text")))
+    return t.select(
+        "l_orderkey", "l_linenumber",
+        to_int(F.col("int_text")).alias("int_value"),
+        N.parse_float(F.col("float_text")).alias("float_value"),
+        N.altitude_fallback(F.col("altitude_text")).alias("altitude"),
+        N.leading_number(F.col("unit_text")).alias("unit_value"),
+        N.leading_int(F.col("unit_text")).alias("unit_int"),
+        N.subsec_ns(F.col("subsec_text")).alias("subsec_ns"),
+        F.col("dt.utc").alias("dt_utc"), F.col("dt.offset").alias("dt_offset"), F.col("dt.micros").alias("dt_micros"),
+        N.flash_fired(F.col("flash_text")).alias("flash"))
+
+
+QUERIES["number_tags"] = q_number_tags
