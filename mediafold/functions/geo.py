@@ -112,3 +112,36 @@ _cell_udf = F.pandas_udf(_cell_batch, T.StringType())
 def cell_token(lat: Column, lng: Column) -> Column:
     """Prefixed spatial cell token (level 21), NULL without a position."""
     return _cell_udf(lat.cast("double"), lng.cast("double"))
+
+
+def _lat_lng_from_arrays(a: Column) -> Column:
+    fl, co, re_, t = a["fl"], a["co"], a["re"], a["t"]
+    f1 = F.try_element_at(fl, F.lit(1)).try_cast("double")
+    f2 = F.try_element_at(fl, F.lit(2)).try_cast("double")
+    two_ok = (F.size(fl) == 2) & f1.isNotNull() & f2.isNotNull()
+    dms_ok = (F.size(co) == 6) & (F.size(re_) == 2)
+    lat = (F.when(t == "", F.lit(0.0)).when(two_ok, f1)
+           .when(dms_ok, _dms(co, 1, F.try_element_at(re_, F.lit(1)))).otherwise(F.lit(0.0)))
+    lng = (F.when(t == "", F.lit(0.0)).when(two_ok, f2)
+           .when(dms_ok, _dms(co, 4, F.try_element_at(re_, F.lit(2)))).otherwise(F.lit(0.0)))
+    return F.struct(lat.cast("float").alias("lat"), lng.cast("float").alias("lng"))
+
+
+def with_lat_lng(df, text_col: str, lat: str = "lat", lng: str = "lng"):
+    """H9 on a DataFrame, staged: the three regex arrays are computed once per
+    row in one projection, the coordinates in the next.
+
+    The coordinates leave through ``inline(array(struct))`` (one row out per
+    row in): filters on them (``lat != 0``, a join's inferred ``isnotnull``)
+    cannot be pushed below a Generate that produces them, so they are not
+    re-inlined into the scan as a copy of the whole parse expression.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    arrays = F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(FLOAT_PATTERN), 0).alias("fl"),
+                      F.regexp_extract_all(t, F.lit(COORD_NUMBER_PATTERN), 0).alias("co"),
+                      F.regexp_extract_all(t, F.lit(REF_PATTERN), 0).alias("re"))
+    tmp = "__gps_arrays"
+    out = df.withColumn(tmp, arrays)
+    ll = _lat_lng_from_arrays(F.col(tmp))
+    fence = F.array(F.struct(ll["lat"].alias(lat), ll["lng"].alias(lng)))
+    return out.select(*[c for c in df.columns if c not in (lat, lng)], F.inline(fence))

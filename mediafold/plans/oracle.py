@@ -1007,3 +1007,119 @@ SELECT l_orderkey, l_linenumber,
   coalesce({_atoi_sql('flash_text')} % 2 = 1, false) AS flash
 FROM t
 """
+
+
+# -- zones and taken times ------------------------------------------------------------------
+
+def _region_zone_sql() -> str:
+    from mediafold.plans.queries import REGION_ZONES
+    return "CASE r_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGION_ZONES.items()) + " ELSE 'Asia/Dubai' END"
+
+
+NATION_BOXES = f"""
+  SELECT {_region_zone_sql()} AS zone, CAST(n_nationkey AS INTEGER) AS priority,
+         CAST(-90 + (n_nationkey % 5) * 36 - 2 AS DOUBLE) AS lat_min, CAST(-90 + (n_nationkey % 5) * 36 + 38 AS DOUBLE) AS lat_max,
+         CAST(-180 + floor(n_nationkey / 5) * 72 - 2 AS DOUBLE) AS lng_min, CAST(-180 + floor(n_nationkey / 5) * 72 + 74 AS DOUBLE) AS lng_max
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+"""
+
+EVENT_POINTS = f"""
+  SELECT event_id,
+    CAST(CASE WHEN position = '' THEN 0.0
+              WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+                THEN CAST(fl[1] AS DOUBLE)
+              WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 1, 're[1]')} ELSE 0.0 END AS FLOAT) AS lat,
+    CAST(CASE WHEN position = '' THEN 0.0
+              WHEN len(fl) = 2 AND TRY_CAST(fl[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(fl[2] AS DOUBLE) IS NOT NULL
+                THEN CAST(fl[2] AS DOUBLE)
+              WHEN len(co) = 6 AND len(re) = 2 THEN {_dms_sql('co', 4, 're[2]')} ELSE 0.0 END AS FLOAT) AS lng
+  FROM (SELECT *, regexp_extract_all(position, '{_FLOAT_RE}') AS fl, regexp_extract_all(position, '[0-9\\.]+') AS co,
+               regexp_extract_all(position, '[NSEW]+') AS re FROM ({EVENTS_POSITION_TEXT}))
+"""
+
+ZONED_POINTS = f"""
+  SELECT pt.event_id, pt.lat, pt.lng, z.zone FROM ({EVENT_POINTS}) pt LEFT JOIN (
+    SELECT p.event_id, arg_min(b.zone, {{'p': b.priority, 'z': b.zone}}) AS zone
+    FROM ({EVENT_POINTS}) p JOIN ({NATION_BOXES}) b
+      ON CAST(p.lat AS DOUBLE) >= b.lat_min AND CAST(p.lat AS DOUBLE) < b.lat_max
+     AND CAST(p.lng AS DOUBLE) >= b.lng_min AND CAST(p.lng AS DOUBLE) < b.lng_max
+    WHERE p.lat <> 0 AND p.lng <> 0
+    GROUP BY p.event_id) z ON pt.event_id = z.event_id
+"""
+ORACLE["zone_join"] = ZONED_POINTS
+
+
+def wall_sql(x: str, z: str) -> str:
+    return f"CAST(epoch(timezone({z}, to_timestamp({x}))) AS BIGINT)"
+
+
+def instant_sql(x: str, z: str) -> str:
+    return f"CAST(epoch(timezone({z}, make_timestamp(CAST({x} AS BIGINT) * 1000000))) AS BIGINT)"
+
+
+_FMT = "'%Y:%m:%d %H:%M:%S'"
+EVENTS_TIME_TAGS = f"""
+  SELECT event_id,
+    CASE event_type WHEN 'view' THEN strftime(ts, {_FMT}) WHEN 'click' THEN strftime(ts, {_FMT}) || '+02:00'
+         WHEN 'purchase' THEN '' WHEN 'error' THEN strftime(ts, {_FMT}) || 'Z' ELSE strftime(ts, {_FMT}) || '+08:00' END
+      AS taken_text,
+    CASE WHEN user_id % 4 = 0 THEN strftime(ts + to_hours(CAST(user_id % 50 AS BIGINT)), {_FMT}) ELSE '' END AS created_text,
+    strftime(ts - to_hours(1), {_FMT}) || 'Z' AS gps_text,
+    CASE WHEN user_id % 2 = 0 THEN 'video/mp4' ELSE 'image/jpeg' END AS mime
+  FROM events
+"""
+
+
+def _resolve_sql() -> str:
+    tk, cr, gp = tag_datetime_sql("taken_text"), tag_datetime_sql("created_text"), tag_datetime_sql("gps_text")
+    p = _D.TAG_DATETIME_PATTERN
+    off_text = (f"CASE WHEN {tk['utc']} IS NOT NULL THEN regexp_extract(coalesce(taken_text, ''), '{p}', 8) END")
+    layouts = ", ".join(f"'{x}'" for x in _D.REFERENCE_OFFSET_LAYOUTS)
+
+    def birth(policy: str) -> str:
+        keep = f"(tz <> '' OR coalesce(off_text, '') IN ({layouts}))"
+        if policy == "respect":
+            keep = f"({keep} OR coalesce(off_text, '') <> '')"
+        day = "(CAST(floor(ta / 86400) AS BIGINT) * 86400)"
+        shift = f"({day} - {instant_sql(day, "'Asia/Chongqing'")})"
+        return (f"CASE WHEN year(make_timestamp(ta * 1000000)) > 1900 THEN "
+                f"CASE WHEN {keep} THEN ta ELSE ta - {shift} END END")
+    return f"""
+WITH z AS ({ZONED_POINTS}),
+s0 AS (
+  SELECT t.event_id, t.mime, z.zone, coalesce(z.lat <> 0 AND z.lng <> 0, false) AS pos, {off_text} AS off_text,
+         {tk['utc']} AS ta, {tk['local']} AS ta_wall, coalesce({tk['offset']}, 0) AS ta_off,
+         {tk['utc']} AS tl, {tk['local']} AS tl_wall, coalesce({tk['offset']}, 0) AS tl_off, '' AS tz,
+         {cr['utc']} AS c_utc, {cr['local']} AS c_wall, {cr['offset']} AS c_off, {gp['utc']} AS g_utc
+  FROM ({EVENTS_TIME_TAGS}) t JOIN z ON t.event_id = z.event_id),
+s1 AS (SELECT * REPLACE (
+         CASE WHEN c_utc IS NOT NULL THEN c_utc ELSE ta END AS ta,
+         CASE WHEN c_utc IS NOT NULL THEN c_wall ELSE ta_wall END AS ta_wall,
+         CASE WHEN c_utc IS NOT NULL THEN coalesce(c_off, 0) ELSE ta_off END AS ta_off) FROM s0),
+s2 AS (SELECT *, (ta IS NULL AND tl IS NULL AND g_utc IS NOT NULL) AS g FROM s1),
+s3 AS (SELECT * REPLACE (CASE WHEN g THEN 'UTC' ELSE tz END AS tz, CASE WHEN g THEN g_utc ELSE ta_wall END AS ta_wall,
+                         CASE WHEN g THEN 0 ELSE ta_off END AS ta_off, CASE WHEN g THEN g_utc ELSE ta END AS ta) FROM s2),
+s4 AS (SELECT *, (ta IS NOT NULL AND tl IS NOT NULL AND abs(ta - tl) > {27 * 3600}) AS far FROM s3),
+s5 AS (SELECT * REPLACE (CASE WHEN far THEN ta ELSE tl END AS tl, CASE WHEN far THEN ta_wall ELSE tl_wall END AS tl_wall,
+                         CASE WHEN far THEN ta_off ELSE tl_off END AS tl_off, CASE WHEN far THEN ta ELSE ta_wall END AS ta_wall)
+       FROM s4),
+s6 AS (SELECT *, (tl IS NOT NULL AND tl_off <> 0) AS has_off FROM s5),
+s7 AS (SELECT *, (NOT has_off AND tl IS NULL AND coalesce(mime IN ('video/mp4', 'video/quicktime'), false)) AS mp4 FROM s6),
+s8 AS (SELECT * REPLACE (CASE WHEN mp4 THEN 'UTC' ELSE tz END AS tz, CASE WHEN mp4 THEN ta ELSE ta_wall END AS ta_wall)
+       FROM s7),
+s9 AS (SELECT * REPLACE (CASE WHEN pos AND zone IS NOT NULL THEN zone ELSE tz END AS tz) FROM s8),
+s10 AS (SELECT *, CASE WHEN tz = '' THEN 'UTC' ELSE tz END AS loc, (pos AND tl IS NOT NULL) AS p_local,
+               (pos AND tl IS NULL AND ta IS NOT NULL) AS p_taken FROM s9),
+s11 AS (SELECT * REPLACE (CASE WHEN p_local THEN {instant_sql('tl_wall', 'loc')} ELSE ta END AS ta,
+                          CASE WHEN p_taken THEN {wall_sql('ta', 'loc')} ELSE tl_wall END AS tl_wall,
+                          CASE WHEN p_taken THEN ta ELSE tl END AS tl) FROM s10),
+s12 AS (SELECT * REPLACE (CASE WHEN tl IS NULL AND ta IS NOT NULL AND tz = '' THEN ta_wall
+                               WHEN tl IS NULL AND ta IS NOT NULL THEN {wall_sql('ta', 'loc')} ELSE tl_wall END AS tl_wall)
+        FROM s11)
+SELECT event_id, ta AS taken_utc, tl_wall AS taken_local, tz AS time_zone,
+       {birth('respect')} AS birth, {birth('reference')} AS birth_reference
+FROM s12
+"""
+
+
+ORACLE["resolve_time"] = _resolve_sql()

@@ -655,3 +655,84 @@ def q_number_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["number_tags"] = q_number_tags
+
+
+# -- zones and taken times ------------------------------------------------------------
+
+# Fixed values of the registered zone queries: the zone of each region.
+REGION_ZONES = {"AFRICA": "Africa/Cairo", "AMERICA": "America/New_York", "ASIA": "Asia/Shanghai",
+                "EUROPE": "Europe/Berlin", "MIDDLE EAST": "Asia/Dubai"}
+
+
+def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One overlapping box per nation (a 5 x 5 grid widened by 2 degrees), zone by region."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.timezones import box_polygon
+    from mediafold.sources.tables import load
+    n = load(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    r = load(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    zone = F.lit("Asia/Dubai")
+    for name, z in REGION_ZONES.items():
+        zone = F.when(F.col("r_name") == name, F.lit(z)).otherwise(zone)
+    k = F.col("n_nationkey")
+    lat0 = F.lit(-90) + (k % 5) * 36 - 2
+    lng0 = F.lit(-180) + F.floor(k / 5) * 72 - 2
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        zone.alias("zone"), k.cast("int").alias("priority"), box_polygon(lat0, lat0 + 40, lng0, lng0 + 76).alias("polygon"))
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.geo import with_lat_lng
+    p = events_position_text(spark, sf_dir)
+    return with_lat_lng(p, "position").select("event_id", "lat", "lng")
+
+
+def q_zone_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators.timezones import zone_lookup
+    return zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id")
+
+
+def events_time_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
+    t, u = F.col("event_type"), F.col("user_id")
+    fmt = "yyyy:MM:dd HH:mm:ss"
+    base = F.date_format("ts", fmt)
+    taken = (F.when(t == "view", base).when(t == "click", F.concat(base, F.lit("+02:00")))
+             .when(t == "purchase", F.lit("")).when(t == "error", F.concat(base, F.lit("Z")))
+             .otherwise(F.concat(base, F.lit("+08:00"))))
+    shifted = F.date_format(F.expr("ts + make_dt_interval(0, CAST(user_id % 50 AS INT), 0, 0)"), fmt)
+    created = F.when(u % 4 == 0, shifted).otherwise(F.lit(""))
+    gps = F.concat(F.date_format(F.expr("ts - make_dt_interval(0, 1, 0, 0)"), fmt), F.lit("Z"))
+    mime = F.when(u % 2 == 0, F.lit("video/mp4")).otherwise(F.lit("image/jpeg"))
+    return e.select("event_id", taken.alias("taken_text"), created.alias("created_text"), gps.alias("gps_text"),
+                    mime.alias("mime"))
+
+
+def q_resolve_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import dates as D
+    from mediafold.functions.geo import has_position
+    from mediafold.operators import timezones as TZ
+    pts = TZ.zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id")
+    tt = events_time_tags(spark, sf_dir).join(pts, "event_id")
+    tt = tt.select("event_id", "mime", "zone", has_position(F.col("lat"), F.col("lng")).alias("has_position"),
+                   D.parse_tag_datetime(F.col("taken_text")).alias("taken"),
+                   D.parse_tag_datetime(F.col("created_text")).alias("created"),
+                   D.parse_tag_datetime(F.col("gps_text")).alias("gps"))
+    r = TZ.resolve_taken_time(tt)
+    off = F.col("taken.offset_text")
+    return r.select("event_id", "taken_utc", "taken_local", "time_zone",
+                    TZ.birth_from_taken(F.col("taken_utc"), F.col("time_zone"), off).alias("birth"),
+                    TZ.birth_from_taken(F.col("taken_utc"), F.col("time_zone"), off,
+                                        offset_policy="reference").alias("birth_reference"))
+
+
+QUERIES["zone_join"] = q_zone_join
+QUERIES["resolve_time"] = q_resolve_time
