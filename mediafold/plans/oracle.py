@@ -1123,3 +1123,31 @@ FROM s12
 
 
 ORACLE["resolve_time"] = _resolve_sql()
+
+
+# -- summaries and the metadata cache ------------------------------------------------------
+
+_LOCAL = "timezone('Asia/Shanghai', to_timestamp(timeborn))"
+ORACLE["catalog_summary"] = f"""
+WITH f AS ({DOC_FILES}),
+p AS (SELECT mimetype, year({_LOCAL}) AS year, month({_LOCAL}) AS month, id, count(*) AS n, min(size) AS size,
+             sum(size) AS bytes
+      FROM f GROUP BY ALL)
+SELECT mimetype, year, month, CAST(sum(n) AS BIGINT) AS files, count(*) AS contents, CAST(sum(bytes) AS BIGINT) AS bytes,
+       CAST(sum((n - 1) * size) AS BIGINT) AS duplicate_bytes
+FROM p GROUP BY mimetype, year, month
+"""
+
+ORACLE["action_counts"] = f"WITH {BACKUP_PLAN_CTES} SELECT action, count(*) AS n FROM plan GROUP BY action"
+
+ORACLE["cache_join"] = f"""
+WITH f AS ({DOC_FILES}),
+cache AS (SELECT {md5_id('text')} AS id, min('{{"FileName": "' || CAST(doc_id AS VARCHAR) || '.txt"}}') AS json
+          FROM documents WHERE lang = 'en' GROUP BY 1),
+meta AS (SELECT id, min(CASE WHEN timebornsrc = 'meta' THEN timeborn END) AS taken_utc FROM f GROUP BY id),
+ids AS (SELECT DISTINCT id FROM f)
+SELECT {id_hex('ids.id')} AS id_hex, CASE WHEN cache.json IS NOT NULL THEN 'cached' ELSE 'extract' END AS status,
+       {id_hex('ids.id')} || '_exiftool.json' AS cache_name, meta.taken_utc,
+       (cache.json IS NULL AND coalesce(year(make_timestamp(meta.taken_utc * 1000000)) > 1900, false)) AS write_cache
+FROM ids LEFT JOIN cache ON ids.id = cache.id JOIN meta ON meta.id = ids.id
+"""

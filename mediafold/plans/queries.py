@@ -736,3 +736,49 @@ def q_resolve_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["zone_join"] = q_zone_join
 QUERIES["resolve_time"] = q_resolve_time
+
+
+# -- summaries and the metadata cache ------------------------------------------------------
+
+def q_catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.operators import facts
+    return facts.catalog_summary(derive.documents_as_files(spark, sf_dir), derive.BACKUP_TZ)
+
+
+def q_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.status_counts(q_backup_plan(spark, sf_dir), "action")
+
+
+def documents_meta_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache entries exist for the English documents' contents."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import digest_id
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).where(F.col("lang") == "en")
+    rows = d.select(digest_id(F.col("text")).alias("id"),
+                    F.concat(F.lit('{"FileName": "'), F.col("doc_id").cast("string"), F.lit('.txt"}')).alias("json"))
+    return rows.groupBy("id").agg(F.min("json").alias("json")).select(
+        "id", F.lit("json").alias("namespace"), F.lit("exiftool.json").alias("key"), "json")
+
+
+def q_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import id_hex
+    from mediafold.operators import metacache
+    files = derive.documents_as_files(spark, sf_dir)
+    looked = metacache.cache_lookup(files, documents_meta_cache(spark, sf_dir))
+    meta = files.groupBy("id").agg(
+        F.min(F.when(F.col("timebornsrc") == "meta", F.col("timeborn"))).alias("taken_utc"))
+    extracted = (looked.where(F.col("status") == "extract").join(meta, "id")
+                 .withColumn("json", F.concat(F.lit('{"taken": '), F.col("taken_utc").cast("string"), F.lit("}"))))
+    writes = metacache.cache_writes(extracted).select("id", F.lit(True).alias("write_cache"))
+    return (looked.join(meta, "id").join(writes, "id", "left")
+            .select(id_hex(F.col("id")).alias("id_hex"), "status", "cache_name", "taken_utc",
+                    F.coalesce(F.col("write_cache"), F.lit(False)).alias("write_cache")))
+
+
+QUERIES["catalog_summary"] = q_catalog_summary
+QUERIES["action_counts"] = q_action_counts
+QUERIES["cache_join"] = q_cache_join
