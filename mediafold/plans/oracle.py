@@ -1151,3 +1151,55 @@ SELECT {id_hex('ids.id')} AS id_hex, CASE WHEN cache.json IS NOT NULL THEN 'cach
        (cache.json IS NULL AND coalesce(year(make_timestamp(meta.taken_utc * 1000000)) > 1900, false)) AS write_cache
 FROM ids LEFT JOIN cache ON ids.id = cache.id JOIN meta ON meta.id = ids.id
 """
+
+
+# -- content types and merged sources ------------------------------------------------------
+
+def _mime_sql() -> str:
+    from mediafold.operators.mime import SIGNATURES, _shapes
+    sig_rows = ", ".join(f"('{t}', '{s}', {o}, {len(h) // 2}, '{h.upper()}', {i})"
+                         for i, (t, s, o, h) in enumerate(SIGNATURES))
+    shape_rows = ", ".join(f"({o}, {n})" for o, n in _shapes())
+    return f"""
+WITH c AS (
+  SELECT page_id, url,
+         CASE WHEN starts_with(url, 'https://m.') THEN 'FFD8FFE0'
+              WHEN contains(url, '.example.org/') THEN '0000001866747970'
+              WHEN starts_with(url, 'http://') THEN '89504E470D0A1A0A' ELSE '' END
+         || hex(encode(left(html, 16))) AS hx
+  FROM pages),
+h AS (SELECT page_id, substr(hx, 1, 32) AS hx FROM c),
+sigs(type, subtype, off, len, sig, priority) AS (VALUES {sig_rows}),
+shapes(off, len) AS (VALUES {shape_rows}),
+probes AS (SELECT h.page_id, s.off, s.len, substr(h.hx, s.off * 2 + 1, s.len * 2) AS sig FROM h, shapes s),
+hit AS (SELECT p.page_id, arg_min({{'t': g.type, 's': g.subtype}}, g.priority) AS m
+        FROM probes p JOIN sigs g ON p.off = g.off AND p.len = g.len AND p.sig = g.sig GROUP BY p.page_id)
+SELECT h.page_id, hit.m.t AS mimetype, hit.m.s AS mimesubtype,
+       coalesce(hit.m.t IN ('video', 'audio', 'image'), false) AS backed_up
+FROM h LEFT JOIN hit ON h.page_id = hit.page_id
+"""
+
+
+ORACLE["mime_signatures"] = _mime_sql()
+
+
+def _nz(e: str) -> str:
+    return f"CASE WHEN trim({e}) <> '' THEN {e} END"
+
+
+ORACLE["merge_sources"] = f"""
+WITH e AS (SELECT doc_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, source AS make,
+                  CASE WHEN lang = 'en' THEN '' ELSE lang END AS description FROM documents),
+j AS (SELECT doc_id, 'Label ' || CAST(doc_id AS VARCHAR) AS title, 'lang-' || CAST(quality AS VARCHAR) AS description,
+             CAST(quality AS VARCHAR) AS rating FROM labels),
+x AS (SELECT doc_id, 'Flagged ' || CAST(doc_id AS VARCHAR) AS title, '' AS make FROM labels WHERE toxic = 1),
+k AS (SELECT doc_id FROM e UNION SELECT doc_id FROM j UNION SELECT doc_id FROM x)
+SELECT k.doc_id,
+       coalesce({_nz('x.title')}, {_nz('e.title')}, {_nz('j.title')}) AS title,
+       coalesce({_nz('x.make')}, {_nz('e.make')}) AS make,
+       coalesce({_nz('e.description')}, {_nz('j.description')}) AS description,
+       {_nz('j.rating')} AS rating,
+       concat_ws(',', CASE WHEN e.doc_id IS NOT NULL THEN 'exif' END, CASE WHEN j.doc_id IS NOT NULL THEN 'json' END,
+                 CASE WHEN x.doc_id IS NOT NULL THEN 'xmp' END) AS sources
+FROM k LEFT JOIN e ON e.doc_id = k.doc_id LEFT JOIN j ON j.doc_id = k.doc_id LEFT JOIN x ON x.doc_id = k.doc_id
+"""

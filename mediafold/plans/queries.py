@@ -782,3 +782,54 @@ def q_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["catalog_summary"] = q_catalog_summary
 QUERIES["action_counts"] = q_action_counts
 QUERIES["cache_join"] = q_cache_join
+
+
+# -- content types and merged sources ------------------------------------------------------
+
+def pages_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page bytes: the html, behind an image/video header on mobile and .org hosts."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    p = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    url = F.col("url")
+    head = (F.when(url.startswith("https://m."), F.unhex(F.lit("FFD8FFE0")))
+            .when(url.contains(".example.org/"), F.unhex(F.lit("0000001866747970")))
+            .when(url.startswith("http://"), F.unhex(F.lit("89504E470D0A1A0A")))
+            .otherwise(F.unhex(F.lit(""))))
+    return p.select("page_id", "url", F.concat(head, F.encode("html", "UTF-8")).alias("content"))
+
+
+def q_mime_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import mime
+    from mediafold.operators.filters import backup_media
+    d = mime.detect(pages_content(spark, sf_dir), "page_id", "content", spark)
+    return d.select("page_id", "mimetype", "mimesubtype",
+                    F.coalesce(backup_media("mimetype"), F.lit(False)).alias("backed_up"))
+
+
+def q_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exif-like fields from documents, JSON from labels, XMP from toxic labels."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.merge import merge_sources
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "lang", "source"])
+    lab = load(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    exif = d.select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"),
+                    F.col("source").alias("make"),
+                    F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")).alias("description"))
+    js = lab.select("doc_id", F.concat(F.lit("Label "), F.col("doc_id").cast("string")).alias("title"),
+                    F.concat(F.lit("lang-"), F.col("quality").cast("string")).alias("description"),
+                    F.col("quality").cast("string").alias("rating"))
+    xmp = lab.where(F.col("toxic") == 1).select(
+        "doc_id", F.concat(F.lit("Flagged "), F.col("doc_id").cast("string")).alias("title"),
+        F.lit("").alias("make"))
+    return merge_sources([("exif", exif, "fill"), ("json", js, "fill"), ("xmp", xmp, "overwrite")],
+                         "doc_id", ["title", "make", "description", "rating"])
+
+
+QUERIES["mime_signatures"] = q_mime_signatures
+QUERIES["merge_sources"] = q_merge_sources
