@@ -1203,3 +1203,53 @@ SELECT k.doc_id,
                  CASE WHEN x.doc_id IS NOT NULL THEN 'xmp' END) AS sources
 FROM k LEFT JOIN e ON e.doc_id = k.doc_id LEFT JOIN j ON j.doc_id = k.doc_id LEFT JOIN x ON x.doc_id = k.doc_id
 """
+
+
+# -- sidecars ---------------------------------------------------------------------------
+
+def _json_str_sql(e: str) -> str:
+    return (f"replace(replace(replace(replace(replace({e}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), "
+            f"chr(13), '\\r'), chr(9), '\\t')")
+
+
+_T = _json_str_sql("text")
+CONVERSATION_SIDECARS = f"""
+  SELECT conv_id, turn, CASE
+    WHEN conv_id % 5 = 0 THEN '[{{"ExifToolVersion": 12.4, "Title": "' || {_T} || '"}}]'
+    WHEN role = 'user' THEN '{{"title": "' || {_T} || '", "description": "' || role || '", "imageViews": "'
+         || CAST(turn * 3 AS VARCHAR) || '", "photoTakenTime": {{"timestamp": "'
+         || CAST(1600000000 + conv_id * 86400 + turn * 3600 AS VARCHAR) || '", "formatted": ""}}, "geoData": {{"latitude": '
+         || CASE WHEN turn % 3 = 0 THEN '0.0' ELSE CAST((conv_id % 170) - 85 AS VARCHAR) END || ', "longitude": '
+         || CAST((conv_id * 7 % 360) - 180 AS VARCHAR) || ', "altitude": ' || CAST(turn * 10 AS VARCHAR) || '.75}}}}'
+    WHEN role = 'assistant' THEN '{{"albumData": {{"title": "' || CASE WHEN turn % 4 = 1 THEN '' ELSE {_T} END
+         || '", "description": ""}}}}'
+    ELSE '{{"unknown": 1}}' END AS doc
+  FROM conversations
+"""
+
+_PHOTO = ("json_transform(doc, '{\"title\": \"VARCHAR\", \"description\": \"VARCHAR\", \"imageViews\": \"VARCHAR\", "
+          "\"photoTakenTime\": {\"timestamp\": \"VARCHAR\"}, \"geoData\": {\"latitude\": \"DOUBLE\", "
+          "\"longitude\": \"DOUBLE\", \"altitude\": \"DOUBLE\"}}')")
+ORACLE["sidecar_kinds"] = f"""
+WITH s AS (SELECT *, CASE WHEN contains(doc, 'ExifToolVersion') THEN 'exiftool' WHEN contains(doc, 'albumData') THEN 'album'
+                          WHEN contains(doc, 'photoTakenTime') THEN 'photo' ELSE 'unknown' END AS kind
+           FROM ({CONVERSATION_SIDECARS})),
+p AS (SELECT *, CASE WHEN kind = 'photo' THEN {_PHOTO} END AS j,
+             CASE WHEN kind = 'album' THEN json_extract_string(doc, '$.albumData.title') END AS atitle FROM s),
+q AS (SELECT *, {g9('j.title')} AS st, {g10('j.description')} AS sd,
+             CASE WHEN regexp_matches(j.imageViews, '^[0-9]+$') THEN TRY_CAST(j.imageViews AS INTEGER) END AS v,
+             CASE WHEN regexp_matches(coalesce(struct_extract(j.photoTakenTime, 'timestamp'), ''), '^[0-9]+$')
+                  THEN TRY_CAST(struct_extract(j.photoTakenTime, 'timestamp') AS BIGINT) END AS ep,
+             coalesce(j.geoData.latitude <> 0 AND j.geoData.longitude <> 0, false) AS hp
+      FROM p)
+SELECT conv_id, turn, kind,
+       CASE WHEN kind = 'photo' AND st <> '' THEN st END AS title,
+       CASE WHEN kind = 'photo' AND sd <> '' THEN sd END AS description,
+       CASE WHEN kind = 'photo' AND v > 0 THEN v END AS views,
+       CASE WHEN kind = 'photo' AND ep > 0 THEN ep END AS taken_utc,
+       CASE WHEN kind = 'photo' AND hp THEN CAST(j.geoData.latitude AS FLOAT) END AS lat,
+       CASE WHEN kind = 'photo' AND hp THEN CAST(j.geoData.longitude AS FLOAT) END AS lng,
+       CASE WHEN kind = 'photo' AND hp THEN TRY_CAST(trunc(j.geoData.altitude) AS INTEGER) END AS altitude,
+       CASE WHEN kind = 'album' AND trim(coalesce(atitle, '')) <> '' THEN atitle END AS album
+FROM q
+"""

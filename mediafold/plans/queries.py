@@ -833,3 +833,58 @@ def q_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["mime_signatures"] = q_mime_signatures
 QUERIES["merge_sources"] = q_merge_sources
+
+
+# -- sidecars ---------------------------------------------------------------------
+
+def _json_str(c):
+    """Text as a JSON string body (backslash, quote and control characters escaped)."""
+    from pyspark.sql import functions as F
+    e = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for a, b in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        e = F.replace(e, F.lit(a), F.lit(b))
+    return e
+
+
+def conversation_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sidecar document per conversation turn: user turns are photo sidecars,
+    assistant turns album sidecars, every fifth conversation tool tags, system turns unknown."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    c = load(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    k = F.col("conv_id")
+    t = _json_str(F.col("text"))
+    epoch = (F.lit(1_600_000_000) + k * 86_400 + F.col("turn") * 3_600).cast("string")
+    lat = F.when(F.col("turn") % 3 == 0, F.lit("0.0")).otherwise(((k % 170) - 85).cast("string"))
+    lng = ((k * 7 % 360) - 180).cast("string")
+    photo = F.concat(F.lit('{"title": "'), t, F.lit('", "description": "'), F.col("role"),
+                     F.lit('", "imageViews": "'), (F.col("turn") * 3).cast("string"),
+                     F.lit('", "photoTakenTime": {"timestamp": "'), epoch,
+                     F.lit('", "formatted": ""}, "geoData": {"latitude": '), lat, F.lit(', "longitude": '), lng,
+                     F.lit(', "altitude": '), (F.col("turn") * 10).cast("string"), F.lit(".75}}"))
+    album = F.concat(F.lit('{"albumData": {"title": "'),
+                     F.when(F.col("turn") % 4 == 1, F.lit("")).otherwise(t), F.lit('", "description": ""}}'))
+    tool = F.concat(F.lit('[{"ExifToolVersion": 12.4, "Title": "'), t, F.lit('"}]'))
+    role = F.col("role")
+    doc = (F.when(k % 5 == 0, tool).when(role == "user", photo).when(role == "assistant", album)
+           .otherwise(F.lit('{"unknown": 1}')))
+    return c.select("conv_id", "turn", doc.alias("doc"))
+
+
+def q_sidecar_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.tags import json_kind
+    from mediafold.sources import sidecars
+    s = conversation_sidecars(spark, sf_dir).withColumn("kind", json_kind(F.col("doc")))
+    ph = sidecars.photo_fields(F.col("doc"))
+    s = s.withColumn("p", F.when(F.col("kind") == "photo", ph))
+    return s.select("conv_id", "turn", "kind", F.col("p.title").alias("title"),
+                    F.col("p.description").alias("description"), F.col("p.views").alias("views"),
+                    F.col("p.taken_utc").alias("taken_utc"), F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"),
+                    F.col("p.altitude").alias("altitude"),
+                    F.when(F.col("kind") == "album", sidecars.album_title(F.col("doc"))).alias("album"))
+
+
+QUERIES["sidecar_kinds"] = q_sidecar_kinds
