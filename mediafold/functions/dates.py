@@ -130,3 +130,22 @@ def photo_epoch_time(epoch_text: Column, zone: Column | None = None) -> Column:
     if zone is None:
         return t
     return F.when(F.coalesce(zone, F.lit("")) == "", t).otherwise(instant_from_wall_clock(t, zone))
+
+
+def exif_taken(texts: list[Column], gps_utc: Column, zone: Column | None = None,
+               parsed: bool = False) -> Column:
+    """First valid of the Exif date-time tags, read in the place's zone
+    when one is known (an explicit offset in the text wins); else the GPS time.
+
+    With ``parsed`` the inputs are already :func:`parse_tag_datetime` structs
+    (stage them as columns on wide frames)."""
+    vals = []
+    for t in texts:
+        p = t if parsed else parse_tag_datetime(t)
+        if zone is None:
+            vals.append(p["utc"])
+        else:
+            in_zone = F.when(F.coalesce(zone, F.lit("")) == "", p["utc"]).otherwise(
+                instant_from_wall_clock(p["local"], zone))
+            vals.append(F.when(p["offset"].isNotNull(), p["utc"]).otherwise(in_zone))
+    return F.coalesce(*vals, gps_utc)

@@ -1253,3 +1253,57 @@ SELECT conv_id, turn, kind,
        CASE WHEN kind = 'album' AND trim(coalesce(atitle, '')) <> '' THEN atitle END AS album
 FROM q
 """
+
+
+# -- taken dates -------------------------------------------------------------------------------
+
+def _xmp_sql(v: str) -> str:
+    rfc = "^(\\d{4})-(\\d{2})-(\\d{2})T(\\d{2}):(\\d{2}):(\\d{2})(?:\\.(\\d+))?(Z|[+\\-]\\d{2}:\\d{2})$"
+    loc = "^(\\d{4})-(\\d{2})-(\\d{2})T(\\d{2}):(\\d{2}):(\\d{2})(?:\\.(\\d+))?$"
+    t = f"trim(coalesce({v}, ''))"
+    as_tag = f"regexp_replace({t}, '^(\\d{{4}})-(\\d{{2}})-(\\d{{2}})T', '\\1:\\2:\\3 ')"
+    full = tag_datetime_sql(f"(CASE WHEN regexp_matches({t}, '{rfc}') OR regexp_matches({t}, '{loc}') THEN {as_tag} END)")
+    f19 = tag_datetime_sql(f"regexp_replace(substr({t}, 1, 19), '^(\\d{{4}})-(\\d{{2}})-(\\d{{2}})T', '\\1:\\2:\\3 ')")
+    return f"coalesce({full['utc']}, {f19['utc']})"
+
+
+def _exif_taken_sql(texts: list[str], gps: str, zone: str) -> str:
+    vals = []
+    for t in texts:
+        d = tag_datetime_sql(t)
+        in_zone = f"CASE WHEN coalesce({zone}, '') = '' THEN {d['utc']} ELSE {instant_sql(d['local'], zone)} END"
+        vals.append(f"CASE WHEN {d['offset']} IS NOT NULL THEN {d['utc']} ELSE {in_zone} END")
+    return f"coalesce({', '.join(vals)}, {gps})"
+
+
+def _taken_dates_sql() -> str:
+    exif = _exif_taken_sql(["dto", "CAST(NULL AS VARCHAR)", "cdt"], "gps", "zone")
+    day = "(CAST(floor(exif_utc / 86400) AS BIGINT) * 86400)"
+    shift = f"({day} - {instant_sql(day, "'Asia/Chongqing'")})"
+    birth = (f"CASE WHEN year(make_timestamp(exif_utc * 1000000)) > 1900 THEN "
+             f"CASE WHEN coalesce(zone, '') <> '' THEN exif_utc ELSE exif_utc - {shift} END END")
+    return f"""
+WITH z AS (SELECT event_id, zone FROM ({ZONED_POINTS})),
+x AS (
+  SELECT e.event_id, z.zone, e.event_type,
+    CASE e.event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+01:00'
+         WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') WHEN 'purchase' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+         WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' extra' ELSE 'garbage' END AS xmp_text,
+    CASE WHEN e.event_type = 'view' THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS dto,
+    CASE WHEN e.event_type IN ('click', 'error') THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS cdt,
+    CASE WHEN e.event_type = 'purchase' THEN CAST(floor(epoch(ts)) AS BIGINT) - 60 END AS gps,
+    CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) AS epoch_text
+  FROM events e JOIN z ON e.event_id = z.event_id),
+y AS (
+  SELECT event_id, zone, {_xmp_sql('xmp_text')} AS xmp_utc,
+    CASE WHEN ep > 0 THEN CASE WHEN coalesce(pz, '') = '' THEN ep ELSE {instant_sql('ep', 'pz')} END END AS photo_utc,
+    {exif} AS exif_utc
+  FROM (SELECT *, CASE WHEN regexp_matches(epoch_text, '^[0-9]+$') THEN TRY_CAST(epoch_text AS BIGINT) END AS ep,
+               CASE WHEN event_type = 'click' THEN zone END AS pz FROM x))
+SELECT event_id, xmp_utc, photo_utc, exif_utc, {birth} AS birth,
+       CASE WHEN ({birth}) IS NOT NULL THEN 'meta' END AS birth_src
+FROM y
+"""
+
+
+ORACLE["taken_dates"] = _taken_dates_sql()

@@ -888,3 +888,44 @@ def q_sidecar_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["sidecar_kinds"] = q_sidecar_kinds
+
+
+# -- taken dates from several sources -------------------------------------------------------
+
+def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mediafold.functions import dates as D
+    from mediafold.operators import timezones as TZ
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
+    z = TZ.zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id").select(
+        "event_id", "zone")
+    t = F.col("event_type")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    xmp = (F.when(t == "view", F.concat(iso, F.lit("+01:00")))
+           .when(t == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+           .when(t == "purchase", F.concat(iso, F.lit("Z")))
+           .when(t == "error", F.concat(iso, F.lit(" extra"))).otherwise(F.lit("garbage")))
+    tag = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    dto = F.when(t == "view", tag)
+    cdt = F.when(t.isin("click", "error"), tag)
+    gps = F.when(t == "purchase", F.unix_timestamp("ts") - 60)
+    x = e.join(z, "event_id").select(
+        "event_id", "zone", xmp.alias("xmp_text"), dto.alias("dto"), cdt.alias("cdt"), gps.alias("gps"),
+        F.unix_timestamp("ts").cast("string").alias("epoch_text"), t.alias("event_type"))
+    # Parsed date-times are staged as columns (each is read several times below).
+    x = x.select("*", D.parse_tag_datetime(F.col("dto")).alias("dto_p"),
+                 D.parse_tag_datetime(F.col("cdt")).alias("cdt_p"),
+                 D.parse_xmp_date(F.col("xmp_text")).alias("xmp_utc"))
+    photo_zone = F.when(F.col("event_type") == "click", F.col("zone"))
+    photo = D.photo_epoch_time(F.col("epoch_text"), photo_zone)
+    none = D.parse_tag_datetime(F.lit(None).cast("string"))
+    exif = D.exif_taken([F.col("dto_p"), none, F.col("cdt_p")], F.col("gps"), F.col("zone"), parsed=True)
+    y = x.select("event_id", "zone", "xmp_utc", photo.alias("photo_utc"), exif.alias("exif_utc"))
+    birth = TZ.birth_from_taken(F.col("exif_utc"), F.coalesce(F.col("zone"), F.lit("")), F.lit(None))
+    return y.select("event_id", "xmp_utc", "photo_utc", "exif_utc", birth.alias("birth"),
+                    F.when(birth.isNotNull(), F.lit("meta")).alias("birth_src"))
+
+
+QUERIES["taken_dates"] = q_taken_dates
