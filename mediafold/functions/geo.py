@@ -11,7 +11,7 @@ from mediafold.functions.numbers import FLOAT_PATTERN
 # Coordinate number and hemisphere patterns.
 COORD_NUMBER_PATTERN = r"[0-9\.]+"
 REF_PATTERN = r"[NSEW]+"
-CELL_LEVEL = 21
+CELL_LEVEL = 21  # fixed value: level of the place key
 
 
 def _float0(s: Column) -> Column:
@@ -72,38 +72,67 @@ def has_time_and_place(taken: Column, lat: Column, lng: Column) -> Column:
     return taken.isNotNull() & has_position(lat, lng)
 
 
-def _cell_batch(lat, lng):
-    """Vectorised cube-face quad-tree cell token of (lat, lng) at level 21.
+# Fixed values of the S2 cell construction: Hilbert-curve position of each
+# (i, j) quadrant per orientation, and the orientation change per position.
+_IJ_TO_POS = [[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]]
+_POS_TO_ORIENTATION = [1, 0, 0, 3]
+_MAX_LEVEL = 30
+
+
+def s2_cell_ids(lat_deg, lng_deg, level: int = CELL_LEVEL):
+    """S2 cell ids (uint64) of points at ``level``, vectorised with numpy.
 
-    Face + quad-tree id from a linear cube projection (not S2's Hilbert order,
-    so tokens are not S2 tokens); the token is the id in hex without trailing
-    zeros, prefixed ``s2:``.  Runs per Arrow batch with numpy; used as a
-    grouping key for place rollups.
+    Cube face of the largest coordinate, face (u, v), quadratic (s, t)
+    transform, 30-bit (i, j), Hilbert-curve order, then the parent at
+    ``level``.
     """
     import numpy as np
-    import pandas as pd
 
-    la = np.radians(lat.to_numpy(dtype="float64"))
-    lo = np.radians(lng.to_numpy(dtype="float64"))
+    la, lo = np.radians(lat_deg), np.radians(lng_deg)
     x, y, z = np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)
-    pts = np.stack([x, y, z], axis=1)
-    face = np.argmax(np.abs(pts), axis=1)
-    neg = pts[np.arange(len(pts)), face] < 0
-    face = np.where(neg, face + 3, face)
-    ax = np.abs(pts[np.arange(len(pts)), face % 3])
-    u = np.where(face % 3 == 0, y, np.where(face % 3 == 1, -x, -x)) / np.where(ax == 0, 1, ax)
-    v = np.where(face % 3 == 0, z, np.where(face % 3 == 1, z, y)) / np.where(ax == 0, 1, ax)
-    n = 1 << CELL_LEVEL
-    i = np.clip(((u + 1) / 2 * n).astype(np.int64), 0, n - 1)
-    j = np.clip(((v + 1) / 2 * n).astype(np.int64), 0, n - 1)
-    cell = np.zeros(len(pts), dtype=np.uint64)
-    for b in range(CELL_LEVEL - 1, -1, -1):
-        cell = (cell << np.uint64(2)) | (((i >> b) & 1) << 1 | ((j >> b) & 1)).astype(np.uint64)
-    ids = (face.astype(np.uint64) << np.uint64(61)) | (cell << np.uint64(61 - 2 * CELL_LEVEL)) \
-        | (np.uint64(1) << np.uint64(60 - 2 * CELL_LEVEL))
-    out = ["s2:" + format(int(c), "016x").rstrip("0") for c in ids]
-    zero = (lat.to_numpy() == 0) | (lng.to_numpy() == 0)
-    return pd.Series([None if z_ else o for o, z_ in zip(out, zero)])
+    ax, ay, az = np.abs(x), np.abs(y), np.abs(z)
+    axis = np.where((ax >= ay) & (ax >= az), 0, np.where(ay >= az, 1, 2))
+    comp = np.choose(axis, [x, y, z])
+    face = np.where(comp < 0, axis + 3, axis)
+    # face (u, v)
+    u = np.choose(face, [y / x, -x / y, -x / z, z / x, z / y, -y / z])
+    v = np.choose(face, [z / x, z / y, -y / z, y / x, -x / y, -x / z])
+
+    def st(w):
+        return np.where(w >= 0, 0.5 * np.sqrt(1 + 3 * w), 1 - 0.5 * np.sqrt(1 - 3 * w))
+
+    n = 1 << _MAX_LEVEL
+    i = np.clip(np.floor(st(u) * n), 0, n - 1).astype(np.int64)
+    j = np.clip(np.floor(st(v) * n), 0, n - 1).astype(np.int64)
+    ij_to_pos = np.array(_IJ_TO_POS, dtype=np.int64)
+    pos_to_or = np.array(_POS_TO_ORIENTATION, dtype=np.int64)
+    orient = face.astype(np.int64) & 1
+    pos_bits = np.zeros(len(i), dtype=np.uint64)
+    for b in range(_MAX_LEVEL - 1, -1, -1):
+        quad = (((i >> b) & 1) << 1) | ((j >> b) & 1)
+        pos = ij_to_pos[orient, quad]
+        pos_bits = (pos_bits << np.uint64(2)) | pos.astype(np.uint64)
+        orient = orient ^ pos_to_or[pos]
+    leaf = (face.astype(np.uint64) << np.uint64(61)) | (pos_bits << np.uint64(1)) | np.uint64(1)
+    lsb = np.uint64(1) << np.uint64(2 * (_MAX_LEVEL - level))
+    return (leaf & ~(lsb - np.uint64(1)) & ~lsb) | lsb
+
+
+def s2_token(cell_id: int) -> str:
+    return format(int(cell_id), "016x").rstrip("0") or "X"
+
+
+def _cell_batch(lat, lng):
+    """Arrow batch -> ``s2:`` tokens (NULL without a position)."""
+    import numpy as np
+    import pandas as pd
+
+    la = lat.to_numpy(dtype="float64")
+    lo = lng.to_numpy(dtype="float64")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ids = s2_cell_ids(la, lo)
+    zero = (la == 0) | (lo == 0) | np.isnan(la) | np.isnan(lo)
+    return pd.Series([None if zz else "s2:" + s2_token(c) for c, zz in zip(ids, zero)])
 
 
 _cell_udf = F.pandas_udf(_cell_batch, T.StringType())

@@ -1307,3 +1307,20 @@ FROM y
 
 
 ORACLE["taken_dates"] = _taken_dates_sql()
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+ORACLE["stream_index"] = f"""
+SELECT '/stream/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.evt' AS name,
+       'user' || CAST(user_id % 8 AS VARCHAR) AS hostname,
+       {md5_id("event_type || ':' || CAST(user_id AS VARCHAR)")} AS id,
+       CAST(floor(value * 100) AS BIGINT) AS size, CAST(floor(epoch(ts)) AS BIGINT) AS timemodified,
+       CAST(floor(epoch(ts)) AS BIGINT) AS timeborn, 'stat' AS timebornsrc, 'application' AS mimetype,
+       'octet-stream' AS mimesubtype
+FROM events
+"""
+
+ORACLE["stream_dedupe"] = f"""
+SELECT DISTINCT substr(md5(event_type || ':' || CAST(user_id AS VARCHAR)), 1, 16) AS id_hex FROM events
+"""

@@ -929,3 +929,69 @@ def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["taken_dates"] = q_taken_dates
+
+
+# -- place cells and streams ----------------------------------------------------------------
+
+def q_cell_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per level-21 place cell (Arrow pandas UDF for the cell id)."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.geo import cell_token
+    p = event_points(spark, sf_dir).withColumn("cell", cell_token(F.col("lat"), F.col("lng")))
+    return p.where(F.col("cell").isNotNull()).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n_points"), F.min("event_id").alias("first_event"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediafold.sources.tables import load
+    schema = load(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
+def events_as_catalog_rows(stream: DataFrame) -> DataFrame:
+    """Each event is a file on the user's host; content id from type and user."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import digest_id
+    return stream.select(
+        F.concat(F.lit("/stream/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"),
+                 F.lit(".evt")).alias("name"),
+        F.concat(F.lit("user"), (F.col("user_id") % 8).cast("string")).alias("hostname"),
+        digest_id(F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))).alias("id"),
+        F.floor(F.col("value") * 100).cast("bigint").alias("size"),
+        F.unix_timestamp("ts").cast("bigint").alias("timemodified"),
+        F.unix_timestamp("ts").cast("bigint").alias("timeborn"),
+        F.lit("stat").alias("timebornsrc"), F.lit("application").alias("mimetype"),
+        F.lit("octet-stream").alias("mimesubtype"),
+        # event time for the watermark (the table stores wall-clock NTZ; the session zone is UTC)
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+def q_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file streamed (availableNow) into a catalog via foreachBatch upserts."""
+    from mediafold.streaming import stream_index as S
+    root = S.scratch_root(spark, "stream-index")
+    q = S.start_index_stream(events_stream(spark, sf_dir), lambda s: events_as_catalog_rows(s).drop("ts"),
+                             f"{root}/catalog", f"{root}/_checkpoint")
+    q.awaitTermination()
+    return S.latest_catalog(spark, f"{root}/catalog")
+
+
+def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content ids as first seen by the streaming dedupe."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import id_hex
+    from mediafold.streaming import stream_index as S
+    root = S.scratch_root(spark, "stream-dedupe")
+    q = S.start_dedupe_stream(events_stream(spark, sf_dir), events_as_catalog_rows, f"{root}/out",
+                              f"{root}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(id_hex(F.col("id")).alias("id_hex"))
+
+
+QUERIES["cell_rollup"] = q_cell_rollup
+QUERIES["stream_index"] = q_stream_index
+QUERIES["stream_dedupe"] = q_stream_dedupe
