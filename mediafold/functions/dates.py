@@ -70,6 +70,14 @@ def parse_tag_datetime(s: Column) -> Column:
     return tag_datetime_from_parts(tag_datetime_parts(s))
 
 
+def with_tag_datetime(df, text_col: str, out: str):
+    """H25 on a DataFrame, staged: the regex runs once per row in one
+    projection and the struct fields read that column in the next."""
+    tmp = f"__{out}_parts"
+    return (df.withColumn(tmp, tag_datetime_parts(F.col(text_col)))
+              .withColumn(out, tag_datetime_from_parts(F.col(tmp))).drop(tmp))
+
+
 def wall_clock_in_zone(utc_seconds: Column, zone: Column | str) -> Column:
     """Wall clock (as if UTC) of an instant seen in ``zone``."""
     z = F.lit(zone) if isinstance(zone, str) else zone

@@ -61,8 +61,14 @@ CODEC_AVC = "avc1"
 CODEC_JPEG = "jpeg"
 
 
+# The same characters, spelled out for ``btrim`` (no regex on the hot path).
+SPACE_CHARS = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def trim_space(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    """Go's TrimSpace: Unicode white space removed at both ends (native ``btrim``)."""
+    return F.btrim(s, F.lit(SPACE_CHARS))
 
 
 def sanitize_string(s: Column) -> Column:
@@ -111,9 +117,20 @@ def add_keywords(current: Column, s: Column) -> Column:
 
 
 def auto_keywords(s: Column) -> Column:
-    """The automatic keywords contained in the lower-cased text."""
+    """The automatic keywords contained in the lower-cased text.
+
+    One ``instr`` per keyword on the same lower-cased text; the text is a
+    common subexpression of the always-evaluated conditions, so it is
+    computed once per row (a lambda over the keyword array would recompute
+    it per keyword).
+    """
     low = F.lower(sanitize_meta(s))
-    return F.filter(F.array(*[F.lit(w) for w in AUTO_KEYWORDS]), lambda w: F.instr(low, w) > 0)
+    return F.array_compact(F.array(*[F.when(F.instr(low, F.lit(w)) > 0, F.lit(w)) for w in AUTO_KEYWORDS]))
+
+
+def auto_keywords_lower(low: Column) -> Column:
+    """G12 on text that is already cleaned (G11) and lower-cased."""
+    return F.array_compact(F.array(*[F.when(F.instr(low, F.lit(w)) > 0, F.lit(w)) for w in AUTO_KEYWORDS]))
 
 
 def keywords_string(k: Column) -> Column:

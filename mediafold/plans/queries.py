@@ -384,8 +384,11 @@ def q_keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages_titles(spark, sf_dir).select(
         F.lit("pages").alias("source"), F.col("page_id").alias("key"), F.col("title_text").alias("body"))
     both = docs.unionByName(pages)
-    auto = X.auto_keywords(F.col("body"))
-    kw = F.array_sort(F.array_distinct(F.concat(X.keyword_words(F.col("body")), auto)))
+    # the cleaned lower-case text is staged once; words and automatic keywords both read it
+    both = both.withColumn("low", F.lower(X.sanitize_meta(F.col("body"))))
+    auto = X.auto_keywords_lower(F.col("low"))
+    kw = F.array_sort(F.array_distinct(F.concat(
+        F.regexp_extract_all(F.col("low"), F.lit(X.WORD_PATTERN), 0), auto)))
     return both.select("source", "key", X.keywords_string(kw).alias("keywords"),
                        F.size(kw).alias("n_keywords"), X.keywords_string(auto).alias("auto_keywords"),
                        F.when(F.array_contains(auto, "hdr"), 3).otherwise(0).alias("image_type"))
@@ -641,7 +644,7 @@ def q_number_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.functions import dates as D
     from mediafold.functions import numbers as N
     from mediafold.functions.names import to_int
-    t = lineitem_number_texts(spark, sf_dir).withColumn("dt", D.parse_tag_datetime(F.col("dt_text")))
+    t = D.with_tag_datetime(lineitem_number_texts(spark, sf_dir), "dt_text", "dt")
     return t.select(
         "l_orderkey", "l_linenumber",
         to_int(F.col("int_text")).alias("int_value"),
@@ -723,9 +726,9 @@ def q_resolve_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = TZ.zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id")
     tt = events_time_tags(spark, sf_dir).join(pts, "event_id")
     tt = tt.select("event_id", "mime", "zone", has_position(F.col("lat"), F.col("lng")).alias("has_position"),
-                   D.parse_tag_datetime(F.col("taken_text")).alias("taken"),
-                   D.parse_tag_datetime(F.col("created_text")).alias("created"),
-                   D.parse_tag_datetime(F.col("gps_text")).alias("gps"))
+                   "taken_text", "created_text", "gps_text")
+    for src, out in (("taken_text", "taken"), ("created_text", "created"), ("gps_text", "gps")):
+        tt = D.with_tag_datetime(tt, src, out)
     r = TZ.resolve_taken_time(tt)
     off = F.col("taken.offset_text")
     return r.select("event_id", "taken_utc", "taken_local", "time_zone",
@@ -915,9 +918,8 @@ def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "zone", xmp.alias("xmp_text"), dto.alias("dto"), cdt.alias("cdt"), gps.alias("gps"),
         F.unix_timestamp("ts").cast("string").alias("epoch_text"), t.alias("event_type"))
     # Parsed date-times are staged as columns (each is read several times below).
-    x = x.select("*", D.parse_tag_datetime(F.col("dto")).alias("dto_p"),
-                 D.parse_tag_datetime(F.col("cdt")).alias("cdt_p"),
-                 D.parse_xmp_date(F.col("xmp_text")).alias("xmp_utc"))
+    x = D.with_tag_datetime(D.with_tag_datetime(x, "dto", "dto_p"), "cdt", "cdt_p")
+    x = x.withColumn("xmp_utc", D.parse_xmp_date(F.col("xmp_text")))
     photo_zone = F.when(F.col("event_type") == "click", F.col("zone"))
     photo = D.photo_epoch_time(F.col("epoch_text"), photo_zone)
     none = D.parse_tag_datetime(F.lit(None).cast("string"))

@@ -17,6 +17,10 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A tag that appears twice in one JSON document: the later value wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Job-level codegen tuning (no effect on results): HotSpot does not
+    # JIT-compile methods over 8000 bytes of bytecode, so wider whole-stage
+    # codegen stages fall back to per-expression code, which is compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Settings that matter for scale; applied when the session does not set them.
