@@ -157,3 +157,15 @@ def exif_taken(texts: list[Column], gps_utc: Column, zone: Column | None = None,
                 instant_from_wall_clock(p["local"], zone))
             vals.append(F.when(p["offset"].isNotNull(), p["utc"]).otherwise(in_zone))
     return F.coalesce(*vals, gps_utc)
+
+
+def with_xmp_date(df, text_col: str, out: str):
+    """H26 on a DataFrame, staged (each regex once per row): ``out`` = instant or NULL."""
+    v = F.trim(F.coalesce(F.col(text_col), F.lit("")))
+    iso_head = r"^(\d{4})-(\d{2})-(\d{2})T"
+    full_text = F.when(v.rlike(XMP_RFC3339) | v.rlike(XMP_LOCAL), F.regexp_replace(v, iso_head, "$1:$2:$3 "))
+    first19 = F.regexp_replace(F.substring(v, 1, 19), iso_head, "$1:$2:$3 ")
+    a, b = f"__{out}_full", f"__{out}_19"
+    df = df.withColumn(a, tag_datetime_parts(full_text)).withColumn(b, tag_datetime_parts(first19))
+    return df.withColumn(out, F.coalesce(tag_datetime_from_parts(F.col(a))["utc"],
+                                         tag_datetime_from_parts(F.col(b))["utc"])).drop(a, b)

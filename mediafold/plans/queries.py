@@ -919,7 +919,7 @@ def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_timestamp("ts").cast("string").alias("epoch_text"), t.alias("event_type"))
     # Parsed date-times are staged as columns (each is read several times below).
     x = D.with_tag_datetime(D.with_tag_datetime(x, "dto", "dto_p"), "cdt", "cdt_p")
-    x = x.withColumn("xmp_utc", D.parse_xmp_date(F.col("xmp_text")))
+    x = D.with_xmp_date(x, "xmp_text", "xmp_utc")
     photo_zone = F.when(F.col("event_type") == "click", F.col("zone"))
     photo = D.photo_epoch_time(F.col("epoch_text"), photo_zone)
     none = D.parse_tag_datetime(F.lit(None).cast("string"))
