@@ -168,3 +168,77 @@ def filez_rows(done: DataFrame, backups: DataFrame | None) -> DataFrame:
     kept = backups.join(new.select("id"), "id", "left_anti").select(*cols).withColumn(
         "status", F.lit("ok"))
     return kept.unionByName(new)
+
+
+EXECUTE_SCHEMA = "id long, dest string, path_final string, status string"
+
+
+def _execute_partition(batches):
+    import os
+    import shutil
+
+    import numpy as np
+    import pandas as pd
+    import xxhash
+
+    def xxh3(path):
+        h = xxhash.xxh3_64()
+        with open(path, "rb") as fh:
+            for chunk in iter(lambda: fh.read(8 * 1024 * 1024), b""):
+                h.update(chunk)
+        return int(np.uint64(h.intdigest()).astype(np.int64))
+
+    def hexid(i):
+        return format(int(i) & 0xFFFFFFFFFFFFFFFF, "016x")
+
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            status, final = "failed", None
+            try:
+                if r.action == "move":
+                    os.makedirs(os.path.dirname(r.dest), exist_ok=True)
+                    try:
+                        os.replace(r.backup_name, r.dest)
+                        final, status = r.dest, "moved"
+                    except OSError:
+                        status = "move_failed"
+                if r.action in ("copy", "move") and final is None and r.source_name:
+                    if os.path.exists(r.dest) and xxh3(r.dest) == r.id:
+                        final, status = r.dest, "present"
+                    else:
+                        st = os.stat(r.source_name)
+                        if st.st_size == r.size and round(st.st_mtime) == r.source_mtime:
+                            os.makedirs(os.path.dirname(r.dest), exist_ok=True)
+                            tmp = f"{r.dest}-{hexid(r.id)}.tmp"
+                            shutil.copy2(r.source_name, tmp)       # keeps mode and mtime
+                            if xxh3(tmp) == r.id:
+                                os.replace(tmp, r.dest)
+                                final, status = r.dest, "copied"
+                            else:
+                                os.remove(tmp)
+                                status = "verify_failed"
+                        else:
+                            status = "source_changed"
+            except OSError as e:
+                status = f"failed: {e.__class__.__name__}"
+            out.append((r.id, r.dest, final, status))
+        yield pd.DataFrame(out, columns=["id", "dest", "path_final", "status"])
+
+
+def execute_plan(plan: DataFrame, sources: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Carry out ``copy`` and ``move`` actions on shared storage.
+
+    ``sources`` is :func:`copy_sources` output.  Each task copies to a
+    temporary name (mode and mtime kept), re-hashes, then renames; the
+    destination owner was fixed by the plan, so no two tasks write one path.
+    Returns ``(id, dest, path_final, status)``; a failed copy can be retried
+    by calling :func:`copy_sources` with the failed source excluded.
+    """
+    todo = (plan.where(F.col("action").isin("copy", "move"))
+            .join(sources.select("id", F.col("source.name").alias("source_name"),
+                                 F.col("source.timemodified").alias("source_mtime")), "id", "left")
+            .select("id", "action", "dest", "backup_name", "size", "source_name", "source_mtime"))
+    if partitions:
+        todo = todo.repartition(partitions, "id")
+    return todo.mapInPandas(_execute_partition, EXECUTE_SCHEMA)

@@ -25,8 +25,8 @@ def size_filter(files: DataFrame, size_col: str = "size") -> DataFrame:
 
 
 def backup_media(mime_col: str = "mimetype"):
-    """C4: only video, audio and image content is copied."""
-    return F.col(mime_col).isin(*BACKUP_MEDIA_TYPES)
+    """C4: only video, audio and image content is copied (unknown type: not media)."""
+    return F.coalesce(F.col(mime_col).isin(*BACKUP_MEDIA_TYPES), F.lit(False))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -328,7 +328,7 @@ red AS (
 p1 AS (SELECT red.*, {_dest_sql('mimetype', 'timeborn', 'name')} AS dest0 FROM red),
 p2 AS (SELECT p1.*, CASE WHEN backup_name IS NULL THEN 'none' WHEN bd.disk_id IS NULL THEN 'missing'
                          WHEN bd.disk_id = p1.id THEN 'ok' ELSE 'rotten' END AS backup_state,
-              (mimetype IN ('video', 'audio', 'image') AND NOT conflict) AS active
+              (coalesce(mimetype IN ('video', 'audio', 'image'), false) AND NOT conflict) AS active
        FROM p1 LEFT JOIN disk bd ON bd.path = p1.backup_name),
 claims AS (SELECT a.dest0, min(a.id) AS min_id, bool_or(a.id = d.disk_id) AS stored_is_claimant,
                   min(d.disk_id) AS disk_id0
@@ -350,14 +350,14 @@ p4 AS (SELECT p3.*, CASE WHEN owns THEN dest0 ELSE ch.path END AS fdest,
        FROM p3 LEFT JOIN chosen USING (id)),
 plan AS (
   SELECT id, id_hex,
-         CASE WHEN mimetype NOT IN ('video', 'audio', 'image') THEN 'ignored'
+         CASE WHEN NOT coalesce(mimetype IN ('video', 'audio', 'image'), false) THEN 'ignored'
               WHEN conflict THEN 'conflict'
               WHEN fdest IS NULL THEN 'no_destination'
               WHEN backup_state = 'ok' AND fdest = backup_name THEN 'keep'
               WHEN backup_state = 'ok' THEN 'move'
               WHEN fdisk = id THEN 'present'
               ELSE 'copy' END AS action,
-         CASE WHEN mimetype NOT IN ('video', 'audio', 'image') OR conflict THEN NULL ELSE fdest END AS dest,
+         CASE WHEN NOT coalesce(mimetype IN ('video', 'audio', 'image'), false) OR conflict THEN NULL ELSE fdest END AS dest,
          dest0, backup_name, backup_state, base_name, name, size, timemodified, timeborn, timebornsrc,
          mimetype, mimesubtype, n_members
   FROM p4)
