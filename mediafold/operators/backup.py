@@ -43,12 +43,18 @@ def plan_destinations(groups: DataFrame, root: str, tz: str) -> DataFrame:
 
 
 def backup_plan(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame,
-                root: str, tz: str = "Asia/Shanghai") -> DataFrame:
+                root: str, tz: str = "Asia/Shanghai", materialize: bool = True) -> DataFrame:
     """One planned action per content id.
 
     ``files``: the catalog; ``backups``: ``filez`` (one row per id) or None;
     ``on_disk``: ``(path, disk_id)`` of files currently under the backup
     root and their content ids (a fresh listing joined with its hashes).
+
+    The per-id plan feeds three branches (claims per destination, suffix
+    candidates, the final choice).  With ``materialize`` it is checkpointed
+    once into the session's shared ``spark.checkpoint.dir`` (one row per
+    content id, far smaller than the catalog), which cuts the lineage and
+    keeps the catalog scan and group reduction from running three times.
     """
     groups = dedupe.reduced_groups(files, backups)
     if backups is not None:
@@ -66,6 +72,10 @@ def backup_plan(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame,
                     .when(F.col("backup_disk_id") == F.col("id"), F.lit("ok"))
                     .otherwise(F.lit("rotten")))
     plan = plan.withColumn("backup_state", backup_state).drop("backup_disk_id")
+    if materialize:
+        from mediafold.session import checkpoint_dir
+        checkpoint_dir(plan.sparkSession)
+        plan = plan.checkpoint(eager=True)
 
     # Only media groups without conflicts compete for destinations.
     active = filters.backup_media() & ~F.col("conflict")

@@ -160,10 +160,10 @@ def _own_dest(f: DataFrame) -> DataFrame:
                                                 basename(F.col("name")), BACKUP_TZ))
 
 
-def documents_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_backups(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """``filez``: contents of hosts src0-src3 were backed up earlier, each at
     the dated path of its first member (by name)."""
-    f = _own_dest(documents_as_files(spark, sf_dir))
+    f = _own_dest(files if files is not None else documents_as_files(spark, sf_dir))
     row = F.struct(F.col("own_dest").alias("name"), "hostname", "size", "timemodified", "timeborn",
                    "timebornsrc", "mimetype", "mimesubtype")
     b = (f.where(F.col("hostname").isin("src0", "src1", "src2", "src3"))
@@ -171,7 +171,7 @@ def documents_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", "b.*")
 
 
-def documents_backup_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_backup_disk(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """``(path, disk_id)`` under the backup root after hashing.
 
     Backups of src1 rotted (other id), of src2 vanished; files of src5/src6
@@ -180,8 +180,9 @@ def documents_backup_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from mediafold.functions.ids import id_hex
     from mediafold.functions.paths import SUFFIX_TAG
-    b = documents_backups(spark, sf_dir)
-    f = _own_dest(documents_as_files(spark, sf_dir))
+    files = files if files is not None else documents_as_files(spark, sf_dir)
+    b = documents_backups(spark, sf_dir, files)
+    f = _own_dest(files)
     h = F.col("hostname")
     stored = b.where(h != "src2").select(
         F.col("name").alias("path"),
@@ -195,11 +196,24 @@ def documents_backup_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(foreign).unionByName(foreign2).unionByName(present)
 
 
-def documents_fresh_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_fresh_listing(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     """A new scan of the sources: Spanish files changed size since they were
     catalogued and host src8 no longer has its files."""
-    f = documents_as_files(spark, sf_dir)
+    f = files if files is not None else documents_as_files(spark, sf_dir)
     return f.where(F.col("hostname") != "src8").select(
         "name", "hostname",
         (F.col("size") + F.when(F.col("name").contains("/es/"), 1).otherwise(0)).alias("size"),
         "timemodified")
+
+
+def documents_backup_inputs(spark: SparkSession, sf_dir: str):
+    """(files, filez, on-disk listing) for the backup queries.
+
+    The derived catalog stands in for a stored table: it is checkpointed once
+    into the shared ``spark.checkpoint.dir`` so the three inputs read it
+    instead of re-hashing every document three times.
+    """
+    from mediafold.session import checkpoint_dir
+    checkpoint_dir(spark)
+    files = documents_as_files(spark, sf_dir).checkpoint(eager=True)
+    return files, documents_backups(spark, sf_dir, files), documents_backup_disk(spark, sf_dir, files)

@@ -162,8 +162,8 @@ QUERIES["ignore_paths"] = q_ignore_paths
 
 def q_backup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.operators import backup
-    return backup.backup_plan(derive.documents_as_files(spark, sf_dir), derive.documents_backups(spark, sf_dir),
-                              derive.documents_backup_disk(spark, sf_dir), derive.BACKUP_ROOT, derive.BACKUP_TZ)
+    files, backups, disk = derive.documents_backup_inputs(spark, sf_dir)
+    return backup.backup_plan(files, backups, disk, derive.BACKUP_ROOT, derive.BACKUP_TZ)
 
 
 QUERIES["backup_plan"] = q_backup_plan
@@ -172,9 +172,9 @@ FLAGSHIP = "backup_plan"
 
 def q_plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.operators import backup
-    files = derive.documents_as_files(spark, sf_dir)
-    plan = q_backup_plan(spark, sf_dir)
-    return backup.plan_outcome(plan, files, derive.documents_fresh_listing(spark, sf_dir))
+    files, backups, disk = derive.documents_backup_inputs(spark, sf_dir)
+    plan = backup.backup_plan(files, backups, disk, derive.BACKUP_ROOT, derive.BACKUP_TZ)
+    return backup.plan_outcome(plan, files, derive.documents_fresh_listing(spark, sf_dir, files))
 
 
 QUERIES["plan_outcome"] = q_plan_outcome

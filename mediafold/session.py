@@ -62,6 +62,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.driver.memory", os.environ.get("MEDIAFOLD_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        # checkpoint files of unreferenced DataFrames are removed by the cleaner
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
         builder = builder.config(k, v)
