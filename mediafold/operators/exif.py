@@ -97,3 +97,37 @@ def decode(wide: DataFrame) -> DataFrame:
 def normalize_exif_rows(rows: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """Long tag rows -> decoded row per path."""
     return decode(pivot_tags(pick_values(rows), tags))
+
+
+GPS_TAGS = ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef"]
+
+
+def _rational_triplet_degrees(text):
+    """``d/1, m/1, s/100`` (or bracketed) -> decimal degrees; NULL when not three rationals."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+)/([0-9]+)"), 0)
+    def val(i):
+        p = F.split(F.try_element_at(parts, F.lit(i)), "/")
+        return F.try_divide(F.try_element_at(p, F.lit(1)).try_cast("double"),
+                            F.try_element_at(p, F.lit(2)).try_cast("double"))
+    return F.when(F.size(parts) == 3, val(1) + val(2) / 60.0 + val(3) / 3600.0)
+
+
+def gps_position(wide: DataFrame) -> DataFrame:
+    """Exif GPS position from pivoted GPS tag rows.
+
+    Latitude/longitude only when both are numbers (rationals with non-zero
+    denominators), S/W negative; altitude when not zero (below sea level when
+    the reference is 1).  Expects the ``GPS_TAGS`` columns (pivot them too).
+    """
+    c = F.col
+    lat = _rational_triplet_degrees(c("GPSLatitude"))
+    lng = _rational_triplet_degrees(c("GPSLongitude"))
+    lat = F.when(F.upper(F.substring(c("GPSLatitudeRef"), 1, 1)) == "S", -lat).otherwise(lat)
+    lng = F.when(F.upper(F.substring(c("GPSLongitudeRef"), 1, 1)) == "W", -lng).otherwise(lng)
+    ok = lat.isNotNull() & lng.isNotNull() & ~F.isnan(lat) & ~F.isnan(lng)
+    ap = F.split(c("GPSAltitude"), "/")
+    alt = F.try_divide(F.try_element_at(ap, F.lit(1)).try_cast("double"),
+                       F.try_element_at(ap, F.lit(2)).try_cast("double"))
+    alt = F.when(c("GPSAltitudeRef") == "1", -alt).otherwise(alt).try_cast("int")
+    return wide.select("path", F.when(ok, lat.cast("float")).alias("lat"), F.when(ok, lng.cast("float")).alias("lng"),
+                       F.when(alt != 0, alt).alias("altitude"))

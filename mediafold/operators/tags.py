@@ -169,3 +169,15 @@ def check_file_name(df: DataFrame, expected_col: str, tags_col: str = "tags") ->
         & (fn != F.col(expected_col))
     return df.withColumn("error", F.when(bad, F.concat(F.lit("original name "), F.col(expected_col),
                                                        F.lit(" does not match "), fn)))
+
+
+def image_size_override(df: DataFrame, tags_col: str = "tags") -> DataFrame:
+    """When both ``ImageWidth`` and ``ImageHeight`` exist, positive values replace width/height."""
+    def tag_int(t):
+        v = F.try_element_at(F.col(tags_col), F.lit(t))
+        return F.when(v.rlike(r"^[+\-]?[0-9]+(\.[0-9]*)?$"), v.try_cast("double").try_cast("int"))
+    both = F.try_element_at(F.col(tags_col), F.lit("ImageWidth")).isNotNull() & \
+        F.try_element_at(F.col(tags_col), F.lit("ImageHeight")).isNotNull()
+    w, h = tag_int("ImageWidth"), tag_int("ImageHeight")
+    return (df.withColumn("width", F.when(both & (w > 0), w).otherwise(F.col("width")))
+              .withColumn("height", F.when(both & (h > 0), h).otherwise(F.col("height"))))

@@ -117,3 +117,41 @@ def test_default_zone_fix(spark):
     got = [r[0] for r in df.select(default_zone_fix(F.col("t"), F.col("z"), F.col("o"),
                                                      offset_policy="reference")).collect()]
     assert got == [1_704_067_200 - 8 * 3600, 1_704_067_200, 1_704_067_200]
+
+
+def test_image_size_override(spark):
+    from mediafold.operators import tags
+    docs = ['{"ImageWidth": 640, "ImageHeight": 480, "PixelXDimension": 10}', '{"ImageWidth": 640, "ExifImageWidth": 5}',
+            '{"ImageWidth": "0", "ImageHeight": "0", "ExifImageWidth": 7, "ExifImageHeight": 9}']
+    df = spark.createDataFrame([(d,) for d in docs], "doc string").select(
+        tags.parse_tag_document(F.col("doc")).alias("tags"))
+    out = tags.image_size_override(tags.assign_fields(df)).select("width", "height").collect()
+    assert [(r.width, r.height) for r in out] == [(640, 480), (640, None), (7, 9)]
+
+
+def test_exif_gps_rows(spark):
+    from mediafold.operators import exif
+    rows = [("p", "GPS", "GPSLatitude", "51/1, 15/1, 1747/100", 1), ("p", "GPS", "GPSLatitudeRef", "N", 2),
+            ("p", "GPS", "GPSLongitude", "7/1, 23/1, 2209/100", 3), ("p", "GPS", "GPSLongitudeRef", "W", 4),
+            ("p", "GPS", "GPSAltitude", "844/10", 5), ("q", "GPS", "GPSLatitude", "1/0, 2/1, 3/1", 1),
+            ("q", "GPS", "GPSLongitude", "1/1, 2/1, 3/1", 2)]
+    df = spark.createDataFrame(rows, "path string, ifd string, tag string, value string, ord int")
+    wide = exif.pivot_tags(exif.pick_values(df), exif.GPS_TAGS)
+    got = {r.path: r for r in exif.gps_position(wide).collect()}
+    assert abs(got["p"].lat - 51.254852) < 1e-5 and abs(got["p"].lng + 7.389469) < 1e-5 and got["p"].altitude == 84
+    assert got["q"].lat is None and got["q"].lng is None
+
+
+def test_filez_rows(spark):
+    from mediafold.operators import backup
+    done = spark.createDataFrame(
+        [(1, "copy", "/b/x.jpg", "copied", 10, 1, 1, "stat", "image", "jpeg"),
+         (2, "ignored", None, "ignored", 5, 1, 1, "stat", "text", "plain"),
+         (3, "copy", None, "verify_failed", 7, 1, 1, "stat", "image", "png")],
+        "id long, action string, path_final string, status string, size long, timemodified long, timeborn long, "
+        "timebornsrc string, mimetype string, mimesubtype string")
+    old = spark.createDataFrame([("/old/x.jpg", None, 1, 10, 1, 1, "stat", "image", "jpeg"),
+                                 ("/old/z.jpg", None, 9, 3, 1, 1, "stat", "image", "jpeg")], FILE_COLS)
+    rows = {r.id: r for r in backup.filez_rows(done, old).collect()}
+    assert sorted(rows) == [1, 3, 9]                      # ignored not stored, old row of id 1 replaced
+    assert rows[1].name == "/b/x.jpg" and rows[3].status == "verify_failed" and rows[9].status == "ok"
