@@ -82,3 +82,9 @@ def change_log(catalog: DataFrame, new_rows: DataFrame, changed_at: int) -> Data
     return old.join(new, KEY, "inner").select(
         *KEY, "old_id", "old_size", "old_timemodified", "new_id", "new_size", "new_timemodified",
         F.lit(changed_at).cast("bigint").alias("changed_at"))
+
+
+def presentation_order(df: DataFrame) -> DataFrame:
+    """the walk's sorted order, applied only where results are presented
+    (a global sort; never needed for the jobs themselves)."""
+    return df.orderBy("name", "hostname")

@@ -85,6 +85,7 @@ def reduced_groups(files: DataFrame, backups: DataFrame | None = None,
     """
     g = group_stats(files, host)
     if backups is not None:
+        # The existing backup of each id, one left join instead of one query per id
         b = backups.select("id", F.struct(*_ROW_FIELDS).alias("backup"))
         g = g.join(b, "id", "left")  # both sides one row per id: no skew
     else:
