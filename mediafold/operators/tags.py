@@ -95,7 +95,11 @@ def parse_tag_document(doc: Column) -> Column:
     wrapped = F.when(t.startswith("{"), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)
     arr = F.from_json(wrapped, "array<map<string,string>>")
     empty = F.create_map().cast("map<string,string>")
-    return F.when(arr.isNotNull(), F.aggregate(arr, empty, lambda acc, m: F.map_concat(acc, F.coalesce(m, empty))))
+    # most documents hold one object: take it directly; merge (an interpreted lambda) only when several
+    merged = F.aggregate(arr, empty, lambda acc, m: F.map_concat(acc, F.coalesce(m, empty)))
+    return (F.when(arr.isNull(), F.lit(None).cast("map<string,string>"))
+            .when(F.size(arr) == 1, F.coalesce(F.element_at(arr, 1), empty))
+            .otherwise(merged))
 
 
 def is_empty_value(v: Column) -> Column:

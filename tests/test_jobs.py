@@ -155,3 +155,34 @@ def test_filez_rows(spark):
     rows = {r.id: r for r in backup.filez_rows(done, old).collect()}
     assert sorted(rows) == [1, 3, 9]                      # ignored not stored, old row of id 1 replaced
     assert rows[1].name == "/b/x.jpg" and rows[3].status == "verify_failed" and rows[9].status == "ok"
+
+
+def _plan(df):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_hot_id_is_combined_before_the_shuffle(spark):
+    """A content id holding a third of all rows: every per-id aggregate is partial before the exchange."""
+    from mediafold.operators import dedupe
+    n = 3000
+    rows = [(f"/p/{i}.jpg", "h", -7 if i % 3 == 0 else i, 10, i, i, "stat", "image", "jpeg") for i in range(n)]
+    files = _files(spark, rows).repartition(8)
+    groups = dedupe.duplicate_groups(files)
+    plan = _plan(groups)
+    assert "partial_min" in plan and "partial_count" in plan and "partial_min_by" in plan
+    assert "collect_list" not in plan and "collect_set" not in plan
+    hot = groups.where("id = -7").first()
+    assert hot.n_members == n // 3
+
+
+def test_no_cross_or_nested_loop_joins(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    for name in ("ignore_paths", "mime_signatures", "zone_join", "backup_plan"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
