@@ -104,7 +104,7 @@ def parse_tag_document(doc: Column) -> Column:
 
 def is_empty_value(v: Column) -> Column:
     """Tag text treated as absent: blank, zero-like or null-like after trimming ``%`` and ``*``."""
-    t = F.lower(F.regexp_replace(X.trim_space(v), r"^[%*]+|[%*]+$", ""))
+    t = F.lower(F.btrim(X.trim_space(v), F.lit("%*")))
     return t.isin(*EMPTY_VALUES)
 
 
