@@ -186,3 +186,26 @@ def test_no_cross_or_nested_loop_joins(spark):
     for name in ("ignore_paths", "mime_signatures", "zone_join", "backup_plan"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_host_scan_is_partition_pruned(spark):
+    import tempfile
+
+    from mediafold.operators import catalog
+    from mediafold.sources import catalog as store
+    root = tempfile.mkdtemp(prefix="mediafold-cat-", dir="/tmp") + "/files"
+    rows = _files(spark, [(f"/f{i}", f"h{i % 3}", i, 10, 1, 1, "stat", "image", "jpeg") for i in range(30)])
+    store.write_version(rows.withColumn("info", F.lit(None).cast("string")), root)
+    snap = catalog.host_snapshot(store.read_table(spark, root), host="h1")
+    plan = _plan(snap)
+    assert "PartitionFilters: [isnotnull(hostname" in plan and "(hostname#" in plan and "= h1)" in plan
+    assert snap.count() == 10
+
+
+def test_scans_are_pruned_and_filtered(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    plan = _plan(E.queries()["catalog_diff"](spark, SF_SMALL))
+    orders_scans = [ln for ln in plan.splitlines() if ln.startswith("ReadSchema: struct<o_orderkey")]
+    assert orders_scans and all("o_custkey" not in s for s in orders_scans)      # column pruning
+    assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,O))" in plan  # pushdown
