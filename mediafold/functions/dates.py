@@ -26,7 +26,8 @@ def tag_datetime_parts(s: Column) -> Column:
     """
     v = F.coalesce(s, F.lit(""))
     joined = F.regexp_replace(v, TAG_DATETIME_PATTERN, "$1|$2|$3|$4|$5|$6|$7|$8")
-    return F.when(v.rlike(TAG_DATETIME_PATTERN), F.split(joined, "[|]"))
+    # a text that does not match comes back unchanged; a match always gains the separators
+    return F.when(joined != v, F.split(joined, r"\|"))
 
 
 def tag_datetime_from_parts(parts: Column) -> Column:
