@@ -209,3 +209,13 @@ def test_scans_are_pruned_and_filtered(spark):
     orders_scans = [ln for ln in plan.splitlines() if ln.startswith("ReadSchema: struct<o_orderkey")]
     assert orders_scans and all("o_custkey" not in s for s in orders_scans)      # column pruning
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,O))" in plan  # pushdown
+
+
+def test_plan_destinations_unique_on_driver_data(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    plan = E.queries()["backup_plan"](spark, SF_SMALL)
+    assert plan.count() == plan.select("id").distinct().count()                      # one row per content id
+    dests = plan.where(F.col("dest").isNotNull())
+    assert dests.count() == dests.select("dest").distinct().count()                  # no two ids share a path
+    assert dests.where(F.octet_length("dest") > 256).count() == 0
