@@ -1324,3 +1324,10 @@ FROM events
 ORACLE["stream_dedupe"] = f"""
 SELECT DISTINCT substr(md5(event_type || ':' || CAST(user_id AS VARCHAR)), 1, 16) AS id_hex FROM events
 """
+
+ORACLE["alternate_names"] = f"""
+WITH f AS ({DOC_FILES}),
+pairs AS (SELECT id, string_split(name, '/')[-1] AS basename, count(*) AS n_files FROM f GROUP BY 1, 2),
+multi AS (SELECT id FROM pairs GROUP BY id HAVING count(*) > 1)
+SELECT {id_hex('p.id')} AS id_hex, p.basename, p.n_files FROM pairs p JOIN multi m ON p.id = m.id
+"""

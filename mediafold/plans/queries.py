@@ -997,3 +997,15 @@ def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["cell_rollup"] = q_cell_rollup
 QUERIES["stream_index"] = q_stream_index
 QUERIES["stream_dedupe"] = q_stream_dedupe
+
+
+def q_alternate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basenames of contents stored under more than one name."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import id_hex
+    pairs = dedupe.alternate_names(derive.documents_as_files(spark, sf_dir))
+    return pairs.select(id_hex(F.col("id")).alias("id_hex"), "basename", "n_files")
+
+
+QUERIES["alternate_names"] = q_alternate_names
