@@ -1331,3 +1331,33 @@ pairs AS (SELECT id, string_split(name, '/')[-1] AS basename, count(*) AS n_file
 multi AS (SELECT id FROM pairs GROUP BY id HAVING count(*) > 1)
 SELECT {id_hex('p.id')} AS id_hex, p.basename, p.n_files FROM pairs p JOIN multi m ON p.id = m.id
 """
+
+
+def _image_sizes_sql() -> str:
+    w, h = "CAST(p_size * 40 AS VARCHAR)", "CAST(p_partkey % 50 * 30 AS VARCHAR)"
+    doc = (f"CASE WHEN p_type = 'ECONOMY' THEN '{{\"ImageWidth\": ' || {w} || ', \"ImageHeight\": ' || {h} "
+           f"|| ', \"ExifImageWidth\": 11, \"ExifImageHeight\": 22}}' "
+           f"WHEN p_type = 'SMALL' THEN '{{\"ImageWidth\": ' || {w} || ', \"ExifImageHeight\": 22}}' "
+           f"ELSE '{{\"PixelXDimension\": \"' || {w} || '\", \"ImageLength\": \"' || {h} "
+           f"|| '\", \"ImageWidth\": \"0\", \"ImageHeight\": \"' || {h} || '\"}}' END")
+    sel = []
+    for f in ("width", "height"):
+        names, kind = _TG.TAG_FIELDS[f]
+        sel.append(f"{convert_sql(first_tag_sql('m', names), kind)} AS {f}")
+    iw, ih = "map_extract_value(m, 'ImageWidth')", "map_extract_value(m, 'ImageHeight')"
+
+    def tag_int(v):
+        return f"CASE WHEN regexp_matches({v}, '^[+\\-]?[0-9]+(\\.[0-9]*)?$') THEN TRY_CAST(trunc(TRY_CAST({v} AS DOUBLE)) AS INTEGER) END"
+    both = f"({iw} IS NOT NULL AND {ih} IS NOT NULL)"
+    return f"""
+WITH d AS (SELECT p_partkey, {doc} AS doc FROM part),
+p AS (SELECT p_partkey, json_transform('[' || doc || ']', '["MAP(VARCHAR, VARCHAR)"]')[1] AS m FROM d),
+a AS (SELECT p_partkey, m, {', '.join(sel)} FROM p)
+SELECT p_partkey,
+       CASE WHEN {both} AND {tag_int(iw)} > 0 THEN {tag_int(iw)} ELSE width END AS width,
+       CASE WHEN {both} AND {tag_int(ih)} > 0 THEN {tag_int(ih)} ELSE height END AS height
+FROM a
+"""
+
+
+ORACLE["image_sizes"] = _image_sizes_sql()

@@ -1009,3 +1009,25 @@ def q_alternate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["alternate_names"] = q_alternate_names
+
+
+def q_image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """width/height by tag precedence, replaced by ImageWidth/ImageHeight when both are there and > 0."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import tags as TG
+    from mediafold.sources.tables import load
+    p = load(spark, sf_dir, "part", ["p_partkey", "p_size", "p_type"])
+    w, h = (F.col("p_size") * 40).cast("string"), (F.col("p_partkey") % 50 * 30).cast("string")
+    t = F.col("p_type")
+    doc = (F.when(t == "ECONOMY", F.concat(F.lit('{"ImageWidth": '), w, F.lit(', "ImageHeight": '), h,
+                                           F.lit(', "ExifImageWidth": 11, "ExifImageHeight": 22}')))
+           .when(t == "SMALL", F.concat(F.lit('{"ImageWidth": '), w, F.lit(', "ExifImageHeight": 22}')))
+           .otherwise(F.concat(F.lit('{"PixelXDimension": "'), w, F.lit('", "ImageLength": "'), h,
+                               F.lit('", "ImageWidth": "0", "ImageHeight": "'), h, F.lit('"}'))))
+    d = p.select("p_partkey", TG.parse_tag_document(doc).alias("tags"))
+    fields = {k: TG.TAG_FIELDS[k] for k in ("width", "height")}
+    return TG.image_size_override(TG.assign_fields(d, "tags", fields)).select("p_partkey", "width", "height")
+
+
+QUERIES["image_sizes"] = q_image_sizes
