@@ -24,7 +24,7 @@ def tag_datetime_parts(s: Column) -> Column:
     One regex match per row (a replace into a delimited string, then split);
     a group that did not take part is ''.
     """
-    v = F.coalesce(s, F.lit(""))
+    v = s  # NULL in, NULL out without running the regex
     joined = F.regexp_replace(v, TAG_DATETIME_PATTERN, "$1|$2|$3|$4|$5|$6|$7|$8")
     # a text that does not match comes back unchanged; a match always gains the separators
     return F.when(joined != v, F.split(joined, r"\|"))

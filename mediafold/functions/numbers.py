@@ -65,7 +65,8 @@ def duration_seconds(s: Column) -> Column:
 
 def leading_number(s: Column) -> Column:
     """Number at the start of text with units (``5.6 mm`` -> 5.6), else NULL."""
-    m = F.regexp_extract(F.coalesce(s, F.lit("")), r"^\s*([+\-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1)
+    # NULL in, NULL out without running the regex (absent tags are the common case)
+    m = F.regexp_extract(s, r"^\s*([+\-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1)
     return F.when(m != "", m.try_cast("double"))
 
 

@@ -133,7 +133,7 @@ def convert(v: Column, kind: str) -> Column:
         f = F.when(f != 0, f)
         return f.cast("float") if kind == "float32" else f
     if kind == "duration":
-        return N.duration_seconds(v)
+        return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(N.duration_seconds(v))
     if kind == "bool":
         return F.lower(X.trim_space(v)).isin("1", "t", "true")
     if kind == "time":
