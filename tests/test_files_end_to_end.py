@@ -65,3 +65,21 @@ def test_index_and_backup_roundtrip(spark):
     cat = files.select("name", "hostname", "id", "size", "timemodified")
     assert catalog.work_list(lst, cat).count() == 0
     time.sleep(0)
+
+
+def test_reader_edge_cases(spark):
+    import numpy as np
+    import xxhash
+
+    from mediafold.sources import listing
+    base = tempfile.mkdtemp(prefix="mediafold-read-", dir="/tmp")
+    big = b"x" * 20000
+    _write(f"{base}/big.bin", big, 1_600_000_000)
+    os.utime(f"{base}/big.bin", (1_600_000_000.6, 1_600_000_000.6))     # rounds up to the next second
+    lst = listing.list_files(spark, base, "h").collect()
+    assert [(r.size, r.timemodified) for r in lst] == [(20000, 1_600_000_001)]
+    work = spark.createDataFrame([(f"{base}/big.bin",), (f"{base}/missing.bin",)], "name string")
+    got = {os.path.basename(r.name): r for r in listing.hash_files(work).collect()}
+    want = int(np.uint64(xxhash.xxh3_64_intdigest(big)).astype(np.int64))
+    assert got["big.bin"].id == want and len(got["big.bin"].header) == listing.HEADER_BYTES and got["big.bin"].read_ok
+    assert got["missing.bin"].id == 0 and not got["missing.bin"].read_ok
