@@ -131,3 +131,17 @@ def test_xxh3_matches_library(spark):
     got = one(spark, xxh3_id, "hello", "")
     want = [int(np.uint64(xxhash.xxh3_64_intdigest(b)).astype(np.int64)) for b in (b"hello", b"")]
     assert got == want
+
+
+def test_tag_and_xmp_dates(spark):
+    from mediafold.functions.dates import parse_tag_datetime, parse_xmp_date
+    got = one(spark, parse_tag_datetime, "2020:01:30 09:57:18+01:00", "2020:01:30 09:57:18.5Z",
+              "0000:00:00 00:00:00", "2020:13:01 00:00:00", "2020:01:30 09:57:18")
+    base = 1580378238  # 2020-01-30 09:57:18 UTC
+    assert (got[0]["local"], got[0]["offset"], got[0]["utc"]) == (base, 3600, base - 3600)
+    assert (got[1]["utc"], got[1]["micros"], got[1]["offset"]) == (base, 500000, 0)
+    assert got[2]["utc"] is None and got[3]["utc"] is None
+    assert (got[4]["utc"], got[4]["offset"]) == (base, None)
+    xmp = one(spark, parse_xmp_date, "2021-03-24T13:07:29+01:00", "2020-01-01T17:28:25.729626112",
+              "2020-01-01T17:28:25 extra", "garbage")
+    assert xmp == [1616587649, 1577899705, 1577899705, None]
