@@ -4,8 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediafold.llm import mixing, sharding
-from mediafold.llm.common import documents
+from mediafold.llm import ann, html_text, langid, mixing, quality, sharding, token_files, toxicity
+from mediafold.llm.common import documents, held_out
+from mediafold.sources.tables import load
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by an additive model with pairwise interactions."""
+    return quality.quality_scores(documents(spark, sf_dir), load(spark, sf_dir, "labels"),
+                                  lambda c: held_out(c, 4, 2), threshold=0.7)
+
+
+def op2_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors of every query (id divisible by 20) by a hierarchical k-means tree."""
+    return ann.search(load(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0, k=20)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by smoothed text-to-tag ratios."""
+    return html_text.extract_pages(load(spark, sf_dir, "pages"))
+
+
+def op4_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the nearest of several centroids per language."""
+    return langid.predict_languages(documents(spark, sf_dir), lambda c: held_out(c, 3, 1))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts tokenised, written as token files in doc_id order and read back."""
+    import public_tokenizers
+    return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +46,13 @@ def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op8_kd_shards, op9_pfair_mix)}
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a convolutional text classifier."""
+    return toxicity.toxicity_scores(documents(spark, sf_dir), load(spark, sf_dir, "labels"),
+                                    lambda c: held_out(c, 5, 0), threshold=0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_kmeans_tree_search, op3_html_text, op4_centroid_langid, op5_token_files, op8_kd_shards, op9_pfair_mix,
+                                  op10_toxicity_cnn)}
 
 ORACLE: dict[str, str] = {}
