@@ -28,7 +28,8 @@ from mediafold.llm.common import Words, segment_sum, text_chunks
 
 FEATURES = (
     "log_words", "word_length", "long_words", "short_words", "upper", "digits", "symbols", "bangs", "bars", "stops",
-    "breaks", "spaces", "non_ascii", "glued", "top_word", "distinct", "repeat_next", "line_length", "distinct_lines")
+    "breaks", "spaces", "non_ascii", "glued", "top_word", "distinct", "repeat_next", "line_length", "distinct_lines",
+    "n_bars", "n_glued", "n_repeats", "n_shouted")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"!?|-()"]] = True
@@ -79,6 +80,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # A symbol right behind a word.
     after = np.minimum(w.end, max(len(data) - 1, 0))
     glued = (w.end < offsets[1:][doc]) & _SYMBOL[data[after]] if len(doc) else np.zeros(0, bool)
+    upper = count(_UPPER[data])
+    shouted = (size > 2) & (upper[w.end] - upper[w.start] == size)
     lines = per_byte(line_break) + (n_bytes > 0)
     # Lines are hashed whole to count distinct ones.
     starts = np.unique(np.concatenate([offsets[:-1][n_bytes > 0], np.flatnonzero(line_break) + 1]))
@@ -101,7 +104,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _share(per_byte(line_break), n_bytes), _share(per_byte(data == 32), n_bytes),
         _share(per_byte(data >= 128), n_bytes), _share(per_word(glued), n_words), _share(top, n_words),
         _share(distinct, n_words), _share(per_word(same), n_words), np.log1p(_share(n_bytes, lines)),
-        _share(distinct_lines, lines)]).astype(np.float64)
+        _share(distinct_lines, lines), np.log1p(per_byte(data == ord("|"))), np.log1p(per_word(glued)),
+        np.log1p(per_word(same)), np.log1p(per_word(shouted))]).astype(np.float64)
 
 
 LETTER = np.zeros(256, bool)

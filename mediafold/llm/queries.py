@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediafold.llm import ann, html_text, langid, mixing, quality, sharding, token_files, toxicity
+from mediafold.llm import ann, decontaminate, html_text, langid, minhash_join, mixing, quality, sharding, token_files, toxicity
 from mediafold.llm.common import documents, held_out
 from mediafold.sources.tables import load
 
@@ -36,6 +36,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at five-word Jaccard similarity of 0.8 or more."""
+    return minhash_join.jaccard_classes(documents(spark, sf_dir), threshold=0.8).select(
+        "doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+def op7_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document by FM-indexes of shards of the corpus."""
+    return decontaminate.contamination(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"), window=10)
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards of near equal bytes by a k-d tree."""
     return sharding.kd_shards(documents(spark, sf_dir), n_shards=40)
@@ -52,7 +63,37 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     lambda c: held_out(c, 5, 0), threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_kmeans_tree_search, op3_html_text, op4_centroid_langid, op5_token_files, op8_kd_shards, op9_pfair_mix,
-                                  op10_toxicity_cnn)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_gam, op2_kmeans_tree_search, op3_html_text, op4_centroid_langid, op5_token_files, op6_jaccard_join,
+    op7_fm_decontaminate, op8_kd_shards, op9_pfair_mix, op10_toxicity_cnn)}
+
+OP7_SQL = """
+WITH dw AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+         w -> translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+         w -> translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + 9), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+pos AS (
+  SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, i, k, item_id FROM pos JOIN win USING (k, g)),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op7_fm_decontaminate": OP7_SQL}
