@@ -5,9 +5,9 @@ Every document is tokenised, ids are replaced by their rank in the corpus (0 = m
 each: bytes used minus one) and, apart from them, the data bytes.  Reading is a table lookup: the control byte gives
 four lengths, their running sum gives the offsets.
 
-Tokenising works on the pieces between spaces and line feeds: no pattern of the tokenizers served here (see
-``PIECE_SAFE``) joins characters across them, so the ids of a text are the ids of its pieces in a row and each
-distinct piece goes through the library once per worker (a bounded memo).
+Tokenising works on the pieces between spaces and line feeds: where a tokenizer's pattern never joins characters
+across them (``PIECE_SAFE``), the ids of a text are the ids of its pieces in a row, and each distinct piece goes
+through the library once per worker (a bounded memo).  Other tokenizers get whole texts.
 
 Scale: ids are kept as a table of 16- or 32-bit integers in shared storage; counts are one row per id and partition;
 one range shuffle of the ids puts documents in order; a task streams its range into files of ``file_tokens`` tokens.
@@ -25,9 +25,11 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,9 @@ PIECE_SAFE = ("word_bpe_49k.json",)
 MAGIC = b"tokfile1"
 HEADER = struct.Struct("<8sQQQQI")
 SUFFIX = ".tok"
-MEMO_PIECES, MEMO_BYTES = 300_000, 32 << 20
+# Closing marks that the pattern parts from a letter or digit ahead of them (an apostrophe may belong to the word).
+MARKS = ".,!?;:%&$#*|()"
+MEMO_PIECES, MEMO_BYTES = 1_000_000, 64 << 20
 
 # Lengths of the four tokens of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
@@ -96,51 +100,82 @@ def parse_file(content) -> tuple[list, np.ndarray, np.ndarray]:
 
 # -------------------------------------------------------------- tokenising
 class PieceEncoder:
-    """Ids of texts through a memo of distinct pieces."""
+    """Ids of texts through a memo of distinct pieces.
+
+    A piece is what stands between spaces and line feeds; closing marks are taken off it and kept as a piece of their
+    own (the pattern always parts a letter or digit from a mark behind it), and ASCII letters are folded, as the
+    tokenizer does itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = os.path.basename(path) in PIECE_SAFE
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.safe = os.path.basename(path) in PIECE_SAFE
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.closes = np.zeros(size, bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, int] = {"": 0}
         self.size = 0
         self.ids = np.zeros(0, self.dtype)
-        self.ends = np.zeros(1, np.int64)
+        self.ends = np.zeros(2, np.int64)  # ids of entry i: ends[i]:ends[i + 1]
 
     def _learn(self, new: list[str]) -> None:
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for r in rows for i in r), self.dtype)])
-        ends = np.cumsum([len(r) for r in rows], dtype=np.int64) + self.ends[-1]
-        self.ends = np.concatenate([self.ends, ends])
+        # Words of Latin letters are one word to the tokenizer: they go through it together and are parted at word ends.
+        plain = [w for w in new if w.isalpha() and max(w) < "\u0250"] if self.safe else []
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.dtype)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(plain):
+            plain, ids, ends = [], ids[:0], ends[:0]
+        done = set(plain)
+        rest = [w for w in new if w not in done]
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        more = np.cumsum([0, *map(len, rows)], dtype=np.int64)[1:] + len(ids)
+        first = len(self.memo)
+        self.memo.update(zip(plain + rest, range(first, first + len(new)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends, self.ends[-1] + more])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(chain.from_iterable(rows), self.dtype)])
         self.size += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        split = [t.replace("\n", " ").split(" ") if self.pieces else [t] for t in texts]
+        texts = texts.fill_null("")
         if len(self.memo) > MEMO_PIECES or self.size > MEMO_BYTES:
             self.clear()
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        new = sorted(seen - self.memo.keys())
+        if self.safe:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            bounds = split.offsets.to_numpy().astype(np.int64)
+            coded = split.flatten().dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            at = coded.indices.to_numpy()
+        else:
+            pieces, at, bounds = texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
+        cores = pieces
+        if self.safe:
+            cores = [c if not (c := p.rstrip(MARKS)) or c[-1].isalnum() else p for p in pieces]
+        tails = [p[len(c):] for p, c in zip(pieces, cores, strict=True)]
+        if self.safe:
+            cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+        new = sorted((set(cores) | set(tails)) - self.memo.keys())
         if new:
             self._learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.memo.__getitem__
-        at = np.fromiter((i for s in split for i in map(get, s)), np.int64, int(counts.sum()))
-        length = self.ends[at + 1] - self.ends[at]
-        total = np.zeros(len(at) + 1, np.int64)
+        entry = np.empty((len(pieces), 2), np.int64)
+        entry[:, 0] = np.fromiter(map(get, cores), np.int64, len(pieces))
+        entry[:, 1] = np.fromiter(map(get, tails), np.int64, len(pieces))
+        entry = entry[at].ravel()
+        start = self.ends[entry]
+        length = self.ends[entry + 1] - start
+        total = np.zeros(len(entry) + 1, np.int64)
         np.cumsum(length, out=total[1:])
-        take = np.arange(total[-1]) + np.repeat(self.ends[at] - total[:-1], length)
-        bounds = np.zeros(len(split) + 1, np.int64)
-        np.cumsum(counts, out=bounds[1:])
-        return self.ids[take], np.diff(total[bounds])
+        take = np.repeat(start - total[:-1], length)
+        take += np.arange(total[-1])
+        return self.ids[take], np.diff(total[2 * (bounds - bounds[0])])
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -158,8 +193,8 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         e = encoder(path)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for lo, hi in byte_chunks(offsets):
-                ids, counts = e.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+            for lo, hi in byte_chunks(offsets, 8 << 20):
+                ids, counts = e.encode(batch.column(1).slice(lo, hi - lo))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 cut = np.zeros(len(ends) + 1, np.int64)
