@@ -6,10 +6,10 @@ walks the tree best bin first: a priority queue holds the open nodes by an optim
 (``q.c + |q| r`` with ``r`` the radius of the node's sample), and leaves come out in the order of that bound.  How many
 leaves to visit is widened until a calibration set, searched exactly, reaches the target recall.
 
-Scale: the tree is ``sample / leaf`` centres on the driver and broadcast.  The table is indexed in one map and cut into
-blocks of at most ``block_rows`` rows of a leaf, so that a leaf that holds a third of all rows is many tasks.  Queries are
-sent to the blocks of their leaves; each block returns its best ``k`` a query and these are merged by an
-aggregation over ``k`` rows a block.  Only leaf sizes and the calibration figures reach the driver.  Work is queries
+Scale: the tree is ``sample / leaf`` centres on the driver and broadcast.  The table is indexed in one map and its leaves, in
+tree order, fill groups of about ``block_rows`` rows; a leaf that holds a third of all rows is many groups.  A query is
+sent once to each group that has leaves for it, with their numbers; the group returns its best ``k`` and these
+are merged over ``k`` rows a group.  Only leaf sizes and the calibration figures reach the driver.  Work is queries
 times visited rows, and leaves keep their size as the table grows.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed order; equal vectors
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediafold.llm.common import map_sorted_groups, stored
@@ -118,25 +118,32 @@ def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
     return out
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed in the same order whatever the shape of ``x``."""
-    out = x[:, 0] * q[0]
+def pair_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner product of each row of ``x`` with the same row of ``q``, always summed in the same order."""
+    out = x[:, 0] * q[:, 0]
     for j in range(1, x.shape[1]):
-        out += x[:, j] * q[j]
+        out += x[:, j] * q[:, j]
     return out
 
 
-def _top(ids: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, rough: np.ndarray, k: int):
-    """Best ``k`` (id, score) among the rows, without the query's own id."""
-    rough = np.where(ids == qid, -np.inf, rough)
-    if len(rough) > k:
-        kth = np.partition(rough, len(rough) - k)[len(rough) - k]
-        at = np.flatnonzero(rough >= kth - 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else rough > -np.inf)
+def best_pairs(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, rough: np.ndarray, k: int):
+    """(query index, row index, score) of the best ``k`` rows of each query, best first, ties to the smaller id.
+
+    ``rough`` holds approximate scores, -inf where a row is no candidate; it is overwritten.
+    """
+    rough[qids[:, None] == ids[None, :]] = -np.inf
+    if rough.shape[1] > k:
+        kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+        with np.errstate(invalid="ignore"):
+            floor = np.where(np.isfinite(kth), kth - 1e-9 * (1 + np.abs(kth)), -np.inf)
+        qi, ri = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
     else:
-        at = np.flatnonzero(rough > -np.inf)
-    s = exact_scores(x[at], q)
-    order = np.lexsort((ids[at], -s))[:k]
-    return ids[at][order], s[order]
+        qi, ri = np.nonzero(rough > -np.inf)
+    s = pair_scores(x[ri], q[qi])
+    order = np.lexsort((ids[ri], -s, qi))
+    qi, ri, s = qi[order], ri[order], s[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[keep], ri[keep], s[keep]
 
 
 def clean_vectors(rows: DataFrame) -> DataFrame:
@@ -162,8 +169,8 @@ def _sample(rows: DataFrame, n: int, total: int, seed: int) -> list:
     return rows.where(h < F.lit(min(1.0, 1.2 * n / max(total, 1)) * (1 << 20))).orderBy(h, "vec_id").limit(n).collect()
 
 
-def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.95, sample_rows: int = 20_000,
-           leaf_rows: int = 256, block_rows: int = 4_096, calibration: int = 64) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94, sample_rows: int = 20_000,
+           leaf_rows: int = 256, block_rows: int = 8_192, calibration: int = 128) -> DataFrame:
     """The ``k`` nearest found of each query: ``query_id, rank, vec_id, score``.
 
     ``is_query`` maps the id column to a condition.  ``sample_rows`` bounds the rows the tree is fitted on.
@@ -187,57 +194,84 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.95,
 
     indexed = stored(vectors.mapInArrow(assign, "vec_id long, vector array<double>, leaf long"), "index")
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # one row a leaf
-    blocks = [max(1, -(-sizes.get(i, 0) // block_rows)) for i in range(tree.n_leaves)]
-    count = F.element_at(F.lit(blocks), (F.col("leaf") + 1).cast("int")) if tree.n_leaves <= 4096 else None
-    if count is None:
-        table = spark.createDataFrame(list(enumerate(blocks)), "leaf long, blocks int")
-        placed = indexed.join(table, "leaf")
-        count = F.col("blocks")
-    else:
-        placed = indexed
-    members = placed.select("leaf", F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("block"),
-                            F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vector")
+    # Leaves in tree order fill groups of about block_rows rows; a larger leaf is several groups.
+    first, parts, group, room = [], [], -1, 0
+    for leaf in range(tree.n_leaves):
+        n = sizes.get(leaf, 0)
+        parts.append(max(1, -(-n // block_rows)))
+        if parts[-1] > 1 or n > room:
+            group, room = group + 1, block_rows
+        first.append(group)
+        group, room = group + parts[-1] - 1, (room - n if parts[-1] == 1 else 0)
+    places = spark.sparkContext.broadcast((np.array(first), np.array(parts)))
+
+    def place(batches):
+        first, parts = places.value
+        for batch in batches:
+            if batch.num_rows:
+                leaf = batch.column(2).to_numpy()
+                spread = batch.column(3).to_numpy() % parts[leaf]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[leaf] + spread), pa.array(np.zeros(len(leaf), np.int32)), batch.column(0),
+                     batch.column(1), pa.array(leaf[:, None].tolist(), pa.list_(pa.int64()))],
+                    ["group", "kind", "id", "vector", "leaves"])
+
+    routed_as = "group long, kind int, id long, vector array<double>, leaves array<long>"
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    members = indexed.select("vec_id", "vector", "leaf", spread).mapInArrow(place, routed_as)
 
     def run(queries: DataFrame, visits: int) -> DataFrame:
-        """Best ``k`` per query and block over the first ``visits`` leaves."""
+        """Best ``k`` per query and group over the first ``visits`` leaves."""
         def route(batches):
+            first, parts = places.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 q = _matrix(batch.column(1))
-                at, leaf, block = [], [], []
+                at, to, leaves = [], [], []
                 for i in range(len(q)):
+                    by_group: dict[int, list[int]] = {}
                     for x in best_bins(shared.value, q[i], visits):
-                        for b in range(blocks[x]):
-                            at.append(i)
-                            leaf.append(x)
-                            block.append(b)
+                        for g in range(first[x], first[x] + parts[x]):
+                            by_group.setdefault(int(g), []).append(x)
+                    at += [i] * len(by_group)
+                    to += by_group
+                    leaves += by_group.values()
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf, pa.int64()), pa.array(block, pa.int32()), pa.array([1] * len(at), pa.int32()),
-                     batch.column(0).take(take), batch.column(1).take(take)], ["leaf", "block", "kind", "id", "vector"])
+                    [pa.array(to, pa.int64()), pa.array([1] * len(at), pa.int32()), batch.column(0).take(take),
+                     batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int64()))],
+                    ["group", "kind", "id", "vector", "leaves"])
 
-        routed = queries.select("vec_id", "vector").mapInArrow(
-            route, "leaf long, block int, kind int, id long, vector array<double>")
+        routed = queries.select("vec_id", "vector").mapInArrow(route, routed_as)
 
         def scan(group: pa.Table) -> pa.Table:
             kind = group.column("kind").to_numpy()
             ids, x = group.column("id").to_numpy(), _matrix(group.column("vector"))
+            leaves = group.column("leaves").to_pylist()
             own, cand = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-            qs, vs, ss = [], [], []
+            leaf = np.array([leaves[c][0] for c in cand], np.int64)
+            order = np.argsort(leaf, kind="stable")
+            cand, leaf = cand[order], leaf[order]
             cx, cid = np.ascontiguousarray(x[cand]), ids[cand]
+            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for lo in range(0, len(own) if len(cand) else 0, 256):
                 part = own[lo:lo + 256]
-                rough = x[part] @ cx.T
+                rough = np.full((len(part), len(cand)), -np.inf)
+                want: dict[int, list[int]] = {}
                 for i, q in enumerate(part):
-                    v, s = _top(cid, cx, ids[q], x[q], rough[i], k)
-                    qs.append(np.full(len(v), ids[q]))
-                    vs.append(v)
-                    ss.append(s)
-            cat = (lambda a, t: np.concatenate(a) if a else np.zeros(0, t))
-            return pa.table({"query_id": cat(qs, np.int64), "vec_id": cat(vs, np.int64), "score": cat(ss, np.float64)})
-
-        return map_sorted_groups(members.unionByName(routed), ["leaf", "block"], scan, FOUND)
+                    for n in leaves[q]:
+                        want.setdefault(n, []).append(i)
+                for n, rows in want.items():
+                    a, b = np.searchsorted(leaf, [n, n + 1])
+                    if a < b:
+                        rough[rows, a:b] = x[part[rows]] @ cx[a:b].T
+                qi, ri, s = best_pairs(cid, cx, ids[part], x[part], rough, k)
+                for out, values in zip(found, (ids[part][qi], cid[ri], s), strict=True):
+                    out.append(values)
+            return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), found, strict=True)})
+
+        return map_sorted_groups(members.unionByName(routed), ["group"], scan, FOUND)
 
     queries = indexed.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
     # Calibration: a bounded set of queries, searched exactly, block by block.
@@ -262,11 +296,12 @@ def _calibrate(tree: Tree, indexed: DataFrame, trial_rows: list, k: int, target:
             if not batch.num_rows:
                 continue
             cid, x, leaf = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
-            rough = q @ x.T
-            for i in range(len(ids)):
-                v, s = _top(cid, x, ids[i], q[i], rough[i], k)
-                where = dict(zip(cid.tolist(), leaf.tolist(), strict=True))
-                best[i] = sorted(best[i] + [(-b, a, where[a]) for a, b in zip(v.tolist(), s.tolist(), strict=True)])[:k]
+            for lo in range(0, len(x), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                qi, ri, s = best_pairs(cid[part], x[part], ids, q, q @ x[part].T, k)
+                for i, r, score in zip(qi.tolist(), ri.tolist(), s.tolist(), strict=True):
+                    best[i].append((-score, int(cid[lo + r]), int(leaf[lo + r])))
+            best = [sorted(b)[:k] for b in best]
         rows = [(i, -s, v, leaf) for i, b in enumerate(best) for s, v, leaf in b]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))],

@@ -48,6 +48,7 @@ CONTENT_NAMES = frozenset("article body content entry has main no page post stor
 # Class names that unmake even an article or main element.
 REGION_NAMES = frozenset("ad ads advert comment comments promo promoted related replies reply sponsored".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_CUT_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An open element that these end implicitly.
 CLOSES = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -161,6 +162,8 @@ class Lines(HTMLParser):
         self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, bool, int]]:
+        if _CUT_MARKUP.match(self.rawdata):  # a tag or comment that the page ends in is not text
+            self.rawdata = ""
         self.close()
         self._break()
         return self.lines

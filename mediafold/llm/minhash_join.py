@@ -72,7 +72,7 @@ def grams(w: Words, n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     keys[1, full] = mix(np.add.reduceat(other * p, first[full]))
     q = powers(n)[0]
     h = np.zeros(len(w.hash), np.uint64)
-    for j in range(n):
+    for j in range(min(n, len(h))):
         h[:len(h) - j] += other[j:] * q[j]
     h = mix(h)
     valid = np.repeat(counts, counts) - at >= n
