@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import map_sorted_groups, stored
+from mediafold.llm.common import map_arrow, map_sorted_groups, stored
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -192,7 +192,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
                 leaf = descend(shared.value, _matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["vec_id", "vector", "leaf"])
 
-    indexed = stored(vectors.mapInArrow(assign, "vec_id long, vector array<double>, leaf long"), "index")
+    indexed = stored(map_arrow(vectors, assign, "vec_id long, vector array<double>, leaf long"), "index")
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # one row a leaf
     # Leaves in tree order fill groups of about block_rows rows; a larger leaf is several groups.
     first, parts, group, room = [], [], -1, 0
@@ -218,7 +218,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
 
     routed_as = "group long, kind int, id long, vector array<double>, leaves array<long>"
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    members = indexed.select("vec_id", "vector", "leaf", spread).mapInArrow(place, routed_as)
+    members = map_arrow(indexed.select("vec_id", "vector", "leaf", spread), place, routed_as)
 
     def run(queries: DataFrame, visits: int) -> DataFrame:
         """Best ``k`` per query and group over the first ``visits`` leaves."""
@@ -243,7 +243,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
                      batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int64()))],
                     ["group", "kind", "id", "vector", "leaves"])
 
-        routed = queries.select("vec_id", "vector").mapInArrow(route, routed_as)
+        routed = map_arrow(queries.select("vec_id", "vector"), route, routed_as)
 
         def scan(group: pa.Table) -> pa.Table:
             kind = group.column("kind").to_numpy()
@@ -309,7 +309,7 @@ def _calibrate(tree: Tree, indexed: DataFrame, trial_rows: list, k: int, target:
 
     # k rows a trial query and partition, cut to k a query before they reach the driver.
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    true = (indexed.select("vec_id", "vector", "leaf").mapInArrow(exact, "q long, score double, vec_id long, leaf long")
+    true = (map_arrow(indexed.select("vec_id", "vector", "leaf"), exact, "q long, score double, vec_id long, leaf long")
             .withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").collect())
     walks = [{leaf: i for i, leaf in enumerate(best_bins(tree, x, tree.n_leaves))} for x in q]
     depth = np.array([walks[r["q"]].get(r["leaf"], tree.n_leaves) for r in true])

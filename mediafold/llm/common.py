@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from mediafold.session import checkpoint_dir
 from mediafold.sources.tables import load
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a task works on at a time, and of a batch that it is handed: both bound its memory.
+CHUNK_BYTES = 1 << 19
+BATCH_BYTES = "8m"
 
 
 # ------------------------------------------------------------------ storage
@@ -37,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` on batches of bounded bytes (a batch bounded by rows alone could hold any amount of text)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(fn, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
@@ -214,8 +222,7 @@ def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str,
         for group in sorted_groups(batches, keys):
             yield from fn(group).to_batches()
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
-            .mapInArrow(run, schema))
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])), run, schema)
 
 
 # ----------------------------------------------------- connected components

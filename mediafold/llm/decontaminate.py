@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediafold.llm.common import Words, text_chunks, utf8
+from mediafold.llm.common import Words, map_arrow, text_chunks, utf8
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 16
 
 
@@ -277,7 +277,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_it
                     [*kept, pa.array(w.counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())),
                      pa.array(pieces, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_arrow(docs, run, schema)
     return docs
 
 
@@ -303,31 +303,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, **bloc
     """
     columns = docs.columns
     found = find_spans(docs, benchmark, window, **blocks)
-
-    def cut(batches):
-        for batch in batches:
-            at = batch.schema.names
-            texts = batch.column(at.index("text")).to_pylist()
-            spans = batch.column(at.index("_bytes")).to_pylist()
-            out = []
-            for text, s in zip(texts, spans, strict=True):
-                if s:
-                    raw, parts, last = text.encode(), [], 0
-                    for a, b in zip(s[::2], s[1::2], strict=True):
-                        parts.append(raw[last:a].decode())
-                        last = b
-                    parts.append(raw[last:].decode())
-                    text = " ".join(p.strip() for p in parts if p.strip())
-                out.append(text)
-            arrays = list(batch.columns)
-            arrays[at.index("text")] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, at)
-
-    cleaned = found.mapInArrow(cut, found.schema)
+    dirty = F.size("_spans") > 0
+    # The pieces between the cuts, by bytes: [0, to, to, ...] to [from, from, ..., end].
+    raw = F.encode("text", "UTF-8")
+    cuts = F.col("_bytes")
+    low = F.concat(F.array(F.lit(0).cast("long")), F.filter(cuts, lambda x, i: i % 2 == 1))
+    high = F.concat(F.filter(cuts, lambda x, i: i % 2 == 0), F.array(F.octet_length("text").cast("long")))
+    pieces = F.zip_with(low, high, lambda a, b: F.btrim(
+        F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"), F.lit(" \t\r\n")))
     left = F.col("_n_words") - F.aggregate(
         F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    cleaned = cleaned.where((F.size("_spans") == 0) | (left > 0))
+    cleaned = found.where(~dirty | (left > 0)).withColumn("_cut", dirty).withColumn(
+        "text", F.when(dirty, F.array_join(F.filter(pieces, lambda x: x != ""), " ")).otherwise(F.col("text")))
     if "n_chars" in columns:
         cleaned = cleaned.withColumn("n_chars", F.when(
-            F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+            F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cleaned.select(*[F.col(f"`{c}`") for c in columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import LOWER, WORD_BYTE, byte_chunks, text_chunks, utf8
+from mediafold.llm.common import LOWER, WORD_BYTE, byte_chunks, map_arrow, text_chunks, utf8
 
 DIMS = 4096
 _TABLE = LOWER.copy()
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, usable: Callable[[Column], Column], rows_per_lang: int
                 ["lang", "cells", "n"])
 
     limit = 2 * rows_per_lang * len(per_lang)
-    got = rows.orderBy(h, "doc_id").limit(limit).mapInArrow(run, "lang string, cells binary, n binary").collect()
+    got = map_arrow(rows.orderBy(h, "doc_id").limit(limit), run, "lang string, cells binary, n binary").collect()
     langs: list[str] = []
     counts = []
     for r in got:
@@ -177,5 +177,5 @@ def predict_languages(docs: DataFrame, held_out: Callable[[Column], Column], row
                     ["doc_id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    rows = map_arrow(rows, run, "doc_id long, lang_pred string, score double, accepted boolean")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")

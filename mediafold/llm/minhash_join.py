@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from mediafold.llm.common import (
     Words,
     connected_components,
+    map_arrow,
     mix,
     powers,
     sorted_groups,
@@ -180,8 +181,8 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(cut), pa.array(found.ravel().view(np.int64)))],
                 ["doc_id", "text_hash", "k1", "k2", "n_grams", "bands"])
 
-    return docs.mapInArrow(
-        run, "doc_id long, text_hash long, k1 long, k2 long, n_grams long, bands array<long>")
+    return map_arrow(
+        docs, run, "doc_id long, text_hash long, k1 long, k2 long, n_grams long, bands array<long>")
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
@@ -234,8 +235,8 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield flush()
 
-    return (members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
-            .mapInArrow(run, "node string, n long, other string"))
+    dealt = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "node")
+    return map_arrow(dealt, run, "node string, n long, other string")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,

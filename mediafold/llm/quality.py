@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import Words, segment_sum, text_chunks
+from mediafold.llm.common import Words, map_arrow, segment_sum, text_chunks
 
 FEATURES = (
     "log_words", "word_length", "long_words", "short_words", "upper", "digits", "symbols", "bangs", "bars", "stops",
@@ -245,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column],
                 [part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("y")),
                  pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = labelled(docs, labels, "quality", usable, train_rows).mapInArrow(run, "doc_id long, y int, x array<double>")
+    rows = labelled(docs, labels, "quality", usable, train_rows)
+    rows = map_arrow(rows, run, "doc_id long, y int, x array<double>")
     # Repeated documents could add rows; the limit keeps the driver's share bounded.
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(train_rows).collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
@@ -261,7 +262,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, name: str = "score") -> Da
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(data, offsets)))],
                                              [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column],

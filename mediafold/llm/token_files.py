@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import bucketed_prefix, byte_chunks, scratch_path, stored, utf8
+from mediafold.llm.common import bucketed_prefix, byte_chunks, map_arrow, scratch_path, stored, utf8
 
 #: Tokenizers whose patterns never match across a space or line feed.
 PIECE_SAFE = ("word_bpe_49k.json",)
@@ -204,8 +204,8 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), out.cast(pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, ids binary")
 
 
 def rank_table(tokens: DataFrame, vocabulary: int, itemsize: int) -> np.ndarray:
@@ -222,7 +222,7 @@ def rank_table(tokens: DataFrame, vocabulary: int, itemsize: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["id", "n"])
 
     # At most one row per id of the vocabulary.
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(tokens.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(vocabulary, np.int64)
     for r in rows:
         n[r["id"]] = r["n"]
@@ -286,7 +286,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, file_t
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions(
         F.asc_nulls_first("doc_id"), F.length("ids"), "ids")
-    return stored(ordered.mapInArrow(write, "part long, seq long, n_docs long, n_tokens long"), "manifest")
+    return stored(map_arrow(ordered, write, "part long, seq long, n_docs long, n_tokens long"), "manifest")
 
 
 def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -312,8 +312,8 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
                     "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
-    rows = files.select("path", "content").mapInArrow(
-        decode, "doc_id long, part long, seq long, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(files.select("path", "content"), decode,
+                     "doc_id long, part long, seq long, at long, n_tokens long, ids_crc32 long")
     before = bucketed_prefix(manifest, [], ["part", "seq"], F.col("n_tokens"), "before",
                              spread=F.floor(F.col("part") / 64))
     before = before.select(F.col("part").alias("_part"), F.col("seq").alias("_seq"), "before")
