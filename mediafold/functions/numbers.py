@@ -65,14 +65,15 @@ def duration_seconds(s: Column) -> Column:
 
 def leading_number(s: Column) -> Column:
     """Number at the start of text with units (``5.6 mm`` -> 5.6), else NULL."""
-    # NULL in, NULL out without running the regex (absent tags are the common case)
-    m = F.regexp_extract(s, r"^\s*([+\-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1)
-    return F.when(m != "", m.try_cast("double"))
+    # NULL in, NULL out; a whole text that is a number (also 1.2E-4) needs no regex, only text with a unit does.
+    whole = s.try_cast("double")
+    m = F.regexp_extract(s, r"^\s*([+\-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?)", 1)
+    return F.when(F.abs(whole) < F.lit(float("inf")), whole).when(m != "", m.try_cast("double"))
 
 
 def leading_int(s: Column) -> Column:
-    """H24 for int fields: leading number truncated toward zero, else 0."""
-    return F.coalesce(leading_number(s).try_cast("int"), F.lit(0))
+    """H24 for int fields: leading number truncated toward zero as a 64-bit integer, else 0."""
+    return F.coalesce(leading_number(s).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def altitude_fallback(s: Column) -> Column:

@@ -92,28 +92,41 @@ def sanitize_description(s: Column) -> Column:
     return F.when(unwanted | dcim, F.lit("")).otherwise(v)
 
 
-JSON_STRING_ARRAY = r'^\[\s*(?:"(?:[^"\\]|\\.)*"\s*(?:,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]$'
-
-
 def sanitize_meta(s: Column) -> Column:
-    """A JSON array of strings -> ``a, b``; another bracketed text stays as is; else G7."""
+    """A JSON array of strings (or nulls, read as '') -> ``a, b``; another bracketed text stays as is; else G7.
+
+    The JSON parser decides what is an array of strings: texts of any length are safe, and it only runs on bracketed
+    texts.
+    """
     v = F.coalesce(s, F.lit(""))
     bracketed = v.startswith("[") & v.endswith("]")
-    as_list = F.when(v.rlike(JSON_STRING_ARRAY), F.array_join(F.from_json(v, "array<string>"), ", "))
+    parsed = F.try_parse_json(F.when(bracketed, v))
+    items = F.transform(F.try_variant_get(parsed, "$", "array<string>"), lambda x: F.coalesce(x, F.lit("")))
+    as_list = F.when(F.schema_of_variant(parsed).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.array_join(items, ", "))
     return (F.when(v == "", F.lit(""))
             .when(bracketed, F.coalesce(as_list, v))
             .otherwise(sanitize_string(v)))
 
 
+def words(low: Column) -> Column:
+    """Letter/digit words of text that is cleaned (G11) and lower-cased."""
+    return F.regexp_extract_all(low, F.lit(WORD_PATTERN), 0)
+
+
 def keyword_words(s: Column) -> Column:
     """Lower-case letter/digit words of a keyword text (after G11)."""
-    return F.regexp_extract_all(F.lower(sanitize_meta(s)), F.lit(WORD_PATTERN), 0)
+    return words(F.lower(sanitize_meta(s)))
+
+
+def add_words(current: Column, more: Column) -> Column:
+    """Sorted distinct union of two word lists (NULL counts as empty)."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(current.cast("array<string>"), none), F.coalesce(more, none))))
 
 
 def add_keywords(current: Column, s: Column) -> Column:
     """Sorted distinct union of the current keywords and the words of ``s``."""
-    cur = F.coalesce(current, F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.concat(cur, keyword_words(s))))
+    return add_words(current, keyword_words(s))
 
 
 def auto_keywords(s: Column) -> Column:
@@ -124,8 +137,7 @@ def auto_keywords(s: Column) -> Column:
     computed once per row (a lambda over the keyword array would recompute
     it per keyword).
     """
-    low = F.lower(sanitize_meta(s))
-    return F.array_compact(F.array(*[F.when(F.instr(low, F.lit(w)) > 0, F.lit(w)) for w in AUTO_KEYWORDS]))
+    return auto_keywords_lower(F.lower(sanitize_meta(s)))
 
 
 def auto_keywords_lower(low: Column) -> Column:
@@ -140,7 +152,7 @@ def keywords_string(k: Column) -> Column:
 
 def _title_word(w: Column) -> Column:
     special = F.create_map(*[x for k, v in TITLE_WORDS.items() for x in (F.lit(k), F.lit(v))])
-    plain = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    plain = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     return F.coalesce(F.try_element_at(special, F.lower(w)), plain)
 
 

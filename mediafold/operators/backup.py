@@ -56,22 +56,18 @@ def backup_plan(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame,
     content id, far smaller than the catalog), which cuts the lineage and
     keeps the catalog scan and group reduction from running three times.
     """
-    groups = dedupe.reduced_groups(files, backups)
-    if backups is not None:
-        groups = groups.join(backups.select("id", F.col("name").alias("backup_name")), "id", "left")
-    else:
-        groups = groups.withColumn("backup_name", F.lit(None).cast("string"))
-    plan = plan_destinations(groups, root, tz)
     disk = on_disk.select(F.col("path"), F.col("disk_id"))
-
-    # Existing backup: intact (same id on disk), rotten (other id) or missing.
-    bdisk = disk.select(F.col("path").alias("backup_name"), F.col("disk_id").alias("backup_disk_id"))
-    plan = plan.join(bdisk, "backup_name", "left")
-    backup_state = (F.when(F.col("backup_name").isNull(), F.lit("none"))
-                    .when(F.col("backup_disk_id").isNull(), F.lit("missing"))
-                    .when(F.col("backup_disk_id") == F.col("id"), F.lit("ok"))
-                    .otherwise(F.lit("rotten")))
-    plan = plan.withColumn("backup_state", backup_state).drop("backup_disk_id")
+    if backups is not None:
+        # State of each existing backup, resolved per filez row: intact (same id on disk), rotten (other id) or missing.
+        # An id without a backup takes no part, so no join key is NULL; the groups then join filez once, by id.
+        held = F.col("disk_id")
+        state = (F.when(held.isNull(), F.lit("missing")).when(held == F.col("id"), F.lit("ok"))
+                 .otherwise(F.lit("rotten")))
+        backups = (backups.join(disk, F.col("name") == F.col("path"), "left").withColumn("state", state)
+                   .drop("path", "disk_id"))
+    groups = dedupe.reduced_groups(files, backups)
+    state = F.col("backup_state") if backups is not None else F.lit(None).cast("string")
+    plan = plan_destinations(groups.withColumn("backup_state", F.coalesce(state, F.lit("none"))), root, tz)
     if materialize:
         from mediafold.session import checkpoint_dir
         checkpoint_dir(plan.sparkSession)
@@ -103,7 +99,9 @@ def backup_plan(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame,
         "id", "dest0", "_hex", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("k"))
     cands = cands.select("id", "k", F.concat(
         F.col("dest0"), F.expr(f"repeat(concat('-', _hex, '{P.SUFFIX_TAG}'), k)")).alias("path"))
-    chosen = (cands.join(disk, "path", "left")
+    # Only suffixed paths can be hit; the others need not take part in the join.
+    suffixed = disk.where(F.col("path").endswith(P.SUFFIX_TAG))
+    chosen = (cands.join(suffixed, "path", "left")
               .where(F.col("disk_id").isNull() | (F.col("disk_id") == F.col("id")))
               .groupBy("id").agg(F.min_by(F.struct("path", "disk_id"), F.col("k")).alias("_c")))
     plan = plan.join(chosen, "id", "left")
@@ -126,8 +124,8 @@ def backup_plan(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame,
 
 
 def copy_sources(plan: DataFrame, files: DataFrame, listing: DataFrame,
-                 exclude: DataFrame | None = None) -> DataFrame:
-    """For every ``copy`` id, the first member (by name) whose fresh stat
+                 exclude: DataFrame | None = None, actions: tuple[str, ...] = ("copy", "move")) -> DataFrame:
+    """For every ``copy`` id (and ``move`` id, whose fallback is a copy), the first member (by name) whose fresh stat
     still equals the catalog, and how many such members exist.
 
     ``listing`` is a fresh ``(name, hostname, size, timemodified)`` scan;
@@ -137,7 +135,7 @@ def copy_sources(plan: DataFrame, files: DataFrame, listing: DataFrame,
     so a content id with millions of copies never lands in one task as a list.
     """
     key = ["name", "hostname", "size", "timemodified"]
-    todo = plan.where(F.col("action") == "copy").select("id", "dest")
+    todo = plan.where(F.col("action").isin(*actions)).select("id", "dest")
     fresh = files.select("id", *key).join(listing.select(*key), key, "left_semi")
     if exclude is not None:
         fresh = fresh.join(exclude.select("id", "name", "hostname"), ["id", "name", "hostname"], "left_anti")
@@ -151,7 +149,7 @@ def copy_sources(plan: DataFrame, files: DataFrame, listing: DataFrame,
 
 def plan_outcome(plan: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
     """G6 after C5: ``copy`` ids with no member still matching become ``stale``."""
-    src = copy_sources(plan, files, listing).select("id", "source", "n_candidates")
+    src = copy_sources(plan, files, listing, actions=("copy",)).select("id", "source", "n_candidates")
     p = plan.join(src, "id", "left")
     outcome = (F.when((F.col("action") == "copy") & (F.coalesce(F.col("n_candidates"), F.lit(0)) == 0),
                       F.lit("stale")).otherwise(F.col("action")))
@@ -160,95 +158,136 @@ def plan_outcome(plan: DataFrame, files: DataFrame, listing: DataFrame) -> DataF
                     F.coalesce(F.col("n_candidates"), F.lit(0)).alias("n_candidates"))
 
 
+FILEZ_COLUMNS = ["name", "hostname", "id", "size", "timemodified", "timeborn", "timebornsrc", "mimetype", "mimesubtype"]
+
+
 def filez_rows(done: DataFrame, backups: DataFrame | None) -> DataFrame:
     """``filez`` after a run: one row per id, name = final path.
 
-    ``done`` has the plan columns plus ``path_final`` and ``status`` from
-    execution.  Ignored groups are counted but not stored (the reference's
-    ``Size == 0`` rows); failed copies keep the status instead of an empty
-    name.  Existing rows of the same id are replaced.
+    ``done`` has the plan columns plus ``path_final`` (NULL where nothing is in place) and ``status``; it is used twice,
+    so it must be a stored result, not a pending run.  An existing row is replaced only by a backup that is in place: a
+    failed or conflicting id keeps the row it had, and an id that never had one gets none (its status stays in
+    ``done``).
     """
-    cols = ["name", "hostname", "id", "size", "timemodified", "timeborn", "timebornsrc",
-            "mimetype", "mimesubtype"]
-    new = done.where(F.col("action") != "ignored").select(
+    new = done.where(F.col("path_final").isNotNull()).select(
         F.col("path_final").alias("name"), F.lit(None).cast("string").alias("hostname"), "id", "size",
         "timemodified", "timeborn", "timebornsrc", "mimetype", "mimesubtype", "status")
     if backups is None:
         return new
-    kept = backups.join(new.select("id"), "id", "left_anti").select(*cols).withColumn(
-        "status", F.lit("ok"))
+    kept = backups.join(new.select("id"), "id", "left_anti").select(*FILEZ_COLUMNS).withColumn("status", F.lit("ok"))
     return kept.unionByName(new)
 
 
-EXECUTE_SCHEMA = "id long, dest string, path_final string, status string"
+EXECUTE_SCHEMA = "id long, dest string, source_name string, source_hostname string, path_final string, status string"
 
 
 def _execute_partition(batches):
     import os
     import shutil
+    import uuid
 
-    import numpy as np
     import pandas as pd
-    import xxhash
 
-    def xxh3(path):
-        h = xxhash.xxh3_64()
-        with open(path, "rb") as fh:
-            for chunk in iter(lambda: fh.read(8 * 1024 * 1024), b""):
-                h.update(chunk)
-        return int(np.uint64(h.intdigest()).astype(np.int64))
+    from mediafold.sources.listing import content_id
 
-    def hexid(i):
-        return format(int(i) & 0xFFFFFFFFFFFFFFFF, "016x")
+    def holds(path, wanted):
+        if not path or not os.path.exists(path):
+            return False
+        with open(path, "rb") as f:
+            return content_id(f)[0] == wanted
+
+    def place(r):
+        """(final path, status); safe to run again after a lost task: work that is already done is found done."""
+        if holds(r.dest, r.id):
+            return r.dest, "moved" if r.action == "move" else "present"
+        os.makedirs(os.path.dirname(r.dest), exist_ok=True)
+        if r.action == "move" and holds(r.backup_name, r.id) and not os.path.exists(r.dest):
+            try:
+                os.replace(r.backup_name, r.dest)
+                return r.dest, "moved"
+            except OSError:
+                pass  # go on with a copy
+        if not r.source_name:
+            return None, "no_source"
+        st = os.stat(r.source_name)
+        if st.st_size != r.size or (st.st_mtime_ns + 500_000_000) // 1_000_000_000 != r.source_mtime:
+            return None, "source_changed"
+        if os.path.exists(r.dest):
+            return None, "dest_taken"
+        # Every attempt writes a file of its own: a second attempt of the task cannot disturb the first.
+        temporary = f"{r.dest}-{int(r.id) & 0xFFFFFFFFFFFFFFFF:016x}.{uuid.uuid4().hex}.tmp"
+        try:
+            shutil.copy2(r.source_name, temporary)       # keeps mode and mtime
+            if not holds(temporary, r.id):
+                return None, "verify_failed"
+            os.replace(temporary, r.dest)
+            return r.dest, "copied"
+        finally:
+            if os.path.exists(temporary):
+                os.remove(temporary)
 
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            status, final = "failed", None
             try:
-                if r.action == "move":
-                    os.makedirs(os.path.dirname(r.dest), exist_ok=True)
-                    try:
-                        os.replace(r.backup_name, r.dest)
-                        final, status = r.dest, "moved"
-                    except OSError:
-                        status = "move_failed"
-                if r.action in ("copy", "move") and final is None and r.source_name:
-                    if os.path.exists(r.dest) and xxh3(r.dest) == r.id:
-                        final, status = r.dest, "present"
-                    else:
-                        st = os.stat(r.source_name)
-                        if st.st_size == r.size and round(st.st_mtime) == r.source_mtime:
-                            os.makedirs(os.path.dirname(r.dest), exist_ok=True)
-                            tmp = f"{r.dest}-{hexid(r.id)}.tmp"
-                            shutil.copy2(r.source_name, tmp)       # keeps mode and mtime
-                            if xxh3(tmp) == r.id:
-                                os.replace(tmp, r.dest)
-                                final, status = r.dest, "copied"
-                            else:
-                                os.remove(tmp)
-                                status = "verify_failed"
-                        else:
-                            status = "source_changed"
+                final, status = place(r)
             except OSError as e:
-                status = f"failed: {e.__class__.__name__}"
-            out.append((r.id, r.dest, final, status))
-        yield pd.DataFrame(out, columns=["id", "dest", "path_final", "status"])
+                final, status = None, f"failed: {e.__class__.__name__}"
+            out.append((r.id, r.dest, r.source_name, r.source_hostname, final, status))
+        yield pd.DataFrame(out, columns=["id", "dest", "source_name", "source_hostname", "path_final", "status"])
 
 
 def execute_plan(plan: DataFrame, sources: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Carry out ``copy`` and ``move`` actions on shared storage.
+    """Carry out ``copy`` and ``move`` actions on shared storage; one source per id.
 
-    ``sources`` is :func:`copy_sources` output.  Each task copies to a
-    temporary name (mode and mtime kept), re-hashes, then renames; the
-    destination owner was fixed by the plan, so no two tasks write one path.
-    Returns ``(id, dest, path_final, status)``; a failed copy can be retried
-    by calling :func:`copy_sources` with the failed source excluded.
+    ``sources`` is :func:`copy_sources` output.  Each task copies to a temporary name (mode and mtime kept), re-hashes,
+    then renames; the destination owner was fixed by the plan, so no two ids write one path.  The result (``id, dest,
+    source_name, source_hostname, path_final, status``) is written to shared storage, so it is carried out once.
     """
+    from mediafold.sources.listing import TASK_BYTES, _stored
     todo = (plan.where(F.col("action").isin("copy", "move"))
             .join(sources.select("id", F.col("source.name").alias("source_name"),
+                                 F.col("source.hostname").alias("source_hostname"),
                                  F.col("source.timemodified").alias("source_mtime")), "id", "left")
-            .select("id", "action", "dest", "backup_name", "size", "source_name", "source_mtime"))
-    if partitions:
-        todo = todo.repartition(partitions, "id")
-    return todo.mapInPandas(_execute_partition, EXECUTE_SCHEMA)
+            .select("id", "action", "dest", "backup_name", "size", "source_name", "source_hostname", "source_mtime"))
+    if partitions is None:
+        n, total = todo.agg(F.count("*"), F.sum("size")).first()
+        tasks = plan.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(n, max(tasks, -(-(total or 0) // TASK_BYTES))))
+    return _stored(todo.repartition(partitions).mapInPandas(_execute_partition, EXECUTE_SCHEMA), "executed")
+
+
+def run_plan(plan: DataFrame, files: DataFrame, listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Carry out a plan, trying every matching member of an id until one is in place.
+
+    Returns the plan with ``path_final`` and ``status``.  Each round takes the next source of the ids that failed; it ends
+    when all are in place or have no source left, so the number of rounds is bounded by the copies of the worst id.
+    """
+    from mediafold.sources.listing import _stored
+    pending, failed, tried = plan.where(F.col("action").isin("copy", "move")), None, []
+    while True:
+        done = execute_plan(pending, copy_sources(pending, files, listing, exclude=failed), partitions)
+        tried.append(done)
+        again = done.where("path_final IS NULL AND source_name IS NOT NULL")
+        if again.isEmpty():
+            break
+        used = again.select("id", F.col("source_name").alias("name"), F.col("source_hostname").alias("hostname"))
+        failed = used if failed is None else failed.unionByName(used)
+        pending = pending.join(again.select("id"), "id", "left_semi")
+    results = tried[0].withColumn("_round", F.lit(0))
+    for i, t in enumerate(tried[1:], 1):
+        results = results.unionByName(t.withColumn("_round", F.lit(i)))
+    # What is in place counts; else the last failure that had a source says why.
+    best = results.groupBy("id").agg(F.max_by(F.struct("path_final", "status"), F.struct(
+        F.col("path_final").isNotNull(), F.col("source_name").isNotNull(), "_round")).alias("r"))
+    joined = plan.join(best, "id", "left")
+    settled = F.col("action").isin("keep", "present")
+    return _stored(joined.withColumn("path_final", F.when(settled, F.col("dest")).otherwise(F.col("r.path_final")))
+                   .withColumn("status", F.coalesce(F.col("r.status"), F.col("action"))).drop("r"), "backup")
+
+
+def backup_job(files: DataFrame, backups: DataFrame | None, on_disk: DataFrame, listing: DataFrame, root: str,
+               tz: str = "Asia/Shanghai") -> tuple[DataFrame, DataFrame]:
+    """Plan, carry out with retries, and the ``filez`` table after the run: ``(outcome per id, filez rows)``."""
+    done = run_plan(backup_plan(files, backups, on_disk, root, tz), files, listing)
+    return done, filez_rows(done, backups)

@@ -86,12 +86,16 @@ def reduced_groups(files: DataFrame, backups: DataFrame | None = None,
     g = group_stats(files, host)
     if backups is not None:
         # The existing backup of each id, one left join instead of one query per id
-        b = backups.select("id", F.struct(*_ROW_FIELDS).alias("backup"))
+        extra = ["state"] if "state" in backups.columns else []
+        b = backups.select("id", F.struct(*_ROW_FIELDS, *extra).alias("backup"))
         g = g.join(b, "id", "left")  # both sides one row per id: no skew
     else:
+        extra = []
         g = g.withColumn("backup", F.lit(None).cast(g.schema["first"].dataType))
 
-    base = F.coalesce(F.col("backup"), F.col("first"))
+    first = F.struct(*[F.col("first")[c].alias(c) for c in _ROW_FIELDS], *[F.lit(None).cast("string").alias(c)
+                                                                           for c in extra])
+    base = F.coalesce(F.col("backup"), first)
     base_bn = basename(base["name"])
     anchor = base["timeborn"]
     # Sizes differ, or a birth taken from metadata differs from the anchor.
@@ -123,6 +127,8 @@ def reduced_groups(files: DataFrame, backups: DataFrame | None = None,
         (size_conflict | birth_conflict).alias("conflict"),
         size_conflict.alias("size_conflict"),
         birth_conflict.alias("birth_conflict"),
+        F.col("backup.name").alias("backup_name"),
+        *[F.col(f"backup.{c}").alias(f"backup_{c}") for c in extra],
     )
 
 

@@ -135,7 +135,7 @@ def convert(v: Column, kind: str) -> Column:
     if kind == "duration":
         return F.when(v.isNull(), F.lit(0).cast("bigint")).otherwise(N.duration_seconds(v))
     if kind == "bool":
-        return F.lower(X.trim_space(v)).isin("1", "t", "true")
+        return F.lower(X.trim_space(v)).isin("t", "true") | F.coalesce(v.try_cast("double") != 0, F.lit(False))
     if kind == "time":
         return D.parse_tag_datetime(v)
     if kind == "keywords":

@@ -1,13 +1,13 @@
 """Time zones and taken-time resolution (J10: D7, H27, H4, H5).
 
-Zone lookup (D7) is a point-in-polygon join against user-supplied regions
-``(zone, priority, polygon)`` where ``polygon`` is ``array<struct<lat,lng>>``.
-It is planned as an equi-join on a grid cell: each region is exploded into
-the cells its bounding box covers (bounded by its area), each point falls in
-exactly one cell, and only (point, region) pairs sharing a cell are tested
-with an exact ray-casting predicate.  The region-cell table is broadcast only
-after its row count is checked; otherwise both sides are shuffled on the cell
-(AQE splits a hot cell).  ``min_by(priority)`` keeps one zone per point.
+Zone lookup (D7) finds the region a point lies in among user-supplied regions
+``(zone, priority, polygon)`` with ``polygon`` an ``array<struct<lat,lng>>``.
+Regions are exploded into the grid cells of their bounding boxes and grouped
+to one row per cell; a point left-joins the row of its one cell and picks the
+first candidate (by priority) that contains it, by exact ray casting, inside
+the projection.  The points are never shuffled when the cell table is broadcast,
+which happens only if its measured bytes stay under ``BROADCAST_BYTES``; a
+larger table is joined on the cell by shuffle (AQE splits a hot cell).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mediafold.functions import dates as D
 
 CELL_DEGREES = 10.0
-MAX_BROADCAST_REGION_CELLS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 LOCAL_UTC_MIMES = ["video/mp4", "video/quicktime"]
 MAX_LOCAL_SKEW_SECONDS = 27 * 3600
 
@@ -48,39 +48,47 @@ def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
     return (F.size(hits) % 2) == 1
 
 
-def region_cells(regions: DataFrame) -> DataFrame:
-    """Regions exploded into the grid cells of their bounding boxes."""
+def _boxes(regions: DataFrame) -> DataFrame:
     lats = F.transform(F.col("polygon"), lambda p: p["lat"])
     lngs = F.transform(F.col("polygon"), lambda p: p["lng"])
-    r = regions.select("zone", "priority", "polygon",
-                       F.floor(F.array_min(lats) / CELL_DEGREES).cast("int").alias("y0"),
-                       F.floor(F.array_max(lats) / CELL_DEGREES).cast("int").alias("y1"),
-                       F.floor(F.array_min(lngs) / CELL_DEGREES).cast("int").alias("x0"),
-                       F.floor(F.array_max(lngs) / CELL_DEGREES).cast("int").alias("x1"))
-    r = r.withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    return regions.select("zone", "priority", "polygon",
+                          F.floor(F.array_min(lats) / CELL_DEGREES).cast("int").alias("y0"),
+                          F.floor(F.array_max(lats) / CELL_DEGREES).cast("int").alias("y1"),
+                          F.floor(F.array_min(lngs) / CELL_DEGREES).cast("int").alias("x0"),
+                          F.floor(F.array_max(lngs) / CELL_DEGREES).cast("int").alias("x1"))
+
+
+def cell_table(regions: DataFrame) -> DataFrame:
+    """One row per grid cell: ``cy, cx, regions`` with the candidates in priority order."""
+    r = _boxes(regions).withColumn("cy", F.explode(F.sequence("y0", "y1")))
     r = r.withColumn("cx", F.explode(F.sequence("x0", "x1")))
-    return r.select("zone", "priority", "polygon", "cy", "cx")
+    return r.groupBy("cy", "cx").agg(
+        F.array_sort(F.collect_list(F.struct("priority", "zone", "polygon"))).alias("regions"))
+
+
+def cell_table_bytes(regions: DataFrame) -> int:
+    """Bytes of the cell table, from the regions alone."""
+    cells = (F.col("y1") - F.col("y0") + 1).cast("bigint") * (F.col("x1") - F.col("x0") + 1)
+    return _boxes(regions).agg(F.sum(cells * (F.size("polygon") * 40 + 64))).first()[0] or 0
 
 
-def zone_lookup(points: DataFrame, regions: DataFrame, key: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """``points`` plus ``zone`` (NULL without a position or a region).
+def zone_lookup(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """``points`` plus ``zone`` (NULL without a position or a region); a projection when the regions are small.
 
     Zero latitude or longitude means no position.  Several matching regions:
     the lowest ``priority`` wins (the reference used the first zone returned).
     """
-    cells = region_cells(regions)
-    if cells.count() <= MAX_BROADCAST_REGION_CELLS:
+    cells = cell_table(regions)
+    if cell_table_bytes(regions) <= BROADCAST_BYTES:
         cells = F.broadcast(cells)
-    # Coordinates are materialised first: each is referenced several times below.
-    p = points.select(key, F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng"))
-    la, ln = F.col("_lat"), F.col("_lng")
-    p = p.where(F.coalesce((la != 0) & (ln != 0), F.lit(False)))
-    p = p.select(key, "_lat", "_lng", F.floor(la / CELL_DEGREES).cast("int").alias("cy"),
-                 F.floor(ln / CELL_DEGREES).cast("int").alias("cx"))
-    m = (p.join(cells, ["cy", "cx"])
-         .where(point_in_polygon(F.col("_lat"), F.col("_lng"), F.col("polygon")))
-         .groupBy(key).agg(F.min_by("zone", F.struct("priority", "zone")).alias("zone")))
-    return points.join(m, key, "left")
+    la, ln = F.col(lat).cast("double"), F.col(lng).cast("double")
+    known = F.coalesce((la != 0) & (ln != 0), F.lit(False))
+    p = points.select("*", F.when(known, la).alias("_lat"), F.when(known, ln).alias("_lng"))
+    p = p.select("*", F.floor(F.col("_lat") / CELL_DEGREES).cast("int").alias("cy"),
+                 F.floor(F.col("_lng") / CELL_DEGREES).cast("int").alias("cx"))
+    found = F.filter("regions", lambda r: point_in_polygon(F.col("_lat"), F.col("_lng"), r["polygon"]))
+    return (p.join(cells, ["cy", "cx"], "left")
+            .select(*[F.col(f"`{c}`") for c in points.columns], F.try_element_at(found, F.lit(1))["zone"].alias("zone")))
 
 
 def resolve_taken_time(df: DataFrame) -> DataFrame:

@@ -381,6 +381,22 @@ FROM plan p LEFT JOIN best b ON b.id = p.id
 """
 
 
+_OUTCOME = ORACLE["plan_outcome"].split("SELECT p.id, p.id_hex, p.action,")
+ORACLE["filez_upsert"] = f"""
+{_OUTCOME[0].rstrip()},
+outcome AS (SELECT p.id, p.id_hex, p.action, {_OUTCOME[1]}),
+new AS (SELECT p.id_hex, p.id, p.dest AS name, p.size, p.timemodified, p.timeborn, p.timebornsrc, p.mimetype,
+               p.mimesubtype, o.outcome AS status
+        FROM plan p JOIN outcome o USING (id)
+        WHERE o.outcome IN ('copy', 'move', 'keep', 'present') AND p.dest IS NOT NULL)
+SELECT id_hex, name, size, timemodified, timeborn, timebornsrc, mimetype, mimesubtype, status FROM new
+UNION ALL
+SELECT {id_hex('id')}, backup.name, backup.size, backup.timemodified, backup.timeborn, backup.timebornsrc,
+       backup.mimetype, backup.mimesubtype, 'ok'
+FROM b WHERE id NOT IN (SELECT id FROM new)
+"""
+
+
 # -- scalar parsers ---------------------------------------------------------------
 
 _IP = "CAST(v100 // 100 AS VARCHAR)"
@@ -570,8 +586,10 @@ def g10(e: str) -> str:
 def g11(e: str) -> str:
     v = f"coalesce({e}, '')"
     return (f"(CASE WHEN {v} = '' THEN '' WHEN starts_with({v}, '[') AND ends_with({v}, ']') THEN "
-            f"coalesce(CASE WHEN regexp_matches({v}, '{_X.JSON_STRING_ARRAY}') "
-            f"THEN array_to_string(from_json({v}, '[\"VARCHAR\"]'), ', ') END, {v}) ELSE {g7(e)} END)")
+            f"coalesce(CASE WHEN json_valid({v}) AND len(list_filter(json_extract({v}, '$[*]'), "
+            f"lambda x: json_type(x) NOT IN ('VARCHAR', 'NULL'))) = 0 "
+            f"THEN array_to_string(list_transform(from_json({v}, '[\"VARCHAR\"]'), lambda x: coalesce(x, '')), ', ') END, {v}) "
+            f"ELSE {g7(e)} END)")
 
 
 LINES = """
@@ -756,7 +774,7 @@ def first_tag_sql(m: str, names: list[str]) -> str:
     return "coalesce(" + ", ".join(f"CASE WHEN NOT {_empty_sql(v)} THEN {v} END" for v in vals) + ")"
 
 
-_LEAD = "regexp_extract(coalesce({0}, ''), '^\\s*([+\\-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+))', 1)"
+_LEAD = "regexp_extract(coalesce({0}, ''), '^\\s*([+\\-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)(?:[eE][+\\-]?[0-9]+)?)', 1)"
 
 
 def _lead_num(v: str) -> str:
@@ -798,7 +816,7 @@ def convert_sql(v: str, kind: str) -> str:
     if kind == "string":
         return _trim_sql(v)
     if kind == "int":
-        i = f"coalesce(TRY_CAST(trunc({_lead_num(v)}) AS INTEGER), 0)"
+        i = f"coalesce(TRY_CAST(trunc({_lead_num(v)}) AS BIGINT), 0)"
         return f"(CASE WHEN {i} <> 0 THEN {i} END)"
     if kind in ("float", "float32"):
         f = _lead_num(v)
@@ -807,7 +825,7 @@ def convert_sql(v: str, kind: str) -> str:
     if kind == "duration":
         return _duration_sql(v)
     if kind == "bool":
-        return f"(lower({_trim_sql(v)}) IN ('1', 't', 'true'))"
+        return f"(lower({_trim_sql(v)}) IN ('t', 'true') OR coalesce(TRY_CAST({v} AS DOUBLE) <> 0, false))"
     if kind == "keywords":
         return (f"array_to_string(list_sort(list_distinct(regexp_extract_all(lower({g11(v)}), "
                 f"'{_X.WORD_PATTERN}'))), ', ')")
@@ -968,10 +986,12 @@ LINEITEM_NUMBER_TEXTS = f"""
          || lpad(CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') ELSE 'n/a' END AS float_text,
     CASE WHEN l_returnflag = 'A' THEN '12 m, 13 m' ELSE {_Q} || '.' || CAST(l_linenumber AS VARCHAR) || ' m Above Sea Level' END
       AS altitude_text,
-    CAST(CAST(floor(l_tax * 100) AS BIGINT) AS VARCHAR) || '.5 mm' AS unit_text,
+    CASE WHEN l_linenumber = 1 THEN CAST(CAST(floor(l_tax * 100) AS BIGINT) AS VARCHAR) || '.5E-2'
+         WHEN l_linenumber = 2 THEN '30000000' || lpad({_Q}, 2, '0') || ' units'
+         ELSE CAST(CAST(floor(l_tax * 100) AS BIGINT) AS VARCHAR) || '.5 mm' END AS unit_text,
     CASE WHEN l_returnflag = 'R' THEN '-3' ELSE CAST(l_linenumber * 7 AS VARCHAR) END AS subsec_text,
     CASE WHEN l_linenumber = 7 THEN '0000:00:00 00:00:00' WHEN l_linestatus = 'O' THEN {_DTL} || '+05:30'
-         WHEN l_returnflag = 'R' THEN {_DTL} || '.25Z' ELSE {_DTL} END AS dt_text,
+         WHEN l_returnflag = 'R' THEN {_DTL} || CASE WHEN l_linenumber = 3 THEN '.25000000019Z' ELSE '.25Z' END ELSE {_DTL} END AS dt_text,
     CAST(l_linenumber AS VARCHAR) AS flash_text
   FROM lineitem
 """
@@ -999,7 +1019,7 @@ SELECT l_orderkey, l_linenumber,
   CASE WHEN len({_FL1}) = 1 AND TRY_CAST({_FL1}[1] AS DOUBLE) <> 0
        THEN TRY_CAST(trunc(TRY_CAST({_FL1}[1] AS DOUBLE)) AS INTEGER) ELSE 0 END AS altitude,
   {_lead_num('unit_text')} AS unit_value,
-  coalesce(TRY_CAST(trunc({_lead_num('unit_text')}) AS INTEGER), 0) AS unit_int,
+  coalesce(TRY_CAST(trunc({_lead_num('unit_text')}) AS BIGINT), 0) AS unit_int,
   coalesce(CASE WHEN regexp_matches(subsec_text, '^[0-9]+$') AND length(subsec_text) <= 9
                      AND TRY_CAST(subsec_text AS BIGINT) > 0 THEN TRY_CAST(rpad(subsec_text, 9, '0') AS INTEGER) END, 0)
     AS subsec_ns,
@@ -1155,32 +1175,43 @@ FROM ids LEFT JOIN cache ON ids.id = cache.id JOIN meta ON meta.id = ids.id
 
 # -- content types and merged sources ------------------------------------------------------
 
-def _mime_sql() -> str:
-    from mediafold.operators.mime import SIGNATURES, _shapes
-    sig_rows = ", ".join(f"('{t}', '{s}', {o}, {len(h) // 2}, '{h.upper()}', {i})"
-                         for i, (t, s, o, h) in enumerate(SIGNATURES))
-    shape_rows = ", ".join(f"({o}, {n})" for o, n in _shapes())
+def _mime_sql(fallback: bool) -> str:
+    from mediafold.operators.mime import EBML, EBML_MATROSKA, EBML_WEBM, SIGNATURES
+    from mediafold.plans.queries import PAGE_HEADERS
+
+    def part(off, h):
+        return f"substr(hx, {off * 2 + 1}, {len(h)}) = '{h.upper()}'"
+    whens = " ".join(
+        f"WHEN {' OR '.join('(' + ' AND '.join(part(o, h) for o, h in p) + ')' for p in alts)} THEN '{t}/{s}'"
+        for t, s, alts in SIGNATURES)
+    ebml = part(*EBML)
+    whens += (f" WHEN {ebml} AND contains(substr(hx, 1, 128), '{EBML_WEBM}') THEN 'video/webm'"
+              f" WHEN {ebml} AND contains(substr(hx, 1, 128), '{EBML_MATROSKA}') THEN 'video/x-matroska'"
+              f" WHEN {ebml} THEN 'video/webm'")
+    heads = " ".join(f"WHEN page_id % 8 = {k} THEN '{h.upper()}'" for k, h in PAGE_HEADERS.items())
+    stated = ("CASE WHEN contains(url, '?page=') THEN 'audio/x-stated' WHEN page_id % 3 = 0 THEN 'video/mp4; x' "
+              "WHEN page_id % 3 = 1 THEN 'oddity' END")
+    mt, ms = "split_part(m, '/', 1)", "substr(m, strpos(m, '/') + 1)"
+    if fallback:
+        mt = f"CASE WHEN m IS NOT NULL THEN {mt} ELSE nullif(split_part(stated, '/', 1), '') END"
+        ms = (f"CASE WHEN m IS NOT NULL THEN {ms} WHEN strpos(stated, '/') > 0 "
+              f"THEN substr(stated, strpos(stated, '/') + 1) END")
     return f"""
 WITH c AS (
-  SELECT page_id, url,
-         CASE WHEN starts_with(url, 'https://m.') THEN 'FFD8FFE0'
+  SELECT page_id, {stated} AS stated,
+         CASE {heads} WHEN starts_with(url, 'https://m.') THEN 'FFD8FFE0'
               WHEN contains(url, '.example.org/') THEN '0000001866747970'
               WHEN starts_with(url, 'http://') THEN '89504E470D0A1A0A' ELSE '' END
-         || hex(encode(left(html, 16))) AS hx
+         || hex(encode(left(html, 300))) AS hx
   FROM pages),
-h AS (SELECT page_id, substr(hx, 1, 32) AS hx FROM c),
-sigs(type, subtype, off, len, sig, priority) AS (VALUES {sig_rows}),
-shapes(off, len) AS (VALUES {shape_rows}),
-probes AS (SELECT h.page_id, s.off, s.len, substr(h.hx, s.off * 2 + 1, s.len * 2) AS sig FROM h, shapes s),
-hit AS (SELECT p.page_id, arg_min({{'t': g.type, 's': g.subtype}}, g.priority) AS m
-        FROM probes p JOIN sigs g ON p.off = g.off AND p.len = g.len AND p.sig = g.sig GROUP BY p.page_id)
-SELECT h.page_id, hit.m.t AS mimetype, hit.m.s AS mimesubtype,
-       coalesce(hit.m.t IN ('video', 'audio', 'image'), false) AS backed_up
-FROM h LEFT JOIN hit ON h.page_id = hit.page_id
+d AS (SELECT page_id, stated, CASE {whens} END AS m FROM c),
+t AS (SELECT page_id, {mt} AS mimetype, {ms} AS mimesubtype FROM d)
+SELECT page_id, mimetype, mimesubtype, coalesce(mimetype IN ('video', 'audio', 'image'), false) AS backed_up FROM t
 """
 
 
-ORACLE["mime_signatures"] = _mime_sql()
+ORACLE["mime_signatures"] = _mime_sql(False)
+ORACLE["classify_media"] = _mime_sql(True)
 
 
 def _nz(e: str) -> str:
@@ -1312,13 +1343,16 @@ ORACLE["taken_dates"] = _taken_dates_sql()
 # -- streams ---------------------------------------------------------------------------------
 
 ORACLE["stream_index"] = f"""
-SELECT '/stream/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.evt' AS name,
-       'user' || CAST(user_id % 8 AS VARCHAR) AS hostname,
-       {md5_id("event_type || ':' || CAST(user_id AS VARCHAR)")} AS id,
-       CAST(floor(value * 100) AS BIGINT) AS size, CAST(floor(epoch(ts)) AS BIGINT) AS timemodified,
-       CAST(floor(epoch(ts)) AS BIGINT) AS timeborn, 'stat' AS timebornsrc, 'application' AS mimetype,
-       'octet-stream' AS mimesubtype
-FROM events
+WITH r AS (
+  SELECT '/stream/' || event_type || '/' || CAST(user_id AS VARCHAR) || '.evt' AS name,
+         'user' || CAST(user_id % 8 AS VARCHAR) AS hostname,
+         {md5_id("event_type || ':' || CAST(user_id AS VARCHAR)")} AS id,
+         CAST(floor(value * 100) AS BIGINT) AS size, CAST(floor(epoch(ts)) AS BIGINT) AS timemodified
+  FROM events)
+SELECT name, hostname, any_value(id) AS id, arg_max(size, {{'t': timemodified, 's': size}}) AS size,
+       max(timemodified) AS timemodified, max(timemodified) AS timeborn, 'stat' AS timebornsrc,
+       'application' AS mimetype, 'octet-stream' AS mimesubtype
+FROM r GROUP BY name, hostname
 """
 
 ORACLE["stream_dedupe"] = f"""

@@ -180,6 +180,26 @@ def q_plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["plan_outcome"] = q_plan_outcome
 
 
+def q_filez_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filez table after a run in which every copy with a matching source succeeds and the others fail."""
+    from mediafold.operators import backup
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.ids import id_hex
+    files, backups, disk = derive.documents_backup_inputs(spark, sf_dir)
+    plan = backup.backup_plan(files, backups, disk, derive.BACKUP_ROOT, derive.BACKUP_TZ)
+    outcome = backup.plan_outcome(plan, files, derive.documents_fresh_listing(spark, sf_dir, files))
+    done = plan.join(outcome.select("id", "outcome"), "id").withColumn(
+        "path_final", F.when(F.col("outcome").isin("copy", "move", "keep", "present"), F.col("dest"))).withColumn(
+        "status", F.col("outcome"))
+    rows = backup.filez_rows(done, backups)
+    return rows.select(id_hex(F.col("id")).alias("id_hex"), "name", "size", "timemodified", "timeborn", "timebornsrc",
+                       "mimetype", "mimesubtype", "status")
+
+
+QUERIES["filez_upsert"] = q_filez_upsert
+
+
 # -- scalar parsers -------------------------------------------------------------
 
 def events_duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,11 +245,11 @@ def _coord_texts(centi, pos: str, neg: str, salt):
     return dec, dms
 
 
-def events_position_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_position_text(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     from pyspark.sql import functions as F
 
     from mediafold.sources.tables import load
-    e = load(spark, sf_dir, "events", ["event_id", "event_type"])
+    e = load(spark, sf_dir, "events", list(dict.fromkeys(["event_id", "event_type", *keep])))
     k = F.col("event_id")
     lat_dec, lat_dms = _coord_texts((k * 37) % 18000 - 9000, "N", "S", k)
     lng_dec, lng_dms = _coord_texts((k * 91) % 36000 - 18000, "E", "W", k * 3)
@@ -240,17 +260,16 @@ def events_position_text(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(t == "error", F.lit("abc bdf"))
            .otherwise(F.concat(lat_dec, F.lit(" "), lng_dec, F.lit(" 12.5"))))
     lat_text = F.when(t == "purchase", lat_dec).otherwise(lat_dms)
-    return e.select("event_id", pos.alias("position"), lat_text.alias("lat_text"))
+    return e.select("event_id", pos.alias("position"), lat_text.alias("lat_text"), *keep)
 
 
 def q_gps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from mediafold.functions.geo import gps_to_decimal, gps_to_lat_lng
-    p = events_position_text(spark, sf_dir)
-    ll = gps_to_lat_lng(F.col("position"))
-    return p.select("event_id", "position", ll["lat"].alias("lat"), ll["lng"].alias("lng"), "lat_text",
-                    gps_to_decimal(F.col("lat_text")).alias("lat_decimal"))
+    from mediafold.functions.geo import with_decimal, with_lat_lng
+    p = with_lat_lng(events_position_text(spark, sf_dir), "position")
+    return with_decimal(p, "lat_text", "lat_decimal").select(
+        "event_id", "position", "lat", "lng", "lat_text", "lat_decimal")
 
 
 def parts_as_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,8 +406,7 @@ def q_keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the cleaned lower-case text is staged once; words and automatic keywords both read it
     both = both.withColumn("low", F.lower(X.sanitize_meta(F.col("body"))))
     auto = X.auto_keywords_lower(F.col("low"))
-    kw = F.array_sort(F.array_distinct(F.concat(
-        F.regexp_extract_all(F.col("low"), F.lit(X.WORD_PATTERN), 0), auto)))
+    kw = X.add_words(auto, X.words(F.col("low")))
     return both.select("source", "key", X.keywords_string(kw).alias("keywords"),
                        F.size(kw).alias("n_keywords"), X.keywords_string(auto).alias("auto_keywords"),
                        F.when(F.array_contains(auto, "hdr"), 3).otherwise(0).alias("image_type"))
@@ -440,8 +458,7 @@ def q_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.functions import numbers as N
     from mediafold.functions import text as X
     from mediafold.sources.tables import load
-    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
-    pos = events_position_text(spark, sf_dir).select("event_id", "position")
+    p = G.with_lat_lng(events_position_text(spark, sf_dir, ("ts", "event_type", "value")), "position")
     t = F.col("event_type")
     text = (F.when(t == "view", F.date_format("ts", "yyyy-MM-dd"))
             .when(t == "click", F.date_format("ts", "yyyyMMdd"))
@@ -449,12 +466,10 @@ def q_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(t == "error", F.date_format("ts", "yyyy_MM_dd_HHmmss"))
             .otherwise(F.date_format("ts", "dd.MM.yyyy")))
     taken = F.when(t != "error", F.col("ts"))
-    ll = G.gps_to_lat_lng(F.col("position"))
     image_type = F.when(F.col("value") > 400, 3).otherwise(F.floor(F.col("value")).cast("int") % 3)
-    return (e.join(pos, "event_id")
-            .select("event_id", text.alias("time_text"), X.is_time_text(text).alias("is_time"),
-                    G.has_time_and_place(taken, ll["lat"], ll["lng"]).alias("has_time_and_place"),
-                    N.is_hdr(image_type).alias("is_hdr")))
+    return p.select("event_id", text.alias("time_text"), X.is_time_text(text).alias("is_time"),
+                    G.has_time_and_place(taken, F.col("lat"), F.col("lng")).alias("has_time_and_place"),
+                    N.is_hdr(image_type).alias("is_hdr"))
 
 
 QUERIES["clean_text"] = q_clean_text
@@ -628,11 +643,13 @@ def lineitem_number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("n/a")).alias("float_text"),
         F.when(rf == "A", F.lit("12 m, 13 m"))
         .otherwise(F.concat(q, F.lit("."), ln.cast("string"), F.lit(" m Above Sea Level"))).alias("altitude_text"),
-        F.concat(s(F.col("l_tax") * 100), F.lit(".5 mm")).alias("unit_text"),
+        F.when(ln == 1, F.concat(s(F.col("l_tax") * 100), F.lit(".5E-2")))
+        .when(ln == 2, F.concat(F.lit("30000000"), F.lpad(q, 2, "0"), F.lit(" units")))
+        .otherwise(F.concat(s(F.col("l_tax") * 100), F.lit(".5 mm"))).alias("unit_text"),
         F.when(rf == "R", F.lit("-3")).otherwise((ln * 7).cast("string")).alias("subsec_text"),
         F.when(ln == 7, F.lit("0000:00:00 00:00:00"))
         .when(ls == "O", F.concat(dt, F.lit("+05:30")))
-        .when(rf == "R", F.concat(dt, F.lit(".25Z")))
+        .when(rf == "R", F.concat(dt, F.when(ln == 3, F.lit(".25000000019Z")).otherwise(F.lit(".25Z"))))
         .otherwise(dt).alias("dt_text"),
         ln.cast("string").alias("flash_text"),
     )
@@ -685,24 +702,22 @@ def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         zone.alias("zone"), k.cast("int").alias("priority"), box_polygon(lat0, lat0 + 40, lng0, lng0 + 76).alias("polygon"))
 
 
-def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_points(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     from pyspark.sql import functions as F
 
     from mediafold.functions.geo import with_lat_lng
-    p = events_position_text(spark, sf_dir)
-    return with_lat_lng(p, "position").select("event_id", "lat", "lng")
+    p = events_position_text(spark, sf_dir, keep)
+    return with_lat_lng(p, "position").select("event_id", "lat", "lng", *keep)
 
 
 def q_zone_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.operators.timezones import zone_lookup
-    return zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id")
+    return zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir))
 
 
-def events_time_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_time_tags(e: DataFrame) -> DataFrame:
+    """Adds the date-time texts and MIME type of an event (needs ``ts, user_id, event_type``)."""
     from pyspark.sql import functions as F
-
-    from mediafold.sources.tables import load
-    e = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"])
     t, u = F.col("event_type"), F.col("user_id")
     fmt = "yyyy:MM:dd HH:mm:ss"
     base = F.date_format("ts", fmt)
@@ -713,7 +728,7 @@ def events_time_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.when(u % 4 == 0, shifted).otherwise(F.lit(""))
     gps = F.concat(F.date_format(F.expr("ts - make_dt_interval(0, 1, 0, 0)"), fmt), F.lit("Z"))
     mime = F.when(u % 2 == 0, F.lit("video/mp4")).otherwise(F.lit("image/jpeg"))
-    return e.select("event_id", taken.alias("taken_text"), created.alias("created_text"), gps.alias("gps_text"),
+    return e.select("*", taken.alias("taken_text"), created.alias("created_text"), gps.alias("gps_text"),
                     mime.alias("mime"))
 
 
@@ -723,8 +738,8 @@ def q_resolve_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.functions import dates as D
     from mediafold.functions.geo import has_position
     from mediafold.operators import timezones as TZ
-    pts = TZ.zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id")
-    tt = events_time_tags(spark, sf_dir).join(pts, "event_id")
+    pts = event_points(spark, sf_dir, ("ts", "user_id", "event_type"))
+    tt = events_time_tags(TZ.zone_lookup(pts, nation_regions(spark, sf_dir)))
     tt = tt.select("event_id", "mime", "zone", has_position(F.col("lat"), F.col("lng")).alias("has_position"),
                    "taken_text", "created_text", "gps_text")
     for src, out in (("taken_text", "taken"), ("created_text", "created"), ("gps_text", "gps")):
@@ -789,14 +804,23 @@ QUERIES["cache_join"] = q_cache_join
 
 # -- content types and merged sources ------------------------------------------------------
 
+# Fixed values of the derivation: leading bytes (hex) put before a page's html, by page_id modulo 8.
+PAGE_HEADERS = {2: "00FF00FF", 3: "00" * 257 + "7573746172", 4: "000000186674797068656963",
+                5: "52494646000000005741564566", 6: "1A45DFA3010000004282886D6174726F736B61",
+                7: "000000206674797033677035"}
+
+
 def pages_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page bytes: the html, behind an image/video header on mobile and .org hosts."""
+    """Page bytes: the html, behind a media header by page number, else by kind of host."""
     from pyspark.sql import functions as F
 
     from mediafold.sources.tables import load
     p = load(spark, sf_dir, "pages", ["page_id", "url", "html"])
     url = F.col("url")
-    head = (F.when(url.startswith("https://m."), F.unhex(F.lit("FFD8FFE0")))
+    head = F.when(F.lit(False), F.unhex(F.lit("")))
+    for k, h in PAGE_HEADERS.items():
+        head = head.when(F.col("page_id") % 8 == k, F.unhex(F.lit(h)))
+    head = (head.when(url.startswith("https://m."), F.unhex(F.lit("FFD8FFE0")))
             .when(url.contains(".example.org/"), F.unhex(F.lit("0000001866747970")))
             .when(url.startswith("http://"), F.unhex(F.lit("89504E470D0A1A0A")))
             .otherwise(F.unhex(F.lit(""))))
@@ -804,11 +828,25 @@ def pages_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_mime_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type of every page's bytes by signature, in one projection."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import mime
+    from mediafold.operators.filters import backup_media
+    d = mime.detect(pages_content(spark, sf_dir), "content")
+    return d.select("page_id", "mimetype", "mimesubtype",
+                    F.coalesce(backup_media("mimetype"), F.lit(False)).alias("backed_up"))
+
+
+def q_classify_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8 + G16: signature first, else the MIME type stated by the metadata."""
     from pyspark.sql import functions as F
 
     from mediafold.operators import mime
     from mediafold.operators.filters import backup_media
-    d = mime.detect(pages_content(spark, sf_dir), "page_id", "content", spark)
+    stated = (F.when(F.col("url").contains("?page="), "audio/x-stated").when(F.col("page_id") % 3 == 0, "video/mp4; x")
+              .when(F.col("page_id") % 3 == 1, "oddity"))
+    d = mime.classify(pages_content(spark, sf_dir).withColumn("stated", stated), "content", "stated")
     return d.select("page_id", "mimetype", "mimesubtype",
                     F.coalesce(backup_media("mimetype"), F.lit(False)).alias("backed_up"))
 
@@ -835,6 +873,7 @@ def q_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["mime_signatures"] = q_mime_signatures
+QUERIES["classify_media"] = q_classify_media
 QUERIES["merge_sources"] = q_merge_sources
 
 
@@ -901,9 +940,7 @@ def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.functions import dates as D
     from mediafold.operators import timezones as TZ
     from mediafold.sources.tables import load
-    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
-    z = TZ.zone_lookup(event_points(spark, sf_dir), nation_regions(spark, sf_dir), "event_id").select(
-        "event_id", "zone")
+    z = TZ.zone_lookup(event_points(spark, sf_dir, ("ts", "event_type")), nation_regions(spark, sf_dir))
     t = F.col("event_type")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     xmp = (F.when(t == "view", F.concat(iso, F.lit("+01:00")))
@@ -914,7 +951,7 @@ def q_taken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dto = F.when(t == "view", tag)
     cdt = F.when(t.isin("click", "error"), tag)
     gps = F.when(t == "purchase", F.unix_timestamp("ts") - 60)
-    x = e.join(z, "event_id").select(
+    x = z.select(
         "event_id", "zone", xmp.alias("xmp_text"), dto.alias("dto"), cdt.alias("cdt"), gps.alias("gps"),
         F.unix_timestamp("ts").cast("string").alias("epoch_text"), t.alias("event_type"))
     # Parsed date-times are staged as columns (each is read several times below).
@@ -945,20 +982,25 @@ def q_cell_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_points"), F.min("event_id").alias("first_event"))
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:
+    """All events, dealt over ``files`` Parquet files by number and streamed two files a micro-batch."""
+    from pyspark.sql import functions as F
+
     from mediafold.sources.tables import load
-    schema = load(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    from mediafold.streaming.stream_index import scratch_root
+    events = load(spark, sf_dir, "events")
+    folder = scratch_root(spark, "events-files")
+    events.repartition(files, F.pmod(F.col("event_id"), F.lit(1009))).write.parquet(folder)
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder))
 
 
 def events_as_catalog_rows(stream: DataFrame) -> DataFrame:
-    """Each event is a file on the user's host; content id from type and user."""
+    """Each event is a sighting of its user's file of that type, so paths come again with other times and sizes."""
     from pyspark.sql import functions as F
 
     from mediafold.functions.ids import digest_id
     return stream.select(
-        F.concat(F.lit("/stream/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"),
+        F.concat(F.lit("/stream/"), F.col("event_type"), F.lit("/"), F.col("user_id").cast("string"),
                  F.lit(".evt")).alias("name"),
         F.concat(F.lit("user"), (F.col("user_id") % 8).cast("string")).alias("hostname"),
         digest_id(F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))).alias("id"),

@@ -93,9 +93,17 @@ ALBUM_SIDECAR = T.StructType([
     ])),
 ])
 
-# XMP description block, every column read as text (A10).
-XMP_COLUMNS = [
-    "dc:title", "dc:description", "dc:rights", "dc:creator", "dc:subject",
-    "photoshop:DateCreated", "tiff:Make", "tiff:Model", "exifEX:LensModel",
-]
-XMP_BLOCK = T.StructType([T.StructField(c, T.StringType()) for c in XMP_COLUMNS])
+# XMP description block (A10): plain fields as text, list fields as bare text or a list of items.
+XMP_LISTS = {"dc:title": "Alt", "dc:description": "Alt", "dc:rights": "Alt", "dc:creator": "Seq", "dc:subject": "Seq"}
+XMP_COLUMNS = [*XMP_LISTS, "photoshop:DateCreated", "tiff:Make", "tiff:Model", "exifEX:LensModel"]
+
+
+def _xmp_field(name: str) -> T.StructField:
+    if name not in XMP_LISTS:
+        return T.StructField(name, T.StringType())
+    items = T.StructType([T.StructField("rdf:li", T.ArrayType(T.StringType()))])
+    return T.StructField(name, T.StructType([T.StructField("_text", T.StringType()),
+                                             T.StructField(f"rdf:{XMP_LISTS[name]}", items)]))
+
+
+XMP_BLOCK = T.StructType([_xmp_field(c) for c in XMP_COLUMNS])

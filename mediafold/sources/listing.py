@@ -1,83 +1,154 @@
 """File listing and content reading (A1, A2, C1, G1, D8 on real files).
 
-``list_files`` is Spark's ``binaryFile`` source with only path, length and
-modification time selected; column pruning keeps the ``content`` column out
-of the scan, so listing never reads file bytes.  Hashing reads the bytes of
-the files that need indexing only (the catalog diff's work list), in
-``mapInPandas`` tasks that stream each file in chunks (files over 2 GiB do
-not fit a binary cell), and keep the first bytes for type detection.
-
-Limitation: Hadoop file listing skips names starting with ``.`` or ``_``;
-the reference indexed hidden files too.
+The walk is a job of its own, not the ``binaryFile`` source: Hadoop listing
+hides names that start with ``.`` or ``_`` (``_MG_0001.jpg`` is a camera name).
+Directories are rows; each level of the tree is listed by the executors and
+written to shared storage, and its sub-directories are the next level's rows.
+Any file system that ``pyarrow.fs`` knows will do (local or mounted, HDFS, S3,
+GCS).
+
+Hashing reads only the files that need indexing (the catalog diff's work
+list), in chunks, spread over tasks by the bytes to read.  Its result is written
+once to shared storage, so no later branch reads a file again.  A file that
+cannot be read is reported, never given an id.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HEADER_BYTES = 8192          # fixed value: bytes read for type detection
+HEADER_BYTES = 8192          # fixed value: bytes kept for type detection
 CHUNK_BYTES = 8 * 1024 * 1024
+TASK_BYTES = 1 << 30         # bytes a hash task should read
+ENTRY_SCHEMA = "path string, kind string, size long, timemodified long, error string"
+HASH_SCHEMA = "name string, id long, header binary, read_ok boolean, error string"
 
 
-def list_files(spark: SparkSession, root: str, hostname: str, glob: str | None = None) -> DataFrame:
-    """A1/A2: ``(name, hostname, size, timemodified)``; mtime rounded to the second."""
-    r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-         .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true"))
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(root)
-    name = F.regexp_replace(F.col("path"), "^file:", "")
-    mtime = F.floor((F.unix_millis(F.col("modificationTime")) + 500) / 1000).cast("bigint")
-    return df.select(name.alias("name"), F.lit(hostname).alias("hostname"),
-                     F.col("length").cast("bigint").alias("size"), mtime.alias("timemodified"))
+def open_filesystem(path: str):
+    """(file system, path in it, prefix that turns such a path back into a full one)."""
+    from pyarrow import fs
+    if "://" not in path and path.startswith("file:"):
+        path = path[len("file:"):]
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    local = isinstance(system, fs.LocalFileSystem)
+    return system, inner, "" if local else path[:len(path) - len(inner)]
 
 
-HASH_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("header", T.BinaryType()),
-    T.StructField("read_ok", T.BooleanType()),
-])
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    from mediafold.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _hash_partition(batches):
-    import numpy as np
-    import pandas as pd
+def _list_directories(batches):
+    import os
+
+    from pyarrow import fs
+    for batch in batches:
+        rows: list[tuple] = []
+        for directory in batch.column(0).to_pylist():
+            try:
+                system, inner, prefix = open_filesystem(directory)
+                local = isinstance(system, fs.LocalFileSystem)
+                for e in system.get_file_info(fs.FileSelector(inner, recursive=False)):
+                    if e.type == fs.FileType.Directory:
+                        if not (local and os.path.islink(e.path)):  # a link could lead back up
+                            rows.append((prefix + e.path, "dir", None, None, None))
+                    elif e.type == fs.FileType.File:
+                        mtime = None if e.mtime_ns is None else (e.mtime_ns + 500_000_000) // 1_000_000_000
+                        rows.append((prefix + e.path, "file", e.size, mtime, None))
+            except OSError as error:
+                rows.append((directory, "error", None, None, str(error)[:300]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
+            ["path", "kind", "size", "timemodified", "error"])
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """Every file and directory below ``root`` (``kind`` file, dir or error), stored; no name is left out."""
+    tasks = spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    levels = []
+    while True:
+        level = _stored(frontier.repartition(tasks).mapInArrow(_list_directories, ENTRY_SCHEMA), "walk")
+        levels.append(level)
+        frontier = level.where("kind = 'dir'").select("path")
+        if frontier.isEmpty():
+            break
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def list_files(spark: SparkSession, root: str, hostname: str, pattern: str | None = None,
+               entries: DataFrame | None = None) -> DataFrame:
+    """A1/A2: ``(name, hostname, size, timemodified)``; mtime rounded half up to the second.
+
+    ``pattern`` is a regular expression on the base name; ``entries`` a walk that was made before.
+    """
+    files = (entries if entries is not None else walk(spark, root)).where("kind = 'file'")
+    if pattern is not None:
+        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
+    return files.select(F.col("path").alias("name"), F.lit(hostname).alias("hostname"), "size", "timemodified")
+
+
+def content_id(stream) -> tuple[int, bytes]:
+    """(signed XXH3-64, first bytes) of an open input stream."""
     import xxhash
+    h, head = xxhash.xxh3_64(), b""
+    while chunk := stream.read(CHUNK_BYTES):
+        if len(head) < HEADER_BYTES:
+            head += chunk[:HEADER_BYTES - len(head)]
+        h.update(chunk)
+    i = h.intdigest()
+    return i - (1 << 64) if i >= 1 << 63 else i, head
 
-    for pdf in batches:
-        ids, heads, oks = [], [], []
-        for path in pdf["name"]:
-            h = xxhash.xxh3_64()
-            head = b""
-            ok = True
+
+def _hash_partition(batches):
+    for batch in batches:
+        rows = []
+        for name in batch.column(0).to_pylist():
             try:
-                with open(path, "rb") as fh:
-                    while True:
-                        chunk = fh.read(CHUNK_BYTES)
-                        if not chunk:
-                            break
-                        if len(head) < HEADER_BYTES:
-                            head += chunk[:HEADER_BYTES - len(head)]
-                        h.update(chunk)
-                ids.append(int(np.uint64(h.intdigest()).astype(np.int64)))
-            except OSError:
-                ids.append(0)  # unreadable -> 0, as in the reference
-                ok = False
-            heads.append(head)
-            oks.append(ok)
-        yield pd.DataFrame({"name": pdf["name"], "id": ids, "header": heads, "read_ok": oks})
+                system, inner, _ = open_filesystem(name)
+                with system.open_input_stream(inner) as f:
+                    i, head = content_id(f)
+                rows.append((name, i, head, True, None))
+            except OSError as error:
+                rows.append((name, None, None, False, str(error)[:300]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.string()))],
+            ["name", "id", "header", "read_ok", "error"])
 
 
 def hash_files(work: DataFrame, partitions: int | None = None) -> DataFrame:
-    """G1 on file bytes: XXH3-64 (signed) and the first 8 KiB of every listed file.
+    """G1 on file bytes: ``name, id, header, read_ok, error``, read once and stored.
 
-    The work list is spread by name over ``partitions`` tasks so large
-    directories do not land in one task.
+    Without ``partitions`` the number of tasks follows the bytes to read (column ``size`` if there is one).  Unreadable
+    files have ``read_ok`` false and no id; see :func:`readable` and :func:`unreadable`.
     """
-    w = work.select("name")
-    if partitions:
-        w = w.repartition(partitions, "name")
-    return w.mapInPandas(_hash_partition, HASH_SCHEMA)
+    if partitions is None:
+        size = F.sum("size") if "size" in work.columns else F.lit(0)
+        n, total = work.agg(F.count("*"), size).first()
+        tasks = work.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(n, max(tasks, -(-(total or 0) // TASK_BYTES))))
+    spread = work.select("name").repartition(partitions)
+    return _stored(spread.mapInArrow(_hash_partition, HASH_SCHEMA), "hashes")
+
+
+def readable(hashed: DataFrame) -> DataFrame:
+    """Files with a content id; only these go on to the catalog."""
+    return hashed.where("read_ok").select("name", "id", "header")
+
+
+def unreadable(hashed: DataFrame) -> DataFrame:
+    """Files that could not be read, with the reason."""
+    return hashed.where("not read_ok").select("name", "error")

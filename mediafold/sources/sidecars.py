@@ -63,37 +63,50 @@ def album_title(doc: Column) -> Column:
 def read_xmp(spark: SparkSession, path: str) -> DataFrame:
     """A10: XMP sidecars -> one merged record per file.
 
-    Every ``rdf:Description`` block is a row (explicit all-string schema; the
-    XML source would otherwise infer types and drop zones); blocks of one
-    file merge with ``last(ignorenulls)``.  Text fields take the ``rdf:li``
-    text of an ``Alt``/``Seq`` when present, else the bare text; subject
-    uses ``Seq`` items only.
+    Every ``rdf:Description`` block is a row.  The schema nests ``Alt``/``Seq`` lists, so the XML reader resolves
+    entities and list items itself and text is never parsed a second time.  Where blocks of one file repeat a field,
+    the block that comes later in the file wins.
     """
     blocks = (spark.read.format("xml").option("rowTag", "rdf:Description").option("valueTag", "_text")
               .schema(schemas.XMP_BLOCK).load(path)
-              .withColumn("path", F.col("_metadata.file_path")))
-    merged = blocks.groupBy("path").agg(*[F.last(F.col(f"`{c}`"), ignorenulls=True).alias(c)
-                                          for c in schemas.XMP_COLUMNS])
+              .withColumn("path", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id()))
+    merged = blocks.groupBy("path").agg(*[
+        F.max_by(F.col(f"`{c}`"), F.when(_filled(c), F.col("_at"))).alias(c) for c in schemas.XMP_COLUMNS])
     return xmp_fields(merged)
 
 
-def _li_or_text(c: Column) -> Column:
-    li = F.xpath_string(F.concat(F.lit("<x>"), c, F.lit("</x>")), F.lit("//*[local-name()='li']/text()"))
-    return F.when(F.coalesce(li, F.lit("")) != "", li).otherwise(F.trim(c))
+def _item(c: str, kind: str) -> Column:
+    return F.col(f"`{c}`")[f"rdf:{kind}"]["rdf:li"]
+
+
+def _filled(c: str) -> Column:
+    """True where a block has the field (for list fields: bare text or items)."""
+    col = F.col(f"`{c}`")
+    if c in schemas.XMP_LISTS:
+        return (F.trim(F.coalesce(col["_text"], F.lit(""))) != "") | (F.size(_item(c, schemas.XMP_LISTS[c])) > 0)
+    return col.isNotNull()
+
+
+def _last_item(c: str, kind: str) -> Column:
+    return F.coalesce(F.try_element_at(_item(c, kind), F.lit(-1)), F.lit(""))
 
 
 def xmp_fields(merged: DataFrame) -> DataFrame:
-    seq_items = F.xpath(F.concat(F.lit("<x>"), F.col("`dc:subject`"), F.lit("</x>")),
-                        F.lit("//*[local-name()='Seq']/*[local-name()='li']/text()"))
+    """Cleaned fields of merged blocks: title (G9), description (G10; bare text by G9), other texts by G7, the subject
+    list as text and as a sorted set of keywords (E8)."""
+    title, text = _last_item("dc:title", "Alt"), F.coalesce(F.col("`dc:title`")["_text"], F.lit(""))
+    desc, bare = _last_item("dc:description", "Alt"), F.coalesce(F.col("`dc:description`")["_text"], F.lit(""))
+    subject = F.array_join(F.col("`dc:subject`")["rdf:Seq"]["rdf:li"], ", ")
     return merged.select(
         "path",
-        _li_or_text(F.col("`dc:title`")).alias("title"),
-        _li_or_text(F.col("`dc:description`")).alias("description"),
-        _li_or_text(F.col("`dc:rights`")).alias("copyright"),
-        _li_or_text(F.col("`dc:creator`")).alias("artist"),
-        F.array_join(seq_items, ", ").alias("subject"),
-        F.col("`tiff:Make`").alias("camera_make"),
-        F.col("`tiff:Model`").alias("camera_model"),
-        F.col("`exifEX:LensModel`").alias("lens_model"),
-        D.parse_xmp_date(F.col("`photoshop:DateCreated`")).alias("taken_utc"),
+        X.sanitize_title(F.when(title != "", title).otherwise(text)).alias("title"),
+        F.when(desc != "", X.sanitize_description(desc)).otherwise(X.sanitize_title(bare)).alias("description"),
+        X.sanitize_string(_last_item("dc:rights", "Alt")).alias("copyright"),
+        X.sanitize_string(_last_item("dc:creator", "Seq")).alias("artist"),
+        F.coalesce(subject, F.lit("")).alias("subject"),
+        X.add_keywords(F.lit(None), subject).alias("keywords"),
+        X.sanitize_string(F.col("`tiff:Make`")).alias("camera_make"),
+        X.sanitize_string(F.col("`tiff:Model`")).alias("camera_model"),
+        X.sanitize_string(F.col("`exifEX:LensModel`")).alias("lens_model"),
+        D.parse_xmp_date(X.sanitize_string(F.col("`photoshop:DateCreated`"))).alias("taken_utc"),
     )

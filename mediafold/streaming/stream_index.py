@@ -1,15 +1,14 @@
 """Continuous index (I1) and duplicate content on arrival (I2) with Structured Streaming.
 
-I1: a file-listing stream (any streaming source with an explicit schema) is
-mapped to catalog rows and upserted per micro-batch with ``foreachBatch``.
-Each batch writes a new catalog version named after its batch id, so a
-retried batch (lost executor, restarted query) rewrites the same version:
-the upsert is idempotent, and the streaming checkpoint replaces the
-reference's in-memory seen-set.
-
-I2: ``withWatermark`` + ``dropDuplicatesWithinWatermark(['id'])`` emits the
-first arrival of each content id; state is bounded by the watermark and the
-keyed upsert absorbs anything older.
+I1: a file-listing stream (any streaming source with an explicit schema) is mapped to catalog rows and merged into the
+same catalog store that batch jobs use (:mod:`mediafold.sources.catalog`), one commit per micro-batch.  The newest row
+of a path wins wherever it arrives, so the result does not depend on how the input is cut into files or batches; a
+batch that is delivered again after a failure is recognised by its number.  Only hosts that a batch touches are
+rewritten.
+
+I2: ``dropDuplicates(['id'])`` keeps the ids seen in the state store (distributed, on disk with RocksDB), so an id is
+emitted once however the input is cut.  With ``delay`` the state is bounded by a watermark instead, and an id that
+comes again after that time is emitted again.
 """
 
 from __future__ import annotations
@@ -20,9 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold import schemas
 from mediafold.operators import catalog as C
 from mediafold.session import checkpoint_dir
+from mediafold.sources import catalog as store
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -30,50 +29,28 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _write_batch_version(rows: DataFrame, root: str, batch_id: int) -> None:
-    path = f"{root}/v{batch_id:012d}"
-    rows.write.mode("overwrite").partitionBy("hostname").parquet(path)
+def newest_rows(rows: DataFrame) -> DataFrame:
+    """One row per path: the newest by modification time; equal times by the other columns, so the pick is fixed."""
+    rest = [c for c in C.CATALOG_COLUMNS if c not in C.KEY]
+    order = F.struct("timemodified", *[c for c in rest if c != "timemodified"])
+    return (rows.groupBy(*C.KEY).agg(F.max_by(F.struct(*rest), order).alias("r"))
+            .select(*C.KEY, "r.*").select(*C.CATALOG_COLUMNS))
 
 
-def upsert_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: new catalog version = previous version upserted with the batch."""
+def upsert_batch(root: str, stream: str = "index") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: merge a micro-batch into the catalog at ``root``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # last row per path within the batch (by mtime), then upsert by (name, hostname)
-        latest = (batch.groupBy("name", "hostname")
-                  .agg(F.max_by(F.struct(*[c for c in C.CATALOG_COLUMNS if c not in ("name", "hostname")]),
-                                F.col("timemodified")).alias("r"))
-                  .select("name", "hostname", "r.*"))
-        prev = _previous(spark, root, batch_id)
-        new = C.upsert(prev, latest) if prev is not None else latest.select(*C.CATALOG_COLUMNS)
-        _write_batch_version(new, root, batch_id)
+        batch = batch.select(*C.CATALOG_COLUMNS).persist()  # used for the touched hosts and for the merge
+        try:
+            store.upsert_table(batch, root, merge=lambda old, new: newest_rows(old.unionByName(new)),
+                               stream=(stream, batch_id))
+        finally:
+            batch.unpersist()
     return run
 
 
-def _previous(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = sorted(st.getPath().getName() for st in fs.listStatus(path)
-                  if st.getPath().getName().startswith("v") and fs.exists(
-                      jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
-    done = [v for v in done if int(v[1:]) < batch_id]
-    if not done:
-        return None
-    return read_catalog(spark, f"{root}/{done[-1]}")
-
-
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.FILES).parquet(path).select(*C.CATALOG_COLUMNS)
-
-
 def latest_catalog(spark: SparkSession, root: str) -> DataFrame:
-    prev = _previous(spark, root, 1 << 62)
-    if prev is None:
-        raise FileNotFoundError(root)
-    return prev
+    return store.read_table(spark, root).select(*C.CATALOG_COLUMNS)
 
 
 def start_index_stream(stream: DataFrame, to_catalog_rows: Callable[[DataFrame], DataFrame], root: str,
@@ -86,9 +63,11 @@ def start_index_stream(stream: DataFrame, to_catalog_rows: Callable[[DataFrame],
 
 
 def start_dedupe_stream(stream: DataFrame, to_rows: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                        event_time: str = "ts", delay: str = "1 hour", available_now: bool = True):
+                        event_time: str = "ts", delay: str | None = None, available_now: bool = True):
     """First arrival of each content id, appended to a parquet table."""
-    rows = to_rows(stream).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["id"])
+    rows = to_rows(stream)
+    rows = rows.dropDuplicates(["id"]) if delay is None else \
+        rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["id"])
     w = rows.writeStream.format("parquet").outputMode("append").option("path", out) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

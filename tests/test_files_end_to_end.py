@@ -35,7 +35,7 @@ def test_index_and_backup_roundtrip(spark):
     empty_cat = spark.createDataFrame([], "name string, hostname string, id long, size long, timemodified long")
     work = catalog.work_list(lst, empty_cat)
     hashed = listing.hash_files(work, partitions=2)
-    typed = mime.detect(hashed, "name", "header", spark)
+    typed = mime.detect(listing.readable(hashed), "header")
     files = (with_birth_from_name(work, now_year=2026)
              .join(typed.select("name", "id", "mimetype", "mimesubtype"), "name"))
     groups = {r.id: r for r in dedupe.duplicate_groups(files).collect()}
@@ -82,4 +82,86 @@ def test_reader_edge_cases(spark):
     got = {os.path.basename(r.name): r for r in listing.hash_files(work).collect()}
     want = int(np.uint64(xxhash.xxh3_64_intdigest(big)).astype(np.int64))
     assert got["big.bin"].id == want and len(got["big.bin"].header) == listing.HEADER_BYTES and got["big.bin"].read_ok
-    assert got["missing.bin"].id == 0 and not got["missing.bin"].read_ok
+    assert got["missing.bin"].id is None and not got["missing.bin"].read_ok and got["missing.bin"].error
+    assert [r.name for r in listing.unreadable(listing.hash_files(work)).collect()] == [f"{base}/missing.bin"]
+
+
+def test_no_name_is_left_out_and_unreadable_files_are_reported(spark):
+    from mediafold.sources import listing
+    base = tempfile.mkdtemp(prefix="mediafold-walk-", dir="/tmp")
+    names = ["_MG_1.jpg", ".x.jpg", "_dir/a.jpg", "d/e/f/_deep/.g.png", "plain one.txt"]
+    for i, n in enumerate(names):
+        _write(f"{base}/{n}", b"x" * (i + 1), 1_600_000_000)
+    os.symlink(base, f"{base}/d/loop")
+    found = {r.name: r.size for r in listing.list_files(spark, base, "h").collect()}
+    assert found == {f"{base}/{n}": i + 1 for i, n in enumerate(names)}
+    work = listing.list_files(spark, base, "h")
+    gone = spark.createDataFrame([(f"{base}/gone1", "h", 1, 1), (f"{base}/gone2", "h", 1, 1)], work.schema)
+    hashed = listing.hash_files(work.unionByName(gone))
+    assert listing.readable(hashed).count() == 5 and listing.unreadable(hashed).count() == 2
+    assert listing.walk(spark, f"{base}/absent").where("kind = 'error'").count() == 1
+
+
+def _catalog(spark, rows):
+    return spark.createDataFrame([(n, "h", i, size, mtime, mtime, "stat", "image", "jpeg") for n, i, size, mtime in rows],
+                                 "name string, hostname string, id long, size long, timemodified long, timeborn long, "
+                                 "timebornsrc string, mimetype string, mimesubtype string")
+
+
+def test_backup_job_moves_copies_and_tries_every_source(spark):
+    from mediafold.operators import backup
+    from mediafold.sources.listing import content_id
+    base = tempfile.mkdtemp(prefix="mediafold-job-", dir="/tmp")
+    t0 = 1_600_000_000
+
+    def put(path, data):
+        _write(f"{base}/{path}", data, t0)
+        with open(f"{base}/{path}", "rb") as f:
+            return content_id(f)[0]
+    moved, copied, lost = put("old/m.jpg", b"moved" * 9), put("src/c2.jpg", b"copied" * 9), 77
+    put("src/m.jpg", b"moved" * 9)
+    put("src/c1.jpg", b"other!" * 9)                     # same size and time as the copy's source, rotten content
+    os.utime(f"{base}/src/c2.jpg", (t0 + 0.5, t0 + 0.5))  # half a second: rounds up, as the listing does
+    files = _catalog(spark, [(f"{base}/src/m.jpg", moved, 45, t0), (f"{base}/src/c1.jpg", copied, 54, t0),
+                             (f"{base}/src/c2.jpg", copied, 54, t0 + 1), (f"{base}/src/none.jpg", lost, 5, t0)])
+    old = _catalog(spark, [(f"{base}/old/m.jpg", moved, 45, t0), (f"{base}/old/keep.jpg", 5, 4, t0)])
+    disk = spark.createDataFrame([(f"{base}/old/m.jpg", moved)], "path string, disk_id long")
+    listing = files.where("id <> 77").select("name", "hostname", "size", "timemodified")
+    done, filez = backup.backup_job(files, old, disk, listing, f"{base}/bk", "UTC")
+    status = {r.id: (r.status, r.path_final) for r in done.collect()}
+    assert status[moved][0] == "moved" and status[copied][0] == "copied" and status[lost] == ("no_source", None)
+    assert open(status[copied][1], "rb").read() == b"copied" * 9 and not os.path.exists(f"{base}/old/m.jpg")
+    rows = {r.id: r.name for r in filez.collect()}
+    assert rows == {moved: status[moved][1], copied: status[copied][1], 5: f"{base}/old/keep.jpg"}
+    # carried out again (a lost task, a second run): everything is found done
+    again = backup.run_plan(backup.backup_plan(files, old, disk, f"{base}/bk", "UTC"), files, listing)
+    assert {r.id: r.path_final for r in again.collect()} == {i: p for i, (_, p) in status.items()}
+    assert not [f for _, _, fs in os.walk(base) for f in fs if f.endswith(".tmp")]
+
+
+def test_move_falls_back_to_a_copy(spark):
+    from mediafold.operators import backup
+    from mediafold.sources.listing import content_id
+    base = tempfile.mkdtemp(prefix="mediafold-move-", dir="/tmp")
+    _write(f"{base}/src/a.jpg", b"abc", 1_600_000_000)
+    with open(f"{base}/src/a.jpg", "rb") as f:
+        i = content_id(f)[0]
+    files = _catalog(spark, [(f"{base}/src/a.jpg", i, 3, 1_600_000_000)])
+    old = _catalog(spark, [(f"{base}/gone/a.jpg", i, 3, 1_600_000_000)])
+    disk = spark.createDataFrame([(f"{base}/gone/a.jpg", i)], "path string, disk_id long")  # deleted since it was listed
+    plan = backup.backup_plan(files, old, disk, f"{base}/bk", "UTC")
+    assert [r.action for r in plan.collect()] == ["move"]
+    done = backup.run_plan(plan, files, files.select("name", "hostname", "size", "timemodified")).first()
+    assert done.status == "copied" and open(done.path_final, "rb").read() == b"abc"
+
+
+def test_backup_plan_without_backups_has_no_null_keys(spark):
+    from mediafold.operators import backup
+    files = _catalog(spark, [(f"/s/{i}.jpg", i, 5, 1) for i in range(400)])
+    old = _catalog(spark, [("/bk/x.jpg", 3, 5, 1)])
+    disk = spark.createDataFrame([("/bk/x.jpg", 3)], "path string, disk_id long")
+    plan = backup.backup_plan(files, old, disk, "/bk", "UTC", materialize=False)
+    states = {r.backup_state: r["count"] for r in plan.groupBy("backup_state").count().collect()}
+    assert states == {"none": 399, "ok": 1}
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Join" in line and "backup_name" in line]

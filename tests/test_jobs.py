@@ -106,7 +106,7 @@ def test_zone_lookup_priority(spark):
         "zone", "priority", box_polygon(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("polygon"))
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 6.0, 6.0), (3, 0.0, 5.0), (4, 30.0, 30.0), (5, 10.0, 1.0)],
                                 "k int, lat double, lng double")
-    got = {r.k: r.zone for r in zone_lookup(pts, regions, "k").collect()}
+    got = {r.k: r.zone for r in zone_lookup(pts, regions).collect()}
     assert got == {1: "Z1", 2: "Z2", 3: None, 4: None, 5: None}   # zero = no position; boxes half-open
 
 
@@ -153,8 +153,12 @@ def test_filez_rows(spark):
     old = spark.createDataFrame([("/old/x.jpg", None, 1, 10, 1, 1, "stat", "image", "jpeg"),
                                  ("/old/z.jpg", None, 9, 3, 1, 1, "stat", "image", "jpeg")], FILE_COLS)
     rows = {r.id: r for r in backup.filez_rows(done, old).collect()}
-    assert sorted(rows) == [1, 3, 9]                      # ignored not stored, old row of id 1 replaced
-    assert rows[1].name == "/b/x.jpg" and rows[3].status == "verify_failed" and rows[9].status == "ok"
+    # ignored and failed ids get no row, the old row of id 1 is replaced, a failed id keeps the row it had
+    assert sorted(rows) == [1, 9]
+    assert rows[1].name == "/b/x.jpg" and rows[9].status == "ok"
+    failed = done.withColumn("path_final", F.lit(None).cast("string"))
+    kept = {r.id: r.name for r in backup.filez_rows(failed, old).collect()}
+    assert kept == {1: "/old/x.jpg", 9: "/old/z.jpg"}
 
 
 def _plan(df):
