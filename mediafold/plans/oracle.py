@@ -1145,6 +1145,132 @@ FROM s12
 ORACLE["resolve_time"] = _resolve_sql()
 
 
+def _normalize_sql() -> str:
+    def nth(i, *texts):
+        return f"CASE {i} % {len(texts)} " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(texts)) + " END"
+    u, k = "CAST(user_id AS VARCHAR)", "CAST(event_id AS VARCHAR)"
+    tags = {
+        "DateTimeOriginal": "taken_text", "CreateDate": "created_text", "GPSDateTime": "gps_text", "MIMEType": "mime",
+        "GPSPosition": "CASE WHEN event_id % 5 <> 0 THEN position END", "GPSLatitude": "lat_text",
+        "GPSLongitude": "CASE WHEN event_id % 10 <> 0 THEN lat_text END",
+        "GPSAltitude": f"{k} || '.5 m Above Sea Level'", "SubSecTimeOriginal": nth("event_id", "'25'", "'x'", "'0'"),
+        "Headline": nth("user_id", f"'let_it_snow-' || {u} || 'x.jpg'", "'IMG_1234.jpg'", "''", f"'Plain ' || {u}"),
+        "Subject": nth("event_id", f"""'["One ' || {u} || '", "Two"]'""", "'[1]'", """'  "Quoted" '"""),
+        "Artist": nth("user_id", """'["A", "B"]'""", "'null'"), "Creator": u,
+        "Description": nth("event_id", "'HDR Burst at sea'", "'OLYMPUS DIGITAL CAMERA'", """'a "panorama" of '""", u),
+        "Keywords": nth("user_id", "'Sea, sky'", """'["b","a"]'""", "''"),
+        "ProjectionType": nth("event_id", "'Equirectangular'", "''", "'cubestrip'"),
+        "CompressorID": nth("user_id", "'HVC1'", "'x-jpeg'", "'A_AAC'", "'odd'"),
+        "DocumentID": nth("event_id", "'0F7AC9B2-1111-2222-3333-ABCDEF012345'", "'xmp.did:1'", "'0'"),
+        "ImageWidth": nth("user_id", u, "'0'", "'640 px'"), "ImageHeight": nth("event_id", "'480'", k),
+        "PixelXDimension": u, "Orientation": nth("user_id", "'Rotate 90 CW'", "'Unknown (0)'", "'8'"),
+        "Rotation": nth("event_id", "'90'", "'180'", "'7'"), "ISO": nth("user_id", "'3000000000'", "'1E2'", u),
+        "FNumber": nth("event_id", "'0.00012'", "'12345678.5'", "'2.8'"),
+        "FlashFired": nth("user_id", "'2'", "'True'", "'0'", "'no'"),
+        "Duration": nth("event_id", "'2.41 s'", "'0:01:05'", "'1.5E1'"), "Make": "' Kodak '",
+    }
+    m = "MAP {" + ", ".join(f"'{t}': {v}" for t, v in tags.items()) + "}"
+
+    def field(f):
+        names, kind = _TG.TAG_FIELDS[f]
+        return convert_sql(first_tag_sql("m", names), kind)
+
+    def tag(t):
+        return f"map_extract_value(m, '{t}')"
+
+    def tag_int(t):
+        return (f"CASE WHEN regexp_matches({tag(t)}, '^[+\\-]?[0-9]+(\\.[0-9]*)?$') "
+                f"THEN TRY_CAST(trunc(TRY_CAST({tag(t)} AS DOUBLE)) AS INTEGER) END")
+    pos = first_tag_sql("m", ["GPSPosition"])
+    la, lo = first_tag_sql("m", ["GPSLatitude"]), first_tag_sql("m", ["GPSLongitude"])
+
+    def arrays(e):
+        return (f"regexp_extract_all({e}, '{_FLOAT_RE}') AS fl, regexp_extract_all({e}, '[0-9\\.]+') AS co, "
+                f"regexp_extract_all({e}, '[NSEW]+') AS re")
+
+    def decimal(a, t):
+        return (f"CAST(CASE WHEN {t} = '' THEN 0.0 WHEN regexp_matches({t}, "
+                f"'^[+\\-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+\\-]?[0-9]+)?$') THEN TRY_CAST({t} AS DOUBLE) "
+                f"WHEN len({a}.co) = 3 AND len({a}.re) = 1 THEN {_dms_sql(a + '.co', 1, a + '.re[1]')} ELSE 0.0 END AS FLOAT)")
+
+    def pair(a, i):
+        return (f"CAST(CASE WHEN len({a}.fl) = 2 AND TRY_CAST({a}.fl[1] AS DOUBLE) IS NOT NULL "
+                f"AND TRY_CAST({a}.fl[2] AS DOUBLE) IS NOT NULL THEN CAST({a}.fl[{i}] AS DOUBLE) "
+                f"WHEN len({a}.co) = 6 AND len({a}.re) = 2 THEN {_dms_sql(a + '.co', 3 * i - 2, a + f'.re[{i}]')} "
+                f"ELSE 0.0 END AS FLOAT)")
+
+    def structs(e):
+        return (f"{{'fl': regexp_extract_all({e}, '{_FLOAT_RE}'), 'co': regexp_extract_all({e}, '[0-9\\.]+'), "
+                f"'re': regexp_extract_all({e}, '[NSEW]+')}}")
+    times = {n: tag_datetime_sql(n + "_t") for n in ("taken", "created", "gps")}
+    steps = _resolve_sql().split("s1 AS", 1)[1].rsplit("SELECT event_id", 1)[0].rstrip()
+    pattern = _D.TAG_DATETIME_PATTERN
+    frac = f"regexp_extract(coalesce(taken_t, ''), '{pattern}', 7)"
+    micros = (f"(CASE WHEN {times['taken']['utc']} IS NOT NULL AND {frac} <> '' "
+              f"THEN CAST(rpad(substr({frac}, 1, 6), 6, '0') AS INTEGER) ELSE 0 END)")
+    layouts = ", ".join(f"'{x}'" for x in _D.REFERENCE_OFFSET_LAYOUTS)
+    day = "(CAST(floor(ta / 86400) AS BIGINT) * 86400)"
+    shift = f"({day} - {instant_sql(day, chr(39) + 'Asia/Chongqing' + chr(39))})"
+    birth = (f"CASE WHEN year(make_timestamp(ta * 1000000)) > 1900 THEN CASE WHEN tz <> '' OR coalesce(off_text, '') IN "
+             f"({layouts}) OR coalesce(off_text, '') <> '' THEN ta ELSE ta - {shift} END END")
+    desc = convert_sql(first_tag_sql("m", _TG.TAG_FIELDS["description"][0]), "string")
+    codec = f"lower(coalesce({field('codec')}, ''))"
+    auto = f"CASE WHEN coalesce({desc}, '') <> '' THEN {_AUTO.format(g11(desc))} ELSE [] END"
+    words = (f"regexp_extract_all(lower({g11(first_tag_sql('m', ['Keywords']))}), '{_X.WORD_PATTERN}')")
+    pano = f"CASE WHEN lower({field('projection')}) = 'equirectangular' THEN ['panorama'] ELSE [] END"
+    doc = f"lower(trim({field('document_id')}))"
+    sub = tag("SubSecTimeOriginal")
+    both = f"CASE WHEN {tag('ImageWidth')} IS NOT NULL AND {tag('ImageHeight')} IS NOT NULL THEN"
+    fl1 = f"regexp_extract_all({tag('GPSAltitude')}, '{_FLOAT_RE}')"
+    return f"""
+WITH src AS (SELECT t.*, p.position, p.lat_text, ev.user_id FROM ({EVENTS_TIME_TAGS}) t
+             JOIN ({EVENTS_POSITION_TEXT}) p USING (event_id) JOIN events ev USING (event_id)),
+mm AS (SELECT event_id, {m} AS m FROM src),
+f0 AS (SELECT event_id, m, {first_tag_sql('m', _TG.TAG_FIELDS['taken_at'][0])} AS taken_t,
+              {first_tag_sql('m', _TG.TAG_FIELDS['created_at'][0])} AS created_t,
+              {first_tag_sql('m', _TG.TAG_FIELDS['taken_gps'][0])} AS gps_t,
+              coalesce(trim({pos}), '') AS pos_t, coalesce(trim({la}), '') AS la_t, coalesce(trim({lo}), '') AS lo_t FROM mm),
+f1 AS (SELECT *, {structs('pos_t')} AS pa, {structs('la_t')} AS laa, {structs('lo_t')} AS loa FROM f0),
+f2 AS (SELECT *, CASE WHEN pos_t <> '' THEN {pair('pa', 1)} WHEN la_t <> '' AND lo_t <> '' THEN {decimal('laa', 'la_t')}
+                      ELSE CAST(0 AS FLOAT) END AS lat,
+              CASE WHEN pos_t <> '' THEN {pair('pa', 2)} WHEN la_t <> '' AND lo_t <> '' THEN {decimal('loa', 'lo_t')}
+                      ELSE CAST(0 AS FLOAT) END AS lng FROM f1),
+zz AS (SELECT p.event_id, arg_min(b.zone, {{'p': b.priority, 'z': b.zone}}) AS zone FROM f2 p JOIN ({NATION_BOXES}) b
+         ON CAST(p.lat AS DOUBLE) >= b.lat_min AND CAST(p.lat AS DOUBLE) < b.lat_max
+        AND CAST(p.lng AS DOUBLE) >= b.lng_min AND CAST(p.lng AS DOUBLE) < b.lng_max
+       WHERE p.lat <> 0 AND p.lng <> 0 GROUP BY p.event_id),
+s0 AS (SELECT f2.*, zz.zone, {tag('MIMEType')} AS mime, coalesce(lat <> 0 AND lng <> 0, false) AS pos,
+              CASE WHEN {times['taken']['utc']} IS NOT NULL THEN regexp_extract(coalesce(taken_t, ''), '{pattern}', 8) END
+                AS off_text,
+              {times['taken']['utc']} AS ta, {times['taken']['local']} AS ta_wall, coalesce({times['taken']['offset']}, 0) AS ta_off,
+              {times['taken']['utc']} AS tl, {times['taken']['local']} AS tl_wall, coalesce({times['taken']['offset']}, 0) AS tl_off,
+              '' AS tz, {times['created']['utc']} AS c_utc, {times['created']['local']} AS c_wall,
+              {times['created']['offset']} AS c_off, {times['gps']['utc']} AS g_utc
+       FROM f2 LEFT JOIN zz USING (event_id)),
+s1 AS{steps}
+SELECT event_id, {g9(field('title'))} AS title, {g11(field('subject'))} AS subject, {g11(field('artist'))} AS artist,
+       {g10(desc)} AS description,
+       array_to_string(list_sort(list_distinct(list_concat(list_concat({words}, {pano}), {auto}))), ', ') AS keywords,
+       CASE WHEN contains({codec}, 'jpeg') THEN 'jpeg' WHEN (CASE {codec} {_VC} END) IS NOT NULL THEN (CASE {codec} {_VC} END)
+            WHEN starts_with({codec}, 'a_') THEN '' ELSE {codec} END AS codec,
+       CASE WHEN regexp_matches({doc}, '{_UUID}') THEN {doc} ELSE '' END AS document_id, lat, lng,
+       coalesce({field('altitude')}, CASE WHEN len({fl1}) = 1 THEN TRY_CAST(trunc(TRY_CAST({fl1}[1] AS DOUBLE)) AS BIGINT)
+                ELSE 0 END) AS altitude,
+       coalesce({both} CASE WHEN {tag_int('ImageWidth')} > 0 THEN {tag_int('ImageWidth')} END END, {field('width')}) AS width,
+       coalesce({both} CASE WHEN {tag_int('ImageHeight')} > 0 THEN {tag_int('ImageHeight')} END END, {field('height')}) AS height,
+       {orientation_sql(tag('Orientation'), field('rotation'))} AS orientation, {field('iso')} AS iso,
+       {field('f_number')} AS f_number, coalesce({field('flash')}, false) AS flash, {field('duration')} AS duration,
+       {field('camera_make')} AS camera_make, ta AS taken_utc, tl_wall AS taken_local, tz AS time_zone,
+       CAST(CASE WHEN regexp_matches({sub}, '^[0-9]+$') AND length({sub}) <= 9 AND TRY_CAST({sub} AS BIGINT) > 0
+                 THEN TRY_CAST(rpad({sub}, 9, '0') AS INTEGER) ELSE {micros} * 1000 END AS BIGINT) AS taken_ns,
+       {birth} AS birth
+FROM s12
+"""
+
+
+ORACLE["normalize_tags"] = _normalize_sql()
+
+
 # -- summaries and the metadata cache ------------------------------------------------------
 
 _LOCAL = "timezone('Asia/Shanghai', to_timestamp(timeborn))"

@@ -96,16 +96,6 @@ def q_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("id_hex", id_hex(F.col("id"))))
 
 
-def q_xxh3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from mediafold.functions.ids import id_hex, xxh3_id
-    from mediafold.sources.tables import load
-    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
-    return (d.select("doc_id", xxh3_id(F.col("text")).alias("id"))
-             .withColumn("id_hex", id_hex(F.col("id"))))
-
-
 def q_year_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -152,7 +142,6 @@ def q_ignore_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["size_filter"] = q_size_filter
 QUERIES["content_ids"] = q_content_ids
-QUERIES["xxh3_ids"] = q_xxh3_ids
 QUERIES["year_in_text"] = q_year_in_text
 QUERIES["group_conflicts"] = q_group_conflicts
 QUERIES["ignore_paths"] = q_ignore_paths
@@ -756,6 +745,55 @@ QUERIES["zone_join"] = q_zone_join
 QUERIES["resolve_time"] = q_resolve_time
 
 
+def events_tag_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tag map per event with times, positions, texts, ids and sizes taken from its columns."""
+    from pyspark.sql import functions as F
+    e = events_time_tags(events_position_text(spark, sf_dir, ("ts", "user_id", "event_type")))
+    u, k = F.col("user_id"), F.col("event_id")
+    us, ks = u.cast("string"), k.cast("string")
+
+    def nth(i, *texts):
+        out = F.lit(None).cast("string")
+        for n, t in enumerate(texts):
+            out = F.when(i % len(texts) == n, t if not isinstance(t, str) else F.lit(t)).otherwise(out)
+        return out
+    tags = {
+        "DateTimeOriginal": F.col("taken_text"), "CreateDate": F.col("created_text"), "GPSDateTime": F.col("gps_text"),
+        "MIMEType": F.col("mime"), "GPSPosition": F.when(k % 5 != 0, F.col("position")),
+        "GPSLatitude": F.col("lat_text"), "GPSLongitude": F.when(k % 10 != 0, F.col("lat_text")),
+        "GPSAltitude": F.concat(ks, F.lit(".5 m Above Sea Level")), "SubSecTimeOriginal": nth(k, "25", "x", "0"),
+        "Headline": nth(u, F.concat(F.lit("let_it_snow-"), us, F.lit("x.jpg")), F.lit("IMG_1234.jpg"), F.lit(""),
+                        F.concat(F.lit("Plain "), us)),
+        "Subject": nth(k, F.concat(F.lit('["One '), us, F.lit('", "Two"]')), F.lit("[1]"), F.lit('  "Quoted" ')),
+        "Artist": nth(u, F.lit('["A", "B"]'), F.lit("null")), "Creator": us,
+        "Description": nth(k, F.lit("HDR Burst at sea"), F.lit("OLYMPUS DIGITAL CAMERA"), F.lit('a "panorama" of '), us),
+        "Keywords": nth(u, F.lit("Sea, sky"), F.lit('["b","a"]'), F.lit("")),
+        "ProjectionType": nth(k, F.lit("Equirectangular"), F.lit(""), F.lit("cubestrip")),
+        "CompressorID": nth(u, F.lit("HVC1"), F.lit("x-jpeg"), F.lit("A_AAC"), F.lit("odd")),
+        "DocumentID": nth(k, F.lit("0F7AC9B2-1111-2222-3333-ABCDEF012345"), F.lit("xmp.did:1"), F.lit("0")),
+        "ImageWidth": nth(u, us, F.lit("0"), F.lit("640 px")), "ImageHeight": nth(k, F.lit("480"), ks),
+        "PixelXDimension": us, "Orientation": nth(u, F.lit("Rotate 90 CW"), F.lit("Unknown (0)"), F.lit("8")),
+        "Rotation": nth(k, F.lit("90"), F.lit("180"), F.lit("7")), "ISO": nth(u, F.lit("3000000000"), F.lit("1E2"), us),
+        "FNumber": nth(k, F.lit("0.00012"), F.lit("12345678.5"), F.lit("2.8")), "FlashFired": nth(u, "2", "True", "0", "no"),
+        "Duration": nth(k, "2.41 s", "0:01:05", "1.5E1"), "Make": F.lit(" Kodak "),
+    }
+    return e.select("event_id", F.create_map(*[x for t, v in tags.items() for x in (F.lit(t), v)]).alias("tags"))
+
+
+def q_normalize_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's tag map normalised in one go, through zones and taken times."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.normalize import normalize_tags
+    n = normalize_tags(events_tag_maps(spark, sf_dir), "tags", nation_regions(spark, sf_dir))
+    return n.select("event_id", "title", "subject", "artist", "description", F.array_join("keywords", ", ").alias("keywords"),
+                    "codec", "document_id", "lat", "lng", "altitude", "width", "height", "orientation", "iso", "f_number",
+                    "flash", "duration", "camera_make", "taken_utc", "taken_local", "time_zone", "taken_ns", "birth")
+
+
+QUERIES["normalize_tags"] = q_normalize_tags
+
+
 # -- summaries and the metadata cache ------------------------------------------------------
 
 def q_catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
