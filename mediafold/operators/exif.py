@@ -8,9 +8,10 @@ given, so no extra job discovers it), then one projection decodes fields.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediafold.functions import dates as D
 from mediafold.functions import ids as I
 from mediafold.functions import numbers as N
 from mediafold.functions import text as X
@@ -51,8 +52,8 @@ def pivot_tags(picked: DataFrame, tags: list[str] | None = None) -> DataFrame:
     return picked.groupBy("path").pivot("tag", tags).agg(F.first("value"))
 
 
-def decode(wide: DataFrame) -> DataFrame:
-    """Typed fields from the pivoted tags."""
+def decode(wide: DataFrame, *extra: Column) -> DataFrame:
+    """Typed fields from the pivoted tags (and ``extra`` columns of the same row)."""
     c = F.col
 
     def txt(t):
@@ -91,6 +92,7 @@ def decode(wide: DataFrame) -> DataFrame:
         X.keywords_string(kw).alias("keywords"),
         F.when(F.array_contains(auto, "hdr"), F.lit(3)).alias("image_type"),
         F.coalesce(*[c(t) for t in EXIF_DATETIME_TAGS]).alias("taken_text"),
+        *extra,
     )
 
 
@@ -100,6 +102,8 @@ def normalize_exif_rows(rows: DataFrame, tags: list[str] | None = None) -> DataF
 
 
 GPS_TAGS = ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef"]
+GPS_TIME_TAGS = ["GPSDateStamp", "GPSTimeStamp"]
+EXIF_SUBSEC_TAGS = ["SubSecTimeOriginal", "SubSecTime", "SubSecTimeDigitized"]
 
 
 def _rational_triplet_degrees(text):
@@ -112,8 +116,8 @@ def _rational_triplet_degrees(text):
     return F.when(F.size(parts) == 3, val(1) + val(2) / 60.0 + val(3) / 3600.0)
 
 
-def gps_position(wide: DataFrame) -> DataFrame:
-    """Exif GPS position from pivoted GPS tag rows.
+def gps_columns() -> list[Column]:
+    """Exif GPS position of a row of pivoted tags: ``lat, lng, altitude``.
 
     Latitude/longitude only when both are numbers (rationals with non-zero
     denominators), S/W negative; altitude when not zero (below sea level when
@@ -129,5 +133,44 @@ def gps_position(wide: DataFrame) -> DataFrame:
     alt = F.try_divide(F.try_element_at(ap, F.lit(1)).try_cast("double"),
                        F.try_element_at(ap, F.lit(2)).try_cast("double"))
     alt = F.when(c("GPSAltitudeRef") == "1", -alt).otherwise(alt).try_cast("int")
-    return wide.select("path", F.when(ok, lat.cast("float")).alias("lat"), F.when(ok, lng.cast("float")).alias("lng"),
-                       F.when(alt != 0, alt).alias("altitude"))
+    return [F.when(ok, lat.cast("float")).alias("lat"), F.when(ok, lng.cast("float")).alias("lng"),
+            F.when(alt != 0, alt).alias("altitude")]
+
+
+def gps_position(wide: DataFrame) -> DataFrame:
+    """H32 as a frame: ``path, lat, lng, altitude``."""
+    return wide.select("path", *gps_columns())
+
+
+def gps_time() -> Column:
+    """The GPS date and time stamps as an instant; NULL unless both are complete."""
+    parts = F.regexp_extract_all(F.coalesce(F.col("GPSTimeStamp"), F.lit("")), F.lit(r"([0-9]+)/([0-9]+)"), 0)
+
+    def part(i):
+        p = F.split(F.try_element_at(parts, F.lit(i)), "/")
+        return F.try_divide(F.try_element_at(p, F.lit(1)).try_cast("double"), F.try_element_at(p, F.lit(2)).try_cast("double"))
+    day = F.unix_date(F.try_to_date(F.regexp_replace(F.col("GPSDateStamp"), "-", ":"), "yyyy:MM:dd")).cast("bigint")
+    seconds = part(1) * 3600 + part(2) * 60 + part(3)
+    return F.when(F.size(parts) == 3, day * 86400 + F.floor(seconds)).cast("bigint")
+
+
+def exif_metadata(rows: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """J6 to the end: long tag rows -> decoded fields, position, zone, taken time (UTC and local) and sub-seconds.
+
+    A taken time is the first valid Exif date-time, read in the zone of the position when there is one (an offset in the
+    text wins), else the GPS time.  ``taken_local`` is its wall clock as Unix seconds.
+    """
+    from mediafold.operators.timezones import zone_lookup
+    wide = pivot_tags(pick_values(rows), [*EXIF_TAGS, *GPS_TAGS, *GPS_TIME_TAGS])
+    subsec = F.coalesce(*[F.when(N.subsec_ns(F.col(t)) > 0, N.subsec_ns(F.col(t))) for t in EXIF_SUBSEC_TAGS], F.lit(0))
+    s = decode(wide, *gps_columns(), gps_time().alias("gps_utc"), subsec.alias("taken_ns"),
+               *[F.col(t).alias(f"_t{i}") for i, t in enumerate(EXIF_DATETIME_TAGS)]).drop("taken_text")
+    s = zone_lookup(s, regions) if regions is not None else s.withColumn("zone", F.lit(None).cast("string"))
+    for i in range(len(EXIF_DATETIME_TAGS)):
+        s = D.with_tag_datetime(s, f"_t{i}", f"_p{i}")
+    parsed = [F.col(f"_p{i}") for i in range(len(EXIF_DATETIME_TAGS))]
+    first_local = F.coalesce(*[p["local"] for p in parsed])
+    s = s.withColumn("taken_utc", D.exif_taken(parsed, F.col("gps_utc"), F.col("zone"), parsed=True))
+    s = s.withColumn("taken_local", F.coalesce(first_local, F.col("gps_utc")))
+    return s.withColumn("time_zone", F.coalesce("zone", F.lit(""))).drop(
+        "zone", *[f"_{x}{i}" for x in "tp" for i in range(len(EXIF_DATETIME_TAGS))])

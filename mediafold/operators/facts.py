@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def catalog_summary(files: DataFrame, tz: str) -> DataFrame:
@@ -25,12 +26,18 @@ def catalog_summary(files: DataFrame, tz: str) -> DataFrame:
         F.sum((F.col("n") - 1) * F.col("size")).alias("duplicate_bytes"))
 
 
-def field_report(schema, tag_fields: dict) -> DataFrame | list:
-    """One row per metadata field: name, type class and tag list.
+def field_report(spark: SparkSession, tag_fields: dict, schema: T.StructType | None = None) -> DataFrame:
+    """One row per metadata field: ``field, kind, tags``.
 
-    Built from the declarative tag table and the output schema; returns rows
-    (a tiny, fixed-size description of the schema, not data).
+    Built from the declarative tag table and, for fields that no tag fills, the output schema.
     """
     classes = {"string": "text", "int": "number", "float": "decimal", "float32": "decimal", "bool": "flag",
                "time": "timestamp", "duration": "duration", "keywords": "list"}
-    return [(name, classes.get(kind, kind), ", ".join(tags)) for name, (tags, kind) in tag_fields.items()]
+    rows = [(name, classes.get(kind, kind), ", ".join(tags)) for name, (tags, kind) in tag_fields.items()]
+    types = {"string": "text", "int": "number", "bigint": "number", "float": "decimal", "double": "decimal",
+             "boolean": "flag", "timestamp": "timestamp"}
+    for f in schema.fields if schema is not None else []:
+        if f.name not in tag_fields:
+            kind = f.dataType.simpleString()
+            rows.append((f.name, types.get(kind, "list" if kind.startswith("array") else kind), ""))
+    return spark.createDataFrame(rows, "field string, kind string, tags string")

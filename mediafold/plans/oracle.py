@@ -1412,6 +1412,41 @@ FROM q
 """
 
 
+_SIDE = f"""s AS (SELECT *, CASE WHEN contains(doc, 'ExifToolVersion') THEN 'exiftool' WHEN contains(doc, 'albumData') THEN 'album'
+                          WHEN contains(doc, 'photoTakenTime') THEN 'photo' ELSE 'unknown' END AS kind
+           FROM ({CONVERSATION_SIDECARS}))"""
+ORACLE["photo_zones"] = f"""
+WITH {_SIDE},
+p AS (SELECT *, CASE WHEN kind = 'photo' THEN {_PHOTO} END AS j FROM s),
+q AS (SELECT conv_id, turn, CAST(j.geoData.latitude AS FLOAT) AS lat, CAST(j.geoData.longitude AS FLOAT) AS lng,
+             CASE WHEN regexp_matches(coalesce(struct_extract(j.photoTakenTime, 'timestamp'), ''), '^[0-9]+$')
+                   AND TRY_CAST(struct_extract(j.photoTakenTime, 'timestamp') AS BIGINT) > 0
+                  THEN TRY_CAST(struct_extract(j.photoTakenTime, 'timestamp') AS BIGINT) END AS ep FROM p),
+z AS (SELECT q.conv_id, q.turn, arg_min(b.zone, {{'p': b.priority, 'z': b.zone}}) AS zone FROM q JOIN ({NATION_BOXES}) b
+        ON CAST(q.lat AS DOUBLE) >= b.lat_min AND CAST(q.lat AS DOUBLE) < b.lat_max
+       AND CAST(q.lng AS DOUBLE) >= b.lng_min AND CAST(q.lng AS DOUBLE) < b.lng_max
+      WHERE q.lat <> 0 AND q.lng <> 0 GROUP BY ALL)
+SELECT q.conv_id, q.turn, CASE WHEN z.zone IS NULL THEN ep ELSE {instant_sql('ep', 'z.zone')} END AS taken_utc,
+       ep AS taken_local, coalesce(z.zone, '') AS time_zone
+FROM q LEFT JOIN z ON z.conv_id = q.conv_id AND z.turn = q.turn
+"""
+ORACLE["album_titles"] = f"""
+WITH {_SIDE},
+a AS (SELECT '/albums/' || CAST(CAST(floor(conv_id / 10) AS BIGINT) AS VARCHAR) AS directory,
+             json_extract_string(doc, '$.albumData.title') AS title FROM s WHERE kind = 'album')
+SELECT directory, title, count(*) AS n_sidecars FROM a WHERE trim(coalesce(title, '')) <> '' GROUP BY ALL
+"""
+ORACLE["name_check"] = """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'IMG_' || CAST(o_orderkey AS VARCHAR) || '.jpg' END AS want,
+                  CASE o_orderstatus WHEN 'O' THEN 'IMG_' || CAST(o_orderkey AS VARCHAR) || '.jpg'
+                       WHEN 'F' THEN 'IMG_' || CAST(o_orderkey + o_custkey % 2 AS VARCHAR) || '.jpg' ELSE '' END AS got
+           FROM orders)
+SELECT o_orderkey, CASE WHEN got <> '' AND coalesce(want, '') <> '' AND got <> want
+                        THEN 'original name ' || want || ' does not match ' || got END AS error
+FROM o
+"""
+
+
 # -- taken dates -------------------------------------------------------------------------------
 
 def _xmp_sql(v: str) -> str:
@@ -1468,6 +1503,37 @@ ORACLE["taken_dates"] = _taken_dates_sql()
 
 # -- streams ---------------------------------------------------------------------------------
 
+def _exif_metadata_sql() -> str:
+    k, u = "event_id", "user_id"
+    dms = "(d + m / 60.0 + s / 3600.0)"
+    box = (f"SELECT p.event_id, arg_min(b.zone, {{'p': b.priority, 'z': b.zone}}) AS zone FROM g p JOIN ({NATION_BOXES}) b "
+           "ON CAST(p.lat AS DOUBLE) >= b.lat_min AND CAST(p.lat AS DOUBLE) < b.lat_max "
+           "AND CAST(p.lng AS DOUBLE) >= b.lng_min AND CAST(p.lng AS DOUBLE) < b.lng_max "
+           "WHERE p.lat <> 0 AND p.lng <> 0 GROUP BY p.event_id")
+    tag = "strftime(ts, '%Y:%m:%d %H:%M:%S')"
+    texts = [f"(CASE WHEN event_type = 'view' THEN {tag} END)",
+             f"(CASE WHEN event_type = 'click' THEN {tag} || '+02:00' END)", f"({tag})"]
+    local = "coalesce(" + ", ".join(tag_datetime_sql(t)["local"] for t in texts) + ")"
+    return f"""
+WITH r AS (SELECT *, {k} % 80 AS d, {u} % 60 AS m, ({k} % 6000) / 100.0 AS s, {k} % 170 AS ld FROM events),
+g AS (SELECT *, CASE WHEN {k} % 9 <> 0 THEN CAST(CASE WHEN {u} % 2 = 0 THEN -{dms} ELSE {dms} END AS FLOAT) END AS lat,
+             CASE WHEN {k} % 9 <> 0 THEN CAST(CASE WHEN {k} % 3 = 0 THEN -(ld + m / 60.0) ELSE ld + m / 60.0 END AS FLOAT)
+                  END AS lng,
+             CAST(trunc((CASE WHEN {u} % 2 = 1 THEN -1 ELSE 1 END) * ({k} % 5000) / 10.0) AS INTEGER) AS alt FROM r),
+z AS ({box}),
+t AS (SELECT g.*, z.zone,
+             CAST(epoch(date_trunc('day', ts)) AS BIGINT) + ({k} % 24) * 3600 + ({u} % 60) * 60 + 29 AS gps_utc
+      FROM g LEFT JOIN z USING (event_id))
+SELECT CAST({k} AS VARCHAR) AS path, 'Kodak' AS camera_make, lat, lng, CASE WHEN alt <> 0 THEN alt END AS altitude,
+       coalesce(zone, '') AS time_zone, gps_utc, {_exif_taken_sql(texts, 'gps_utc', 'zone')} AS taken_utc,
+       coalesce({local}, gps_utc) AS taken_local,
+       CASE WHEN {k} % 90 > 0 THEN CAST(rpad(CAST({k} % 90 AS VARCHAR), 9, '0') AS INTEGER) ELSE 0 END AS taken_ns
+FROM t
+"""
+
+
+ORACLE["exif_metadata"] = _exif_metadata_sql()
+
 ORACLE["stream_index"] = f"""
 WITH r AS (
   SELECT '/stream/' || event_type || '/' || CAST(user_id AS VARCHAR) || '.evt' AS name,

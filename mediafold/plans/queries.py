@@ -605,6 +605,44 @@ def q_exif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "image_type")
 
 
+def events_exif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GPS and date tag rows of every event."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type", "user_id"])
+    k, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+
+    def n(c):
+        return c.cast("string")
+    tag = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    rows = [
+        ("IFD0", "Make", F.lit("Kodak")), ("IFD0", "DateTimeOriginal", F.when(t == "view", tag).otherwise(F.lit(""))),
+        ("IFD1", "DateTime", tag), ("IFD0", "CreateDate", F.when(t == "click", F.concat(tag, F.lit("+02:00"))).otherwise("")),
+        ("IFD0", "SubSecTimeOriginal", n(k % 90)),
+        ("GPS", "GPSLatitude", F.concat(n(k % 80), F.lit("/1, "), n(u % 60), F.lit("/1, "), n(k % 6000), F.lit("/100"))),
+        ("GPS", "GPSLatitudeRef", F.when(u % 2 == 0, "S").otherwise("N")),
+        ("GPS", "GPSLongitude", F.when(k % 9 == 0, F.lit("1/1, 2/1")).otherwise(
+            F.concat(n(k % 170), F.lit("/1, "), n(u % 60), F.lit("/1, 0/1")))),
+        ("GPS", "GPSLongitudeRef", F.when(k % 3 == 0, "W").otherwise("E")),
+        ("GPS", "GPSAltitude", F.concat(n(k % 5000), F.lit("/10"))), ("GPS", "GPSAltitudeRef", n(u % 2)),
+        ("GPS", "GPSDateStamp", F.date_format("ts", "yyyy:MM:dd")),
+        ("GPS", "GPSTimeStamp", F.concat(n(k % 24), F.lit("/1, "), n(u % 60), F.lit("/1, 59/2"))),
+    ]
+    cells = F.array(*[F.struct(F.lit(ifd).alias("ifd"), F.lit(name).alias("tag"), v.alias("value"), F.lit(i).alias("ord"))
+                      for i, (ifd, name, v) in enumerate(rows)])
+    return e.select(n(k).alias("path"), F.explode(cells).alias("r")).select("path", "r.*")
+
+
+def q_exif_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exif rows of every event to position, zone and taken time."""
+    from mediafold.operators import exif
+    m = exif.exif_metadata(events_exif_rows(spark, sf_dir), nation_regions(spark, sf_dir))
+    return m.select("path", "camera_make", "lat", "lng", "altitude", "time_zone", "gps_utc", "taken_utc", "taken_local",
+                    "taken_ns")
+
+
+QUERIES["exif_metadata"] = q_exif_metadata
 QUERIES["exif_pivot"] = q_exif_pivot
 QUERIES["exif_text"] = q_exif_text
 
@@ -958,8 +996,8 @@ def q_sidecar_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.operators.tags import json_kind
     from mediafold.sources import sidecars
     s = conversation_sidecars(spark, sf_dir).withColumn("kind", json_kind(F.col("doc")))
-    ph = sidecars.photo_fields(F.col("doc"))
-    s = s.withColumn("p", F.when(F.col("kind") == "photo", ph))
+    photo = F.when(F.col("kind") == "photo", F.col("doc"))
+    s = sidecars.with_photo_fields(s.withColumn("photo_doc", photo), "photo_doc", "p")
     return s.select("conv_id", "turn", "kind", F.col("p.title").alias("title"),
                     F.col("p.description").alias("description"), F.col("p.views").alias("views"),
                     F.col("p.taken_utc").alias("taken_utc"), F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"),
@@ -967,6 +1005,51 @@ def q_sidecar_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("kind") == "album", sidecars.album_title(F.col("doc"))).alias("album"))
 
 
+def q_photo_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + H29: photo sidecars with the zone of their position and the taken time re-read in it."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.tags import json_kind
+    from mediafold.sources import sidecars
+    s = conversation_sidecars(spark, sf_dir).withColumn("kind", json_kind(F.col("doc")))
+    s = sidecars.with_photo_fields(s.withColumn("doc", F.when(F.col("kind") == "photo", F.col("doc"))), "doc", "p",
+                                   nation_regions(spark, sf_dir))
+    return s.select("conv_id", "turn", F.col("p.taken_utc").alias("taken_utc"), F.col("p.taken_local").alias("taken_local"),
+                    F.col("p.time_zone").alias("time_zone"))
+
+
+def q_album_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Albums named by the sidecars of each directory (a directory holds ten conversations)."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators.tags import json_kind
+    from mediafold.sources import sidecars
+    s = conversation_sidecars(spark, sf_dir)
+    path = F.concat(F.lit("/albums/"), F.floor(F.col("conv_id") / 10).cast("string"), F.lit("/"),
+                    F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".json"))
+    album = F.when(json_kind(F.col("doc")) == "album", F.col("doc"))
+    return sidecars.albums_by_directory(s.select(path.alias("path"), album.alias("doc")))
+
+
+def q_name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose sidecar names another file than expected."""
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import tags as TG
+    from mediafold.sources.tables import load
+    o = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    k, st = F.col("o_orderkey"), F.col("o_orderstatus")
+    name = F.concat(F.lit("IMG_"), k.cast("string"), F.lit(".jpg"))
+    stated = (F.when(st == "O", name).when(st == "F", F.concat(F.lit("IMG_"), (k + F.col("o_custkey") % 2).cast("string"),
+                                                              F.lit(".jpg"))).otherwise(F.lit("")))
+    doc = F.concat(F.lit('[{"FileName": "'), stated, F.lit('"}]'))
+    d = o.select("o_orderkey", F.when(k % 7 != 0, name).alias("expected"), TG.parse_tag_document(doc).alias("tags"))
+    return TG.check_file_name(d, "expected").select("o_orderkey", "error")
+
+
+QUERIES["photo_zones"] = q_photo_zones
+QUERIES["album_titles"] = q_album_titles
+QUERIES["name_check"] = q_name_check
 QUERIES["sidecar_kinds"] = q_sidecar_kinds
 
 

@@ -26,14 +26,37 @@ def read_json_sidecars(spark: SparkSession, path: str, glob: str = "*.json") ->
 
 
 def photo_fields(doc: Column, zone: Column | None = None) -> Column:
-    """A8 + C15: struct of the photo sidecar fields.
+    """A8 + C15: struct of the photo sidecar fields; on a frame use :func:`with_photo_fields`, which parses once."""
+    return _photo_struct(F.from_json(doc, schemas.PHOTO_SIDECAR), zone)
 
-    title (G9) and description (G10) if non-empty; views if > 0; taken time
+
+def with_photo_fields(df: DataFrame, doc_col: str, out: str = "photo", regions: DataFrame | None = None) -> DataFrame:
+    """A8 + C15 on a frame: the document is parsed once into a staged column.
+
+    With ``regions`` the zone of the photo's position is looked up and the taken time is re-read in it (H29); the struct
+    then also has ``time_zone`` ('' when unknown) and ``taken_local`` (wall clock as Unix seconds).
+    """
+    from mediafold.operators.timezones import zone_lookup
+    parsed = F.array(F.struct(F.from_json(F.col(doc_col), schemas.PHOTO_SIDECAR).alias("_photo")))
+    s = df.select("*", F.inline(parsed))  # one row out per row in; the parse cannot be inlined into later steps
+    if regions is None:
+        return s.withColumn(out, _photo_struct(F.col("_photo"), None)).drop("_photo")
+    geo = F.col("_photo.geoData")
+    s = zone_lookup(s.withColumn("_zlat", geo["latitude"].cast("float")).withColumn("_zlng", geo["longitude"].cast("float")),
+                    regions, "_zlat", "_zlng")
+    # The utc clock of the epoch, re-read in the zone; its wall clock there is that of the epoch.
+    wall = D.photo_epoch_time(F.col("_photo.photoTakenTime.timestamp"))
+    return s.withColumn(out, _photo_struct(F.col("_photo"), F.col("zone"), [
+        F.coalesce(F.col("zone"), F.lit("")).alias("time_zone"), wall.alias("taken_local")])).drop(
+        "_photo", "_zlat", "_zlng", "zone")
+
+
+def _photo_struct(p: Column, zone: Column | None, more: list[Column] | None = None) -> Column:
+    """title (G9) and description (G10) if non-empty; views if > 0; taken time
     from ``photoTakenTime`` when its epoch is > 0 (H29, re-read in ``zone``
     when given); position when latitude and longitude are both non-zero;
     altitude truncated, only with a position.
     """
-    p = F.from_json(doc, schemas.PHOTO_SIDECAR)
     title = X.sanitize_title(p["title"])
     desc = X.sanitize_description(p["description"])
     views = F.when(p["imageViews"].rlike(r"^[0-9]+$"), p["imageViews"].try_cast("int"))
@@ -48,9 +71,16 @@ def photo_fields(doc: Column, zone: Column | None = None) -> Column:
         F.when(has_pos, geo["latitude"].cast("float")).alias("lat"),
         F.when(has_pos, geo["longitude"].cast("float")).alias("lng"),
         F.when(has_pos, geo["altitude"].try_cast("int")).alias("altitude"),
+        *(more or []),
     )
 
 
+def albums_by_directory(sidecars: DataFrame, path_col: str = "path", doc_col: str = "doc") -> DataFrame:
+    """The albums that the album sidecars of a directory name, one row each: ``directory, title, n_sidecars``."""
+    t = sidecars.select(F.regexp_replace(path_col, "/[^/]*$", "").alias("directory"), album_title(F.col(doc_col)).alias("title"))
+    return t.where(F.col("title").isNotNull()).groupBy("directory", "title").agg(F.count(F.lit(1)).alias("n_sidecars"))
+
+
 def album_title(doc: Column) -> Column:
     """The album title when non-empty (one album row per sidecar; E11 keeps albums as rows)."""
     a = F.from_json(doc, schemas.ALBUM_SIDECAR)["albumData"]

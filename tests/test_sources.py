@@ -120,7 +120,8 @@ def test_name_check_and_field_report(spark):
     df = df.withColumn("tags", tags.parse_tag_document(F.col("doc")))
     errs = [r.error for r in tags.check_file_name(df, "expected").collect()]
     assert errs[0] is None and errs[2] is None and "does not match" in errs[1]
-    rep = {r[0]: r for r in facts.field_report(None, tags.TAG_FIELDS)}
+    rep = {r[0]: r for r in facts.field_report(spark, tags.TAG_FIELDS, df.schema).collect()}
+    assert rep["doc"][1:] == ("text", "")
     assert rep["taken_at"][1] == "timestamp" and rep["keywords"][1] == "list"
     assert rep["camera_make"][2] == "CameraMake, Make"
 
