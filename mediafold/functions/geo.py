@@ -129,8 +129,13 @@ def _cell_batch(lat, lng):
     lo = lng.to_numpy(dtype="float64")
     with np.errstate(divide="ignore", invalid="ignore"):
         ids = s2_cell_ids(la, lo)
-    zero = (la == 0) | (lo == 0) | np.isnan(la) | np.isnan(lo)
-    return pd.Series([None if zz else "s2:" + s2_token(c) for c, zz in zip(ids, zero)])
+    known = (la != 0) & (lo != 0) & ~np.isnan(la) & ~np.isnan(lo)
+    # Hex of the 64-bit ids without trailing zeros, for the whole batch at once.
+    digits = ids.astype(">u8").view(np.uint8).reshape(-1, 8)
+    nibbles = np.stack([digits >> 4, digits & 15], axis=2).reshape(-1, 16)
+    text = np.frombuffer(b"0123456789abcdef", np.uint8)[nibbles]
+    tokens = np.char.rstrip(np.ascontiguousarray(text).view("S16").ravel(), b"0").astype("U16")
+    return pd.Series(np.char.add("s2:", tokens), dtype=object).where(pd.Series(known), None)
 
 
 _cell_udf = F.pandas_udf(_cell_batch, T.StringType())

@@ -68,7 +68,8 @@ def leading_number(s: Column) -> Column:
     # NULL in, NULL out; a whole text that is a number (also 1.2E-4) needs no regex, only text with a unit does.
     whole = s.try_cast("double")
     m = F.regexp_extract(s, r"^\s*([+\-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?)", 1)
-    return F.when(F.abs(whole) < F.lit(float("inf")), whole).when(m != "", m.try_cast("double"))
+    finite = F.lit(float("inf"))
+    return F.when(F.abs(whole) < finite, whole).when(F.abs(m.try_cast("double")) < finite, m.try_cast("double"))
 
 
 def leading_int(s: Column) -> Column:

@@ -145,3 +145,76 @@ def test_tag_and_xmp_dates(spark):
     xmp = one(spark, parse_xmp_date, "2021-03-24T13:07:29+01:00", "2020-01-01T17:28:25.729626112",
               "2020-01-01T17:28:25 extra", "garbage")
     assert xmp == [1616587649, 1577899705, 1577899705, None]
+
+
+def test_numbers_with_exponents_units_and_64_bits(spark):
+    from conftest import one
+    from mediafold.functions import numbers as N
+    texts = ["0.00012", "12345678.5", "1e1", "1.2E-4", "5.6 mm", "3000000000", "x", "", None, "NaN", "1E400", "2E3 s"]
+    assert one(spark, N.leading_number, *texts) == [0.00012, 12345678.5, 10.0, 0.00012, 5.6, 3e9, None, None, None, None,
+                                                    None, 2000.0]
+    assert one(spark, N.leading_int, *texts) == [0, 12345678, 10, 0, 5, 3000000000, 0, 0, 0, 0, 0, 2000]
+
+
+def test_tag_fraction_of_any_length(spark):
+    from conftest import one
+    from mediafold.functions import dates as D
+    got = one(spark, lambda c: D.parse_tag_datetime(c)["micros"], "2024:01:02 03:04:05.12345678901234", "2024:01:02 03:04:05")
+    assert got == [123456, 0]
+
+
+def test_flag_texts(spark):
+    from conftest import one
+    from mediafold.operators import tags
+    assert one(spark, lambda c: tags.convert(c, "bool"), "2", "1", "0", "True", "t", "no") == [True, True, False, True, True,
+                                                                                               False]
+
+
+def test_long_title_words_are_whole(spark):
+    from conftest import one
+    from mediafold.functions import text as X
+    word = "b" * 70_000
+    assert one(spark, X.file_title, f"a{word}-two") == [f"A{word} Two"]
+
+
+def test_signatures_beyond_the_first_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from mediafold.operators import mime
+    heads = {"tar": b"\0" * 257 + b"ustar", "heic": b"\0\0\0\x18ftypheic", "wav": b"RIFF\0\0\0\0WAVEfmt ",
+             "m4a": b"\0\0\0\x20ftypM4A ", "avi": b"RIFF\0\0\0\0AVI LIST", "mkv": bytes.fromhex("1A45DFA3") + b"..matroska",
+             "none": b"hello"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()], "k string, content binary")
+    got = {r.k: r.mimesubtype for r in mime.detect(df, "content").collect()}
+    assert got == {"tar": "x-tar", "heic": "heif", "wav": "x-wav", "m4a": "mp4", "avi": "x-msvideo", "mkv": "x-matroska",
+                   "none": None}
+    own = [("x", "far", [[(300, "ABCD")]])]
+    far = df.where("k = 'none'").select("k", F.concat(F.lit(b"\0" * 300), F.unhex(F.lit("ABCD"))).alias("content"))
+    assert mime.header_bytes(own) == 302 and mime.detect(far, "content", own).first().mimesubtype == "far"
+    said = mime.classify(df.withColumn("m", F.lit("audio/odd; x")), "content", "m")
+    assert said.where("k = 'none'").first().mimetype == "audio"
+
+
+def test_zone_lookup_and_detection_do_not_shuffle(spark):
+    import __spark_entry__ as E
+    from test_jobs import _plan
+
+    from conftest import SF_SMALL
+    for name, scans in (("zone_join", 1), ("mime_signatures", 1), ("media_flags", 1), ("gps_parse", 1)):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        lines = plan.split("\n\n")[0].splitlines()
+        facts = [x for x in lines if "Scan parquet" in x]
+        # The broadcast side (regions by cell) may group; the rows themselves must not be exchanged.
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, name
+        assert len(facts) - 2 * (name == "zone_join") == scans, name
+        if name != "zone_join":
+            assert "Exchange" not in plan, name
+
+
+def test_documents_are_parsed_once(spark):
+    import __spark_entry__ as E
+    from test_jobs import _plan
+
+    from conftest import SF_SMALL
+    photo_reads = _plan(E.queries()["sidecar_kinds"](spark, SF_SMALL)).count("photoTakenTime,StructType")
+    assert photo_reads <= 1
