@@ -96,4 +96,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_fm_decontaminate": OP7_SQL}
+OP6_SQL = """
+WITH RECURSIVE dw AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+         lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents),
+reps AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min(doc_id) AS rep, count(*) AS n FROM dw
+         WHERE len(w) > 0 GROUP BY 1),
+grams AS (SELECT DISTINCT rep, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+          FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM reps)),
+sizes AS (SELECT rep, count(*) AS c FROM grams GROUP BY rep),
+pairs AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.rep < b.rep GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes s ON s.rep = x JOIN sizes t ON t.rep = y
+          WHERE pairs.c >= 0.8 * (s.c + t.c - pairs.c) - 1e-9),
+either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT reach.a, either.y FROM reach JOIN either ON reach.b = either.x),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+degree AS (SELECT x, count(*) AS n FROM either GROUP BY x)
+SELECT dw.doc_id, coalesce(roots.root, dw.doc_id) AS class_id, coalesce(reps.rep, dw.doc_id) AS copy_id,
+       CAST(coalesce(reps.n, 1) AS BIGINT) AS n_copies, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links
+FROM dw LEFT JOIN reps ON len(dw.w) > 0 AND array_to_string(dw.w, ' ') = reps.k
+LEFT JOIN roots ON roots.a = reps.rep LEFT JOIN degree ON degree.x = reps.rep
+"""
+
+ORACLE: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op7_fm_decontaminate": OP7_SQL}
