@@ -30,13 +30,25 @@ IMAGE_TYPE_HDR = 3
 
 def atoi(s: Column) -> Column:
     """Go ``strconv.Atoi``: optional sign and digits only (no blanks), else NULL."""
-    return F.when(s.rlike(SIGNED_INT_PATTERN), s.try_cast("int"))
+    return F.when(_unpadded(s), s.try_cast("int"))
+
+
+def _unpadded(s: Column) -> Column:
+    """No blank or control character at either end (a cast would skip those): two byte comparisons, no regex."""
+    return (F.substring(s, 1, 1) > " ") & (F.substring(s, -1, 1) > " ")
+
+
+def _digit(c: Column) -> Column:
+    return c.between("0", "9")
 
 
 def parse_float(s: Column) -> Column:
     """Text -> double, invalid -> 0 (blank text is invalid)."""
-    ok = s.rlike(r"^[+\-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?$")
-    return F.coalesce(F.when(ok, s.try_cast("double")), F.lit(0.0))
+    # What the cast accepts beyond plain decimals (blanks, a type letter, hex, NaN, Infinity) is told by a few characters.
+    first, last = F.substring(s, 1, 1), F.substring(s, -1, 1)
+    ok = (_digit(first) | first.isin("+", "-", ".")) & (_digit(last) | (last == ".")) & ~F.upper(s).contains("X")
+    v = s.try_cast("double")
+    return F.coalesce(F.when(ok & (F.abs(v) < F.lit(float("inf"))), v), F.lit(0.0))
 
 
 def duration_seconds(s: Column) -> Column:
@@ -86,7 +98,7 @@ def altitude_fallback(s: Column) -> Column:
 
 def subsec_ns(s: Column) -> Column:
     """Positive-integer sub-second text right-padded to 9 digits, else 0."""
-    ok = s.rlike(UNSIGNED_INT_PATTERN) & (F.length(s) <= 9) & (s.try_cast("bigint") > 0)
+    ok = (F.length(s) <= 9) & _digit(F.substring(s, 1, 1)) & _digit(F.substring(s, -1, 1)) & (s.try_cast("bigint") > 0)
     return F.coalesce(F.when(ok, F.rpad(s, 9, "0").try_cast("int")), F.lit(0))
 
 

@@ -218,3 +218,23 @@ def test_documents_are_parsed_once(spark):
     from conftest import SF_SMALL
     photo_reads = _plan(E.queries()["sidecar_kinds"](spark, SF_SMALL)).count("photoTakenTime,StructType")
     assert photo_reads <= 1
+
+
+def test_number_texts_that_only_a_cast_would_take(spark):
+    from conftest import one
+    from mediafold.functions import numbers as N
+    texts = [" 5", "5 ", "+5", "-7", "5.0", "0x1", "1d", "", "99999999999", "\t5"]
+    assert one(spark, N.atoi, *texts) == [None, None, 5, -7, None, None, None, None, None, None]
+    texts = ["1d", "1f", "0x1p3", "NaN", "Infinity", "1e5", " 1", "1 ", "5.", ".5", ".", "+.5", "-2E-1", "1e", None]
+    assert one(spark, N.parse_float, *texts) == [0, 0, 0, 0, 0, 1e5, 0, 0, 5, 0.5, 0, 0.5, -0.2, 0, 0]
+    assert one(spark, N.subsec_ns, "25", "+25", "025", "0", "1234567890", "1 ", "x") == [250000000, 0, 25000000, 0, 0, 0, 0]
+
+
+def test_tag_datetimes_of_every_shape(spark):
+    from conftest import one
+    from mediafold.functions import dates as D
+    texts = ["2024:01:02 03:04:05", " 2024:01:02 03:04:05 ", "2024-01-02T03:04:05Z", "2024:01:02 03:04:05.5+01:00",
+             "2024:01-02 03:04:05-0130", "2024:01:02 03:04", "2024:01:02 03:04:05x", "2024:13:02 03:04:05", "", None]
+    got = one(spark, lambda c: D.parse_tag_datetime(c)["utc"], *texts)
+    t = 1704164645
+    assert got == [t, t, t, t - 3600, t + 5400, None, None, None, None, None]
