@@ -39,11 +39,26 @@ def pick_values(rows: DataFrame) -> DataFrame:
     (which a real file cannot have) are ordered by value, so the pick is
     deterministic.
     """
+    return _ranked(rows).groupBy("path", "tag").agg(F.max("rank").alias("rank")).select(
+        "path", "tag", F.col("rank.value").alias("value"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Usable rows with a rank whose maximum is the pick of E9 (and holds its value)."""
     v = F.substring_index(F.col("value"), "\x00", 1)
-    r = rows.select("path", "tag", v.alias("value"), (F.col("ifd") != THUMBNAIL_IFD).alias("main"),
-                    "ord").where((F.col("tag") != "") & (F.col("value") != ""))
-    rank = F.struct(F.col("main"), F.when(F.col("main"), F.col("ord")).otherwise(-F.col("ord")), F.col("value"))
-    return r.groupBy("path", "tag").agg(F.max_by("value", rank).alias("value"))
+    main = F.col("ifd") != THUMBNAIL_IFD
+    rank = F.struct(main.alias("main"), F.when(main, F.col("ord")).otherwise(-F.col("ord")).alias("at"), v.alias("value"))
+    return rows.where((F.col("tag") != "") & (v != "")).select("path", "tag", rank.alias("rank"))
+
+
+def pick_and_pivot(rows: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """E9 and E10 in one shuffle: one row per path with the picked value of each tag as a column.
+
+    The maximum of each tag's rank is taken per path directly, combined map-side.
+    """
+    tags = tags or EXIF_TAGS
+    return _ranked(rows).groupBy("path").agg(
+        *[F.max(F.when(F.col("tag") == t, F.col("rank")))["value"].alias(t) for t in tags])
 
 
 def pivot_tags(picked: DataFrame, tags: list[str] | None = None) -> DataFrame:
@@ -98,7 +113,7 @@ def decode(wide: DataFrame, *extra: Column) -> DataFrame:
 
 def normalize_exif_rows(rows: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """Long tag rows -> decoded row per path."""
-    return decode(pivot_tags(pick_values(rows), tags))
+    return decode(pick_and_pivot(rows, tags))
 
 
 GPS_TAGS = ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef"]
@@ -161,7 +176,7 @@ def exif_metadata(rows: DataFrame, regions: DataFrame | None = None) -> DataFram
     text wins), else the GPS time.  ``taken_local`` is its wall clock as Unix seconds.
     """
     from mediafold.operators.timezones import zone_lookup
-    wide = pivot_tags(pick_values(rows), [*EXIF_TAGS, *GPS_TAGS, *GPS_TIME_TAGS])
+    wide = pick_and_pivot(rows, [*EXIF_TAGS, *GPS_TAGS, *GPS_TIME_TAGS])
     subsec = F.coalesce(*[F.when(N.subsec_ns(F.col(t)) > 0, N.subsec_ns(F.col(t))) for t in EXIF_SUBSEC_TAGS], F.lit(0))
     s = decode(wide, *gps_columns(), gps_time().alias("gps_utc"), subsec.alias("taken_ns"),
                *[F.col(t).alias(f"_t{i}") for i, t in enumerate(EXIF_DATETIME_TAGS)]).drop("taken_text")

@@ -12,7 +12,7 @@ MAX_FILE_BYTES = 8 * 1024 ** 3
 BACKUP_MEDIA_TYPES = ("video", "audio", "image")
 # Pattern tables up to this many rows are broadcast; larger ones are joined
 # by shuffle (AQE splits a hot prefix key).
-MAX_BROADCAST_PATTERNS = 100_000
+PATTERN_BYTES = 1 << 20
 
 
 def size_ok(size_col: str = "size"):
@@ -63,16 +63,26 @@ def ignored_paths(paths: DataFrame, patterns: DataFrame, key: str = "key",
 
     ``patterns`` has ``dir`` (prefix ending in '/' or '' for the root) and
     ``regex`` (see :func:`glob_to_regex`); a pattern matches the path
-    relative to its directory or the path's basename.  Each path is exploded
-    into its ancestor prefixes (bounded by depth) and equi-joined with the
-    patterns on the prefix; the theta part (``rlike``) is a post-join filter.
-    The pattern table is broadcast only after its row count is checked.
-    Returns ``paths`` plus ``ignored``.
+    relative to its directory or the path's basename.  Patterns whose measured
+    bytes stay under ``PATTERN_BYTES`` become one map from directory to
+    patterns (a scalar subquery), looked up for each ancestor of a path in the
+    projection: no join, no shuffle.  A larger table is equi-joined with the
+    paths' exploded ancestors.  Returns ``paths`` plus ``ignored``.
     """
-    n_patterns = patterns.count()
+    size = patterns.agg(F.sum(F.octet_length("dir") + F.octet_length("regex") + 32)).first()[0] or 0
+    if size <= PATTERN_BYTES:
+        by_dir = (patterns.groupBy("dir").agg(F.collect_list("regex").alias("r"))
+                  .agg(F.map_from_entries(F.collect_list(F.struct("dir", "r"))).alias("m")))
+        path, base = F.col(path_col), F.element_at(F.split(F.col(path_col), "/"), -1)
+        staged = paths.withColumn("_of", by_dir.scalar()).withColumn("_base", base).withColumn("_dirs", ancestors(path))
+
+        def hits(d):
+            rel = F.substring(path, F.length(d) + 1, F.length(path))
+            none = F.array().cast("array<string>")
+            return F.exists(F.coalesce(F.try_element_at(F.col("_of"), d), none),
+                            lambda r: F.regexp_like(rel, r) | F.regexp_like(F.col("_base"), r))
+        return staged.withColumn("ignored", F.coalesce(F.exists("_dirs", hits), F.lit(False))).drop("_of", "_base", "_dirs")
     pats = patterns.select(F.col("dir").alias("_dir"), F.col("regex").alias("_regex"))
-    if n_patterns <= MAX_BROADCAST_PATTERNS:
-        pats = F.broadcast(pats)
     exploded = paths.select(key, path_col, F.explode(ancestors(F.col(path_col))).alias("_dir"))
     rel = F.expr(f"substring({path_col}, length(_dir) + 1)")
     base = F.element_at(F.split(F.col(path_col), "/"), -1)

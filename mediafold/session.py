@@ -23,6 +23,9 @@ REQUIRED_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Of those, the ones that only tune; with Spark's defaults, which may be replaced.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "65535"}
+
 # Settings that matter for scale; applied when the session does not set them.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,19 +39,37 @@ SCALE_CONF = {
 }
 
 
+def find_package_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    Enough where executors see the same path (local mode, a shared or installed copy); elsewhere ship the package with
+    ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
+    find_package_on_workers(spark)
     for k, v in REQUIRED_CONF.items():
-        spark.conf.set(k, v)
+        if k not in TUNING or _conf(spark, k) in (None, TUNING[k]):  # a caller's own tuning stands
+            spark.conf.set(k, v)
     for k, v in SCALE_CONF.items():
-        try:
-            cur = spark.conf.get(k, None)
-        except Exception:  # pragma: no cover - conf not readable
-            cur = None
-        if cur is None:
+        if _conf(spark, k) is None:
             spark.conf.set(k, v)
     return spark
 
 
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        return spark.conf.get(key, None)
+    except Exception:  # pragma: no cover - conf not readable
+        return None
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "mediafold") -> SparkSession:
     """Local session for tests and the bench (UI off, UTC, AQE on)."""
