@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediafold.session import checkpoint_dir
+from mediafold.session import checkpoint_dir, find_package_on_workers
 from mediafold.sources.tables import load
 
 #: Bytes of text that a task works on at a time, and of a batch that it is handed: both bound its memory.
@@ -41,6 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` on batches of bounded bytes (a batch bounded by rows alone could hold any amount of text)."""
+    find_package_on_workers(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
