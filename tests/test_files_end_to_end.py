@@ -165,3 +165,40 @@ def test_backup_plan_without_backups_has_no_null_keys(spark):
     assert states == {"none": 399, "ok": 1}
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in text.splitlines() if "Join" in line and "backup_name" in line]
+
+
+def test_index_job_end_to_end(spark):
+    from mediafold.operators.index_job import index_job
+    from mediafold.sources import catalog as store
+    base = tempfile.mkdtemp(prefix="mediafold-index-", dir="/tmp")
+    src, root = f"{base}/src", f"{base}/store"
+    t0 = 1_600_000_000
+    jpeg = bytes.fromhex("FFD8FFE0") + b"one" * 100
+    _write(f"{src}/2020/05/17/_MG_1.jpg", jpeg, t0)
+    _write(f"{src}/copy.jpg", jpeg, t0 + 5)
+    _write(f"{src}/odd.bin", b"unknown bytes", t0 + 9)
+    _write(f"{src}/empty", b"", t0)
+    asked = []
+
+    def extract(names):
+        asked.append(sorted(os.path.basename(r.name) for r in names.collect()))
+        doc = F.when(F.col("name").endswith("odd.bin"), F.lit('[{"MIMEType": "video/mp4", "CreateDate": "2015:03:04 05:06:07Z"}]')) \
+            .otherwise(F.lit('[{"Make": "x"}]'))
+        return names.select("name", doc.alias("json"))
+    first = index_job(spark, src, "h1", root, extract, now_year=2026)
+    rows = {os.path.basename(r.name): r for r in store.read_table(spark, f"{root}/files").collect()}
+    assert sorted(rows) == ["_MG_1.jpg", "copy.jpg", "odd.bin"] and first.unreadable.count() == 0
+    assert rows["_MG_1.jpg"].id == rows["copy.jpg"].id and rows["copy.jpg"].mimetype == "image"
+    assert rows["_MG_1.jpg"].timebornsrc == "name" and rows["copy.jpg"].timebornsrc == "stat"
+    odd = rows["odd.bin"]
+    assert (odd.mimetype, odd.mimesubtype, odd.timebornsrc, odd.timeborn) == ("video", "mp4", "meta", 1425445567)
+    assert [len(a) for a in asked] == [2]                       # one file per content id
+    assert spark.read.parquet(f"{root}/cache").count() == 1     # only documents with a taken time are cached
+    again = index_job(spark, src, "h1", root, extract, now_year=2026)
+    assert again.version is None and again.rows.count() == 0 and asked[-1] == []
+    _write(f"{src}/copy.jpg", b"GIF89a changed", t0 + 50)
+    index_job(spark, src, "h1", root, extract, now_year=2026, changed_at=7)
+    rows = {os.path.basename(r.name): r for r in store.read_table(spark, f"{root}/files").collect()}
+    assert rows["copy.jpg"].mimesubtype == "gif" and len(rows) == 3
+    log = spark.read.parquet(f"{root}/history").collect()
+    assert [(os.path.basename(r.name), r.changed_at) for r in log] == [("copy.jpg", 7)]
