@@ -125,16 +125,21 @@ XMP_RFC3339 = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?(Z|[
 XMP_LOCAL = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?$"
 
 
+def _xmp_texts(s: Column) -> tuple[Column, Column]:
+    """An XMP date in tag form: the whole text if it has one of the two full shapes, and its first 19 characters."""
+    v = F.trim(F.coalesce(s, F.lit("")))
+    head = r"^(\d{4})-(\d{2})-(\d{2})T"
+    whole = F.when(v.rlike(XMP_RFC3339) | v.rlike(XMP_LOCAL), F.regexp_replace(v, head, "$1:$2:$3 "))
+    return whole, F.regexp_replace(F.substring(v, 1, 19), head, "$1:$2:$3 ")
+
+
 def parse_xmp_date(s: Column) -> Column:
     """RFC 3339 with zone, or a local date-time with fraction, or the first 19 characters.
 
     Returns the instant (Unix seconds); a local time is read as UTC.
     """
-    v = F.trim(F.coalesce(s, F.lit("")))
-    as_tag = F.regexp_replace(v, r"^(\d{4})-(\d{2})-(\d{2})T", "$1:$2:$3 ")
-    full = parse_tag_datetime(F.when(v.rlike(XMP_RFC3339) | v.rlike(XMP_LOCAL), as_tag))
-    first19 = parse_tag_datetime(F.regexp_replace(F.substring(v, 1, 19), r"^(\d{4})-(\d{2})-(\d{2})T", "$1:$2:$3 "))
-    return F.coalesce(full["utc"], first19["utc"])
+    whole, first19 = (parse_tag_datetime(t)["utc"] for t in _xmp_texts(s))
+    return F.coalesce(whole, first19)
 
 
 def photo_epoch_time(epoch_text: Column, zone: Column | None = None) -> Column:
@@ -168,10 +173,7 @@ def exif_taken(texts: list[Column], gps_utc: Column, zone: Column | None = None,
 
 def with_xmp_date(df, text_col: str, out: str):
     """H26 on a DataFrame, staged (each regex once per row): ``out`` = instant or NULL."""
-    v = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    iso_head = r"^(\d{4})-(\d{2})-(\d{2})T"
-    full_text = F.when(v.rlike(XMP_RFC3339) | v.rlike(XMP_LOCAL), F.regexp_replace(v, iso_head, "$1:$2:$3 "))
-    first19 = F.regexp_replace(F.substring(v, 1, 19), iso_head, "$1:$2:$3 ")
+    full_text, first19 = _xmp_texts(F.col(text_col))
     a, b = f"__{out}_full", f"__{out}_19"
     df = df.withColumn(a, tag_datetime_parts(full_text)).withColumn(b, tag_datetime_parts(first19))
     return df.withColumn(out, F.coalesce(tag_datetime_from_parts(F.col(a))["utc"],

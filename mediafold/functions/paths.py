@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediafold.functions.ids import id_hex
-
 # Longest destination accepted, and the conflict-suffix tag.
 MAX_DEST_BYTES = 256
 SUFFIX_TAG = "_XXH3"
@@ -17,9 +15,6 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def dirname(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-
 
 def clean_path(path: Column) -> Column:
     """Collapse repeated separators and drop a trailing one (root stays '/')."""
@@ -38,12 +33,3 @@ def destination(root: str | Column, mime: Column, birth_unix: Column, name: Colu
     """``{root}/{mime}/{yyyy}/{MM}/{dd}/{basename}``, cleaned."""
     root_c = F.lit(root) if isinstance(root, str) else root
     return clean_path(F.concat_ws("/", root_c, mime, date_dirs(birth_unix, tz), name))
-
-
-def with_conflict_suffix(dest: Column, id_col: Column) -> Column:
-    """``{dest}-{16 hex id}_XXH3``."""
-    return F.concat(dest, F.lit("-"), id_hex(id_col), F.lit(SUFFIX_TAG))
-
-
-def fits(dest: Column) -> Column:
-    return F.octet_length(dest) <= MAX_DEST_BYTES

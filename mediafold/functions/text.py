@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mediafold.functions.names import IS_DATE_PATTERN, IS_DATE_TIME_PATTERN
+from mediafold.functions.names import is_time
 
 # Fixed value: the characters Go's TrimSpace removes (Unicode White_Space).
 SPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
@@ -179,11 +179,6 @@ def is_generated_name(s: Column) -> Column:
     return s.rlike(GENERATED_NAME_PATTERN)
 
 
-def is_time_text(s: Column) -> Column:
-    return (s != "") & ((F.regexp_extract(s, IS_DATE_PATTERN, 0) == s)
-                        | (F.regexp_extract(s, IS_DATE_TIME_PATTERN, 0) == s))
-
-
 def sanitize_title(s: Column) -> Column:
     """Clean a title that may be a file name.
 
@@ -197,7 +192,7 @@ def sanitize_title(s: Column) -> Column:
     spaced = F.regexp_replace(F.regexp_replace(r, "_", " "), "  ", " ")
     ft = file_title(r)
     return (F.when(v == "", F.lit(""))
-            .when(is_generated_name(r) | is_time_text(r), F.lit(""))
+            .when(is_generated_name(r) | is_time(r), F.lit(""))
             .when(r == v, v)
             .when(~lower_only, spaced)
             .when(ft != "", ft)

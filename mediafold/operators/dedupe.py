@@ -22,13 +22,6 @@ _ROW_FIELDS = ["name", "hostname", "size", "timemodified", "timeborn", "timeborn
                "mimetype", "mimesubtype"]
 
 
-def distinct_ids(files: DataFrame, host: str | None = None) -> DataFrame:
-    """Distinct content ids (of one host when given)."""
-    if host is not None:
-        files = files.where(F.col("hostname") == host)
-    return files.select("id").distinct()
-
-
 def group_stats(files: DataFrame, host: str | None = None) -> DataFrame:
     """Per-id partial statistics over the catalog members (E2-E6 inputs)."""
     if host is not None:

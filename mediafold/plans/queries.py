@@ -445,8 +445,7 @@ def q_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from mediafold.functions import geo as G
     from mediafold.functions import numbers as N
-    from mediafold.functions import text as X
-    from mediafold.sources.tables import load
+    from mediafold.functions.names import is_time
     p = G.with_lat_lng(events_position_text(spark, sf_dir, ("ts", "event_type", "value")), "position")
     t = F.col("event_type")
     text = (F.when(t == "view", F.date_format("ts", "yyyy-MM-dd"))
@@ -456,7 +455,7 @@ def q_media_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.date_format("ts", "dd.MM.yyyy")))
     taken = F.when(t != "error", F.col("ts"))
     image_type = F.when(F.col("value") > 400, 3).otherwise(F.floor(F.col("value")).cast("int") % 3)
-    return p.select("event_id", text.alias("time_text"), X.is_time_text(text).alias("is_time"),
+    return p.select("event_id", text.alias("time_text"), is_time(text).alias("is_time"),
                     G.has_time_and_place(taken, F.col("lat"), F.col("lng")).alias("has_time_and_place"),
                     N.is_hdr(image_type).alias("is_hdr"))
 

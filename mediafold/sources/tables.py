@@ -27,9 +27,3 @@ def load(spark: SparkSession, sf_dir: str, name: str,
     if columns is not None:
         df = df.select(*columns)
     return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names: Iterable[str] = DRIVER_TABLES) -> None:
-    """Temp views over the driver tables, for ad-hoc ``spark.sql``."""
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -223,3 +223,9 @@ def test_plan_destinations_unique_on_driver_data(spark):
     dests = plan.where(F.col("dest").isNotNull())
     assert dests.count() == dests.select("dest").distinct().count()                  # no two ids share a path
     assert dests.where(F.octet_length("dest") > 256).count() == 0
+
+
+def test_presentation_order(spark):
+    from mediafold.operators import catalog
+    rows = _files(spark, [(n, "h", 1, 1, 1, 1, "stat", "image", "jpeg") for n in ("/b", "/a/z", "/a", "/C")])
+    assert [r.name for r in catalog.presentation_order(rows).collect()] == ["/C", "/a", "/a/z", "/b"]
