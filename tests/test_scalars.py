@@ -238,3 +238,15 @@ def test_tag_datetimes_of_every_shape(spark):
     got = one(spark, lambda c: D.parse_tag_datetime(c)["utc"], *texts)
     t = 1704164645
     assert got == [t, t, t, t - 3600, t + 5400, None, None, None, None, None]
+
+
+def test_cell_tokens_of_a_batch():
+    import numpy as np
+    import pandas as pd
+
+    from mediafold.functions import geo
+    rng = np.random.default_rng(6)
+    lat, lng = rng.uniform(-90, 90, 500), rng.uniform(-180, 180, 500)
+    got = geo._cell_batch(pd.Series([*lat, 0.0, np.nan, 5.0]), pd.Series([*lng, 5.0, 1.0, 0.0])).tolist()
+    assert got[:500] == ["s2:" + geo.s2_token(c) for c in geo.s2_cell_ids(lat, lng)]
+    assert got[500:] == [None, None, None]
