@@ -27,7 +27,7 @@ PLAIN = ["file_name", "mime_type", "duration", "fps", "frames", "notes", "copyri
          "software", "focal_length", "focal_distance", "exposure", "aperture", "f_number", "iso", "image_type"]
 
 
-def with_position(df: DataFrame, tags_col: str) -> DataFrame:
+def with_position(df: DataFrame) -> DataFrame:
     """``lat, lng``: the position text if there is one, else the two coordinates (both must be there); 0 if unknown."""
     c = F.col
     df = G.with_lat_lng(df, "gps_position", "_plat", "_plng")
@@ -37,7 +37,8 @@ def with_position(df: DataFrame, tags_col: str) -> DataFrame:
 
     def pick(a, b):
         return F.when(text, c(a)).when(both, c(b)).otherwise(F.lit(0.0).cast("float"))
-    return df.withColumn("lat", pick("_plat", "_dlat")).withColumn("lng", pick("_plng", "_dlng"))
+    return df.withColumns({"lat": pick("_plat", "_dlat"), "lng": pick("_plng", "_dlng")}).drop(
+        "_plat", "_plng", "_dlat", "_dlng")
 
 
 def normalize_tags(df: DataFrame, tags_col: str = "tags", regions: DataFrame | None = None,
@@ -55,20 +56,24 @@ def normalize_tags(df: DataFrame, tags_col: str = "tags", regions: DataFrame | N
     s = df.select(*[c(f"`{x}`").alias(f"_in_{i}") for i, x in enumerate(keep)], c(f"`{tags_col}`").alias("_tags"))
     s = TG.assign_fields(s, "_tags")
     s = TG.image_size_override(s, "_tags")
-    s = with_position(s, "_tags")
-    raw_altitude = F.try_element_at(c("_tags"), F.lit("GPSAltitude"))
-    s = s.withColumn("altitude", F.coalesce(c("altitude"), N.altitude_fallback(raw_altitude).cast("bigint")))
+    # What the many steps of position and time do not read travels as one struct: rows stay narrow until the end.
+    rest = [*[f"_in_{i}" for i in range(len(keep))], *PLAIN, "title", "subject", "artist", "description", "keywords", "codec",
+            "document_id", "instance_id", "width", "height", "rotation", "flash", "taken_ns"]
+    tag = {t: F.try_element_at(c("_tags"), F.lit(t)) for t in ("GPSAltitude", "Orientation", "MIMEType")}
+    altitude = F.coalesce(c("altitude"), N.altitude_fallback(tag["GPSAltitude"]).cast("bigint"))
+    s = s.select(F.struct(*rest, altitude.alias("altitude"), tag["Orientation"].alias("_orientation")).alias("_rest"),
+                 "gps_position", "gps_latitude", "gps_longitude", c("taken_at").alias("taken"),
+                 c("created_at").alias("created"), c("taken_gps").alias("gps"), tag["MIMEType"].alias("mime"))
+    s = with_position(s).drop("gps_position", "gps_latitude", "gps_longitude")
     if regions is None:
         s = s.withColumn("zone", F.lit(None).cast("string"))
     else:
         s = TZ.zone_lookup(s, regions)
-    s = (s.withColumnRenamed("taken_at", "taken").withColumnRenamed("created_at", "created")
-         .withColumnRenamed("taken_gps", "gps").withColumn("has_position", G.has_position(c("lat"), c("lng")))
-         .withColumn("mime", F.try_element_at(c("_tags"), F.lit("MIMEType"))))
-    s = TZ.resolve_taken_time(s)
-    s = s.withColumn("birth", TZ.birth_from_taken(c("taken_utc"), c("time_zone"), c("taken.offset_text"),
-                                                  offset_policy=offset_policy))
-    ns = F.when(c("taken_ns") > 0, c("taken_ns")).otherwise(F.coalesce(c("taken.micros") * 1000, F.lit(0)))
+    s = TZ.resolve_taken_time(s.withColumn("has_position", G.has_position(c("lat"), c("lng"))))
+    birth = TZ.birth_from_taken(c("taken_utc"), c("time_zone"), c("taken.offset_text"), offset_policy=offset_policy)
+    s = s.select("_rest.*", "lat", "lng", "taken_utc", "taken_local", "time_zone", birth.alias("birth"),
+                 (c("taken.micros") * 1000).alias("_ns"))
+    ns = F.when(c("taken_ns") > 0, c("taken_ns")).otherwise(F.coalesce(c("_ns"), F.lit(0)))
     # Texts are cleaned last; keywords see the description as it came.
     s = s.withColumn("_low", F.lower(X.sanitize_meta(c("description"))))
     auto = F.when(F.coalesce(c("description"), F.lit("")) != "", X.auto_keywords_lower(c("_low")))
@@ -81,6 +86,6 @@ def normalize_tags(df: DataFrame, tags_col: str = "tags", regions: DataFrame | N
         F.coalesce(sanitize_uuid(c("document_id")), F.lit("")).alias("document_id"),
         F.coalesce(sanitize_uuid(c("instance_id")), F.lit("")).alias("instance_id"),
         "lat", "lng", "altitude", "width", "height",
-        N.orientation(F.try_element_at(c("_tags"), F.lit("Orientation")), c("rotation").try_cast("int")).alias("orientation"),
+        N.orientation(c("_orientation"), c("rotation").try_cast("int")).alias("orientation"),
         F.coalesce(c("flash"), F.lit(False)).alias("flash"), "taken_utc", "taken_local", "time_zone",
         ns.cast("bigint").alias("taken_ns"), "birth")
