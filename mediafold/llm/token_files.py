@@ -41,8 +41,8 @@ PIECE_SAFE = ("word_bpe_49k.json",)
 MAGIC = b"tokfile1"
 HEADER = struct.Struct("<8sQQQQI")
 SUFFIX = ".tok"
-# Closing marks that the pattern parts from a letter or digit ahead of them (an apostrophe may belong to the word).
-MARKS = ".,!?;:%&$#*|()"
+# A mark that the pattern parts from the letter or digit ahead of it (an apostrophe may belong to the word).
+MARK_BEHIND = r"([A-Za-z0-9])([.,!?;:%&$#*|()])"
 MEMO_PIECES, MEMO_BYTES = 1_000_000, 64 << 20
 
 # Lengths of the four tokens of each control byte.
@@ -102,9 +102,8 @@ def parse_file(content) -> tuple[list, np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Ids of texts through a memo of distinct pieces.
 
-    A piece is what stands between spaces and line feeds; closing marks are taken off it and kept as a piece of their
-    own (the pattern always parts a letter or digit from a mark behind it), and ASCII letters are folded, as the
-    tokenizer does itself.
+    A piece is what stands between spaces and line feeds; marks behind an ASCII letter or digit start a piece of their own
+    (the pattern always parts them), and ASCII letters are folded, as the tokenizer does itself.
     """
 
     def __init__(self, path: str):
@@ -148,34 +147,27 @@ class PieceEncoder:
         if len(self.memo) > MEMO_PIECES or self.size > MEMO_BYTES:
             self.clear()
         if self.safe:
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            special = pc.any(pc.match_substring(texts, "<|")).as_py()
+            texts = pc.replace_substring(texts, "\n", " ")
+            if not special:  # a special token must neither be cut nor appear by folding
+                texts = pc.replace_substring_regex(pc.ascii_lower(texts), MARK_BEHIND, r"\1 \2")
+            split = pc.split_pattern(texts, " ")
             bounds = split.offsets.to_numpy().astype(np.int64)
             coded = split.flatten().dictionary_encode()
-            pieces = coded.dictionary.to_pylist()
-            at = coded.indices.to_numpy()
+            pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         else:
             pieces, at, bounds = texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
-        cores = pieces
-        if self.safe:
-            cores = [c if not (c := p.rstrip(MARKS)) or c[-1].isalnum() else p for p in pieces]
-        tails = [p[len(c):] for p, c in zip(pieces, cores, strict=True)]
-        if self.safe:
-            cores = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
-        new = sorted((set(cores) | set(tails)) - self.memo.keys())
+        new = [p for p in pieces if p not in self.memo]
         if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        entry = np.empty((len(pieces), 2), np.int64)
-        entry[:, 0] = np.fromiter(map(get, cores), np.int64, len(pieces))
-        entry[:, 1] = np.fromiter(map(get, tails), np.int64, len(pieces))
-        entry = entry[at].ravel()
+            self._learn(sorted(set(new)))
+        entry = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))[at]
         start = self.ends[entry]
         length = self.ends[entry + 1] - start
         total = np.zeros(len(entry) + 1, np.int64)
         np.cumsum(length, out=total[1:])
         take = np.repeat(start - total[:-1], length)
         take += np.arange(total[-1])
-        return self.ids[take], np.diff(total[2 * (bounds - bounds[0])])
+        return self.ids[take], np.diff(total[bounds - bounds[0]])
 
 
 _encoders: dict[str, PieceEncoder] = {}
