@@ -8,8 +8,8 @@ leaves to visit is widened until a calibration set, searched exactly, reaches th
 
 Scale: the tree is ``sample / leaf`` centres on the driver and broadcast.  The table is indexed in one map and its leaves, in
 tree order, fill groups of about ``block_rows`` rows; a leaf that holds a third of all rows is many groups.  A query is
-sent once to each group that has leaves for it, with their numbers; the group returns its best ``k`` and these
-are merged over ``k`` rows a group.  Only leaf sizes and the calibration figures reach the driver.  Work is queries
+sent once to each group that has leaves for it, with their numbers; the group's rows are held, its queries stream past in
+small pieces, and the best ``k`` of each are merged over ``k`` rows a group.  Only leaf sizes and the calibration figures reach the driver.  Work is queries
 times visited rows, and leaves keep their size as the table grows.
 
 Scores are inner products of the original vectors in double precision, summed in one fixed order; equal vectors
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import map_arrow, map_sorted_groups, stored
+from mediafold.llm.common import map_arrow, sorted_groups, stored
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -245,33 +245,41 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
 
         routed = map_arrow(queries.select("vec_id", "vector"), route, routed_as)
 
-        def scan(group: pa.Table) -> pa.Table:
-            kind = group.column("kind").to_numpy()
-            ids, x = group.column("id").to_numpy(), _matrix(group.column("vector"))
-            leaves = group.column("leaves").to_pylist()
-            own, cand = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-            leaf = np.array([leaves[c][0] for c in cand], np.int64)
+        def scan(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+            """Best ``k`` of a group's rows for some of its queries."""
+            leaf = np.array([x[0] for x in candidates.column("leaves").to_pylist()], np.int64)
             order = np.argsort(leaf, kind="stable")
-            cand, leaf = cand[order], leaf[order]
-            cx, cid = np.ascontiguousarray(x[cand]), ids[cand]
-            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for lo in range(0, len(own) if len(cand) else 0, 256):
-                part = own[lo:lo + 256]
-                rough = np.full((len(part), len(cand)), -np.inf)
-                want: dict[int, list[int]] = {}
-                for i, q in enumerate(part):
-                    for n in leaves[q]:
-                        want.setdefault(n, []).append(i)
-                for n, rows in want.items():
-                    a, b = np.searchsorted(leaf, [n, n + 1])
-                    if a < b:
-                        rough[rows, a:b] = x[part[rows]] @ cx[a:b].T
-                qi, ri, s = best_pairs(cid, cx, ids[part], x[part], rough, k)
-                for out, values in zip(found, (ids[part][qi], cid[ri], s), strict=True):
-                    out.append(values)
-            return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), found, strict=True)})
-
-        return map_sorted_groups(members.unionByName(routed), ["group"], scan, FOUND)
+            leaf, ids = leaf[order], candidates.column("id").to_numpy()[order]
+            x = np.ascontiguousarray(_matrix(candidates.column("vector"))[order])
+            qids, q = asked.column("id").to_numpy(), _matrix(asked.column("vector"))
+            rough = np.full((len(q), len(x)), -np.inf)
+            want: dict[int, list[int]] = {}
+            for i, leaves in enumerate(asked.column("leaves").to_pylist()):
+                for n in leaves:
+                    want.setdefault(n, []).append(i)
+            for n, rows in want.items():
+                a, b = np.searchsorted(leaf, [n, n + 1])
+                if a < b:
+                    rough[rows, a:b] = q[rows] @ x[a:b].T
+            qi, ri, s = best_pairs(ids, x, qids, q, rough, k)
+            return pa.table({"query_id": qids[qi], "vec_id": ids[ri], "score": s})
+
+        def answer(batches):
+            # Sorted by group and kind: a group's rows (bounded) come first, then its queries, a few at a time.
+            held: list[pa.Table] = []
+            of = None
+            for piece in sorted_groups(batches, ["group", "kind"], max_rows=256):
+                group, kind = piece.column("group")[0].as_py(), piece.column("kind")[0].as_py()
+                if group != of:
+                    held, of = [], group
+                if kind == 0:
+                    held.append(piece)
+                elif held:
+                    held = [pa.concat_tables(held)]
+                    yield from scan(held[0], piece).to_batches()
+
+        both = members.unionByName(routed).repartition("group").sortWithinPartitions("group", "kind")
+        return map_arrow(both, answer, FOUND)
 
     queries = indexed.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
     # Calibration: a bounded set of queries, searched exactly, block by block.

@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -189,8 +188,11 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 # --------------------------------------------------------- grouped streaming
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of equal ``keys`` from batches sorted by them; a group may span batches."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], max_rows: int | None = None) -> Iterator[pa.Table]:
+    """Groups of equal ``keys`` from batches sorted by them; a group may span batches.
+
+    With ``max_rows`` a larger group comes in several pieces, each about as large.
+    """
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
@@ -201,9 +203,10 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         lo = 0
         while lo < len(rows):
             hi = lo + 1
-            while hi < len(rows) and rows[hi] == rows[lo]:
+            while hi < len(rows) and rows[hi] == rows[lo] and (max_rows is None or hi - lo < max_rows):
                 hi += 1
-            if held and rows[lo] != held_key:
+            full = max_rows is not None and sum(b.num_rows for b in held) >= max_rows
+            if held and (full or rows[lo] != held_key):
                 yield pa.Table.from_batches(held)
                 held = []
             held_key = rows[lo]
@@ -213,19 +216,6 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str,
-                      order: list[str] | None = None) -> DataFrame:
-    """Run ``fn(pyarrow.Table) -> pyarrow.Table`` on each group of ``keys``.
-
-    One shuffle and one sort, then a stream: only the group at hand is in memory.  Use it for groups of a bounded size.
-    """
-    def run(batches):
-        for group in sorted_groups(batches, keys):
-            yield from fn(group).to_batches()
-
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])), run, schema)
-
-
 # ----------------------------------------------------- connected components
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Component of each node of an undirected graph.
@@ -282,8 +272,3 @@ def bucketed_prefix(df: DataFrame, group: list[str], order: list[str], weight, o
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     return (rows.join(sums, same).withColumn(out, F.col("_base") + F.col("_inside"))
             .drop("_bucket", "_weight", "_inside", "_b", "_base", *[f"_g_{c}" for c in group]))
-
-
-def worker_threads() -> None:
-    """Keep numeric libraries in a task to one thread."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")

@@ -21,7 +21,6 @@ benchmark leaves every document clean; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
