@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediafold.functions import dates as D
 from mediafold.functions import geo as G
 from mediafold.functions import numbers as N
 from mediafold.functions import text as X
