@@ -40,8 +40,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deal all documents to shards of near equal bytes."""
-    return sharding.kd_shards(docs, n_shards=N_SHARDS)
+    """Deal all documents to shards of near equal bytes; slots inside a shard follow the mixed order.
+
+    Rows read from Parquet have no order, so the order, which depends on the documents alone, is drawn up again here.
+    """
+    return sharding.kd_shards(docs, n_shards=N_SHARDS, placed=mixing.pfair_mix(docs))
 
 
 STAGES = [

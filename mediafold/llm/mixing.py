@@ -119,10 +119,15 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     return rows.select("doc_id", "source", "text_hash", "block", "phase", "slot", "position")
 
 
+def first_places(placed: DataFrame) -> DataFrame:
+    """``_doc, _hash, _position``: the first position of each id and text."""
+    return placed.groupBy("doc_id", "text_hash").agg(F.min("position").alias("_position")).select(
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_position")
+
+
 def in_mixed_order(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """All columns of ``docs``, range-partitioned and sorted by position; equal rows lie side by side."""
-    at = placed.groupBy("doc_id", "text_hash").agg(F.min("position").alias("_position")).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_position")
+    at = first_places(placed)
     keyed = docs.withColumn("_of", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = keyed.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_hash")))
     return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediafold.llm.common import bucketed_prefix, stored
+from mediafold.llm.mixing import first_places
 
 ROW_BYTES = 16
 SCALE = (1 << 16) - 1
@@ -60,8 +61,8 @@ def _by_node(values: dict[int, int], n: int) -> Column:
     return F.element_at(F.array(*[F.lit(values.get(i, -1)).cast("long") for i in range(n)]), F.col("node") + 1)
 
 
-def points(docs: DataFrame, n_shards: int, split_share: float) -> DataFrame:
-    """One narrow row per document: id, size, crc, four 16-bit codes and the tie hash."""
+def points(docs: DataFrame, n_shards: int, split_share: float, hashed: bool = False) -> DataFrame:
+    """One narrow row per document: id, size, crc, four 16-bit codes and the tie hash (with ``hashed`` the text's, too)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n_bytes = F.octet_length(text).cast("long")
     chars = F.length(text)
@@ -89,7 +90,7 @@ def points(docs: DataFrame, n_shards: int, split_share: float) -> DataFrame:
         return F.floor((F.col(f"x{i}") - F.lit(lo)) * F.lit(SCALE / (hi - lo))).cast("long")
 
     return stored(rows.select("doc_id", "size", "text_crc32", *[code(i).alias(f"d{i}") for i in range(DIMENSIONS)],
-                              F.shiftrightunsigned(tie, 64 - TIE_BITS).alias("tie")), "points")
+                              F.shiftrightunsigned(tie, 64 - TIE_BITS).alias("tie"), *["text_hash"] * hashed), "points")
 
 
 def _cuts(rows: DataFrame, open_nodes: list[Node]) -> None:
@@ -124,12 +125,15 @@ def _cuts(rows: DataFrame, open_nodes: list[Node]) -> None:
             open_nodes[i].cut = (r["cell"] + int(nearer_end)) << shift
 
 
-def kd_shards(docs: DataFrame, n_shards: int = 40, split_share: float = 0.04) -> DataFrame:
+def kd_shards(docs: DataFrame, n_shards: int = 40, split_share: float = 0.04,
+              placed: DataFrame | None = None) -> DataFrame:
     """Deal documents to ``n_shards`` shards of near equal bytes (law ``bytes``).
 
-    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; slots are gapless from 0 inside a shard.
+    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; slots are gapless from 0 inside a shard.  They
+    follow a hash of the row, or with ``placed`` (``doc_id, text_hash, position`` of every document, as from
+    ``mixing.pfair_mix``) that order, in which equal rows take the place of the first.
     """
-    pts = points(docs, n_shards, split_share)
+    pts = points(docs, n_shards, split_share, placed is not None)
     root = Node(0, n_shards)
     level = [root]
     for _ in range(math.ceil(math.log2(n_shards)) if n_shards > 1 else 0):
@@ -144,8 +148,18 @@ def kd_shards(docs: DataFrame, n_shards: int = 40, split_share: float = 0.04) ->
             half = n.shards // 2
             n.left, n.right = Node(n.first, half), Node(n.first + half, n.shards - half)
             level += [n.left, n.right]
-    dealt = pts.select("doc_id", "size", "text_crc32", _walk(root, lambda n: n.first).cast("int").alias("shard"))
-    buckets = max(64, pts.count() // (n_shards * 100_000))
-    dealt = bucketed_prefix(dealt, ["shard"], ["doc_id", "text_crc32", "size"], F.lit(1), "slot", buckets)
+    shard = _walk(root, lambda n: n.first).cast("int").alias("shard")
+    rows = pts.count()
+    buckets = max(64, rows // (n_shards * 100_000))
+    order = ["doc_id", "text_crc32", "size"]
+    if placed is None:
+        dealt = bucketed_prefix(pts.select(*order, shard), ["shard"], order, F.lit(1), "slot", buckets)
+    else:
+        at = first_places(placed)
+        dealt = pts.select(*order, "text_hash", shard).join(
+            at, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+        # Positions are gapless, so equal stretches of them are equal buckets.
+        dealt = bucketed_prefix(dealt, ["shard"], ["_position", *order], F.lit(1), "slot",
+                                spread=F.floor(F.col("_position") / F.lit(max(1, -(-rows // buckets)))))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))

@@ -373,6 +373,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.select(F.countDistinct("shard")).first()[0] == 40
 
 
+def test_slots_of_the_pipeline_follow_the_mixed_order(spark):
+    import corpus_pipeline as pipeline
+    sf = "/root/testdata/sf0.01"
+    docs = load(spark, sf, "documents").dropDuplicates(["doc_id"])
+    at = {r["doc_id"]: r["position"] for r in mixing.pfair_mix(docs).collect()}
+    rows = pipeline.deal_shards(spark, pipeline.mix_sources(spark, docs, sf), sf).collect()
+    check_shards(rows, docs.count(), 40)
+    by_shard = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        by_shard[r["shard"]].append(at[r["doc_id"]])
+    assert all(p == sorted(p) for p in by_shard.values())
+    plain = {(r["doc_id"], r["shard"]) for r in sharding.kd_shards(docs, 40).collect()}
+    assert {(r["doc_id"], r["shard"]) for r in rows} == plain
+
+
+def test_slots_by_place_keep_edge_rows(edge_docs, no_docs):
+    rows = sharding.kd_shards(edge_docs, 5, placed=mixing.pfair_mix(edge_docs, block_bytes=64)).collect()
+    check_shards(rows, edge_docs.count(), 5)
+    assert sharding.kd_shards(no_docs, 5, placed=mixing.pfair_mix(no_docs)).count() == 0
+
+
 def brute_classes_of(df):
     """Classes through shared n-grams only (all pairs that share one)."""
     rows = [(r["doc_id"], tuple(words(r["text"]))) for r in df.collect()]
