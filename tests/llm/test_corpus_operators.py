@@ -254,6 +254,32 @@ def test_pfair_period_keeps_every_source_within_a_block():
             assert all(j * period // a <= t < -(-(j + 1) * period // a) for j, t in enumerate(s))
 
 
+@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.9] + [0.1 / 99] * 99, [1e-7, 0.3, 0.7], [0.0, 3.0, 1.0]])
+def test_no_source_lags_a_block_behind_its_weight(weights):
+    blocks = [int(20_000 * w / sum(weights)) + 7 for w in weights]
+    left = list(blocks)
+    end, rows = 0, list(mixing.phases(blocks, weights, 1000))
+    for s, first, _, slots in rows:
+        assert first == blocks[s] - left[s]
+        left[s] -= len(slots)
+    assert not any(left) and sorted(t for *_, p in rows for t in p) == list(range(sum(blocks)))
+    for phase in range(rows[-1][2] + 1):
+        own = [(s, p) for s, _, n, p in rows if n == phase]
+        total, base = sum(weights[s] for s, _ in own), end
+        end += sum(len(p) for _, p in own)
+        for s, p in own:
+            w = weights[s] / total if total else 1 / len(own)
+            ahead = [j + 1 - (t + 1 - base) * w for j, t in enumerate(p)]
+            behind = [(t - base) * w - j for j, t in enumerate([*p, end])]
+            assert max(ahead + behind) < 1.001
+
+
+def test_runs_of_slots_are_whole():
+    got = list(mixing.runs(1000, list(range(3000))))
+    assert [t for *_, p in got for t in p] == list(range(3000))
+    assert [r[:3] for r in got] == [(0, 1000, 1024), (1, 1024, 2048), (2, 2048, 3072), (3, 3072, 4000)]
+
+
 def test_mixing_follows_the_weights_and_keeps_all(spark):
     docs = load(spark, "/root/testdata/sf0.01", "documents")
     rows = mixing.pfair_mix(docs, weights={"src0": 1.0, "src1": 1.0, "src2": 2.0}, block_bytes=4096).orderBy("position")
