@@ -158,6 +158,12 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._break()
 
+    def parse_html_declaration(self, i):
+        # As browsers do: "<![endif]-->", "<![CDATA[" and the like are bogus comments that end at the next ">".
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
@@ -197,10 +203,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    try:
-        parser.feed(html)
-    except (AssertionError, ValueError):
-        pass  # markup that the parser gives up on: keep what came before
+    parser.feed(html)
     lines = [x for x in parser.finish() if not x[2]]
     if not lines:
         return ""

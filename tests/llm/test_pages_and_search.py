@@ -32,6 +32,23 @@ def test_plain_body_and_cut_page():
     assert html_text.main_text("just text") == "just text"
 
 
+@pytest.mark.parametrize("mark", ["<![foo]>", "<![ IF x]>", "a[i]<![1]>", "<![endif]-->", "<![CDATA[>", "<![CDATA[x]]>",
+                                  "<!--[if !IE]> --><p>kept</p><!-- <![endif]-->", "<!--[if IE]>x<![endif]-->", "<!x>"])
+@pytest.mark.parametrize("lead", ["", " ", "\n\ufeff", "before "])
+def test_text_behind_marked_sections(mark, lead):
+    got = html_text.main_text(f"{lead}{mark}<p>one</p><p>two</p>{mark}<p>three").split("\n")
+    assert [x for x in got if x in ("one", "two", "three")] == ["one", "two", "three"]
+    assert html_text.main_text(f"{lead}<p>one</p>{mark[:-1]}").split("\n")[-1] != ""
+
+
+def test_no_markup_stops_the_parser():
+    rng = np.random.default_rng(3)
+    bits = ["<", "<!", "<![", "<!-", "<!--", "-->", "]>", "]]>", "[", ">", "</", "<p", "<p>", "=", "'", '"', "&#", "&", ";",
+            "<?", "/", " ", "a", "IF", "CDATA[", "doctype", "\n", "\x00", "\ufeff"]
+    for _ in range(5000):
+        html_text.main_text("".join(rng.choice(bits, rng.integers(1, 25))))
+
+
 def test_pages_table(spark):
     pages = load(spark, "/root/testdata/sf0.001", "pages")
     rows = html_text.extract_pages(pages).collect()
