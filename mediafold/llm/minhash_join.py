@@ -7,8 +7,8 @@ follow from the wanted recall at the threshold.  Nodes that share a band are can
 Instead of writing out all pairs of a band (a group of thousands of near copies would square), each band links its
 nodes to its smallest one.  The components of that graph hold all candidate pairs; the nodes of a component are brought
 together once, with their texts, and every pair in it is verified on the full n-gram sets inside the task.  A component
-larger than ``block_grams`` n-grams is cut into blocks, and each pair of blocks is a task of its own.  A task returns
-one row a node: its number of links and the smallest node it hangs together with.  A second component search over these
+larger than ``block_grams`` n-grams or ``BLOCK_NODES`` nodes is cut into blocks, and each pair of blocks is a group of its
+own, so the matrix of common n-grams has at most 2 * ``BLOCK_NODES`` rows however short the texts.  A group returns one row a node: its number of links and the smallest node it hangs together with.  A second component search over these
 verified links gives the classes.
 
 Scale: shuffles are of ids and band hashes, plus the texts once for verification.  Copies are combined map-side before
@@ -41,6 +41,10 @@ from mediafold.llm.common import (
 )
 
 GRAM = 5
+#: Nodes of a block: bounds the matrix of a pair of blocks (64 MB).
+BLOCK_NODES = 2000
+#: Rows of that matrix searched for links at a time.
+STRIP = 512
 
 
 def banding(threshold: float, recall: float, max_hashes: int = 224) -> tuple[int, int]:
@@ -136,12 +140,16 @@ def links(h: np.ndarray, bounds: np.ndarray, threshold: float, side: np.ndarray
         inc = np.zeros((m, len(cols)), np.float32)
         inc[doc[at], col] = 1
         common += inc @ inc.T
-    i, j = np.nonzero(np.triu(common, 1))
-    both = common[i, j].astype(np.int64)
-    ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
-    if side is not None:
-        ok &= side[i] != side[j]
-    return np.column_stack([i[ok], j[ok]])
+    found = [np.zeros((0, 2), np.int32)]
+    for lo in range(0, m, STRIP):
+        i, j = np.nonzero(np.triu(common[lo:lo + STRIP], lo + 1))
+        both = common[lo + i, j].astype(np.int64)
+        i += lo
+        ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+        if side is not None:
+            ok &= side[i] != side[j]
+        found.append(np.column_stack([i[ok], j[ok]]).astype(np.int32))
+    return np.concatenate(found)
 
 
 def smallest_linked(pairs: np.ndarray, m: int) -> np.ndarray:
@@ -261,7 +269,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
              .select(_node().alias("u"), _node("low.k1", "low.k2").alias("v")))
     candidate = connected_components(edges)
     place = Window.partitionBy("root").orderBy("n_grams", "node")
-    running = F.sum("n_grams").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_grams")
+    # A node counts for at least its part of a block, so n-grams and nodes are both bounded.
+    cost = F.greatest("n_grams", F.lit(-(-block_grams // BLOCK_NODES)).cast("long"))
+    running = F.sum(cost).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - cost
     members = (nodes.select(_node().alias("node"), "rep", "n_grams").join(candidate, "node")
                .withColumn("block", F.floor(running / block_grams))
                .withColumn("last", F.max("block").over(Window.partitionBy("root"))))

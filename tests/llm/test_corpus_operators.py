@@ -96,6 +96,28 @@ def test_links_of_common_and_rare_grams():
     assert got == want
 
 
+def test_links_of_a_pair_of_full_blocks_stay_small():
+    import tracemalloc
+    m = 2 * minhash_join.BLOCK_NODES
+    h = np.concatenate([np.append(np.arange(15), 100 + i) for i in range(m)]).astype(np.uint64)
+    tracemalloc.start()
+    pairs = minhash_join.links(h, np.arange(m + 1) * 16, 0.8, np.arange(m) // minhash_join.BLOCK_NODES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == (m // 2) ** 2 and peak < 250 << 20
+
+
+def test_a_component_of_many_short_texts(spark, monkeypatch):
+    rows, links = [], minhash_join.verify
+    monkeypatch.setattr(minhash_join, "verify", lambda members, t: (rows.append(members), links(members, t))[1])
+    base = " ".join(f"w{i}" for i in range(19))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " x"), "id").alias("text"))
+    got = minhash_join.jaccard_classes(docs, 0.8).groupBy("class_id", "n_links").count().collect()
+    assert list(map(tuple, got)) == [(0, 19_999, 20_000)]
+    groups = rows[0].groupBy("root", "i", "j").count()
+    assert groups.agg(F.max("count")).first()[0] <= 2 * minhash_join.BLOCK_NODES + 2
+
+
 def test_banding_reaches_the_recall():
     bands, rows = minhash_join.banding(0.8, 0.999)
     assert bands * rows <= 224 and 1 - (1 - 0.8 ** rows) ** bands >= 0.999
