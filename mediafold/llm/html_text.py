@@ -5,9 +5,9 @@ text, the number of tags met in it, and whether it lies inside something that is
 footers, sidebars, notices, adverts, forms, scripts, styles, comments: by element, role or class name).  A line's ratio is
 its text length over its tags.  Ratios are smoothed along the page with a Gaussian and split into two clusters
 (one-dimensional 2-means started at the extremes); the cut between the centres is the threshold.  Lines over it mark the
-content regions: a region is the innermost article, main or body element around a marked line; marked articles (or main
-elements) go before the body around them.  Every line of those regions that is not in a never-content element belongs to
-the text, however short.
+content.  On a page with marked article (or main) elements, or with just one, every line of those elements that is not in
+a never-content element belongs to the text, however short.  On any other page the runs of marked lines are the text,
+with the short lines of their container or between two runs, and headings right before a run.
 
 Scale: one map over the pages, no shuffle; memory is bounded by the longest page.
 
@@ -45,12 +45,19 @@ NAMES = frozenset(
     "cookie cookies disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice notification pagination "
     "popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription toolbar widget".split())
-# ... unless the same name also speaks of the content ("content-with-sidebar").
+# ... unless the same name also speaks of the content ("post-related-text") ...
 CONTENT_NAMES = frozenset("article body content entry has main no page post story text with without".split())
+# ... which does not clear these ("post-comments"), but for a layout that has or lacks them ("content-with-sidebar").
+FIRM_NAMES = frozenset("comment comments disqus footer menu nav navbar navigation replies reply respond sidebar".split())
+LAYOUT_NAMES = frozenset("has no with without".split())
 # Class names that unmake even an article or main element.
 REGION_NAMES = frozenset("ad ads advert comment comments promo promoted related replies reply sponsored".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CUT_MARKUP = re.compile(r"<[a-zA-Z/!?]")
+# Elements that group lines on a page without article or main.
+CONTAINERS = frozenset("center div section table td th".split())
+# Smoothed ratios (logarithms) of a page less than this apart do not tell boilerplate from text.
+ALIKE = math.log(3)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An open element that these end implicitly.
 CLOSES = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -77,30 +84,33 @@ def never_content(tag: str, attrs: list[tuple[str, str | None]], inside_region:
         if name in ("class", "id"):
             for token in value.split():
                 words = {w.lower() for w in _NAME_WORD.findall(token)}
-                if words & names and not words & CONTENT_NAMES:
+                cleared = LAYOUT_NAMES if words & names & FIRM_NAMES else CONTENT_NAMES
+                if words & names and not words & cleared:
                     return True
     return False
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, never content, region)`` per block."""
+    """Collects ``(text, tags, never content, region, container, heading)`` per block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, never content, region number
+        self.lines: list[tuple[str, int, bool, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, never content, region, container
+        self.containers = 0
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
         self.inner: set[int] = set()  # regions that are articles or main elements
+        self.outer: dict[int, int] = {}  # the outermost of them around each
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0)
 
     def _break(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self._state()))
+            self.lines.append((text, self.tags, *self._state(), any(t in HEADINGS for t, *_ in self.stack)))
             self.tags = 0
         self.parts = []
 
@@ -123,20 +133,24 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        never, region = self._state()
+        never, region, container = self._state()
         skip = never or never_content(tag, attrs, region > 0 and any(t in ("article", "main") for t, *_ in self.stack))
         if skip and not never:
             self._break()
         if tag in REGIONS:
             self.regions += 1
-            region = self.regions
             if tag != "body":
-                self.inner.add(region)
+                self.inner.add(self.regions)
+                self.outer[self.regions] = self.outer.get(region, self.regions)
+            region = self.regions
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
         if tag == "header" and not skip:
             skip = True  # inside a region only its headings are kept
         elif tag in HEADINGS and skip and self.stack and self.stack[-1][0] == "header" and self._outer_clear():
             skip = False
-        self.stack.append((tag, skip, region))
+        self.stack.append((tag, skip, region, container))
 
     def _outer_clear(self) -> bool:
         """True if only the innermost header makes this place never content."""
@@ -169,7 +183,7 @@ class Lines(HTMLParser):
             return
         self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, int]]:
+    def finish(self) -> list[tuple[str, int, bool, int, int, bool]]:
         if _CUT_MARKUP.match(self.rawdata):  # a tag or comment that the page ends in is not text
             self.rawdata = ""
         self.close()
@@ -207,11 +221,39 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.finish() if not x[2]]
     if not lines:
         return ""
-    ratio = smooth(np.log1p([len(text) / max(tags, 1) for text, tags, _, _ in lines]))
-    marked = {lines[i][3] for i in np.flatnonzero(ratio >= threshold(ratio))}
-    if marked & parser.inner:  # then stray lines of the body around them are not content
-        marked = parser.inner
-    return "\n".join(text for text, _, _, region in lines if region in marked)
+    own = np.log1p([len(text) / max(tags, 1) for text, tags, *_ in lines])
+    ratio = smooth(own)
+    cut = threshold(ratio)
+    over = ratio >= cut
+    inner = [region in parser.inner for _, _, _, region, *_ in lines]
+    articles = {parser.outer[region] for _, _, _, region, *_ in lines if region in parser.inner}
+    if any(over & inner) or len(articles) == 1:  # then stray lines of the body around them are not content
+        kept = inner
+    elif ratio.max() - ratio.min() < ALIKE:
+        kept = [True] * len(lines)
+    else:
+        kept = content_runs(lines, over, over & (own >= cut))
+    return "\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k)
+
+
+def content_runs(lines: list[tuple], over: np.ndarray, sure: np.ndarray, gap: int = 4) -> np.ndarray:
+    """Lines to keep of a page without articles: runs over the cut, with what belongs to them however short.
+
+    That is every line of a container that holds a line over the cut by itself (of lines in no container, the two on
+    either side of it), up to ``gap`` lines between two runs, and headings right before a run.
+    """
+    container = np.array([x[4] for x in lines])
+    kept = over | (np.isin(container, container[sure]) & (container > 0))
+    for i in np.flatnonzero(sure & (container == 0)):
+        kept[max(i - 2, 0):i + 3] |= container[max(i - 2, 0):i + 3] == 0
+    at = np.flatnonzero(kept)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a <= gap + 1:
+            kept[a:b] = True
+    for i in range(len(lines) - 2, -1, -1):
+        if kept[i + 1] and lines[i][5]:
+            kept[i] = True
+    return kept
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

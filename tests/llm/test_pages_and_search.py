@@ -49,6 +49,31 @@ def test_no_markup_stops_the_parser():
         html_text.main_text("".join(rng.choice(bits, rng.integers(1, 25))))
 
 
+LONG = "A sentence of the main text that has many words and goes on for quite a while, without any link in it. " * 3
+
+
+def test_runs_choose_blocks_of_a_page_without_article():
+    links = "".join(f'<li><a href="/{i}">Top {i}</a></li>' for i in range(8))
+    html = f"""<body><div class="masthead"><a>The Site</a><p>Since 1999</p></div><ul class="top-links">{links}</ul>
+        <div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>{LONG}</p><p>The end</p></div>
+        <div class="site-info"><a>Imprint</a><p>Contact</p><p><a>Map</a></p><p>Me</p><p>You</p></div></body>"""
+    long = LONG.strip()
+    assert html_text.main_text(html).split("\n") == ["Title", long, "Short.", long, long, "The end"]
+
+
+def test_the_only_article_stays():
+    items = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(12))
+    html = f'<body><article><h1>List</h1><ul>{items}</ul></article><div class="blurb"><p>{LONG}</p><p>{LONG}</p></div></body>'
+    assert html_text.main_text(html).split("\n") == ["List", *[f"Item {i}" for i in range(12)]]
+
+
+@pytest.mark.parametrize("name, never", [
+    ("post-comments", True), ("article-comments", True), ("page-footer", True), ("main-nav", True),
+    ("content-sidebar", True), ("content-with-sidebar", False), ("no-sidebar", False), ("post-related-text", False)])
+def test_names_of_boilerplate(name, never):
+    assert html_text.never_content("div", [("class", name)], True) is never
+
+
 def test_pages_table(spark):
     pages = load(spark, "/root/testdata/sf0.001", "pages")
     rows = html_text.extract_pages(pages).collect()
