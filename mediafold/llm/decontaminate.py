@@ -13,8 +13,8 @@ block, so a benchmark of any size works with bounded memory.  Spans of a documen
 
 Words are compared by 64-bit hashes of their ASCII-folded bytes.
 
-Edge cases: NULL or empty texts have no words and no hits; items without words match nothing; NULL item ids never
-match; items that repeat an id count once a document; repeated or NULL document ids are rows of their own; an empty
+Edge cases: NULL or empty texts have no words and no hits; items without words match nothing; an item
+with a NULL id has hits but is not in the list or number of items; items that repeat an id count once a document; repeated or NULL document ids are rows of their own; an empty
 benchmark leaves every document clean; an empty table gives an empty result; other columns pass through
 :func:`remove_spans` untouched.
 """
@@ -201,11 +201,11 @@ class Patterns:
         return np.searchsorted(w.bounds, first, side="right") - 1, np.repeat(found, n), first
 
 
-def benchmark_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of bounded size, streamed partition by partition."""
+def benchmark_blocks(benchmark: DataFrame, block_items: int, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of bounded size, streamed partition by partition; an item without an id is one like any other."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     block, size = [], 0
-    for r in rows.where("i is not null and t is not null").toLocalIterator():
+    for r in rows.where("t is not null").toLocalIterator():
         block.append((r["i"], r["t"]))
         size += len(r["t"])
         if len(block) >= block_items or size >= block_bytes:
@@ -262,6 +262,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_it
                     a, b = cut[d], cut[d + 1]
                     s = np.column_stack([first[a:b], first[a:b] + length[a:b]]) - w.bounds[d]
                     found = {patterns.names[o] for p in set(pattern[a:b].tolist()) for o in patterns.owners[p]}
+                    found.discard(None)  # an item without an id has hits but no name
                     if nth:
                         s = np.concatenate([s, np.array(old_spans[d], np.int64).reshape(-1, 2)])
                         found |= set(old_items[d])

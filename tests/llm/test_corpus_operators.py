@@ -192,6 +192,24 @@ def test_contamination_matches_brute_force(dirty, benchmark, blocks):
     assert got == brute_hits([tuple(r) for r in dirty.select("doc_id", "text").collect()], items)
 
 
+def test_items_without_an_id_are_searched(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from mediafold.llm.queries import OP7_SQL
+    item = " ".join(f"n{i}" for i in range(14))
+    docs = make(spark, [f"x {item} y", "n0 n1 n2", "b1 b2 b3 x", None, f"{item} b1 b2 b3"])
+    items = spark.createDataFrame([(None, item), (3, "b1 b2 b3"), (None, None)], "item_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    db.register("benchmark", items.toArrow())
+    rule = {r[0]: r[1:] for r in db.execute(OP7_SQL).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, items).collect()}
+    # All but n_items: the SQL counts the missing name as an item.
+    assert {i: (*r[:2], *r[3:]) for i, r in got.items()} == {i: (*r[:2], *r[3:]) for i, r in rule.items()}
+    assert [got[i][1] for i in range(5)] == [14, 0, 3, 0, 17] and [got[i][2] for i in range(5)] == [0, 0, 1, 0, 1]
+    left = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, items).collect()}
+    assert left == {0: "x y", 1: "n0 n1 n2", 2: "x", 3: None}
+
+
 def test_cut_texts_are_clean_and_the_rest_is_untouched(dirty, benchmark):
     before = {r["doc_id"]: r for r in dirty.collect()}
     state = {r["doc_id"]: r for r in decontaminate.contamination(dirty, benchmark).collect()}
