@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from mediafold.llm import ann, decontaminate, html_text, langid, minhash_join, mixing, quality, sharding, token_files, toxicity
+from pyspark.sql import functions as F
+
+from mediafold.llm import (
+    ann,
+    conversation_repair,
+    decontaminate,
+    html_text,
+    langid,
+    lexical_search,
+    minhash_join,
+    mixing,
+    quality,
+    sharding,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from mediafold.llm.common import documents, held_out
 from mediafold.sources.tables import load
 
@@ -63,9 +78,28 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     lambda c: held_out(c, 5, 0), threshold=0.5)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document by broadcast lengths of frequent pre-tokens and worker caches."""
+    import public_tokenizers
+    counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation by branch and bound."""
+    rows = conversation_repair.damaged(load(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_digests(rows, conversation_repair.plan(rows))
+
+
+def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item by exact search in ball trees."""
+    return lexical_search.ranked_search(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_gam, op2_kmeans_tree_search, op3_html_text, op4_centroid_langid, op5_token_files, op6_jaccard_join,
-    op7_fm_decontaminate, op8_kd_shards, op9_pfair_mix, op10_toxicity_cnn)}
+    op7_fm_decontaminate, op8_kd_shards, op9_pfair_mix, op10_toxicity_cnn, op11_token_counts,
+    op12_conversation_repair, op13_ball_tree_search)}
 
 OP7_SQL = """
 WITH dw AS (
@@ -119,4 +153,27 @@ FROM dw LEFT JOIN reps ON len(dw.w) > 0 AND array_to_string(dw.w, ' ') = reps.k
 LEFT JOIN roots ON roots.a = reps.rep LEFT JOIN degree ON degree.x = reps.rep
 """
 
-ORACLE: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op7_fm_decontaminate": OP7_SQL}
+OP13_SQL = """
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents),
+bt AS (
+  SELECT DISTINCT item_id, unnest(list_transform(
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t
+  FROM benchmark),
+sums AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nw FROM dw WHERE len(w) > 0),
+tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM dw) WHERE t IN (SELECT t FROM bt) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS wt
+       FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), sums),
+x AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * nd) // nw)) AS x
+      FROM tfs JOIN dw USING (r), sums),
+s AS (SELECT item_id, r, CAST(sum(wt * x) AS BIGINT) AS score FROM bt JOIN wt USING (t) JOIN x USING (t) GROUP BY item_id, r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM s JOIN dw USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op7_fm_decontaminate": OP7_SQL, "op13_ball_tree_search": OP13_SQL}
