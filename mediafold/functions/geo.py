@@ -29,11 +29,11 @@ def _dms(co: Column, first: int, ref: Column) -> Column:
 
 
 def _text_arrays(s: Column) -> Column:
-    """The text of a position and the numbers and hemisphere letters found in it."""
+    """The text of a position and the numbers and hemisphere letters found in it (NULL arrays for a NULL text)."""
     t = F.coalesce(s, F.lit(""))
-    return F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(FLOAT_PATTERN), 0).alias("fl"),
-                    F.regexp_extract_all(t, F.lit(COORD_NUMBER_PATTERN), 0).alias("co"),
-                    F.regexp_extract_all(t, F.lit(REF_PATTERN), 0).alias("re"))
+    return F.struct(t.alias("t"), F.regexp_extract_all(s, F.lit(FLOAT_PATTERN), 0).alias("fl"),
+                    F.regexp_extract_all(s, F.lit(COORD_NUMBER_PATTERN), 0).alias("co"),
+                    F.regexp_extract_all(s, F.lit(REF_PATTERN), 0).alias("re"))
 
 
 def gps_to_lat_lng(s: Column) -> Column:

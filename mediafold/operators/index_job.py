@@ -53,7 +53,7 @@ def indexed_rows(work: DataFrame, contents: DataFrame, docs: DataFrame, regions:
     :func:`documents_by_id`.  A type comes from the signature, else from the metadata; a birth from the metadata, else from
     the name, else from the file's time.
     """
-    meta = normalize_tags(docs.withColumn("tags", TG.parse_tag_document(F.col("json"))), "tags", regions)
+    meta = normalize_tags(docs.withColumn("tags", TG.parse_typed_tags(F.col("json"))), "tags", regions)
     facts = meta.select("id", F.col("mime_type").alias("_mime"), F.col("birth").alias("_birth"))
     rows = with_birth_from_name(work.join(contents, "name"), now_year=now_year)
     rows = mime.classify(rows.join(facts, "id", "left"), "header", "_mime")

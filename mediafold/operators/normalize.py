@@ -1,4 +1,4 @@
-"""Tag map -> normalised metadata, as one operator (J5 end to end).
+"""Tags -> normalised metadata, as one operator (J5 end to end).
 
 The steps run as successive projections, so every parse happens once a row and the plan has no shuffle (the zone regions
 are broadcast by :func:`mediafold.operators.timezones.zone_lookup` if they are small):
@@ -29,22 +29,25 @@ PLAIN = ["file_name", "mime_type", "duration", "fps", "frames", "notes", "copyri
 def with_position(df: DataFrame) -> DataFrame:
     """``lat, lng``: the position text if there is one, else the two coordinates (both must be there); 0 if unknown."""
     c = F.col
-    df = G.with_lat_lng(df, "gps_position", "_plat", "_plng")
-    df = G.with_decimal(G.with_decimal(df, "gps_latitude", "_dlat"), "gps_longitude", "_dlng")
     text = F.coalesce(c("gps_position"), F.lit("")) != ""
-    both = (F.coalesce(c("gps_latitude"), F.lit("")) != "") & (F.coalesce(c("gps_longitude"), F.lit("")) != "")
+    both = ~text & (F.coalesce(c("gps_latitude"), F.lit("")) != "") & (F.coalesce(c("gps_longitude"), F.lit("")) != "")
+    # A text that does not count is NULL, and no pattern runs over a NULL.
+    rest = [x for x in df.columns if x not in ("gps_position", "gps_latitude", "gps_longitude")]
+    df = df.select(*rest, F.when(text, c("gps_position")).alias("_p"), F.when(both, c("gps_latitude")).alias("_a"),
+                   F.when(both, c("gps_longitude")).alias("_b"))
+    df = G.with_lat_lng(df, "_p", "_plat", "_plng")
+    df = G.with_decimal(G.with_decimal(df, "_a", "_dlat"), "_b", "_dlng")
 
     def pick(a, b):
-        return F.when(text, c(a)).when(both, c(b)).otherwise(F.lit(0.0).cast("float"))
-    return df.withColumns({"lat": pick("_plat", "_dlat"), "lng": pick("_plng", "_dlng")}).drop(
-        "_plat", "_plng", "_dlat", "_dlng")
+        return F.when(c("_p").isNotNull(), c(a)).when(c("_a").isNotNull(), c(b)).otherwise(F.lit(0.0).cast("float"))
+    return df.select(*rest, pick("_plat", "_dlat").alias("lat"), pick("_plng", "_dlng").alias("lng"))
 
 
 def normalize_tags(df: DataFrame, tags_col: str = "tags", regions: DataFrame | None = None,
                    offset_policy: str = "respect") -> DataFrame:
-    """``df`` (without the tag map) plus the normalised metadata of each row.
+    """``df`` (without its tags, a struct of :func:`parse_typed_tags` or a map) plus the normalised metadata of each row.
 
-    ``regions`` are the zone regions of :func:`zone_lookup`; without them a position gives no zone.  A NULL tag map gives
+    ``regions`` are the zone regions of :func:`zone_lookup`; without them a position gives no zone.  NULL tags give
     empty texts and NULL times.  Added columns: ``PLAIN`` plus ``title, subject, artist, description, keywords, codec,
     document_id, instance_id, lat, lng, altitude, width, height, orientation, flash, taken_utc, taken_local, time_zone,
     taken_ns, birth``.
@@ -52,18 +55,20 @@ def normalize_tags(df: DataFrame, tags_col: str = "tags", regions: DataFrame | N
     c = F.col
     keep = [x for x in df.columns if x != tags_col]
     # Every reader below finds its text under a staged column.
-    s = df.select(*[c(f"`{x}`").alias(f"_in_{i}") for i, x in enumerate(keep)], c(f"`{tags_col}`").alias("_tags"))
+    tags = c(f"`{tags_col}`")
+    s = df.select(*[c(f"`{x}`").alias(f"_in_{i}") for i, x in enumerate(keep)],
+                  (TG.typed_tags(tags) if TG.is_map(df, tags_col) else tags).alias("_tags"))
     s = TG.assign_fields(s, "_tags")
     s = TG.image_size_override(s, "_tags")
     # What the many steps of position and time do not read travels as one struct: rows stay narrow until the end.
     rest = [*[f"_in_{i}" for i in range(len(keep))], *PLAIN, "title", "subject", "artist", "description", "keywords", "codec",
             "document_id", "instance_id", "width", "height", "rotation", "flash", "taken_ns"]
-    tag = {t: F.try_element_at(c("_tags"), F.lit(t)) for t in ("GPSAltitude", "Orientation", "MIMEType")}
+    tag = {t: TG.tag_text(s, "_tags", t) for t in ("GPSAltitude", "Orientation", "MIMEType")}
     altitude = F.coalesce(c("altitude"), N.altitude_fallback(tag["GPSAltitude"]).cast("bigint"))
     s = s.select(F.struct(*rest, altitude.alias("altitude"), tag["Orientation"].alias("_orientation")).alias("_rest"),
                  "gps_position", "gps_latitude", "gps_longitude", c("taken_at").alias("taken"),
                  c("created_at").alias("created"), c("taken_gps").alias("gps"), tag["MIMEType"].alias("mime"))
-    s = with_position(s).drop("gps_position", "gps_latitude", "gps_longitude")
+    s = with_position(s)
     if regions is None:
         s = s.withColumn("zone", F.lit(None).cast("string"))
     else:

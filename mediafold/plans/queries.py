@@ -523,11 +523,11 @@ def q_tag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediafold.functions import text as X
     from mediafold.operators import tags as TG
     d = events_tag_documents(spark, sf_dir).select(
-        "event_id", TG.json_kind(F.col("doc")).alias("kind"), TG.parse_tag_document(F.col("doc")).alias("tags"))
+        "event_id", TG.json_kind(F.col("doc")).alias("kind"),
+        TG.parse_typed_tags(F.col("doc"), [*TG.tag_names(), "k"]).alias("tags"))
     a = TG.assign_fields(d, "tags")
     return a.select(
-        "event_id", "kind", F.col("tags").isNull().alias("error"),
-        F.try_element_at(F.col("tags"), F.lit("k")).alias("k"),
+        "event_id", "kind", F.col("tags").isNull().alias("error"), F.col("tags.k").alias("k"),
         "title", "camera_make", "camera_model", "artist", "iso", "focal_length", "width", "duration", "flash",
         "image_type", "altitude", "aperture", "rotation", X.keywords_string(F.col("keywords")).alias("keywords"),
         F.col("taken_at.utc").alias("taken_utc"), F.col("taken_at.offset").alias("taken_offset"),

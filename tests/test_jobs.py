@@ -89,6 +89,29 @@ def test_tag_document_parsing(spark):
     assert out[3].camera_make is None          # nested groups are not top-level tags
 
 
+def test_typed_parse_agrees_with_the_map(spark):
+    from mediafold.operators import tags
+    docs = ['[{"Make": "A", "ISO": 200, "X": {"y": [1, 2]}, "FNumber": 11.80}]', '{"Make": "B", "Keywords": ["a", "b"]}',
+            '[{"Make": "A", "Model": "m", "ISO": 1}, {"Make": "B", "ISO": null}]', "[]", "{}", "", None, "no json", "[1]", "[null]",
+            '{"Make": "A", "Make": "B"}', '{"Make": "a\\"b", "By-line": "  me\\u00a0"}', '  {"Model": null}', '{"ISO": 01}',
+            '{"SubSecTime": "25", "DateTimeOriginal": "2020:01:02 03:04:05+02:00", "Flash": true}', '"text"', "[[1]]"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    names = tags.tag_names()
+    both = df.select("i", tags.parse_tag_document(F.col("doc")).alias("m"), tags.parse_typed_tags(F.col("doc")).alias("t"))
+    for r in both.collect():
+        assert (r.m is None) == (r.t is None), docs[r.i]
+        if r.m is not None:
+            assert {k: v for k, v in r.t.asDict().items() if v is not None} == {
+                k: v for k, v in r.m.items() if k in names and v is not None}, docs[r.i]
+    fields = [c for c in tags.TAG_FIELDS if c != "keywords"]
+    a, b = (tags.assign_fields(both.select("i", F.col(c).alias("tags"))).select("i", "taken_ns", *fields) for c in ("m", "t"))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    empty = ["", "0", " 0 ", "-1", "NIL", "%nan*", "\u30000\u3000", "0000:00:00", " null", "**", "N/A", "0.0", "-1.0", "x0"]
+    df = spark.createDataFrame([(i, {"Make": v, "CameraMake": None}) for i, v in enumerate(empty)], "i int, tags map<string,string>")
+    got = {r.i: r.camera_make for r in tags.assign_fields(df).collect()}
+    assert [v for i, v in enumerate(empty) if got[i] is not None] == ["N/A", "0.0", "-1.0", "x0"]
+
+
 def test_exif_pick_thumbnail_rule(spark):
     from mediafold.operators import exif
     rows = [("p", "IFD1", "Model", "thumb1", 1), ("p", "IFD1", "Model", "thumb2", 2),
