@@ -1,10 +1,11 @@
 """Continuous index (I1) and duplicate content on arrival (I2) with Structured Streaming.
 
-I1: a file-listing stream (any streaming source with an explicit schema) is mapped to catalog rows and merged into the
-same catalog store that batch jobs use (:mod:`mediafold.sources.catalog`), one commit per micro-batch.  The newest row
-of a path wins wherever it arrives, so the result does not depend on how the input is cut into files or batches; a
-batch that is delivered again after a failure is recognised by its number.  Only hosts that a batch touches are
-rewritten.
+I1: a file-listing stream (any streaming source with an explicit schema) is mapped to catalog rows; a streaming aggregate
+keeps the newest row of each path in the state store (distributed, checkpointed, on disk with RocksDB).  Each micro-batch
+writes the paths that it touched, and nothing else, to a folder of its own number, so what a batch writes grows with
+the batch and not with the hosts or the catalog, and a batch that is delivered again replaces itself.  The newest row
+of a path wins wherever it arrives, so the final catalog does not depend on how the input is cut into files or batches.
+:func:`latest_catalog` is the last version of each path, :func:`change_history` the versions that replaced another.
 
 I2: ``dropDuplicates(['id'])`` keeps the ids seen in the state store (distributed, on disk with RocksDB), so an id is
 emitted once however the input is cut.  With ``delay`` the state is bounded by a watermark instead, and an id that
@@ -16,12 +17,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mediafold import schemas
 from mediafold.operators import catalog as C
 from mediafold.session import checkpoint_dir
-from mediafold.sources import catalog as store
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -37,31 +39,50 @@ def newest_rows(rows: DataFrame) -> DataFrame:
             .select(*C.KEY, "r.*").select(*C.CATALOG_COLUMNS))
 
 
-def upsert_batch(root: str, stream: str = "index") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: merge a micro-batch into the catalog at ``root``."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*C.CATALOG_COLUMNS).persist()  # used for the touched hosts and for the merge
-        try:
-            store.upsert_table(batch, root, merge=lambda old, new: newest_rows(old.unionByName(new)),
-                               stream=(stream, batch_id))
-        finally:
-            batch.unpersist()
-    return run
+def path_versions(rows: DataFrame) -> DataFrame:
+    """The newest row so far of every path that a micro-batch of catalog rows touches (output mode ``update``)."""
+    return newest_rows(rows.select(*C.CATALOG_COLUMNS))
 
 
-def latest_catalog(spark: SparkSession, root: str) -> DataFrame:
-    return store.read_table(spark, root).select(*C.CATALOG_COLUMNS)
+def write_versions(root: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: the versions of a micro-batch become the folder of its number."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return run
 
 
 def start_index_stream(stream: DataFrame, to_catalog_rows: Callable[[DataFrame], DataFrame], root: str,
                        checkpoint: str, available_now: bool = True):
-    """Start the continuous index; returns the StreamingQuery."""
-    rows = to_catalog_rows(stream)
-    w = rows.writeStream.foreachBatch(upsert_batch(root)).option("checkpointLocation", checkpoint)
+    """Start the continuous index; versions of paths go to ``root``.  Returns the StreamingQuery."""
+    w = (path_versions(to_catalog_rows(stream)).writeStream.outputMode("update").foreachBatch(write_versions(root))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """All versions so far: catalog columns and ``batch``; a path that a batch touched in vain comes again unchanged."""
+    schema = T.StructType([schemas.FILES[c] for c in C.CATALOG_COLUMNS]).add("batch", "long")
+    return spark.read.schema(schema).option("basePath", root).parquet(root)
+
+
+def latest_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog: the last version of each path."""
+    rest = [c for c in C.CATALOG_COLUMNS if c not in C.KEY]
+    last = versions(spark, root).groupBy(*C.KEY).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*C.KEY, "r.*").select(*C.CATALOG_COLUMNS)
+
+
+def change_history(spark: SparkSession, root: str) -> DataFrame:
+    """Previous and new values of every replaced row, and the ``batch`` that replaced it; once each."""
+    rest = F.struct(*[c for c in C.CATALOG_COLUMNS if c not in C.KEY])
+    before = F.lag(rest).over(Window.partitionBy(*C.KEY).orderBy("batch"))
+    pairs = versions(spark, root).select(*C.KEY, "batch", rest.alias("new"), before.alias("old"))
+    return pairs.where("old is not null and not old <=> new").select(
+        *C.KEY, *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ("id", "size", "timemodified")],
+        "batch")
+
+
 def start_dedupe_stream(stream: DataFrame, to_rows: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
                         event_time: str = "ts", delay: str | None = None, available_now: bool = True):
     """First arrival of each content id, appended to a parquet table."""

@@ -52,7 +52,7 @@ def test_json_sidecar_files(spark):
     from mediafold.sources import sidecars
     d = _tmp()
     docs = {
-        "photo.json": '{"title": "let_it_snow.jpg", "description": "OLYMPUS DIGITAL CAMERA", "imageViews": "12",'
+        "photo.json": '{"title": "winter_walk.jpg", "description": "OLYMPUS DIGITAL CAMERA", "imageViews": "12",'
                       ' "photoTakenTime": {"timestamp": "1546300800", "formatted": ""},'
                       ' "geoData": {"latitude": 48.5, "longitude": 11.25, "altitude": 520.9}}',
         "nogeo.json": '{"title": "", "imageViews": "0", "photoTakenTime": {"timestamp": "0"},'
@@ -70,7 +70,7 @@ def test_json_sidecar_files(spark):
     assert {k: v.kind for k, v in got.items()} == {"photo.json": "photo", "nogeo.json": "photo", "album.json": "album",
                                                    "tags.json": "exiftool", "other.json": "unknown"}
     p = got["photo.json"].p
-    assert (p.title, p.description, p.views, p.taken_utc, p.altitude) == ("Let It Snow", None, 12, 1546300800, 520)
+    assert (p.title, p.description, p.views, p.taken_utc, p.altitude) == ("Winter Walk", None, 12, 1546300800, 520)
     q = got["nogeo.json"].p
     assert (q.title, q.views, q.taken_utc, q.lat, q.altitude) == (None, None, None, None, None)
     assert got["album.json"].album == "Holidays"
@@ -162,6 +162,34 @@ def test_streams_do_not_depend_on_the_file_layout(spark):
     assert results[0] == results[1] and len(set(results[0][1])) == len(results[0][1])
 
 
+def test_changes_of_a_stream_leave_once_and_survive_a_restart(spark):
+    from mediafold.streaming import stream_index as S
+    root = S.scratch_root(spark, "restart")
+    rows = [("/a", 1, 10, 100), ("/b", 2, 20, 100), ("/a", 3, 30, 200), ("/a", 9, 90, 50), ("/b", 2, 20, 100), ("/c", 4, 40, 300)]
+    columns = "name string, hostname string, id long, size long, timemodified long, timeborn long, timebornsrc string, " \
+              "mimetype string, mimesubtype string"
+
+    def arrive(*picked):
+        df = spark.createDataFrame([(n, "h", i, z, t, t, "stat", "image", "jpeg") for n, i, z, t in picked], columns)
+        df.coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def run():
+        stream = spark.readStream.schema(columns).parquet(f"{root}/in")
+        S.start_index_stream(stream, lambda s: s, f"{root}/out", f"{root}/ck").awaitTermination()
+        return sorted((r.name, r.old_id, r.new_id) for r in S.change_history(spark, f"{root}/out").collect())
+    arrive(*rows[:2])
+    assert run() == []
+    arrive(*rows[2:4])                                  # a newer and an older sighting of /a
+    assert run() == [("/a", 1, 3)]                      # a new query from the checkpoint knows the state
+    arrive(*rows[4:])                                   # /b again, unchanged
+    assert run() == [("/a", 1, 3)] and run() == [("/a", 1, 3)]
+    got = {r.name: r.id for r in S.latest_catalog(spark, f"{root}/out").collect()}
+    assert got == {"/a": 3, "/b": 2, "/c": 4}
+    batch = S.versions(spark, f"{root}/out").where("batch = 1").drop("batch")
+    S.write_versions(f"{root}/out")(spark.createDataFrame(batch.collect(), batch.schema), 1)
+    assert S.latest_catalog(spark, f"{root}/out").count() == 3   # a batch that is delivered again replaces itself
+
+
 def test_json_lists_of_any_length(spark):
     from conftest import one
     from mediafold.functions import text as X
