@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import map_arrow, sorted_groups, stored
+from mediafold.llm.common import map_arrow, stored
 
 BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
 DELETE, INSERT, REROLE, CUT_OFF = 2, 5, 1, 5
@@ -165,24 +165,40 @@ def _key(conversations: DataFrame) -> list[Column]:
             text.alias("text")]
 
 
+_FACTS = ("conv_id", "turn", "role", "digest", "present", "blank", "cut")
+PLAN_ROWS = 20_000
+
+
+def _conversations(batches) -> Iterator[tuple[int | None, list[tuple]]]:
+    """(conv_id, its rows as tuples of ``_FACTS``) from narrow rows that are sorted by conversation."""
+    held, conv = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _FACTS), strict=True):
+            if held and row[0] != conv:
+                yield conv, held
+                held = []
+            conv = row[0]
+            held.append(row)
+    if held:
+        yield conv, held
+
+
 def _plans(batches):
     """Summary and edits of every conversation from its narrow rows, sorted."""
-    blank_row = dict.fromkeys(f.split()[0] for f in PLAN_SCHEMA.split(", "))
-    for group in sorted_groups(batches, ["conv_id"]):
-        conv = group.column("conv_id")[0].as_py()
-        there = group.filter(group.column("present"))
-        turns, roles, digests, blank, cut = (there.column(c).to_pylist() for c in ("turn", "role", "digest", "blank", "cut"))
+    none, out = (None,) * len(SUMMARY), []
+    for conv, group in _conversations(batches):
+        group = [r for r in group if r[4]]
+        _, turns, roles, digests, _, blank, cut = zip(*group, strict=True) if group else ((),) * len(_FACTS)
         said = diagnose(turns, roles, digests, blank, cut)
-        out = [{**blank_row, "conv_id": conv, "part": 0, "kind": 0, "seq": 0, **said}]
+        out.append((conv, 0, None, None, None, 0, 0, None, None, *(said[c] for c in SUMMARY)))
         for seq, (letter, i, role) in enumerate(new_roles([r[:1] for r in roles], said["audit"])):
-            at = min(i, len(turns) - 1)
-            out.append({**blank_row, "conv_id": conv, "part": 1, "turn": turns[at], "role": roles[at], "digest": digests[at],
-                        "kind": 1, "seq": seq, "edit": letter, "new_role": role})
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_pylist(out, schema=_PLAN)
+            i = min(i, len(turns) - 1)
+            out.append((conv, 1, turns[i], roles[i], digests[i], 1, seq, letter, role, *none))
+            if len(out) >= PLAN_ROWS:
+                yield _batch(out, _PLAN)
                 out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_PLAN)
+    if out:
+        yield _batch(out, _PLAN)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -192,6 +208,11 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), schema, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in columns], schema=schema)
+
+
 _PLAN, _ROWS, _DIGEST = _arrow(PLAN_SCHEMA), _arrow(ROWS_SCHEMA), _arrow(DIGEST_SCHEMA)
 
 
@@ -219,55 +240,63 @@ def _merged(conversations: DataFrame, plans: DataFrame) -> DataFrame:
     return both.repartition("conv_id").sortWithinPartitions(*ORDER)
 
 
+_MERGED = ("part", "kind", "edit", "new_role", "role", "text")
+
+
 def _repaired(batches) -> Iterator[tuple]:
-    """("summary", row) for each conversation, then ("row", role, text) for each row of its repaired form."""
+    """((conv_id, *SUMMARY), None, None) for each conversation, then (None, role, text) for each row of its repaired form."""
     text = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] == 0:
-                yield "summary", row, None
-            elif row["kind"] == 0:
-                text = row["text"]
-            elif row["edit"] != "D":
-                yield "row", row["new_role"] or row["role"], "" if row["edit"] == "I" else text
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _MERGED]
+        summaries = None
+        for i, (part, kind, edit, new_role, role, own) in enumerate(zip(*columns, strict=True)):
+            if part == 0:
+                if summaries is None:
+                    summaries = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", *SUMMARY)]
+                yield tuple(c[i] for c in summaries), None, None
+            elif kind == 0:
+                text = own
+            elif edit != "D":
+                yield None, new_role or role, "" if edit == "I" else text
 
 
 def repaired_rows(conversations: DataFrame, plans: DataFrame) -> DataFrame:
     """The repaired conversations: ``conv_id, position, role, text``; an empty one has no row."""
     def run(batches):
         out, size, conv, position = [], 0, None, 0
-        for what, a, b in _repaired(batches):
-            if what == "summary":
-                conv, position = a["conv_id"], 0
+        for found, role, text in _repaired(batches):
+            if found is not None:
+                conv, position = found[0], 0
                 continue
-            out.append({"conv_id": conv, "position": position, "role": a, "text": b})
-            position, size = position + 1, size + len(b) + 64
+            out.append((conv, position, role, text))
+            position, size = position + 1, size + len(text) + 64
             if size > OUT_BYTES:
-                yield pa.RecordBatch.from_pylist(out, schema=_ROWS)
+                yield _batch(out, _ROWS)
                 out, size = [], 0
-        yield pa.RecordBatch.from_pylist(out, schema=_ROWS)
+        if out:
+            yield _batch(out, _ROWS)
     return map_arrow(_merged(conversations, plans), run, ROWS_SCHEMA)
 
 
 def repair_digests(conversations: DataFrame, plans: DataFrame) -> DataFrame:
     """Faults, cost and audit of each conversation, and SHA-256 of its repaired ``role:text`` lines."""
     def run(batches):
-        out, sha, lines = [], None, 0
-        for what, a, b in _repaired(batches):
-            if what == "summary":
-                if sha is not None:
-                    out[-1]["repaired_sha256"] = sha.hexdigest()
-                if len(out) >= 5_000:
-                    yield pa.RecordBatch.from_pylist(out, schema=_DIGEST)
+        out, summary, sha, lines = [], None, None, 0
+        for found, role, text in _repaired(batches):
+            if found is not None:
+                if summary is not None:
+                    out.append((*summary, sha.hexdigest()))
+                if len(out) >= PLAN_ROWS:
+                    yield _batch(out, _DIGEST)
                     out = []
-                out.append({"conv_id": a["conv_id"], **{c: a[c] for c in SUMMARY}})
-                sha, lines = hashlib.sha256(), 0
+                summary, sha, lines = found, hashlib.sha256(), 0
                 continue
-            sha.update(f"{chr(10) if lines else ''}{a}:{b}".encode())
+            sha.update(f"{chr(10) if lines else ''}{role}:{text}".encode())
             lines += 1
-        if sha is not None:
-            out[-1]["repaired_sha256"] = sha.hexdigest()
-        yield pa.RecordBatch.from_pylist(out, schema=_DIGEST)
+        if summary is not None:
+            out.append((*summary, sha.hexdigest()))
+        if out:
+            yield _batch(out, _DIGEST)
     return map_arrow(_merged(conversations, plans), run, DIGEST_SCHEMA)
 
 
