@@ -1,17 +1,15 @@
-"""GPS text and spatial keys."""
+"""GPS text (H9, H10, C8)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mediafold.functions.numbers import FLOAT_PATTERN
 
 # Coordinate number and hemisphere patterns.
 COORD_NUMBER_PATTERN = r"[0-9\.]+"
 REF_PATTERN = r"[NSEW]+"
-CELL_LEVEL = 21  # fixed value: level of the place key
 
 
 def _float0(s: Column) -> Column:
@@ -70,82 +68,6 @@ def has_time_and_place(taken: Column, lat: Column, lng: Column) -> Column:
     return taken.isNotNull() & has_position(lat, lng)
 
 
-# Fixed values of the S2 cell construction: Hilbert-curve position of each
-# (i, j) quadrant per orientation, and the orientation change per position.
-_IJ_TO_POS = [[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]]
-_POS_TO_ORIENTATION = [1, 0, 0, 3]
-_MAX_LEVEL = 30
-
-
-def s2_cell_ids(lat_deg, lng_deg, level: int = CELL_LEVEL):
-    """S2 cell ids (uint64) of points at ``level``, vectorised with numpy.
-
-    Cube face of the largest coordinate, face (u, v), quadratic (s, t)
-    transform, 30-bit (i, j), Hilbert-curve order, then the parent at
-    ``level``.
-    """
-    import numpy as np
-
-    la, lo = np.radians(lat_deg), np.radians(lng_deg)
-    x, y, z = np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)
-    ax, ay, az = np.abs(x), np.abs(y), np.abs(z)
-    axis = np.where((ax >= ay) & (ax >= az), 0, np.where(ay >= az, 1, 2))
-    comp = np.choose(axis, [x, y, z])
-    face = np.where(comp < 0, axis + 3, axis)
-    # face (u, v)
-    u = np.choose(face, [y / x, -x / y, -x / z, z / x, z / y, -y / z])
-    v = np.choose(face, [z / x, z / y, -y / z, y / x, -x / y, -x / z])
-
-    def st(w):
-        return np.where(w >= 0, 0.5 * np.sqrt(1 + 3 * w), 1 - 0.5 * np.sqrt(1 - 3 * w))
-
-    n = 1 << _MAX_LEVEL
-    i = np.clip(np.floor(st(u) * n), 0, n - 1).astype(np.int64)
-    j = np.clip(np.floor(st(v) * n), 0, n - 1).astype(np.int64)
-    ij_to_pos = np.array(_IJ_TO_POS, dtype=np.int64)
-    pos_to_or = np.array(_POS_TO_ORIENTATION, dtype=np.int64)
-    orient = face.astype(np.int64) & 1
-    pos_bits = np.zeros(len(i), dtype=np.uint64)
-    for b in range(_MAX_LEVEL - 1, -1, -1):
-        quad = (((i >> b) & 1) << 1) | ((j >> b) & 1)
-        pos = ij_to_pos[orient, quad]
-        pos_bits = (pos_bits << np.uint64(2)) | pos.astype(np.uint64)
-        orient = orient ^ pos_to_or[pos]
-    leaf = (face.astype(np.uint64) << np.uint64(61)) | (pos_bits << np.uint64(1)) | np.uint64(1)
-    lsb = np.uint64(1) << np.uint64(2 * (_MAX_LEVEL - level))
-    return (leaf & ~(lsb - np.uint64(1)) & ~lsb) | lsb
-
-
-def s2_token(cell_id: int) -> str:
-    return format(int(cell_id), "016x").rstrip("0") or "X"
-
-
-def _cell_batch(lat, lng):
-    """Arrow batch -> ``s2:`` tokens (NULL without a position)."""
-    import numpy as np
-    import pandas as pd
-
-    la = lat.to_numpy(dtype="float64")
-    lo = lng.to_numpy(dtype="float64")
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ids = s2_cell_ids(la, lo)
-    known = (la != 0) & (lo != 0) & ~np.isnan(la) & ~np.isnan(lo)
-    # Hex of the 64-bit ids without trailing zeros, for the whole batch at once.
-    digits = ids.astype(">u8").view(np.uint8).reshape(-1, 8)
-    nibbles = np.stack([digits >> 4, digits & 15], axis=2).reshape(-1, 16)
-    text = np.frombuffer(b"0123456789abcdef", np.uint8)[nibbles]
-    tokens = np.char.rstrip(np.ascontiguousarray(text).view("S16").ravel(), b"0").astype("U16")
-    return pd.Series(np.char.add("s2:", tokens), dtype=object).where(pd.Series(known), None)
-
-
-_cell_udf = F.pandas_udf(_cell_batch, T.StringType())
-
-
-def cell_token(lat: Column, lng: Column) -> Column:
-    """Prefixed spatial cell token (level 21), NULL without a position."""
-    return _cell_udf(lat.cast("double"), lng.cast("double"))
-
-
 def _lat_lng_from_arrays(a: Column) -> Column:
     fl, co, re_, t = a["fl"], a["co"], a["re"], a["t"]
     f1 = F.try_element_at(fl, F.lit(1)).try_cast("double")

@@ -1587,3 +1587,46 @@ FROM a
 
 
 ORACLE["image_sizes"] = _image_sizes_sql()
+
+
+# -- place cells ----------------------------------------------------------------------------
+
+def _cell_sql() -> str:
+    """The curve walked bit by bit: four positions an orientation, so unlike the table of the library."""
+    from mediafold.functions import cells
+    order = "[" + ", ".join(str(x) for row in cells.IJ_TO_POS for x in row) + "]"
+    turn = "[" + ", ".join(str(x) for x in cells.POS_TO_ORIENTATION) + "]"
+    n = 1 << cells.MAX_LEVEL
+
+    def number(w: str) -> str:
+        s = f"CASE WHEN {w} >= 0 THEN 0.5 * sqrt(1 + 3 * abs({w})) ELSE 1 - 0.5 * sqrt(1 + 3 * abs({w})) END"
+        return f"CAST(least(greatest(floor(({s}) * {n}), 0), {n - 1}) AS BIGINT)"
+    steps = []
+    for level in range(1, cells.CELL_LEVEL + 1):
+        bit = cells.MAX_LEVEL - level
+        at = f"{order}[o * 4 + ((i >> {bit}) & 1) * 2 + ((j >> {bit}) & 1) + 1]"
+        steps.append(f"w{level} AS (SELECT event_id, face, i, j, pos * 4 + q AS pos, xor(o, {turn}[q + 1]) AS o "
+                     f"FROM (SELECT *, {at} AS q FROM w{level - 1}))")
+    token = "'s2:' || rtrim(lpad(lower(printf('%x', {})), {}, '0'), '0')"
+    cell = token.format("face * 35184372088832 + pos * 8 + 4", 12)  # 3 + 42 + 1 bits and two zeros
+    area = token.format("face * 131072 + (pos >> 26) * 2 + 1", 5)  # 3 + 16 + 1 bits
+    return f"""
+WITH p AS (SELECT event_id, radians(CAST(lat AS DOUBLE)) AS a, radians(CAST(lng AS DOUBLE)) AS b FROM ({EVENT_POINTS})
+           WHERE lat <> 0 AND lng <> 0),
+xyz AS (SELECT event_id, cos(a) * cos(b) AS x, cos(a) * sin(b) AS y, sin(a) AS z FROM p),
+f AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END
+                     WHEN abs(y) >= abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END
+                     ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END AS face FROM xyz),
+uv AS (SELECT event_id, face,
+         CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
+         CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v
+       FROM f),
+w0 AS (SELECT event_id, face, {number('u')} AS i, {number('v')} AS j, CAST(0 AS BIGINT) AS pos, face % 2 AS o FROM uv),
+{", ".join(steps)},
+c AS (SELECT {cell} AS cell, {area} AS area, count(*) AS n_points, min(event_id) AS first_event
+      FROM w{cells.CELL_LEVEL} GROUP BY ALL)
+SELECT cell, n_points, first_event, area, CAST(sum(n_points) OVER (PARTITION BY area) AS BIGINT) AS n_area FROM c
+"""
+
+
+ORACLE["cell_rollup"] = _cell_sql()

@@ -1093,13 +1093,18 @@ QUERIES["taken_dates"] = q_taken_dates
 # -- place cells and streams ----------------------------------------------------------------
 
 def q_cell_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per level-21 place cell (Arrow pandas UDF for the cell id)."""
+    """Events per place cell, and how many of them lie in the wider cell around it (level 8)."""
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from mediafold.functions.geo import cell_token
-    p = event_points(spark, sf_dir).withColumn("cell", cell_token(F.col("lat"), F.col("lng")))
-    return p.where(F.col("cell").isNotNull()).groupBy("cell").agg(
+    from mediafold.functions import cells
+    p = cells.with_cell_ids(event_points(spark, sf_dir), "lat", "lng", "id")
+    per_cell = p.where(F.col("id").isNotNull()).groupBy("id").agg(
         F.count(F.lit(1)).alias("n_points"), F.min("event_id").alias("first_event"))
+    wide = cells.parent(F.col("id"), 8)
+    return per_cell.select(
+        cells.cell_token(F.col("id")).alias("cell"), "n_points", "first_event", cells.cell_token(wide).alias("area"),
+        F.sum("n_points").over(Window.partitionBy(wide)).alias("n_area"))
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:

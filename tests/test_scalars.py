@@ -1,6 +1,7 @@
 """Golden values of the reference's unit tests, re-derived on Spark expressions."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import one
 
@@ -101,14 +102,6 @@ def test_orientation(spark):
     assert [r[0] for r in df.select(orientation(F.col("t"), F.col("r"))).collect()] == [6, 6, 3, 8, 0]
 
 
-def test_cell_token():
-    import numpy as np
-
-    from mediafold.functions.geo import s2_cell_ids, s2_token
-    ids = s2_cell_ids(np.array([np.float32(1.334)], dtype="float64"), np.array([np.float32(4.567)], dtype="float64"))
-    assert "s2:" + s2_token(ids[0]) == "s2:100c9acde614"
-
-
 def test_uuid_checks(spark):
     from mediafold.functions.ids import is_uuid
     assert one(spark, is_uuid, "fe2c6d4f-5b4a-4c4c-9a3e-2a1b3c4d5e6f", "not-a-uuid", "") == [True, False, False]
@@ -240,13 +233,48 @@ def test_tag_datetimes_of_every_shape(spark):
     assert got == [t, t, t, t - 3600, t + 5400, None, None, None, None, None]
 
 
-def test_cell_tokens_of_a_batch():
-    import numpy as np
-    import pandas as pd
-
-    from mediafold.functions import geo
-    rng = np.random.default_rng(6)
-    lat, lng = rng.uniform(-90, 90, 500), rng.uniform(-180, 180, 500)
-    got = geo._cell_batch(pd.Series([*lat, 0.0, np.nan, 5.0]), pd.Series([*lng, 5.0, 1.0, 0.0])).tolist()
-    assert got[:500] == ["s2:" + geo.s2_token(c) for c in geo.s2_cell_ids(lat, lng)]
-    assert got[500:] == [None, None, None]
+def bitwise_cell(lat, lng, level):
+    """The curve walked one bit at a time in Python integers."""
+    import math
+
+    from mediafold.functions import cells
+    a, o = math.radians(lat), math.radians(lng)
+    x, y, z = math.cos(a) * math.cos(o), math.cos(a) * math.sin(o), math.sin(a)
+    axis = max(range(3), key=lambda k: (abs((x, y, z)[k]), -k))
+    face = axis + 3 * ((x, y, z)[axis] < 0)
+    u, v = [(y / x, z / x) if axis == 0 and face == 0 else None, (-x / y, z / y) if face == 1 else None,
+            (-x / z, -y / z) if face == 2 else None, (z / x, y / x) if face == 3 else None,
+            (z / y, -x / y) if face == 4 else None, (-y / z, -x / z) if face == 5 else None][face]
+
+    def number(w):
+        s = 0.5 * math.sqrt(1 + 3 * w) if w >= 0 else 1 - 0.5 * math.sqrt(1 - 3 * w)
+        return min(max(math.floor(s * 2**30), 0), 2**30 - 1)
+    i, j, o, pos = number(u), number(v), face & 1, 0
+    for bit in range(29, 29 - level, -1):
+        q = cells.IJ_TO_POS[o][(i >> bit & 1) * 2 + (j >> bit & 1)]
+        pos, o = pos * 4 + q, o ^ cells.POS_TO_ORIENTATION[q]
+    return (((face << 2 * level | pos) << 1 | 1) << 2 * (30 - level))
+
+
+def test_cells_match_a_walk_bit_by_bit(spark):
+    import random
+
+    from mediafold.functions import cells
+    rng = random.Random(6)
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(400)]
+    points += [(45.0, 45.0), (-90.0, 1.0), (90.0, 1.0), (1e-9, 180.0), (5.0, -180.0), (35.264389682754654, 45.0)]
+    none = [(0.0, 5.0), (5.0, 0.0), (None, 1.0), (float("nan"), 1.0), (1.0, float("inf"))]
+    df = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(points + none)], "n int, lat double, lng double")
+    levels = (0, 8, 21, 22)
+    rows = cells.with_cell_ids(df, "lat", "lng", "id", levels).orderBy("n").collect()
+    for level in levels:
+        got = [r[f"id_{level}"] for r in rows]
+        assert [g % 2**64 for g in got[:len(points)]] == [bitwise_cell(a, b, level) for a, b in points]
+        assert got[len(points):] == [None] * len(none)
+    up = cells.with_cell_ids(df, "lat", "lng", "id", (8, 21)).where(cells.parent(F.col("id_21"), 8) != F.col("id_8"))
+    assert up.count() == 0
+    one = spark.createDataFrame([(1.334, 4.567)], "lat float, lng float")
+    token = cells.with_cell_ids(one, "lat", "lng", "id").select(cells.cell_token(F.col("id"))).first()[0]
+    assert token == "s2:100c9acde614"
+    plan = cells.with_cell_ids(df, "lat", "lng", "id")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
