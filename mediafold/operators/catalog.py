@@ -64,12 +64,14 @@ def upsert(catalog: DataFrame, new_rows: DataFrame, scope: str = "host") -> Data
     """Replace catalog rows by the new rows of the same path.
 
     ``scope='host'`` (default) replaces ``(name, hostname)``; ``scope='name'``
-    reproduces the reference, whose delete matched ``name`` on every host.
+    reproduces the reference, whose delete matched ``name`` on every host.  A NULL host is a host like any other.
     """
     key = KEY if scope == "host" else ["name"]
     if scope not in ("host", "name"):
         raise ValueError("scope must be 'host' or 'name'")
-    kept = catalog.select(*CATALOG_COLUMNS).join(new_rows.select(*key).distinct(), key, "left_anti")
+    old, new = catalog.select(*CATALOG_COLUMNS).alias("o"), new_rows.select(*key).distinct().alias("n")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
+    kept = old.join(new, same, "left_anti")
     return kept.unionByName(new_rows.select(*CATALOG_COLUMNS))
 
 

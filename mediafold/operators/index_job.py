@@ -8,6 +8,7 @@ extracted once; the caller supplies the extractor for the rest.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ Extractor = Callable[[DataFrame], DataFrame]  # (name) rows -> (name, json) rows
 class IndexResult:
     rows: DataFrame          # catalog rows written
     unreadable: DataFrame    # name, error
-    version: str | None      # catalog version, None if nothing changed
+    run: str | None          # id of the run, None if nothing changed
 
 
 def documents_by_id(contents: DataFrame, cache: DataFrame, extracted: DataFrame | None) -> DataFrame:
@@ -63,17 +64,22 @@ def indexed_rows(work: DataFrame, contents: DataFrame, docs: DataFrame, regions:
     return rows.select(*C.CATALOG_COLUMNS), meta
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    fs, p = store._fs(spark, path)
-    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
+def _created(spark: SparkSession, path: str, schema) -> DataFrame:
+    """An append-only table, made on first use: one folder a run."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def index_job(spark: SparkSession, root: str, hostname: str, store_root: str, extract: Extractor | None = None,
               regions: DataFrame | None = None, ignore: DataFrame | None = None, now_year: int | None = None,
-              changed_at: int = 0) -> IndexResult:
-    """Index the files below ``root`` into the catalog at ``store_root`` (tables ``files``, ``history``, ``cache``)."""
-    table = f"{store_root}/files"
-    store.create_catalog(spark, store_root)
+              changed_at: int = 0, run_id: str | None = None) -> IndexResult:
+    """Index the files below ``root`` into the catalog at ``store_root`` (tables ``files``, ``history``, ``cache``).
+
+    History and cache rows of a run lie in a folder of its ``run_id``, written before the catalog: a run that failed and is
+    started again under the same id replaces what it had written.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    table = store.create_catalog(spark, store_root)
     listing = filters.size_filter(L.list_files(spark, root, hostname))
     if ignore is not None:
         listing = filters.ignored_paths(listing, ignore, key="name", path_col="name").where("not ignored").drop("ignored")
@@ -81,7 +87,8 @@ def index_job(spark: SparkSession, root: str, hostname: str, store_root: str, ex
     work = C.work_list(listing, catalog, hostname)
     hashed = L.hash_files(work)
     contents = L.readable(hashed)
-    cache = _read_or_empty(spark, f"{store_root}/cache", schemas.META_CACHE)
+    cache = _created(spark, f"{store_root}/cache", schemas.META_CACHE)
+    _created(spark, f"{store_root}/history", schemas.FILES_HISTORY)
     extracted = None
     if extract is not None:
         todo = contents.join(metacache.to_extract(contents, cache), "id", "left_semi")
@@ -94,6 +101,7 @@ def index_job(spark: SparkSession, root: str, hostname: str, store_root: str, ex
     if rows.isEmpty():
         return IndexResult(rows, L.unreadable(hashed), None)
     new_cache = metacache.cache_writes(meta.where("not cached"))
-    new_cache.write.mode("append").parquet(f"{store_root}/cache")
-    C.change_log(catalog, rows, changed_at).write.mode("append").parquet(f"{store_root}/history")
-    return IndexResult(rows, L.unreadable(hashed), store.upsert_table(rows, table))
+    new_cache.write.mode("overwrite").parquet(f"{store_root}/cache/run={run_id}")
+    C.change_log(catalog, rows, changed_at).write.mode("overwrite").parquet(f"{store_root}/history/run={run_id}")
+    store.upsert_table(rows, table)
+    return IndexResult(rows, L.unreadable(hashed), run_id)

@@ -1,148 +1,58 @@
-"""Catalog storage shared by batch and streaming jobs (A3, B1, and the write side of B2/B4).
+"""The catalog table (A3, B1, and the write side of B2): plain Parquet, partitioned by host.
 
-A table is a folder with data and a log.  Data lies in ``data/hostname=<host>/v=<version>``; a log entry (one small
-JSON file per version) says which version of each host is current.  An upsert rewrites the hosts that it touches and
-leaves the others where they are; readers follow the newest log entry, so they never see a half-written version, and a
-host scan is partition-pruned.  A log entry is written under a temporary name and renamed to the next number: if that
-number exists by then, someone else committed first and the write fails as a conflict.  Entries carry the last batch
-of each stream, so a micro-batch that is delivered again is recognised.
+An upsert rewrites the hosts that it touches by dynamic partition overwrite and leaves the others where they are; a host
+scan is partition-pruned.  Spark stages the new files and puts them in place at the job's commit, so a job that dies
+before leaves the table as it was; a job that dies within the commit can leave some hosts renewed and others not, and
+running it again ends the same (the diff compares paths, not runs).  There is one writer at a time.
+
+Edge cases: rows of a NULL host are a partition of their own; an empty host name is read back as NULL, as Spark's
+partition folders do; an upsert without rows writes nothing.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediafold import schemas
 
 
-class CatalogConflict(RuntimeError):
-    """Another writer committed the version that this write was based on."""
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        io = spark.sparkContext._jvm.java.io
-        return io.BufferedReader(io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-
-
-def _entries(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, f"{root}/log")
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-
-def _entry(spark: SparkSession, root: str) -> dict | None:
-    """The newest log entry: ``version``, ``hosts`` (data folder of each host), ``streams`` (last batch of each)."""
-    found = _entries(spark, root)
-    return json.loads(_read_text(spark, f"{root}/log/{found[-1]:020d}.json")) if found else None
-
-
-def _commit(spark: SparkSession, root: str, entry: dict) -> str:
-    fs, temporary = _fs(spark, f"{root}/log/.{uuid.uuid4().hex}.tmp")
-    _, final = _fs(spark, f"{root}/log/{entry['version']:020d}.json")
-    out = fs.create(temporary, False)
-    try:
-        out.write(bytearray(json.dumps(entry).encode()))
-    finally:
-        out.close()
-    if fs.exists(final) or not fs.rename(temporary, final):
-        fs.delete(temporary, False)
-        raise CatalogConflict(f"version {entry['version']} of {root} exists already")
-    return f"v{entry['version']}"
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    found = _entries(spark, root)
-    return f"v{found[-1]}" if found else None
-
-
-def last_batch(spark: SparkSession, root: str, stream: str) -> int:
-    """Last micro-batch of ``stream`` in the table (-1: none)."""
-    entry = _entry(spark, root)
-    return -1 if entry is None else entry["streams"].get(stream, -1)
-
-
 def create_catalog(spark: SparkSession, root: str, table: str = "files") -> str:
-    """B1: an empty table, if none exists yet."""
-    path = f"{root}/{table}"
-    return current_version(spark, path) or _commit(spark, path, {"version": 0, "hosts": {}, "streams": {}})
-
-
-def _read_folders(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], schemas.FILES)
-    data = spark.read.schema(schemas.FILES).option("basePath", f"{root}/data").parquet(
-        *[f"{root}/data/{f}" for f in folders])
-    return data.select(*[f.name for f in schemas.FILES.fields])
-
-
-def read_table(spark: SparkSession, root: str, hosts: list[str | None] | None = None) -> DataFrame:
-    """The current version (of some hosts)."""
-    entry = _entry(spark, root)
-    if entry is None:
-        raise FileNotFoundError(f"no catalog version under {root}")
-    folders = [f for h, f in entry["hosts"].items() if hosts is None or json.loads(h) in hosts]
-    return _read_folders(spark, root, folders)
-
-
-def _write(df: DataFrame, root: str, keep: dict[str, str], base: int, streams: dict[str, int]) -> str:
-    """Write ``df`` as new host folders, next to the host folders to ``keep``, and commit."""
-    spark = df.sparkSession
-    columns = [f.name for f in schemas.FILES.fields]
-    for c in columns:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast(schemas.FILES[c].dataType))
-    token = f"{base + 1}-{uuid.uuid4().hex[:12]}"  # leftovers of a failed write are never read
+    """B1: an empty table, if none exists yet; returns its folder."""
+    path = f"{root.rstrip('/')}/{table}"
+    spark.createDataFrame([], schemas.FILES).write.mode("append").partitionBy("hostname").parquet(path)
+    return path
+
+
+def read_table(spark: SparkSession, path: str, hosts: list[str | None] | None = None) -> DataFrame:
+    """The table (of some hosts)."""
+    rows = spark.read.schema(schemas.FILES).parquet(path).select(*[f.name for f in schemas.FILES.fields])
+    if hosts is None:
+        return rows
+    named = [h for h in hosts if h is not None]
+    wanted = F.col("hostname").isin(*named) if named else F.lit(False)
+    return rows.where(wanted | F.col("hostname").isNull() if len(named) < len(hosts) else wanted)
+
+
+def write_hosts(df: DataFrame, path: str) -> None:
+    """Replace the hosts that ``df`` holds by its rows."""
+    for f in schemas.FILES.fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
     # Rows of a host meet before writing, in as many tasks as its size asks for (AQE splits large partitions).
-    df = df.select(*columns).withColumn("v", F.lit(token)).hint("rebalance", "hostname")
-    df.write.mode("append").partitionBy("hostname", "v").parquet(f"{root}/data")
-    fs, pattern = _fs(spark, f"{root}/data/hostname=*/v={token}")
-    hosts = dict(keep)
-    for s in fs.globStatus(pattern) or []:
-        folder = f"{s.getPath().getParent().getName()}/v={token}"
-        # The host as the reader will see it.
-        host = _read_folders(spark, root, [folder]).select("hostname").first()
-        hosts[json.dumps(host[0] if host else None)] = folder
-    return _commit(spark, root, {"version": base + 1, "hosts": hosts, "streams": streams})
-
-
-def write_version(df: DataFrame, root: str) -> str:
-    """Replace the whole table by ``df``."""
-    entry = _entry(df.sparkSession, root) or {"version": -1, "streams": {}}
-    return _write(df, root, {}, entry["version"], entry["streams"])
+    (df.select(*[f.name for f in schemas.FILES.fields]).hint("rebalance", "hostname").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("hostname").parquet(path))
 
 
-def upsert_table(new_rows: DataFrame, root: str, merge=None, stream: tuple[str, int] | None = None) -> str | None:
+def upsert_table(new_rows: DataFrame, path: str, merge=None) -> None:
     """B2 on storage: merge ``new_rows`` into the hosts they touch; other hosts are not read or written.
 
-    ``merge(old, new)`` defaults to replacing rows of the same path.  With ``stream`` (name, batch number) a batch that is
-    already in the table is skipped.
+    ``merge(old, new)`` defaults to replacing rows of the same path.
     """
     from mediafold.operators import catalog as C
-    spark = new_rows.sparkSession
-    entry = _entry(spark, root) or {"version": -1, "hosts": {}, "streams": {}}
-    streams = dict(entry["streams"])
-    if stream is not None:
-        if streams.get(stream[0], -1) >= stream[1]:
-            return None
-        streams[stream[0]] = stream[1]
-    touched = {json.dumps(r[0]) for r in new_rows.select("hostname").distinct().collect()}
-    old = _read_folders(spark, root, [f for h, f in entry["hosts"].items() if h in touched])
-    merged = (merge or C.upsert)(old.select(*C.CATALOG_COLUMNS), new_rows.select(*C.CATALOG_COLUMNS))
-    keep = {h: f for h, f in entry["hosts"].items() if h not in touched}
-    return _write(merged, root, keep, entry["version"], streams)
+    new_rows = new_rows.select(*C.CATALOG_COLUMNS)
+    touched = new_rows.select("hostname").distinct()
+    old = read_table(new_rows.sparkSession, path).alias("o")
+    same = F.col("o.hostname").eqNullSafe(F.col("t.hostname"))
+    old = old.join(touched.alias("t"), same, "left_semi").select(*C.CATALOG_COLUMNS)  # pruned to these at run time
+    write_hosts((merge or C.upsert)(old, new_rows), path)

@@ -193,12 +193,12 @@ def test_index_job_end_to_end(spark):
     odd = rows["odd.bin"]
     assert (odd.mimetype, odd.mimesubtype, odd.timebornsrc, odd.timeborn) == ("video", "mp4", "meta", 1425445567)
     assert [len(a) for a in asked] == [2]                       # one file per content id
-    assert spark.read.parquet(f"{root}/cache").count() == 1     # only documents with a taken time are cached
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{root}/cache").count() == 1     # only documents with a taken time are cached
     again = index_job(spark, src, "h1", root, extract, now_year=2026)
-    assert again.version is None and again.rows.count() == 0 and asked[-1] == []
+    assert again.run is None and again.rows.count() == 0 and asked[-1] == []
     _write(f"{src}/copy.jpg", b"GIF89a changed", t0 + 50)
     index_job(spark, src, "h1", root, extract, now_year=2026, changed_at=7)
     rows = {os.path.basename(r.name): r for r in store.read_table(spark, f"{root}/files").collect()}
     assert rows["copy.jpg"].mimesubtype == "gif" and len(rows) == 3
-    log = spark.read.parquet(f"{root}/history").collect()
+    log = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/history").collect()
     assert [(os.path.basename(r.name), r.changed_at) for r in log] == [("copy.jpg", 7)]

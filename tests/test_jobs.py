@@ -222,7 +222,7 @@ def test_host_scan_is_partition_pruned(spark):
     from mediafold.sources import catalog as store
     root = tempfile.mkdtemp(prefix="mediafold-cat-", dir="/tmp") + "/files"
     rows = _files(spark, [(f"/f{i}", f"h{i % 3}", i, 10, 1, 1, "stat", "image", "jpeg") for i in range(30)])
-    store.write_version(rows.withColumn("info", F.lit(None).cast("string")), root)
+    store.write_hosts(rows, root)
     snap = catalog.host_snapshot(store.read_table(spark, root), host="h1")
     plan = _plan(snap)
     assert "PartitionFilters: [isnotnull(hostname" in plan and "(hostname#" in plan and "= h1)" in plan

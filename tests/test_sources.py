@@ -76,41 +76,39 @@ def test_json_sidecar_files(spark):
     assert got["album.json"].album == "Holidays"
 
 
-def test_catalog_versions(spark):
-    from mediafold.operators import catalog as C
+def test_catalog_is_created_once(spark):
     from mediafold.sources import catalog as S
-    root = _tmp() + "/files"
-    v0 = S.create_catalog(spark, os.path.dirname(root), "files")
-    assert S.current_version(spark, root) == v0
-    assert S.read_table(spark, root).count() == 0
-    rows = spark.createDataFrame([("/a", "h1", 1, 10, 5, 5, "stat", "image", "jpeg", None)],
-                                 S.schemas.FILES)
-    new = C.upsert(S.read_table(spark, root), rows)
-    v1 = S.write_version(new, root)
-    assert v1 != v0 and S.read_table(spark, root).count() == 1
+    base = _tmp()
+    path = S.create_catalog(spark, base)
+    assert S.read_table(spark, path).count() == 0
+    rows = spark.createDataFrame([("/a", "h1", 1, 10, 5, 5, "stat", "image", "jpeg", None)], S.schemas.FILES)
+    S.upsert_table(rows, path)
+    assert S.create_catalog(spark, base) == path and S.read_table(spark, path).count() == 1
 
 
 def test_catalog_upsert_rewrites_touched_hosts_only(spark):
-    import pytest
+    import glob
 
     from mediafold.sources import catalog as S
-    root = _tmp() + "/files"
+    path = S.create_catalog(spark, _tmp())
 
     def rows(*r):
         return spark.createDataFrame([(n, h, i, 10, 5, 5, "stat", "image", "jpeg", None) for n, h, i in r], S.schemas.FILES)
-    S.write_version(rows(("/a", "h1", 1), ("/b", "h1", 2), ("/a", "h 2/x", 3), ("/n", None, 4)), root)
-    before = S._entry(spark, root)["hosts"]
-    S.upsert_table(rows(("/a", "h1", 9), ("/c", "h1", 8)), root, stream=("s", 0))
-    after = S._entry(spark, root)["hosts"]
-    assert [h for h in after if after[h] != before.get(h)] == ['"h1"']
-    got = sorted((r["name"], r["hostname"] or "", r["id"]) for r in S.read_table(spark, root).collect())
+
+    def files():
+        return {h: set(glob.glob(f"{h}/*.parquet")) for h in glob.glob(f"{path}/hostname=*")}
+    S.upsert_table(rows(("/a", "h1", 1), ("/b", "h1", 2), ("/a", "h 2/x", 3), ("/n", None, 4)), path)
+    before = files()
+    S.upsert_table(rows(("/a", "h1", 9), ("/c", "h1", 8)), path)
+    after = files()
+    assert [h.split("=")[1] for h in after if after[h] != before.get(h)] == ["h1"] and len(after) == 3
+    got = sorted((r["name"], r["hostname"] or "", r["id"]) for r in S.read_table(spark, path).collect())
     assert got == [("/a", "h 2/x", 3), ("/a", "h1", 9), ("/b", "h1", 2), ("/c", "h1", 8), ("/n", "", 4)]
-    assert S.read_table(spark, root, hosts=["h 2/x"]).count() == 1
-    assert S.upsert_table(rows(("/z", "h1", 7)), root, stream=("s", 0)) is None       # delivered again: skipped
-    entry = S._entry(spark, root)
-    with pytest.raises(S.CatalogConflict):
-        S._commit(spark, root, entry)                                                  # someone else took the number
-    assert S.last_batch(spark, root, "s") == 0 and S.current_version(spark, root) == f"v{entry['version']}"
+    assert S.read_table(spark, path, hosts=["h 2/x"]).count() == 1
+    assert S.read_table(spark, path, hosts=["h 2/x", None]).count() == 2
+    S.upsert_table(rows(("/n", None, 5)), path)
+    S.upsert_table(rows(), path)
+    assert sorted(r["id"] for r in S.read_table(spark, path).collect()) == [2, 3, 5, 8, 9]
 
 
 def test_name_check_and_field_report(spark):
