@@ -62,14 +62,16 @@ SIGNATURES: list[tuple[str, str, list[list[tuple[int, str]]]]] = [
     ("text", "xml", [[(0, "3C3F786D6C")]]),
 ]
 EBML = (0, "1A45DFA3")
-# Matroska files name their document type in the first bytes of the header.
-EBML_WEBM, EBML_MATROSKA = "7765626D", "6D6174726F736B61"
+# Matroska files name their document type in an element of their header (id, one byte of size, text), which other elements
+# may precede; as many bytes are searched for it.
+EBML_DOCTYPE, EBML_BYTES = "4282", 4096
+EBML_TYPES = {"webm": ("video", "webm"), "matroska": ("video", "x-matroska")}
 
 
 def header_bytes(signatures=None) -> int:
     """Bytes of a file that detection looks at: what the longest signature needs (and the Matroska header)."""
     reach = [off + len(h) // 2 for _, _, alts in (signatures or SIGNATURES) for parts in alts for off, h in parts]
-    return max([64, *reach])
+    return max([EBML_BYTES if signatures is None else 64, *reach])
 
 
 def _matches(content: Column, parts: list[tuple[int, str]]) -> Column:
@@ -90,11 +92,15 @@ def signature_type(content: Column, signatures=None) -> Column:
             hit = hit | _matches(content, parts)
         chain = chain.when(hit, kind(t, s))
     if signatures is None:
-        head = F.hex(F.substring(content, 1, 64))
+        # One character a byte: an element is found where it starts, never across two halves of bytes.
+        head = F.decode(F.substring(content, 1, EBML_BYTES), "ISO-8859-1")
         ebml = _matches(content, [EBML])
-        chain = (chain.when(ebml & head.contains(EBML_WEBM), kind("video", "webm"))
-                 .when(ebml & head.contains(EBML_MATROSKA), kind("video", "x-matroska"))
-                 .when(ebml, kind("video", "webm")))
+        mark = bytes.fromhex(EBML_DOCTYPE).decode("latin-1")
+        for name, (t, s) in EBML_TYPES.items():
+            chain = chain.when(ebml & head.contains(f"{mark}{chr(0x80 + len(name))}{name}"), kind(t, s))
+        for name, (t, s) in reversed(EBML_TYPES.items()):  # headers without the element that name a type all the same
+            chain = chain.when(ebml & head.contains(name), kind(t, s))
+        chain = chain.when(ebml, kind(*EBML_TYPES["webm"]))
     return chain
 
 

@@ -1302,7 +1302,7 @@ FROM ids LEFT JOIN cache ON ids.id = cache.id JOIN meta ON meta.id = ids.id
 # -- content types and merged sources ------------------------------------------------------
 
 def _mime_sql(fallback: bool) -> str:
-    from mediafold.operators.mime import EBML, EBML_MATROSKA, EBML_WEBM, SIGNATURES
+    from mediafold.operators.mime import EBML, SIGNATURES
     from mediafold.plans.queries import PAGE_HEADERS
 
     def part(off, h):
@@ -1311,8 +1311,8 @@ def _mime_sql(fallback: bool) -> str:
         f"WHEN {' OR '.join('(' + ' AND '.join(part(o, h) for o, h in p) + ')' for p in alts)} THEN '{t}/{s}'"
         for t, s, alts in SIGNATURES)
     ebml = part(*EBML)
-    whens += (f" WHEN {ebml} AND contains(substr(hx, 1, 128), '{EBML_WEBM}') THEN 'video/webm'"
-              f" WHEN {ebml} AND contains(substr(hx, 1, 128), '{EBML_MATROSKA}') THEN 'video/x-matroska'"
+    whens += (f" WHEN {ebml} AND contains(substr(hx, 1, 8192), '4282847765626D') THEN 'video/webm'"
+              f" WHEN {ebml} AND contains(substr(hx, 1, 8192), '4282886D6174726F736B61') THEN 'video/x-matroska'"
               f" WHEN {ebml} THEN 'video/webm'")
     heads = " ".join(f"WHEN page_id % 8 = {k} THEN '{h.upper()}'" for k, h in PAGE_HEADERS.items())
     stated = ("CASE WHEN contains(url, '?page=') THEN 'audio/x-stated' WHEN page_id % 3 = 0 THEN 'video/mp4; x' "
@@ -1630,3 +1630,19 @@ SELECT cell, n_points, first_event, area, CAST(sum(n_points) OVER (PARTITION BY
 
 
 ORACLE["cell_rollup"] = _cell_sql()
+
+
+ORACLE["xmp_records"] = """
+SELECT doc_id,
+  CASE WHEN bad THEN '' WHEN k % 4 = 0 THEN 'Last word ' || k WHEN k % 3 = 0 THEN 'Bare & ' || k || ' title'
+       ELSE 'Walk <' || k || '> home' END AS title,
+  CASE WHEN bad THEN '' ELSE 'Jo ' || source END AS artist,
+  CASE WHEN bad THEN '' ELSE 'Lang ' || lang || ', sea' END AS subject,
+  CASE WHEN bad THEN '' WHEN lang < 'lang' THEN lang || ', lang, sea' WHEN lang < 'sea' THEN 'lang, ' || lang || ', sea'
+       ELSE 'lang, sea, ' || lang END AS keywords,
+  CASE WHEN bad THEN '' ELSE 'R' END AS copyright, CASE WHEN bad THEN '' ELSE 'Kodak' END AS camera_make,
+  CASE WHEN bad THEN '' ELSE source END AS camera_model,
+  CASE WHEN NOT bad THEN CAST(epoch(make_timestamp(2000 + k % 20, k % 9 + 1, 10 + k % 10, k % 10, 30 + k % 6, k % 10)) AS BIGINT)
+       - CASE WHEN k % 3 = 1 THEN 9000 ELSE 0 END END AS taken_utc
+FROM (SELECT *, doc_id AS k, doc_id % 50 = 7 AS bad FROM documents)
+"""

@@ -880,7 +880,8 @@ QUERIES["cache_join"] = q_cache_join
 # -- content types and merged sources ------------------------------------------------------
 
 # Fixed values of the derivation: leading bytes (hex) put before a page's html, by page_id modulo 8.
-PAGE_HEADERS = {2: "00FF00FF", 3: "00" * 257 + "7573746172", 4: "000000186674797068656963",
+PAGE_HEADERS = {1: "1A45DFA301000000000000FFEC40C8" + "00" * 200 + "4282847765626D",
+                2: "00FF00FF", 3: "00" * 257 + "7573746172", 4: "000000186674797068656963",
                 5: "52494646000000005741564566", 6: "1A45DFA3010000004282886D6174726F736B61",
                 7: "000000206674797033677035"}
 
@@ -1198,3 +1199,49 @@ def q_image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["image_sizes"] = q_image_sizes
+
+
+# -- XMP documents -----------------------------------------------------------------------------
+
+def documents_as_xmp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One XMP document of two or three blocks per document: bare and listed texts, fields that come again, dates."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "lang", "source"])
+    k, text = F.col("doc_id"), F.col("doc_id").cast("string")
+
+    def block(*parts):
+        return F.concat(F.lit('<rdf:Description rdf:about="">'), *[F.lit(p) if isinstance(p, str) else p for p in parts],
+                        F.lit("</rdf:Description>"))
+    two = F.lpad((k % 10).cast("string"), 2, "0")
+    zone = F.when(k % 3 == 0, F.lit("Z")).when(k % 3 == 1, F.lit("+02:30")).otherwise(F.lit(".250"))
+    date = F.concat(F.lit("20"), F.lpad((k % 20).cast("string"), 2, "0"), F.lit("-0"), (k % 9 + 1).cast("string"), F.lit("-1"),
+                    (k % 10).cast("string"), F.lit("T"), two, F.lit(":3"), (k % 6).cast("string"), F.lit(":"), two, zone)
+    title = F.when(k % 3 == 0, F.concat(F.lit("<dc:title>Bare &amp; "), text, F.lit(" title</dc:title>"))).otherwise(
+        F.concat(F.lit("<dc:title><rdf:Alt><rdf:li>Old</rdf:li><rdf:li>Walk &lt;"), text, F.lit("&gt; home</rdf:li></rdf:Alt></dc:title>")))
+    first = block(title, "<dc:subject><rdf:Seq><rdf:li>", "Lang ", F.col("lang"), "</rdf:li><rdf:li>sea</rdf:li></rdf:Seq></dc:subject>",
+                  "<photoshop:DateCreated>", date, "</photoshop:DateCreated><dc:creator><rdf:Seq><rdf:li>\"Jo\" ", F.col("source"),
+                  "</rdf:li></rdf:Seq></dc:creator>")
+    second = block("<tiff:Make> Kodak </tiff:Make><tiff:Model>", F.col("source"), "</tiff:Model>",
+                   "<dc:rights><rdf:Alt><rdf:li>R</rdf:li></rdf:Alt></dc:rights>")
+    third = F.when(k % 4 == 0, block("<dc:title><rdf:Alt><rdf:li>Last word ", text, "</rdf:li></rdf:Alt></dc:title>")).otherwise("")
+    names = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "dc": "http://purl.org/dc/elements/1.1/",
+             "photoshop": "http://ns.adobe.com/photoshop/1.0/", "tiff": "http://ns.adobe.com/tiff/1.0/"}
+    head = "<x:xmpmeta " + " ".join(f'xmlns:{n}="{u}"' for n, u in names.items()) + "><rdf:RDF>"
+    doc = F.when(k % 50 == 7, F.lit("not xml <")).otherwise(
+        F.concat(F.lit(head), first, second, third, F.lit("</rdf:RDF></x:xmpmeta>")))
+    return d.select("doc_id", doc.alias("doc"))
+
+
+def q_xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + J8: XMP documents in a text column, one merged record each."""
+    from pyspark.sql import functions as F
+
+    from mediafold.sources.sidecars import xmp_records
+    r = xmp_records(documents_as_xmp(spark, sf_dir), "doc")
+    return r.select("doc_id", "title", "artist", "subject", F.array_join("keywords", ", ").alias("keywords"), "copyright",
+                    "camera_make", "camera_model", "taken_utc")
+
+
+QUERIES["xmp_records"] = q_xmp_records

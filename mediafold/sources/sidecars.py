@@ -8,8 +8,11 @@ expressions with explicit schemas, so a malformed file yields NULLs and an
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediafold import schemas
 from mediafold.functions import dates as D
@@ -105,6 +108,39 @@ def read_xmp(spark: SparkSession, path: str) -> DataFrame:
     return xmp_fields(merged)
 
 
+XMP_DOCUMENT = T.StructType([T.StructField("rdf:RDF", T.StructType([
+    T.StructField("rdf:Description", T.ArrayType(schemas.XMP_BLOCK))]))])
+
+
+def xmp_records(df: DataFrame, doc_col: str) -> DataFrame:
+    """A10 on a text column: the other columns of ``df`` and the merged, cleaned record of each XMP document.
+
+    Blocks merge inside the row, without a shuffle: of each field the last block that has it wins.  NULL or malformed
+    documents give empty texts.
+    """
+    keep = [c for c in df.columns if c != doc_col]
+    parsed = F.from_xml(F.col(f"`{doc_col}`"), XMP_DOCUMENT, {"valueTag": "_text"})
+    held = df.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(keep)], parsed["rdf:RDF"]["rdf:Description"].alias("_blocks"))
+    merged = held.select(*[f"_in_{i}" for i in range(len(keep))], *[
+        F.try_element_at(F.filter(F.col("_blocks"), _has(c)), F.lit(-1))[c].alias(c)
+        for c in schemas.XMP_COLUMNS])
+    fields = xmp_fields(merged, [f"_in_{i}" for i in range(len(keep))])
+    return fields.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(keep)], *fields.columns[len(keep):])
+
+
+def _has(c: str):
+    return lambda block: _filled_in(block, c)
+
+
+def _filled_in(block: Column, c: str) -> Column:
+    """True where a block has the field (for list fields: bare text or items)."""
+    col = block[c]
+    if c in schemas.XMP_LISTS:
+        items = col[f"rdf:{schemas.XMP_LISTS[c]}"]["rdf:li"]
+        return F.coalesce((F.trim(F.coalesce(col["_text"], F.lit(""))) != "") | (F.size(items) > 0), F.lit(False))
+    return col.isNotNull()
+
+
 def _item(c: str, kind: str) -> Column:
     return F.col(f"`{c}`")[f"rdf:{kind}"]["rdf:li"]
 
@@ -121,14 +157,14 @@ def _last_item(c: str, kind: str) -> Column:
     return F.coalesce(F.try_element_at(_item(c, kind), F.lit(-1)), F.lit(""))
 
 
-def xmp_fields(merged: DataFrame) -> DataFrame:
+def xmp_fields(merged: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
     """Cleaned fields of merged blocks: title (G9), description (G10; bare text by G9), other texts by G7, the subject
     list as text and as a sorted set of keywords (E8)."""
     title, text = _last_item("dc:title", "Alt"), F.coalesce(F.col("`dc:title`")["_text"], F.lit(""))
     desc, bare = _last_item("dc:description", "Alt"), F.coalesce(F.col("`dc:description`")["_text"], F.lit(""))
     subject = F.array_join(F.col("`dc:subject`")["rdf:Seq"]["rdf:li"], ", ")
     return merged.select(
-        "path",
+        *keep,
         X.sanitize_title(F.when(title != "", title).otherwise(text)).alias("title"),
         F.when(desc != "", X.sanitize_description(desc)).otherwise(X.sanitize_title(bare)).alias("description"),
         X.sanitize_string(_last_item("dc:rights", "Alt")).alias("copyright"),

@@ -233,6 +233,17 @@ def test_tag_datetimes_of_every_shape(spark):
     assert got == [t, t, t, t - 3600, t + 5400, None, None, None, None, None]
 
 
+def test_matroska_type_behind_other_elements(spark):
+    from mediafold.operators import mime
+    head = bytes.fromhex("1A45DFA301000000000001FFEC40F0")
+    files = {"webm": head + bytes(240) + bytes.fromhex("428284") + b"webm", "mkv": head + bytes(3000) + bytes.fromhex("428288") + b"matroska",
+             "both": head + b"matroska" + bytes.fromhex("428284") + b"webm", "none": head + bytes(300), "far": head + bytes(5000) + b"matroska"}
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in files.items()], "n string, b binary")
+    got = {r.n: r.mimesubtype for r in mime.detect(df, "b").collect()}
+    assert got == {"webm": "webm", "mkv": "x-matroska", "both": "webm", "none": "webm", "far": "webm"}
+    assert mime.header_bytes() >= 4096
+
+
 def bitwise_cell(lat, lng, level):
     """The curve walked one bit at a time in Python integers."""
     import math

@@ -48,6 +48,18 @@ def test_xmp_blocks_merge(spark):
     assert r.taken_utc == 1501981803          # 21:40:03-03:30
 
 
+def test_xmp_documents_in_a_column(spark, tmp_path):
+    from mediafold.sources.sidecars import read_xmp, xmp_records
+    (tmp_path / "a.xmp").write_text(XMP)
+    one_block = XMP.split("<rdf:Description")[0] + '<rdf:Description><dc:title>Only</dc:title></rdf:Description></rdf:RDF></x:xmpmeta>'
+    docs = [("a", XMP, 1), ("b", None, 2), ("c", "no xml <", 3), ("d", "", 4), ("e", one_block.replace("<dc:", "<dc:"), 5)]
+    df = spark.createDataFrame(docs, "path string, doc string, title int").withColumn("_blocks", F.lit("x"))
+    rows = {r[0]: r for r in xmp_records(df, "doc").collect()}
+    want = read_xmp(spark, str(tmp_path)).first()
+    assert tuple(rows["a"])[:3] == ("a", 1, "x") and tuple(rows["a"])[3:] == tuple(want)[1:]
+    assert all(rows[k][3] == "" and rows[k][-1] is None for k in "bcd") and rows["e"][3] == "Only"
+
+
 def test_json_sidecar_files(spark):
     from mediafold.sources import sidecars
     d = _tmp()
