@@ -1,13 +1,14 @@
 """Language identification by nearest centroid over character n-gram TF-IDF vectors.
 
 A text becomes counts of hashed n-grams (2 to 4 bytes of the case-folded text, spaces standing in for everything that is
-not part of a word), weighted by 1 + log(count) and inverse document frequency and scaled to length one.  Each language
+not part of a word), weighted by log(1 + count) and inverse document frequency and scaled to length one.  Each language
 has several centroids (spherical k-means of its training vectors); the language of the centroid with the largest cosine
 wins, ties to the smaller name.  ``accepted`` says whether the cosine reaches the language's floor, a low quantile of
 its own training cosines: rejection by distance.
 
 Scale: one pass over the texts, no shuffle; the model is ``dims`` floats a centroid.  Training takes up to
-``rows_per_lang`` texts of each language, chosen by a hash of the text, so a hot language costs no more than a rare one.
+``rows_per_lang`` different texts of each language, chosen by a hash of the text, so a hot language or text costs no more
+than a rare one.
 
 Edge cases: a NULL text, or one without any letter, is ``und`` with score 0; rows with a NULL language or ``doc_id`` are
 never trained on; repeated rows are each predicted; without training rows every text is ``und``; an empty table gives
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediafold.llm.common import LOWER, WORD_BYTE, byte_chunks, map_arrow, text_chunks, utf8
@@ -119,20 +120,27 @@ def train(langs: list[str], counts: np.ndarray, k: int = 4, floor_quantile: floa
 
 
 def fit(docs: DataFrame, usable: Callable[[Column], Column], rows_per_lang: int = 500, dims: int = DIMS) -> CentroidModel:
-    """Train on up to ``rows_per_lang`` texts a language."""
+    """Train on up to ``rows_per_lang`` different texts a language, picked by a hash of the text.
+
+    Copies of a text count once, however many there are, and every language gets its own cut of the hashes, so neither a
+    hot text nor a hot language takes the place of others.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-                      & usable(F.col("doc_id")))
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not per_lang:
+                      & usable(F.col("doc_id"))).withColumn("h", F.xxhash64(F.lit(5), "text"))
+    # Sketches of the different texts of each language; twice the rows asked for leave room for their error.
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not texts:
         return train([], np.zeros((0, dims), np.float32))
-    # Twice the rows asked for by hash, so that the exact cut below finds enough; languages are few.
-    part = F.lit(0.0)
-    for lang, n in sorted(per_lang.items()):
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * rows_per_lang / n))).otherwise(part)
-    h = F.xxhash64(F.lit(5), "text")
-    rows = rows.where(F.pmod(h, F.lit(1_000_000)) < part * 1_000_000)
+    cut = F.lit(-1)
+    for lang, n in sorted(texts.items()):
+        part = min(1.0, 2.0 * rows_per_lang / max(n, 1))
+        cut = F.when(F.col("lang") == lang, F.lit(min(int(part * 2 ** 63), 2 ** 63 - 1))).otherwise(cut)
+    rows = rows.where(F.shiftrightunsigned("h", 1) <= cut)
+    some = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies combine before the shuffle
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    some = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows_per_lang).drop("nth", "h")
 
     def run(batches):
         for p, data, offsets in text_chunks(batches, "text"):
@@ -143,16 +151,13 @@ def fit(docs: DataFrame, usable: Callable[[Column], Column], rows_per_lang: int
                 [p.column(p.schema.get_field_index("lang")), pa.array(cells, pa.binary()), pa.array(values, pa.binary())],
                 ["lang", "cells", "n"])
 
-    limit = 2 * rows_per_lang * len(per_lang)
-    got = map_arrow(rows.orderBy(h, "doc_id").limit(limit), run, "lang string, cells binary, n binary").collect()
     langs: list[str] = []
     counts = []
-    for r in got:
-        if langs.count(r["lang"]) < rows_per_lang:
-            langs.append(r["lang"])
-            v = np.zeros(dims, np.float32)
-            v[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["n"], "<u4")
-            counts.append(v)
+    for r in sorted(map_arrow(some, run, "lang string, cells binary, n binary").collect()):
+        langs.append(r["lang"])
+        v = np.zeros(dims, np.float32)
+        v[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["n"], "<u4")
+        counts.append(v)
     return train(langs, np.stack(counts) if counts else np.zeros((0, dims), np.float32))
 
 

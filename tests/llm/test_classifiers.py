@@ -114,3 +114,39 @@ def test_convolution_matches_a_loop():
                     for s in range(len(r) - len(f) + 1)]
             want = np.maximum(np.max(acts, axis=0), 0) if acts else np.zeros(toxicity.FILTERS)
             assert np.allclose(got[i * toxicity.FILTERS:(i + 1) * toxicity.FILTERS], want, atol=1e-4)
+
+
+def test_one_hot_text_does_not_fill_the_language_sample(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from llm_fixtures import docs_of
+    from mediafold.llm import langid
+    rng = random.Random(4)
+    letters = {"en": "the and of with that from this have", "fr": "les des une dans pour avec que est", "de": "der und nicht ein sich auch auf"}
+
+    def text(lang):
+        return " ".join(rng.choice(letters[lang].split()) + rng.choice(["", "s", "er", "en"]) for _ in range(30))
+    rows = [(lang, text(lang)) for lang, n in (("en", 400), ("fr", 400), ("de", 40)) for _ in range(n)]
+    hot = [("en", "a hot text about nothing at all")] * 6000
+    docs = docs_of(spark, [(i, t, lang, "s") for i, (lang, t) in enumerate(hot + rows)])
+    got = langid.predict_languages(docs, lambda c: c % 5 == 0, rows_per_lang=60)
+    score = got.join(docs.select("doc_id", "lang"), "doc_id").where((F.col("doc_id") >= 6000) & F.col("held_out")).groupBy(
+        "lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()
+    assert {r["lang"] for r in score} == {"en", "fr", "de"} and all(r["right"] >= 0.95 for r in score)
+
+
+def test_nearest_centroid_matches_plain_cosines():
+    from mediafold.llm import langid
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.4, (60, 64)).astype(np.float32)
+    langs = [("a", "b", "c")[i % 3] for i in range(60)]
+    model = langid.train(langs, counts, k=2)
+    lang, score = model.predict(counts)
+    x = np.log(1 + counts) * model.idf
+    for i in range(60):
+        cosines = [float(x[i] @ c / (np.linalg.norm(x[i]) * np.linalg.norm(c))) for c in model.centroids]
+        best = max(cosines)
+        assert score[i] == pytest.approx(best, abs=1e-4)
+        assert lang[i] in {model.langs[k] for k, v in enumerate(cosines) if v > best - 1e-5}
