@@ -4,7 +4,9 @@ The walk is a job of its own, not the ``binaryFile`` source: Hadoop listing
 hides names that start with ``.`` or ``_`` (``_MG_0001.jpg`` is a camera name).
 Directories are rows; each level of the tree is listed by the executors and
 written to shared storage, and its sub-directories are the next level's rows.
-Any file system that ``pyarrow.fs`` knows will do (local or mounted, HDFS, S3,
+Links to directories are followed, within the root and out of it, but each real
+directory (device and inode) is listed once, so links that lead back up end and
+no file is listed twice through them.  Any file system that ``pyarrow.fs`` knows will do (local or mounted, HDFS, S3,
 GCS).
 
 Hashing reads only the files that need indexing (the catalog diff's work
@@ -16,6 +18,7 @@ cannot be read is reported, never given an id.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 HEADER_BYTES = 8192          # fixed value: bytes kept for type detection
 CHUNK_BYTES = 8 * 1024 * 1024
 TASK_BYTES = 1 << 30         # bytes a hash task should read
-ENTRY_SCHEMA = "path string, kind string, size long, timemodified long, error string"
+ENTRY_SCHEMA = "path string, kind string, size long, timemodified long, error string, ident string, linked boolean"
 HASH_SCHEMA = "name string, id long, header binary, read_ok boolean, error string"
 
 
@@ -46,6 +49,15 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ident(path: str, local: bool) -> str:
+    """What tells a directory from others however it is reached: device and inode, its path where there are no links."""
+    import os
+    if not local:
+        return path
+    at = os.stat(path)
+    return f"{at.st_dev}:{at.st_ino}"
+
+
 def _list_directories(batches):
     import os
 
@@ -56,36 +68,42 @@ def _list_directories(batches):
             try:
                 system, inner, prefix = open_filesystem(directory)
                 local = isinstance(system, fs.LocalFileSystem)
+                rows.append((directory, "self", None, None, None, _ident(inner, local), None))
                 for e in system.get_file_info(fs.FileSelector(inner, recursive=False)):
                     if e.type == fs.FileType.Directory:
-                        if not (local and os.path.islink(e.path)):  # a link could lead back up
-                            rows.append((prefix + e.path, "dir", None, None, None))
+                        try:
+                            rows.append((prefix + e.path, "dir", None, None, None, _ident(e.path, local),
+                                         local and os.path.islink(e.path)))
+                        except OSError as error:  # gone or closed since it was listed
+                            rows.append((prefix + e.path, "error", None, None, str(error)[:300], None, None))
                     elif e.type == fs.FileType.File:
                         mtime = None if e.mtime_ns is None else (e.mtime_ns + 500_000_000) // 1_000_000_000
-                        rows.append((prefix + e.path, "file", e.size, mtime, None))
+                        rows.append((prefix + e.path, "file", e.size, mtime, None, None, None))
             except OSError as error:
-                rows.append((directory, "error", None, None, str(error)[:300]))
+                rows.append((directory, "error", None, None, str(error)[:300], None, None))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate(
-                (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
-            ["path", "kind", "size", "timemodified", "error"])
+                (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))],
+            ["path", "kind", "size", "timemodified", "error", "ident", "linked"])
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Every file and directory below ``root`` (``kind`` file, dir or error), stored; no name is left out."""
+    """Every file and directory below ``root`` (``kind`` file, dir or error), stored; no name is left out.
+
+    A real directory is listed under one name: of the names that a level finds for it the first one that is no link.  A link
+    to a directory that is listed under another name is a ``dir`` row without entries.
+    """
     tasks = spark.sparkContext.defaultParallelism
     frontier = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
     levels = []
     while True:
-        level = _stored(frontier.repartition(tasks).mapInArrow(_list_directories, ENTRY_SCHEMA), "walk")
-        levels.append(level)
-        frontier = level.where("kind = 'dir'").select("path")
+        levels.append(_stored(frontier.repartition(tasks).mapInArrow(_list_directories, ENTRY_SCHEMA), "walk"))
+        found = reduce(DataFrame.unionByName, levels)
+        names = levels[-1].where("kind = 'dir'").groupBy("ident").agg(F.min(F.struct("linked", "path")).alias("first"))
+        frontier = names.join(found.where("kind = 'self'").select("ident"), "ident", "left_anti").select("first.path")
         if frontier.isEmpty():
             break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return found.where("kind <> 'self'").drop("ident", "linked")
 
 
 def list_files(spark: SparkSession, root: str, hostname: str, pattern: str | None = None,

@@ -108,6 +108,25 @@ def _catalog(spark, rows):
                                  "timebornsrc string, mimetype string, mimesubtype string")
 
 
+def test_directory_links_are_followed_once(spark):
+    from mediafold.sources import listing as L
+    base = tempfile.mkdtemp(prefix="mediafold-links-", dir="/tmp")
+    root, away = f"{base}/root", f"{base}/away"
+    for name in ("root/a/1.jpg", "root/a/deep/2.jpg", "root/b/3.jpg", "away/4.jpg", "away/sub/5.jpg"):
+        _write(f"{base}/{name}", b"x", 1_600_000_000)
+    os.symlink(root, f"{root}/a/deep/up")             # back to the root
+    os.symlink(f"{root}/a", f"{root}/b/again")         # a directory that is listed anyway
+    os.symlink(away, f"{root}/out")                    # out of the root
+    os.symlink(f"{root}/b", f"{away}/sub/back")        # and back into it
+    os.symlink(f"{away}/sub", f"{root}/a/deep/sub")    # reached on two ways
+    os.symlink(f"{base}/nowhere", f"{root}/broken")
+    os.symlink(f"{root}/b/3.jpg", f"{root}/file-link.jpg")
+    names = sorted(r.name[len(root) + 1:] for r in L.list_files(spark, root, "h").collect())
+    assert names == ["a/1.jpg", "a/deep/2.jpg", "b/3.jpg", "file-link.jpg", "out/4.jpg", "out/sub/5.jpg"]
+    linked = sorted(r.name for r in L.list_files(spark, f"{root}/b/again", "h").collect())
+    assert [n[len(root) + 1:] for n in linked][:2] == ["b/again/1.jpg", "b/again/deep/2.jpg"]  # the root itself may be a link
+
+
 def test_backup_job_moves_copies_and_tries_every_source(spark):
     from mediafold.operators import backup
     from mediafold.sources.listing import content_id
