@@ -1646,3 +1646,20 @@ SELECT doc_id,
        - CASE WHEN k % 3 = 1 THEN 9000 ELSE 0 END END AS taken_utc
 FROM (SELECT *, doc_id AS k, doc_id % 50 = 7 AS bad FROM documents)
 """
+
+
+ORACLE["merge_metadata"] = """
+WITH m AS (
+  SELECT d.doc_id, d.doc_id % 4 AS e_iso, d.n_chars % 3 AS e_width, d.doc_id % 5 = 0 AS e_flash, d.lang, d.doc_id % 3 AS e_fps,
+         d.source, l.quality, l.toxic, l.doc_id IS NOT NULL AS has
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, CAST(coalesce(nullif(e_iso, 0), nullif(quality * 100, 0)) AS BIGINT) AS iso,
+  CAST(CASE WHEN has AND toxic = 1 THEN 640 ELSE coalesce(nullif(e_width, 0), CASE WHEN has THEN nullif(doc_id % 7, 0) END) END AS BIGINT)
+    AS width,
+  CASE WHEN e_flash OR coalesce(quality = 1, false) THEN true END AS flash,
+  array_to_string(list_sort(list_distinct(list_concat(['sea'], [lang], CASE WHEN has THEN ['json'] ELSE [] END,
+    CASE WHEN has AND toxic = 1 THEN ['art'] ELSE [] END))), ', ') AS keywords,
+  CASE WHEN e_fps <> 0 THEN CAST(e_fps AS DOUBLE) WHEN has THEN CAST(29.97 AS DOUBLE) END AS fps, source AS artist,
+  concat_ws(',', 'exif', CASE WHEN has THEN 'json' END, CASE WHEN has AND toxic = 1 THEN 'xmp' END) AS sources
+FROM m
+"""

@@ -1245,3 +1245,28 @@ def q_xmp_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["xmp_records"] = q_xmp_records
+
+
+def q_merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10 + J11 on typed records: numbers, flags and keyword lists of three sources, texts of two."""
+    from pyspark.sql import functions as F
+
+    from mediafold.functions.text import add_keywords
+    from mediafold.operators.merge import merge_sources
+    from mediafold.sources.tables import load
+    d = load(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"])
+    lab = load(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    k = F.col("doc_id")
+    exif = d.select("doc_id", (k % 4).cast("int").alias("iso"), (F.col("n_chars") % 3).alias("width"), (k % 5 == 0).alias("flash"),
+                    add_keywords(F.lit(None), F.concat(F.lit("Sea, "), F.col("lang"))).alias("keywords"),
+                    (k % 3).cast("double").alias("fps"), F.col("source").alias("artist"))
+    js = lab.select("doc_id", (F.col("quality") * 100).cast("long").alias("iso"), (k % 7).alias("width"), (F.col("quality") == 1).alias("flash"),
+                    F.array(F.lit("json"), F.when(k % 2 == 0, F.lit("sea"))).alias("keywords"), F.lit(29.97).alias("fps"))
+    xmp = lab.where("toxic = 1").select("doc_id", F.lit(0).alias("iso"), F.lit(640).cast("long").alias("width"),
+                                        F.array(F.lit("art"), F.lit("")).alias("keywords"), F.lit("  ").alias("artist"))
+    m = merge_sources([("exif", exif, "fill"), ("json", js, "fill"), ("xmp", xmp, "overwrite")], "doc_id",
+                      ["iso", "width", "flash", "keywords", "fps", "artist"])
+    return m.withColumn("keywords", F.array_join("keywords", ", "))
+
+
+QUERIES["merge_metadata"] = q_merge_metadata

@@ -252,3 +252,20 @@ def test_presentation_order(spark):
     from mediafold.operators import catalog
     rows = _files(spark, [(n, "h", 1, 1, 1, 1, "stat", "image", "jpeg") for n in ("/b", "/a/z", "/a", "/C")])
     assert [r.name for r in catalog.presentation_order(rows).collect()] == ["/C", "/a", "/a/z", "/b"]
+
+
+def test_typed_merge_of_sources(spark):
+    import pytest
+
+    from mediafold.operators.merge import merge_sources
+    a = spark.createDataFrame([("x", 0, 1.5, False, ["b", "a"], " "), ("y", 7, 0.0, True, None, "t")],
+                              "k string, iso int, fps double, flash boolean, words array<string>, title string")
+    b = spark.createDataFrame([("x", 9, ["c", "a", None], "j"), ("z", 3, [], "")], "k string, iso long, words array<string>, title string")
+    c = spark.createDataFrame([("y", 5, ["d"], "over")], "k string, iso int, words array<string>, title string")
+    m = merge_sources([("a", a, "fill"), ("b", b, "fill"), ("c", c, "overwrite")], "k", ["iso", "fps", "flash", "words", "title", "none"])
+    rows = {r.k: tuple(r)[1:] for r in m.collect()}
+    assert rows == {"x": (9, 1.5, None, ["a", "b", "c"], "j", None, "a,b"), "y": (5, None, True, ["d"], "over", None, "a,c"),
+                    "z": (3, None, None, None, None, None, "b")}
+    assert dict(m.dtypes)["iso"] == "bigint" and dict(m.dtypes)["words"] == "array<string>"
+    with pytest.raises(ValueError):
+        merge_sources([("a", a, "fill"), ("b", b.withColumn("title", F.lit(1)), "fill")], "k", ["title"])
