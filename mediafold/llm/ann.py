@@ -101,15 +101,16 @@ def descend(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """The first ``visits`` leaves of a best-bin-first walk."""
+def best_bins(tree: Tree, q: np.ndarray, visits: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+    """The first ``visits`` leaves of a best-bin-first walk, and more until they hold ``need`` rows (``held`` by leaf)."""
     norm = float(np.sqrt((q * q).sum()))
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+    queue, out, rows = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or rows < need):
         _, node = heapq.heappop(queue)
         kids = tree.children[node]
         if not kids:
             out.append(tree.leaf[node])
+            rows += int(held[out[-1]]) if held is not None else need
             continue
         # Half of the radius: the full bound is almost never met and would visit wide nodes first.
         bound = tree.centre[kids] @ q + 0.5 * norm * tree.radius[kids]
@@ -203,10 +204,11 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
             group, room = group + 1, block_rows
         first.append(group)
         group, room = group + parts[-1] - 1, (room - n if parts[-1] == 1 else 0)
-    places = spark.sparkContext.broadcast((np.array(first), np.array(parts)))
+    held = np.array([sizes.get(leaf, 0) for leaf in range(tree.n_leaves)])
+    places = spark.sparkContext.broadcast((np.array(first), np.array(parts), held))
 
     def place(batches):
-        first, parts = places.value
+        first, parts, _ = places.value
         for batch in batches:
             if batch.num_rows:
                 leaf = batch.column(2).to_numpy()
@@ -223,7 +225,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
     def run(queries: DataFrame, visits: int) -> DataFrame:
         """Best ``k`` per query and group over the first ``visits`` leaves."""
         def route(batches):
-            first, parts = places.value
+            first, parts, held = places.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -231,7 +233,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
                 at, to, leaves = [], [], []
                 for i in range(len(q)):
                     by_group: dict[int, list[int]] = {}
-                    for x in best_bins(shared.value, q[i], visits):
+                    for x in best_bins(shared.value, q[i], visits, held, k + 1):  # its own row and k others
                         for g in range(first[x], first[x] + parts[x]):
                             by_group.setdefault(int(g), []).append(x)
                     at += [i] * len(by_group)
@@ -294,7 +296,7 @@ def search(rows: DataFrame, is_query, k: int = 20, target_recall: float = 0.94,
 def _calibrate(tree: Tree, indexed: DataFrame, trial_rows: list, k: int, target: float) -> int:
     """Fewest visits, widened by halves, with which the trial queries reach the target recall."""
     if not trial_rows or not tree.n_leaves:
-        return 1
+        return max(tree.n_leaves, 1)  # nothing to calibrate by: all leaves
     ids = np.array([r["vec_id"] for r in trial_rows])
     q = np.array([r["vector"] for r in trial_rows])
 
