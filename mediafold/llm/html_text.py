@@ -6,7 +6,7 @@ footers, sidebars, notices, adverts, forms, scripts, styles, comments: by elemen
 its text length over its tags.  Ratios are smoothed along the page with a Gaussian and split into two clusters
 (one-dimensional 2-means started at the extremes); the cut between the centres is the threshold.  Lines over it mark the
 content.  On a page with marked article (or main) elements, or with just one, every line of those elements that is not in
-a never-content element belongs to the text, however short.  On any other page the runs of marked lines are the text,
+a never-content element belongs to the text, however short, but for blocks of links under the cut.  On any other page the runs of marked lines are the text,
 with the short lines of their container or between two runs, and headings right before a run.
 
 Scale: one map over the pages, no shuffle; memory is bounded by the longest page.
@@ -44,18 +44,26 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice notification pagination "
     "popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup social "
-    "sponsor sponsored subscribe subscription toolbar widget".split())
+    "sponsor sponsored subscribe subscription toolbar widget masthead".split())
 # ... unless the same name also speaks of the content ("post-related-text") ...
 CONTENT_NAMES = frozenset("article body content entry has main no page post story text with without".split())
 # ... which does not clear these ("post-comments"), but for a layout that has or lacks them ("content-with-sidebar").
-FIRM_NAMES = frozenset("comment comments disqus footer menu nav navbar navigation replies reply respond sidebar".split())
+FIRM_NAMES = frozenset(
+    "ad ads advert adverts banner comment comments disqus footer menu nav navbar navigation newsletter promo promoted "
+    "replies reply respond share sharing sidebar sponsored widget".split())
+# "story-related" is boilerplate, "post-related-text" is not.
+RELATED_NAMES = frozenset(("recommended", "related"))
 LAYOUT_NAMES = frozenset("has no with without".split())
 # Class names that unmake even an article or main element.
 REGION_NAMES = frozenset("ad ads advert comment comments promo promoted related replies reply sponsored".split())
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _CUT_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 # Elements that group lines on a page without article or main.
 CONTAINERS = frozenset("center div section table td th".split())
+# Blocks that go as a whole if they are links and their smoothed ratio lies under the cut, inside articles, too.
+GROUPS = CONTAINERS | {"ol", "ul"}
+LINK_SHARE = 0.8
 # Smoothed ratios (logarithms) of a page less than this apart do not tell boilerplate from text.
 ALIKE = math.log(3)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -73,10 +81,12 @@ def never_content(tag: str, attrs: list[tuple[str, str | None]], inside_region:
         return False
     names = REGION_NAMES if tag in REGIONS else NAMES
     for name, value in attrs:
+        if name == "hidden" and (value or "").strip().lower() != "until-found":
+            return True
         if not value:
-            if name == "hidden":
-                return True
             continue
+        if name == "style" and _INVISIBLE.search(value.lower()):
+            return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
         if name == "aria-hidden" and value.strip().lower() == "true":
@@ -84,35 +94,38 @@ def never_content(tag: str, attrs: list[tuple[str, str | None]], inside_region:
         if name in ("class", "id"):
             for token in value.split():
                 words = {w.lower() for w in _NAME_WORD.findall(token)}
-                cleared = LAYOUT_NAMES if words & names & FIRM_NAMES else CONTENT_NAMES
+                firm, related = words & names & FIRM_NAMES, words & names & RELATED_NAMES
+                cleared = LAYOUT_NAMES if firm else LAYOUT_NAMES | {"text"} if related else CONTENT_NAMES
                 if words & names and not words & cleared:
                     return True
     return False
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, never content, region, container, heading)`` per block."""
+    """Collects ``(text, tags, never content, region, container, group, heading, characters in links)`` per block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # element, never content, region, container
-        self.containers = 0
+        self.lines: list[tuple[str, int, bool, int, int, int, bool, int]] = []
+        # element, never content, region, container, group, inside a link
+        self.stack: list[tuple[str, bool, int, int, int, bool]] = []
+        self.containers = self.groups = self.linked = 0
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
         self.inner: set[int] = set()  # regions that are articles or main elements
         self.outer: dict[int, int] = {}  # the outermost of them around each
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0, 0)
+    def _state(self) -> tuple[bool, int, int, int]:
+        return self.stack[-1][1:5] if self.stack else (False, 0, 0, 0)
 
     def _break(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self._state(), any(t in HEADINGS for t, *_ in self.stack)))
+            heading = any(t in HEADINGS for t, *_ in self.stack)
+            self.lines.append((text, self.tags, *self._state(), heading, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         while self.stack and tag in CLOSES.get(self.stack[-1][0], ()):
@@ -133,7 +146,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        never, region, container = self._state()
+        never, region, container, group = self._state()
         skip = never or never_content(tag, attrs, region > 0 and any(t in ("article", "main") for t, *_ in self.stack))
         if skip and not never:
             self._break()
@@ -146,11 +159,14 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
+        if tag in GROUPS:
+            self.groups += 1
+            group = self.groups
         if tag == "header" and not skip:
             skip = True  # inside a region only its headings are kept
         elif tag in HEADINGS and skip and self.stack and self.stack[-1][0] == "header" and self._outer_clear():
             skip = False
-        self.stack.append((tag, skip, region, container))
+        self.stack.append((tag, skip, region, container, group, tag == "a" or bool(self.stack and self.stack[-1][5])))
 
     def _outer_clear(self) -> bool:
         """True if only the innermost header makes this place never content."""
@@ -169,6 +185,8 @@ class Lines(HTMLParser):
                     self._break()
                 del self.stack[i:]
                 return
+            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
+                return  # a stray end of an inline element closes no block around it
         if tag in BLOCKS:
             self._break()
 
@@ -182,8 +200,10 @@ class Lines(HTMLParser):
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
+        if self.stack and self.stack[-1][5]:
+            self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, bool, int, int, bool]]:
+    def finish(self) -> list[tuple]:
         if _CUT_MARKUP.match(self.rawdata):  # a tag or comment that the page ends in is not text
             self.rawdata = ""
         self.close()
@@ -225,10 +245,11 @@ def main_text(html: str | None) -> str:
     ratio = smooth(own)
     cut = threshold(ratio)
     over = ratio >= cut
-    inner = [region in parser.inner for _, _, _, region, *_ in lines]
+    inner = np.array([region in parser.inner for _, _, _, region, *_ in lines])
     articles = {parser.outer[region] for _, _, _, region, *_ in lines if region in parser.inner}
     if any(over & inner) or len(articles) == 1:  # then stray lines of the body around them are not content
-        kept = inner
+        links = link_blocks(lines, ratio, cut)
+        kept = inner & ~links if any(over & inner & ~links) else inner  # an article of links alone stays
     elif ratio.max() - ratio.min() < ALIKE:
         kept = [True] * len(lines)
     else:
@@ -236,6 +257,20 @@ def main_text(html: str | None) -> str:
     return "\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k)
 
 
+def link_blocks(lines: list[tuple], ratio: np.ndarray, cut: float) -> np.ndarray:
+    """Lines of blocks of two lines or more whose text is links and whose mean smoothed ratio is under the cut."""
+    out = np.zeros(len(lines), bool)
+    group = np.array([x[5] for x in lines])
+    if not any(x[7] for x in lines):
+        return out
+    size, linked = np.array([len(x[0]) for x in lines]), np.array([x[7] for x in lines])
+    for g in np.unique(group[group > 0]):
+        own = group == g
+        if own.sum() > 1 and linked[own].sum() >= LINK_SHARE * size[own].sum() and ratio[own].mean() < cut:
+            out |= own
+    return out
+
+
 def content_runs(lines: list[tuple], over: np.ndarray, sure: np.ndarray, gap: int = 4) -> np.ndarray:
     """Lines to keep of a page without articles: runs over the cut, with what belongs to them however short.
 
@@ -251,7 +286,7 @@ def content_runs(lines: list[tuple], over: np.ndarray, sure: np.ndarray, gap: in
         if b - a <= gap + 1:
             kept[a:b] = True
     for i in range(len(lines) - 2, -1, -1):
-        if kept[i + 1] and lines[i][5]:
+        if kept[i + 1] and lines[i][6]:
             kept[i] = True
     return kept
 

@@ -74,6 +74,57 @@ def test_names_of_boilerplate(name, never):
     assert html_text.never_content("div", [("class", name)], True) is never
 
 
+@pytest.mark.parametrize("name", ["article-ad", "post-share", "story-related", "article-newsletter", "page-banner",
+                                  "content-widget", "main-promo", "share-post", "ad-body", "masthead"])
+def test_boilerplate_beside_words_of_content(name):
+    html = f'<body><article><p>{LONG}</p><div class="{name}"><p>Buy this now, it is cheap.</p></div><p>End.</p></article></body>'
+    assert html_text.main_text(html).split("\n") == [LONG.strip(), "End."]
+
+
+@pytest.mark.parametrize("hide", ["hidden", 'hidden="hidden"', 'style="color:red; display: none"', 'style="VISIBILITY:hidden"',
+                                  'aria-hidden="true"'])
+def test_hidden_elements_go(hide):
+    assert html_text.main_text(f"<article><p>one</p><div {hide}><p>two</p></div><p>three</p></article>") == "one\nthree"
+    assert html_text.main_text('<article><p style="display:block">one</p></article>') == "one"
+
+
+def test_a_stray_inline_end_tag_closes_no_block():
+    assert html_text.main_text("<span><article><p>one</p></span><p>second</p></article>") == "one\nsecond"
+    assert html_text.main_text("<article><b><p>one</b> more</p></article>") == "one more"
+
+
+def test_ratios_strike_link_blocks_inside_an_article(monkeypatch):
+    links = "".join(f'<li><a href="/{i}">Another story {i}</a></li>' for i in range(8))
+    html = f"""<body><article><h1>Title</h1><p>{LONG}</p><ul class="x"><li>one</li><li>two</li></ul><p>{LONG}</p>
+        <ul class="more">{links}</ul><p>{LONG}</p><p>See <a href="/">this page</a> for it.</p></article></body>"""
+    long = LONG.strip()
+    assert html_text.main_text(html).split("\n") == ["Title", long, "one", "two", long, long, "See this page for it."]
+    only = f"<body><article><ul>{links}</ul></article></body>"
+    assert len(html_text.main_text(only).split("\n")) == 8          # an article of links alone stays
+    monkeypatch.setattr(html_text, "smooth", lambda r: r * 0 + 1)     # without ratios nothing is under the cut
+    assert "Another story 3" in html_text.main_text(html)
+
+
+def test_smoothing_and_cut_match_loops():
+    import math
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40):
+        r = rng.exponential(20, n)
+        weights = {d: math.exp(-0.5 * d * d) for d in range(-2, 3)}
+        total = sum(weights.values())
+        want = [sum(w * r[min(max(i + d, 0), n - 1)] for d, w in weights.items()) / total for i in range(n)]
+        assert np.allclose(html_text.smooth(r), want)
+        lo, hi = min(want), max(want)
+        for _ in range(50):
+            middle = (lo + hi) / 2
+            low, high = [x for x in want if x <= middle], [x for x in want if x > middle]
+            if hi - lo < 1e-9 or not high:
+                break
+            lo, hi = sum(low) / len(low), sum(high) / len(high)
+        cut = html_text.threshold(np.array(want))
+        assert cut == pytest.approx((lo + hi) / 2) if n > 1 else cut == pytest.approx(want[0])
+
+
 def test_pages_table(spark):
     pages = load(spark, "/root/testdata/sf0.001", "pages")
     rows = html_text.extract_pages(pages).collect()
@@ -131,3 +182,16 @@ def test_ties_bad_vectors_and_few_candidates(spark):
     few = ann.search(df.where("vec_id in (20, 21, 140)"), lambda c: c % 20 == 0, k=20)
     assert few.where("query_id = 20").count() == 2
     assert ann.search(df.limit(0), lambda c: c % 20 == 0).count() == 0
+
+
+def test_a_walk_goes_on_until_it_holds_enough_rows():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 8)), 40 * rng.normal(size=(8, 8))])  # outliers get leaves of their own
+    tree = ann.build_tree(x, 16)
+    held = np.bincount(ann.descend(tree, x), minlength=tree.n_leaves)
+    assert held.min() < 21
+    for q in np.concatenate([x[:50], x[-8:]]):
+        leaves = ann.best_bins(tree, q, 2, held, 21)
+        assert held[leaves].sum() >= 21 and len(set(leaves)) == len(leaves) >= 2
+        assert leaves[:2] == ann.best_bins(tree, q, 2)
+        assert held[ann.best_bins(tree, q, 2, held, 10_000)].sum() == len(x)  # all rows, if there are fewer
