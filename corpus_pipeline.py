@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Edge cases, for every stage: an empty table gives an empty one; rows with NULLs, empty or very long texts stay unless the
+stage's own decision drops them (a row without words has no near copies and no benchmark passage); repeated rows are
+one class of near copies; extra columns come through under any name, the last stage apart, which returns its own.  Without
+labels of both kinds the quality model scores all texts alike, by the share of good labels.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediafold.llm import decontaminate, minhash_join, mixing, quality, sharding
-from mediafold.llm.common import documents, held_out, stored
+from mediafold.llm.common import documents, held_out, set_apart, stored
 from mediafold.sources.tables import load
 
 QUALITY_THRESHOLD = 0.7
@@ -20,8 +25,8 @@ N_SHARDS = 40
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the additive quality model rejects; ids are only used to find training labels."""
     model = quality.fit(docs, load(spark, sf_dir, "labels"), lambda c: ~held_out(c, 4, 2))
-    scored = quality.with_score(docs, model, "_quality_score")
-    return scored.where(F.col("_quality_score") >= QUALITY_THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inside, restored = set_apart(docs)
+    return restored(quality.with_score(inside, model, "_quality").where(F.col("_quality") >= QUALITY_THRESHOLD))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

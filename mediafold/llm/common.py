@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,18 @@ def held_out(doc_id, n: int, r: int):
     return F.coalesce(remainder(doc_id, n) == F.lit(r), F.lit(False))
 
 
+def set_apart(docs: DataFrame, known: Iterable[str] = ("doc_id", "text", "lang", "source", "n_chars")):
+    """(``docs`` with all but the ``known`` columns under names of our own, a function that brings their names back).
+
+    An operator's working columns can then not meet a column of the caller, whatever it is called.
+    """
+    inside = {c: c if c in known else f"extra_{i}" for i, c in enumerate(docs.columns)}
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[rows[f"`{i}`"].alias(c) for c, i in inside.items()])
+    return docs.select(*[docs[f"`{c}`"].alias(i) for c, i in inside.items()]), restored
+
+
 # ------------------------------------------------------------ Arrow chunks
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; NULL counts as empty."""

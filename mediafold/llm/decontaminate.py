@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediafold.llm.common import Words, map_arrow, text_chunks, utf8
+from mediafold.llm.common import Words, map_arrow, set_apart, text_chunks, utf8
 
 SHARD_BYTES = 1 << 20
 SAMPLE = 16
@@ -301,8 +301,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, **bloc
     Clean documents come through unchanged.  White space around a cut becomes one space; ``n_chars``, if there, follows
     the new text.  Documents with no word left after a cut are dropped.
     """
-    columns = docs.columns
-    found = find_spans(docs, benchmark, window, **blocks)
+    inside, restored = set_apart(docs)
+    found = find_spans(inside, benchmark, window, **blocks)
     dirty = F.size("_spans") > 0
     # The pieces between the cuts, by bytes: [0, to, to, ...] to [from, from, ..., end].
     raw = F.encode("text", "UTF-8")
@@ -315,7 +315,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, **bloc
         F.transform("_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     cleaned = found.where(~dirty | (left > 0)).withColumn("_cut", dirty).withColumn(
         "text", F.when(dirty, F.array_join(F.filter(pieces, lambda x: x != ""), " ")).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(
             F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*[F.col(f"`{c}`") for c in columns])
+    return restored(cleaned)

@@ -34,6 +34,7 @@ from mediafold.llm.common import (
     map_arrow,
     mix,
     powers,
+    set_apart,
     sorted_groups,
     stored,
     text_chunks,
@@ -306,7 +307,8 @@ def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("s"))
     stay = first.select(F.col("s.doc_id").alias("_doc"), F.col("s.text_hash").alias("_hash")).unionByName(
         classes.where("class_key is null").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_of", F.xxhash64("text"))
+    inside, restored = set_apart(docs)
+    keyed = inside.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_of", F.xxhash64("text"))
     kept = keyed.join(stay.distinct(), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_hash")))
     # Repeated rows share id and text: one of them stays.
-    return kept.dropDuplicates(["_id", "_of"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(kept.dropDuplicates(["_id", "_of"]))

@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediafold.llm.common import bucketed_prefix, stored
+from mediafold.llm.common import bucketed_prefix, set_apart, stored
 
 PLACED = "source string, run long, first_block long, end_block long, phase int, slots array<long>"
 
@@ -150,7 +150,7 @@ def first_places(placed: DataFrame) -> DataFrame:
 def in_mixed_order(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """All columns of ``docs``, range-partitioned and sorted by position; equal rows lie side by side."""
     at = first_places(placed)
-    keyed = docs.withColumn("_of", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    inside, restored = set_apart(docs)
+    keyed = inside.withColumn("_of", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = keyed.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_hash")))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(
-        *[joined[f"`{c}`"] for c in docs.columns])
+    return restored(joined.repartitionByRange("_position").sortWithinPartitions("_position"))

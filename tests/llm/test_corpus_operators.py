@@ -439,6 +439,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.select(F.countDistinct("shard")).first()[0] == 40
 
 
+CLASHES = ["_quality", "_quality_score", "_spans", "_bytes", "_items", "_n_words", "_cut", "_id", "_of", "_doc", "_hash",
+           "_position", "extra_0", "extra_5", "score", "shard", "slot"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+    sf = "/root/testdata/sf0.001"
+    plain = load(spark, sf, "documents")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+    assert pipeline.deal_shards(spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline as pipeline
+    sf = "/root/testdata/sf0.001"
+    none = load(spark, sf, "documents").limit(0)
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, none, sf)
+        assert out.count() == 0 and (i == 4 or out.columns == none.columns), name
+
+
 def test_slots_of_the_pipeline_follow_the_mixed_order(spark):
     import corpus_pipeline as pipeline
     sf = "/root/testdata/sf0.01"
