@@ -55,6 +55,7 @@ def indexed_rows(work: DataFrame, contents: DataFrame, docs: DataFrame, regions:
     the name, else from the file's time.
     """
     meta = normalize_tags(docs.withColumn("tags", TG.parse_typed_tags(F.col("json"))), "tags", regions)
+    meta = L._stored(meta, "normalized")  # the rows and the cache read it; no filter of theirs reaches into the parsing
     facts = meta.select("id", F.col("mime_type").alias("_mime"), F.col("birth").alias("_birth"))
     rows = with_birth_from_name(work.join(contents, "name"), now_year=now_year)
     rows = mime.classify(rows.join(facts, "id", "left"), "header", "_mime")
