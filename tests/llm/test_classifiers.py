@@ -150,3 +150,63 @@ def test_nearest_centroid_matches_plain_cosines():
         best = max(cosines)
         assert score[i] == pytest.approx(best, abs=1e-4)
         assert lang[i] in {model.langs[k] for k, v in enumerate(cosines) if v > best - 1e-5}
+
+
+def _toxic_rows(spark, n, words_per_row=6):
+    """Documents with a label each; the language of the row that any sample by id hash would take last is its own."""
+    import random
+
+    from llm_fixtures import docs_of
+    rng = random.Random(5)
+    words = ["stone", "river", "cloud", "paper", "green", "seven", "maple", "candle"]
+    last = max(spark.range(n).select("id", F.xxhash64("id")).collect(), key=lambda r: r[1])[0]
+    y = [int(rng.random() < 0.2) for _ in range(n)]
+    text = [" ".join(rng.choice(words) for _ in range(words_per_row)) + (" rotten" if t else "") for t in y]
+    docs = docs_of(spark, [(i, text[i], "xx" if i == last else "en", "s") for i in range(n)])
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(y)], "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    docs, labels = _toxic_rows(spark, 6_500)
+    model = toxicity.fit(docs, labels, lambda c: F.lit(True))
+    assert model.langs == ["en", "xx"]
+    got = toxicity.toxicity_scores(docs, labels, lambda c: c < 500).join(labels, "doc_id").where("held_out")
+    assert got.where("predicted <> toxic").count() == 0 and got.count() == 500
+
+
+def test_toxicity_units_hold_each_row_once_and_do_not_depend_on_partitions(spark, monkeypatch):
+    docs, labels = _toxic_rows(spark, 300)
+    labels = labels.unionByName(labels.withColumn("toxic", F.lit(0)))
+    rows = toxicity.labelled(docs, labels, lambda c: c >= 10)
+    units = toxicity.training_units(rows, 40)
+    found = list(toxicity.opened(units.toArrow().to_batches()))
+    assert len(found) >= 8 and max(len(u.y) for u in found) <= 40
+    assert sum(len(u.y) for u in found) == 290
+    want = sorted(tuple(map(tuple, toxicity.cells(w).tolist())) for w in _words(rows))
+    assert sorted(tuple(map(tuple, r.tolist())) for u in found for r in u.rows()) == want
+    a = toxicity.fit(docs, labels, lambda c: c >= 10, unit_rows=40)
+    monkeypatch.setattr(toxicity, "BROADCAST_IDS", 0)
+    b = toxicity.fit(docs.repartition(5), labels.repartition(3), lambda c: c >= 10, unit_rows=40)
+    assert np.allclose(a.packed(), b.packed(), atol=1e-5) and np.allclose(a.shift, b.shift, atol=1e-2)
+
+
+def _words(rows):
+    for r in rows.select("text").collect():
+        data = np.frombuffer(r[0].encode(), np.uint8)
+        yield Words(data, np.array([0, len(data)]))
+
+
+def test_toxicity_thresholds_have_the_fewest_errors():
+    rng = np.random.default_rng(7)
+    lang = rng.integers(0, 3, 400)
+    margin = np.rint(rng.normal(0, 1, 400) * 8) / 8
+    y = (margin + rng.normal(0, 1, 400) > 0.5).astype(int)
+    # one entry a row, and one a language and margin: the same thresholds
+    shift = toxicity.calibrate(lang, margin, 1 - y, y, 3)
+    key, at = np.unique(np.stack([lang, margin], 1), axis=0, return_inverse=True)
+    at = at.ravel()
+    grouped = toxicity.calibrate(key[:, 0].astype(int), key[:, 1], np.bincount(at, 1 - y), np.bincount(at, y), 3)
+    assert np.allclose(shift, grouped)
+    cuts = np.append(np.unique(margin) - 1 / 16, margin.max() + 1)
+    assert ((margin > shift[3]) != y).sum() == min(((margin > c) != y).sum() for c in cuts)
