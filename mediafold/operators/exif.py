@@ -1,9 +1,13 @@
 """Long Exif tag rows -> one typed row per file (J6: A11, E9, E10, H17-H21, H28, H31-H33).
 
 Input rows ``(path, ifd, tag, value, ord)`` (``ord`` = position in the file).
-E9 picks one value per (path, tag) with ``max_by`` (map-side combined), E10
-pivots a fixed tag list with ``groupBy(path).pivot(tag, TAGS)`` (the list is
-given, so no extra job discovers it), then one projection decodes fields.
+E9 picks one value per (path, tag) as the maximum of a rank, E10 pivots a
+fixed tag list with ``groupBy(path).pivot(tag, TAGS)`` (the list is given, so
+no extra job discovers it), then one projection decodes fields.
+
+Ranks hold strings, so Spark aggregates them over sorted rows.  Rows are
+spread by path first: a sort then holds one shuffle partition, not all rows
+of an input file in one task, and E9 and E10 need no further shuffle.
 """
 
 from __future__ import annotations
@@ -44,17 +48,17 @@ def pick_values(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Usable rows with a rank whose maximum is the pick of E9 (and holds its value)."""
+    """Usable rows, spread by path, with a rank whose maximum is the pick of E9 (and holds its value)."""
     v = F.substring_index(F.col("value"), "\x00", 1)
     main = F.col("ifd") != THUMBNAIL_IFD
     rank = F.struct(main.alias("main"), F.when(main, F.col("ord")).otherwise(-F.col("ord")).alias("at"), v.alias("value"))
-    return rows.where((F.col("tag") != "") & (v != "")).select("path", "tag", rank.alias("rank"))
+    return rows.where((F.col("tag") != "") & (v != "")).select("path", "tag", rank.alias("rank")).repartition("path")
 
 
 def pick_and_pivot(rows: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """E9 and E10 in one shuffle: one row per path with the picked value of each tag as a column.
 
-    The maximum of each tag's rank is taken per path directly, combined map-side.
+    The maximum of each tag's rank is taken per path directly.
     """
     tags = tags or EXIF_TAGS
     return _ranked(rows).groupBy("path").agg(

@@ -569,6 +569,8 @@ def customer_tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from mediafold.sources.tables import load
     c = load(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    # A file's one row group would be one task with 15 times its rows.
+    c = c.repartition("c_custkey")
     k, n, seg = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
 
     def r(ifd, tag, value, o):

@@ -269,3 +269,20 @@ def test_typed_merge_of_sources(spark):
     assert dict(m.dtypes)["iso"] == "bigint" and dict(m.dtypes)["words"] == "array<string>"
     with pytest.raises(ValueError):
         merge_sources([("a", a, "fill"), ("b", b.withColumn("title", F.lit(1)), "fill")], "k", ["title"])
+
+
+def test_exif_rows_are_sorted_only_after_they_are_spread_by_path(spark, capsys):
+    """A sort before the shuffle would hold all rows of an input file in one task."""
+    from mediafold.operators import exif
+    from mediafold.plans.queries import customer_tag_rows
+    rows = customer_tag_rows(spark, "/root/testdata/sf0.001")
+    for made in (exif.pick_and_pivot(rows), exif.pivot_tags(exif.pick_values(rows))):
+        capsys.readouterr()
+        made.explain()
+        plan = capsys.readouterr().out.splitlines()
+        spread = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(path" in line]
+        held = [i for i, line in enumerate(plan) if "Sort" in line or "HashAggregate" in line]
+        assert len(spread) == 1 and held and max(held) < spread[0]
+        # The file's rows are dealt out before each becomes 15.
+        dealt = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(c_custkey" in line]
+        assert dealt and dealt[0] > next(i for i, line in enumerate(plan) if "Generate" in line)
