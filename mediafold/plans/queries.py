@@ -611,7 +611,7 @@ def events_exif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from mediafold.sources.tables import load
-    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type", "user_id"])
+    e = load(spark, sf_dir, "events", ["event_id", "ts", "event_type", "user_id"]).repartition("event_id")  # as for customer_tag_rows
     k, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
 
     def n(c):
